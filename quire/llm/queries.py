@@ -27,6 +27,12 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_third() == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import jaccard
+
+    return jaccard.join(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import mixing
 
@@ -42,5 +48,5 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(spark, path)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_crf, op8_source_mix, op10_token_orc)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_crf, op6_jaccard_join, op8_source_mix, op10_token_orc)}
 ORACLES: dict[str, str] = {}
