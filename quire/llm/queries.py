@@ -39,6 +39,12 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), 3, 90, 100)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import secrets
+
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import mixing
 
@@ -54,5 +60,5 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(spark, path)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_crf, op5_spaced_seeds, op6_jaccard_join, op8_source_mix, op10_token_orc)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_crf, op5_spaced_seeds, op6_jaccard_join, op7_secret_scan, op8_source_mix, op10_token_orc)}
 ORACLES: dict[str, str] = {}
