@@ -27,6 +27,12 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_third() == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import wrapper
+
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import decontam
 
@@ -60,5 +66,5 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(spark, path)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_crf, op5_spaced_seeds, op6_jaccard_join, op7_secret_scan, op8_source_mix, op10_token_orc)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_crf, op3_wrapper_induction, op5_spaced_seeds, op6_jaccard_join, op7_secret_scan, op8_source_mix, op10_token_orc)}
 ORACLES: dict[str, str] = {}

@@ -25,16 +25,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.shared import new_path
+from quire.llm.shared import new_path, stored
 
 END_ID = 2
-KEPT_WORDS = 400_000  # per Python worker; the cache starts anew beyond it
+KEPT_WORDS, KEPT_PARTS = 250_000, 700_000  # per Python worker; a cache starts anew beyond it
 ORC = {"compression": "zlib", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "2000", "orc.stripe.size": str(16 << 20), "orc.create.index": "true"}
 TEXT_PER_FILE = 64 << 20  # characters of text that one file takes, about
 
 #: The split rule of the word vocabulary, for characters below U+0180.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼-¾]+|[\d²³¹¼-¾]|(?:[^\s\w]|_)+")
-_ODD = re.compile(r"[^\t\n\x0b\x0c\r -~ -įı-ſ]|<\|")
+_PLAIN = bytes([*range(9, 14), *range(32, 127), *range(128, 192), 0xC2, 0xC3, 0xC4, 0xC5])
+_ODD = re.compile(rb"\xc2[\x80-\xa0]|\xc4\xb0")
+
+
+def _plain(text: str) -> bool:
+    """Whether text has only printable ASCII, plain white space and U+00A1 to U+017F but for U+0130, and no special token's start."""
+    raw = text.encode()
+    return not raw.translate(None, _PLAIN) and b"<|" not in raw and (text.isascii() or not _ODD.search(raw))
+
+
+class Words(dict):
+    """Ids of words, made on first use."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.make(word)
+        return found
 
 
 def _byte_letters() -> dict[int, str]:
@@ -55,35 +74,23 @@ class Encoder:
         kinds = str(self.whole.normalizer) + str(self.whole.pre_tokenizer)
         self.fast = "Lowercase" in kinds and "Removed" in kinds and "ByteLevel" in kinds
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def part(self, p: str) -> bytes:
-        found = self.parts.get(p)
-        if found is None:
-            spelled = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-            if len(self.parts) >= KEPT_WORDS:
-                self.parts.clear()
-            self.parts[p] = found
-        return found
+        self.words = Words(lambda w: b"".join([self.parts[p] for p in _PIECE.findall(w)]))
+        self.parts = Words(self._part)
+
+    def _part(self, p: str) -> bytes:
+        spelled = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.fast or _ODD.search(text):
+        if not self.fast or not _plain(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        found, known = text.lower().split(), self.words
-        try:
-            return b"".join(map(known.__getitem__, found))
-        except KeyError:
-            pass
-        if len(known) >= KEPT_WORDS:
-            known.clear()
-        for w in found:
-            if w not in known:
-                known[w] = b"".join(map(self.part, _PIECE.findall(w)))
-        return b"".join(map(known.__getitem__, found))
+        for cache, most in ((self.words, KEPT_WORDS), (self.parts, KEPT_PARTS)):
+            if len(cache) > most:
+                cache.clear()
+        known = self.words
+        return b"".join([known[w] for w in text.lower().split()])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -146,6 +153,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at)), pa.array(crc, pa.int64()), batch.column(3)], names=["doc_id", "place", "n_tokens", "ids_crc32", "file"])
 
     rows = read_orc(spark, path).mapInArrow(run, "doc_id long, place long, n_tokens long, ids_crc32 long, file long")
+    rows = stored(rows, "digests")
     each = W.partitionBy("file").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("n_tokens").over(each), F.lit(0)))
     files = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
