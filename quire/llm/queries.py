@@ -33,6 +33,12 @@ def op3_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import suffixes
+
+    return suffixes.remove(table(spark, sf_dir, "documents"))
+
+
 def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import decontam
 
@@ -66,5 +72,5 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(spark, path)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_crf, op3_wrapper_induction, op5_spaced_seeds, op6_jaccard_join, op7_secret_scan, op8_source_mix, op10_token_orc)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_crf, op3_wrapper_induction, op4_suffix_dedup, op5_spaced_seeds, op6_jaccard_join, op7_secret_scan, op8_source_mix, op10_token_orc)}
 ORACLES: dict[str, str] = {}
