@@ -18,6 +18,12 @@ def _third(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import neardup
+
+    return neardup.link(table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import quality
 
@@ -72,5 +78,5 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(spark, path)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_crf, op3_wrapper_induction, op4_suffix_dedup, op5_spaced_seeds, op6_jaccard_join, op7_secret_scan, op8_source_mix, op10_token_orc)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nn_descent, op2_quality_crf, op3_wrapper_induction, op4_suffix_dedup, op5_spaced_seeds, op6_jaccard_join, op7_secret_scan, op8_source_mix, op10_token_orc)}
 ORACLES: dict[str, str] = {}
