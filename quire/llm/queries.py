@@ -69,6 +69,21 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), F.array("source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in eight parts and are compacted; each row's shard and what it stores there."""
+    from quire.llm import sharding
+    from quire.llm.shared import new_path
+
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.Store(spark, new_path(spark, "shards"))
+    store.append(docs.withColumn("__arrival", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int")))
+    store.compact()
+    placed = store.placed()
+    if placed is None:
+        return docs.select("doc_id", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).alias("version"), F.xxhash64("text").alias("text_hash")).limit(0)
+    return placed.select("doc_id", "shard", "shard_bytes", "version", F.xxhash64("text").alias("text_hash"))
+
+
 def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -78,5 +93,5 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(spark, path)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nn_descent, op2_quality_crf, op3_wrapper_induction, op4_suffix_dedup, op5_spaced_seeds, op6_jaccard_join, op7_secret_scan, op8_source_mix, op10_token_orc)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nn_descent, op2_quality_crf, op3_wrapper_induction, op4_suffix_dedup, op5_spaced_seeds, op6_jaccard_join, op7_secret_scan, op8_source_mix, op9_size_tiered_shards, op10_token_orc)}
 ORACLES: dict[str, str] = {}
