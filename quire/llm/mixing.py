@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from quire.llm.shared import stored
 from quire.llm.words import counts, pieces
@@ -35,7 +36,7 @@ WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, "7"
 BIN_ROWS = 2000  # documents of a pattern that a hash bin holds, about
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def n_words(texts: pa.Array) -> pa.Array:
     """The number of runs of characters other than space and 0x09-0x0D; 0 for null."""
     return pa.array(np.concatenate([np.zeros(0, np.int64), *(counts(data, at) for _, _, data, at in pieces(texts))]))
