@@ -5,6 +5,8 @@ Patterns that need Unicode white space or digits carry the (?U) flag, as Java's
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ def sub(c: Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(by))
 
 
+def bind(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c evaluated once, however often f uses it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
     return sub(c, "(?U)^\\s+|\\s+$")

@@ -6,22 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and stored where spark.checkpoint.dir says (under /tmp where it is unset)."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints/quire"))
+    return df.checkpoint()
+
+
 def connected(nodes: DataFrame, edges: DataFrame, node: str = "node", a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node: the smallest node that edges (a, b) reach, the node itself without any.
 
     Each round takes the smallest label of the neighbours and then the label's own label, so a path halves; rounds are
     checkpointed to the folder that the session names in spark.checkpoint.dir (one under /tmp where none is set).
     """
-    spark = nodes.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints/quire"))
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct().checkpoint()
-    labels = nodes.select(F.col(node).alias("x")).distinct().withColumn("c", F.col("x")).checkpoint()
+    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
+    both = cut(both)
+    labels = cut(nodes.select(F.col(node).alias("x")).distinct().withColumn("c", F.col("x")))
     while True:
         near = both.join(labels.select(F.col("x").alias("y"), F.col("c").alias("d")), "y").groupBy("x").agg(F.min("d").alias("d"))
         lower = labels.join(near, "x", "left").select("x", F.col("c").alias("old"), F.least("c", "d").alias("c"))
         up = lower.select(F.col("x").alias("c"), F.col("c").alias("top"))
-        after = lower.join(up, "c", "left").select("x", "old", F.least("c", "top").alias("c")).checkpoint()
+        after = cut(lower.join(up, "c", "left").select("x", "old", F.least("c", "top").alias("c")))
         if not after.where("c <> old").limit(1).count():
             return after.select(F.col("x").alias(node), F.col("c").alias("component"))
         labels = after.select("x", "c")

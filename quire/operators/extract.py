@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import terms as T
-from quire.functions.text import CJK, clean_line, clean_text, contains_any, is_noise_line, normalize_key, safe_id, split_sentences, strip, sub
-from quire.functions.text import best_sentence
+from quire.functions.text import CJK, best_sentence, clean_line, clean_text, contains_any, is_noise_line, normalize_key, safe_id, split_sentences, strip, sub
 from quire.lexicon import DEFAULT, Lexicon
+from quire.operators.components import cut
 
 #: How many terms, nodes and edges a chapter gives, and the edges' weights.
 CONTEXT, TERMS, NODES, EDGES, CHAIN = 6, 20, 14, 35, 4
@@ -42,7 +42,7 @@ def candidate_terms(chapters: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFram
     text = chapters.select(*CHAPTER_KEY, "title", clean_text(F.col("content")).alias("text"))
     found = text.select(*CHAPTER_KEY, F.posexplode(raw_candidates(F.col("text"), F.col("title"), lexicon)).alias("pos", "raw"))
     known = found.select("raw").distinct().select("raw", T.normalize_term(F.col("raw"), lexicon).alias("term"))
-    known = known.select("raw", "term", T.term_ok(F.col("term"), lexicon).alias("ok")).where("ok").select("raw", "term")
+    known = known.where(T.term_ok(F.col("term"), lexicon))
     counted = found.join(known, "raw").groupBy(*CHAPTER_KEY, "term").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     scored = counted.join(text, CHAPTER_KEY).select(*CHAPTER_KEY, "term", "pos", T.term_score(F.col("term"), F.col("text"), F.col("n"), lexicon).alias("s"))
     down = F.struct((-F.col("s.score")).alias("a"), (-F.col("s.hint")).alias("b"), (-F.col("s.defined")).alias("c"), (-F.col("s.length")).alias("d"), "pos", "term")
@@ -62,8 +62,8 @@ def chapter_nodes(chapters: DataFrame, books: DataFrame, lexicon: Lexicon = DEFA
     text = clean_text(F.col("content"))
     rows = good.select(*CHAPTER_KEY, "chapter_ord", "title", "page_start", text.alias("text")).withColumn("sentences", F.filter(split_sentences(F.col("text")), lambda s: ~is_noise_line(s)))
     rows = rows.join(ranked, CHAPTER_KEY).join(books.select("textbook_id", F.col("title").alias("textbook_title")), "textbook_id")
-    definition = T.clean_definition(F.col("term"), best_sentence(F.col("term"), F.col("sentences"), F.col("text")), lexicon)
-    rows = rows.withColumn("definition", definition)
+    rows = rows.withColumn("definition", best_sentence(F.col("term"), F.col("sentences"), F.col("text"))).drop("sentences", "text")
+    rows = rows.withColumn("definition", T.clean_definition(F.col("term"), F.col("definition"), lexicon))
     return rows.select(
         "textbook_id", "chapter_id", "chapter_ord", "rank", "title",
         safe_id("node", F.concat_ws(":", "textbook_id", "chapter_id", "term")).alias("id"), F.col("term").alias("name"), "definition",
@@ -114,7 +114,7 @@ def live_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def build_graphs(chapters: DataFrame, books: DataFrame, lexicon: Lexicon = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of all books: NODES and EDGES columns but graph_ord."""
-    raw = chapter_nodes(chapters, books, lexicon)
+    raw = cut(chapter_nodes(chapters, books, lexicon))
     edges = rule_edges(raw, lexicon)
     named = raw.withColumn("name", T.normalize_term(F.col("name"), lexicon)).where(T.term_ok(F.col("name"), lexicon))
     order = W.partitionBy("textbook_id").orderBy("chapter_ord", "rank")

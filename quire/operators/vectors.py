@@ -11,6 +11,11 @@ from quire.functions.text import sub
 SIZES, FEATURES, SLOTS = (2, 3, 4), 16_000, 4096
 
 
+def _every(w: Column, n: int) -> Column:
+    """All grams of n characters of w; w itself if it is shorter."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - n + 1)), lambda i: F.substring(w, i, F.lit(n)))
+
+
 def word_grams(text: Column, sizes: tuple[int, ...] = SIZES) -> Column:
     """The grams inside each word, padded by a space at both ends; a padded word shorter than a size is one gram, once."""
     words = F.filter(F.split(F.lower(sub(text, "(?U)\\s+", " ")), " "), lambda w: w != "")
@@ -19,7 +24,7 @@ def word_grams(text: Column, sizes: tuple[int, ...] = SIZES) -> Column:
         w = F.concat(F.lit(" "), word, F.lit(" "))
         parts = []
         for n in sizes:
-            every = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - n + 1)), lambda i, n=n: F.substring(w, i, F.lit(n)))
+            every = _every(w, n)
             # Sizes beyond the word's give the word itself, which only the first such size keeps.
             parts.append(every if n == sizes[0] else F.when(F.length(w) >= n, every).otherwise(F.array().cast("array<string>")))
         return F.concat(*parts)
@@ -31,7 +36,7 @@ def flat_grams(text: Column, sizes: tuple[int, ...] = SIZES) -> Column:
     """All grams of the text without white space, padded by one space at both ends."""
     compact = sub(text, "(?U)\\s+", "")
     w = F.concat(F.lit(" "), compact, F.lit(" "))
-    every = [F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - n + 1)), lambda i, n=n: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes]
+    every = [F.when(F.length(w) >= n, _every(w, n)).otherwise(F.array().cast("array<string>")) for n in sizes]
     return F.when(compact == "", F.array().cast("array<string>")).otherwise(F.concat(*every))
 
 

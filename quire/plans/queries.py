@@ -264,7 +264,7 @@ def merged_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("id", "name", "definition", "textbook_id", "source", F.col("frequency").cast("long").alias("frequency"), F.round("importance", 6).alias("importance"))
 
 
-@query(f"WITH {_CLUSTERS} SELECT CASE WHEN size > 1 THEN 'merge' ELSE 'keep' END AS action, id AS result_node, size AS n_affected, round(CASE WHEN size > 1 THEN least(0.98, 0.90 + 0.02 * size) ELSE 0.78 END, 6) AS confidence FROM f")
+@query(f"WITH {_CLUSTERS} SELECT CASE WHEN size > 1 THEN 'merge' ELSE 'keep' END AS action, id AS result_node, size AS n_affected, round((CASE WHEN size > 1 THEN least(0.98, 0.90 + 0.02 * size) ELSE 0.78 END)::DOUBLE, 6) AS confidence FROM f")
 def concept_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: the decisions behind the merged nodes."""
     d = integrate.decisions(_merged(spark, sf_dir))
@@ -311,21 +311,21 @@ def _geography(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 _GEO = """nd AS (SELECT r_regionkey::BIGINT AS ord, 'r' || r_regionkey AS id, r_name AS name, 2 AS frequency, 0.9 AS importance FROM region UNION ALL SELECT 100 + n_nationkey, 'n' || n_nationkey, n_name, 1, 0.5 FROM nation),
 ed AS (SELECT n_nationkey::BIGINT AS ord, 'r' || n_regionkey AS source, 'n' || n_nationkey AS target, (n_nationkey % 7) / 10.0 AS weight FROM nation), dg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM ed UNION ALL SELECT target FROM ed) GROUP BY id),
-sc AS (SELECT nd.*, coalesce(degree, 0) AS degree, CASE WHEN contains(lower(name || ' place ' || name), 'an') THEN 10000 ELSE 0 END + frequency * 160 + importance * 120 + coalesce(degree, 0) * 18 + least(40, (6 + length(name)) / 25.0) AS score FROM nd LEFT JOIN dg USING (id)),
+sc AS (SELECT nd.*, coalesce(degree, 0) AS degree, CASE WHEN contains(lower(name || ' place ' || name), 'nation_1') THEN 10000 ELSE 0 END + frequency * 160 + importance * 120 + coalesce(degree, 0) * 18 + least(40, (6 + length(name)) / 25.0) AS score FROM nd LEFT JOIN dg USING (id)),
 hit AS (SELECT id FROM sc WHERE score >= 10000), nb AS (SELECT id FROM hit UNION SELECT target FROM ed WHERE source IN (SELECT id FROM hit) UNION SELECT source FROM ed WHERE target IN (SELECT id FROM hit))"""
 
 
 @query(f"WITH {_GEO} SELECT id, degree, round(score, 6) AS score FROM sc WHERE id IN (SELECT id FROM nb)")
 def visible_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The visible nodes of a search."""
-    shown, _ = graphview.visible_graph(*_geography(spark, sf_dir), query="an")
+    shown, _ = graphview.visible_graph(*_geography(spark, sf_dir), query="nation_1")
     return shown.select("id", "degree", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_GEO} SELECT ord, source, target, round(weight, 6) AS weight FROM ed WHERE source IN (SELECT id FROM nb) AND target IN (SELECT id FROM nb)")
 def visible_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges between the visible nodes."""
-    _, kept = graphview.visible_graph(*_geography(spark, sf_dir), query="an")
+    _, kept = graphview.visible_graph(*_geography(spark, sf_dir), query="nation_1")
     return kept.select("ord", "source", "target", F.round("weight", 6).alias("weight"))
 
 
