@@ -1,6 +1,6 @@
 """Reading books: files of several formats into textbooks and chapters.
 
-Spark's binaryFile source lists and reads the files, so any store works. Word and Excel files are unzipped by the
+Spark's binaryFile source lists and reads the files, so any store works (it leaves out files of no bytes). Word and Excel files are unzipped by the
 standard library inside mapInPandas; a PDF comes as text blocks (PDF_BLOCKS) from an extractor of your own.
 """
 
