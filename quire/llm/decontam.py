@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import stored
+from quire.llm.shared import BROADCAST_ROWS, stored
 from quire.llm.words import mixed, pieces, words
 
 #: Weight 7 of 11; any two leave a different set of offsets out.
@@ -184,5 +184,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = stored(find(keyed.select(F.col("__key").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__key")).distinct(), "leaks")
     if not found.limit(1).count():
         return docs
-    few = found.limit(1_000_001).count() <= 1_000_000
+    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return keyed.join(F.broadcast(found) if few else found, "__key", "left_anti").drop("__key")

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -37,10 +36,3 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 def column(t: pa.Table, name: str) -> np.ndarray:
     return t.column(name).to_numpy()
-
-
-def fixed(t: pa.Table, name: str, dtype: str) -> np.ndarray:
-    """A matrix from a binary column whose values have the same length."""
-    c = t.column(name).combine_chunks()
-    c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
-    return np.frombuffer(b"".join(pc.cast(c, pa.large_binary()).to_pylist()), dtype).reshape(len(c), -1)

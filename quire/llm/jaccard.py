@@ -11,8 +11,8 @@ any two classes that link share a key:
   at least e + 1 agree. The few sets with more than e empty blocks also share a list of their own.
 - The boundary is the size at which enumerating costs more than listing, both counted in keys and comparisons.
 
-Lists are scanned in bounded squares of members: a 1024-bit parity sketch per set gives a lower bound of the
-difference, so pairs that can't link fall out without their sets. As components are wanted, a square gives only a
+Lists are scanned in bounded squares of members: a parity sketch per set, of one to two bits a shingle, gives a lower
+bound of the difference, so pairs that can't link fall out without their sets. As components are wanted, a square gives only a
 spanning forest of what remains; the forest's pairs are verified on the sets, and lists whose members are not yet one
 component are scanned again without the refuted pairs, until none has an untested pair left. So no link between
 components is missed, and no list, however common its block, is turned into all its pairs.
@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.groups import column, fixed, groups
-from quire.llm.shared import components, drop_stored, only_ids, stored
+from quire.llm.groups import column, groups
+from quire.llm.shared import BROADCAST_ROWS, components, drop_stored, only_ids, stored
 from quire.llm.words import mixed, pieces, shingles, words
 
-SKETCH_BITS = 1024
+SKETCH_BITS = 512  # at least; sketches of different sizes are compared in the smaller's
 SQUARE = 2048  # members of a list that are compared with as many others at once, about
 AGAIN = 16  # partners a member may get in each later scan of a square
 
@@ -129,7 +129,16 @@ class Scheme:
 
 
 def _sketch(sets: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((sets >> np.uint64(54)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(bool)).tobytes()
+    """A bit for each residue of the hashes: whether an odd number of shingles has it."""
+    size = max(SKETCH_BITS, 1 << (max(1, len(sets) * 3 // 2) - 1).bit_length())
+    at = ((sets >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(bool)).tobytes()
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """The sketches as a matrix of 64-bit words, all folded to the smallest's size."""
+    size = min(map(len, sketches))
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, "<u8").reshape(-1, size // 8), 0) for x in sketches])
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -167,7 +176,7 @@ def _scan(rows: DataFrame, num: int, den: int, first: bool) -> DataFrame:
             doc, n, c, side = (column(t, k) for k in ("doc", "n", "c", "side"))
             if len(doc) < 2 or not first and c.min() == c.max():
                 continue
-            bits = fixed(t, "sketch", "<u8")
+            bits = _folded(t.column("sketch").to_pylist())
             refuted = t.column("no").to_pylist()
             label = np.unique(c, return_inverse=True)[1]
             right = np.arange(len(doc)) if (side == 0).all() else np.flatnonzero(side == 1)
@@ -238,7 +247,9 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Data
     sets = stored(_sets(docs, width, num, den), "sets")
     real = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = stored(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
-    chosen = only_ids(real, classes.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"])
+    many = classes.where("members > 1").select("h1", "h2", "rep")
+    few = many.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    chosen = real.join(F.broadcast(many) if few else many, ["h1", "h2"], "left").where("rep is null or rep = doc_id").drop("rep")
     by_key = W.partitionBy("key")
     lists = (
         chosen.select(F.col("doc_id").alias("doc"), F.explode("keys").alias("key"))
@@ -250,7 +261,7 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Data
     lists = stored(lists, "lists")
     in_lists = stored(lists.select("doc").distinct(), "listed")
     known = stored(only_ids(chosen.select(F.col("doc_id").alias("doc"), "n", "sketch"), in_lists, "doc").dropDuplicates(["doc"]), "members")
-    exact = stored(_exact(only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), in_lists.select(F.col("doc").alias("doc_id")), "doc_id"), width), "exact")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     comps = None
     tested = None
@@ -271,8 +282,12 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Data
         else:  # every square: a member stands at the side of its block with each block
             other = F.explode(F.sequence(F.lit(0), squares - 1))
             rows = rows.withColumn("o", other).select("list", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"), F.when(F.col("blk") > F.col("o"), 1).otherwise(0).alias("side"), "doc", "n", "c", "sketch", "no")
-        pairs = _scan(rows, num, den, comps is None)
+        pairs = stored(_scan(rows, num, den, comps is None), "candidates")
+        ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        exact = stored(_exact(only_ids(plain, ends, "doc_id"), width), "exact")
         fresh = stored(_verify(pairs, exact, num, den), "pairs")
+        drop_stored(exact)
+        drop_stored(pairs)
         found = fresh.agg(F.count("*").alias("n"), F.count_if("ok").alias("good")).first()
         if comps is not None:
             drop_stored(member)
@@ -281,9 +296,8 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Data
             break
         tested = fresh if tested is None else tested.union(fresh)
         comps = components(tested.where("ok").select("a", "b")) if found.good or comps is None else comps
-    for t in (lists, known, exact, in_lists):
+    for t in (lists, known, in_lists):
         drop_stored(t)
-    many = classes.where("members > 1").select("h1", "h2", "rep")
     out = sets.select("doc_id", "n", "h1", "h2").join(many, ["h1", "h2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
     out = out.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.col("rep")))
     if comps is not None:

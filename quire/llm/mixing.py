@@ -127,7 +127,8 @@ def mix(docs: DataFrame, members: Column, weights: tuple[int, ...] = WEIGHTS, sh
         *(F.col(f"`{c}`") for c in keep),
         F.array_sort(F.array_distinct(F.coalesce(name, F.array().cast("array<string>")))).alias("pattern"),
         n_words(F.col("text").cast("string")).alias("size"),
-        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string")).cast("binary")).alias("order"),
+        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("order"),
+        F.xxhash64("text").alias("tie"),
     )
     rows = stored(rows, "mix")
     spark = docs.sparkSession
@@ -157,7 +158,7 @@ def mix(docs: DataFrame, members: Column, weights: tuple[int, ...] = WEIGHTS, sh
     rows = rows.join(bins, ["pattern", "bin"])
     edge = (F.col("ahead") < F.col("rest")) & (F.col("ahead") + F.col("words") > F.col("rest"))
     full = F.when(F.col("ahead") + F.col("words") <= F.col("rest"), F.col("size")).otherwise(0)
-    within = W.partitionBy("pattern", "bin").orderBy("order", *(F.col(f"`{c}`") for c in keep)).rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("pattern", "bin").orderBy("order", "tie", *(F.col(f"`{c}`") for c in keep)).rowsBetween(W.unboundedPreceding, -1)
     before = F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - before))
     out = [*(F.col(f"`{c}`") for c in keep), "pattern", "size", "source_size", "target"]

@@ -94,4 +94,23 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nn_descent, op2_quality_crf, op3_wrapper_induction, op4_suffix_dedup, op5_spaced_seeds, op6_jaccard_join, op7_secret_scan, op8_source_mix, op9_size_tiered_shards, op10_token_orc)}
-ORACLES: dict[str, str] = {}
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op6_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", _LOWER)} AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * inter >= 90 * (x.n + y.n - inter)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)""",
+    "op8_source_mix": f"""WITH RECURSIVE d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5('7:' || doc_id) AS o FROM documents),
+s AS (SELECT *, CASE (k - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM (SELECT source, sum(size)::BIGINT AS size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source)),
+i AS (SELECT *, row_number() OVER (ORDER BY size / w, k) AS i FROM s),
+f AS (SELECT 0::BIGINT AS i, (SELECT 1.5::DOUBLE * sum(size)::DOUBLE FROM s) AS rest, (SELECT sum(w)::DOUBLE FROM s) AS open, 0::DOUBLE AS target UNION ALL
+SELECT x.i, f.rest - least(2.0::DOUBLE * x.size, f.rest * x.w / f.open), f.open - x.w, least(2.0::DOUBLE * x.size, f.rest * x.w / f.open) FROM f JOIN i x ON x.i = f.i + 1),
+t AS (SELECT i.source, i.size AS source_size, f.target, round(f.target)::BIGINT AS words FROM f JOIN i ON i.i = f.i),
+q AS (SELECT d.*, t.source_size, t.target, least(2, t.words // greatest(t.source_size, 1)) AS passes, t.words, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(size, words - passes * source_size - before)))::BIGINT AS taken FROM q""",
+}

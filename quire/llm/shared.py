@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of two longs up to this count (32 MB or so) may be broadcast; above it Spark shuffles instead.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a few longs up to this count (20 MB or so as a hash table) may be broadcast; above it Spark shuffles instead.
+BROADCAST_ROWS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +41,8 @@ def drop_stored(df: DataFrame) -> None:
     """Deletes a table of stored() that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         drop_path(df.sparkSession, path)
+    # Lets the context cleaner find shuffles that only dropped plans refer to, so disks don't fill up in long loops.
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def only_ids(df: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
@@ -49,6 +51,25 @@ def only_ids(df: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, on, "left_semi")
 
 
+def with_lists(df: DataFrame, lists: DataFrame, key: str, values: str, outer: bool = False) -> DataFrame:
+    """df joined to lists (key, values), values being an array; outer keeps df's other rows, with a null array.
+
+    Rows without a list are told apart first, by their keys alone, so that of a long table only those with one are
+    shuffled; lists are broadcast only if they hold BROADCAST_ROWS values at most.
+    """
+    keys = lists.select(key)
+    size = lists.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(values)), F.lit(0)).alias("total")).first()
+    if size.n <= BROADCAST_ROWS and size.total <= BROADCAST_ROWS:
+        return df.join(F.broadcast(lists), key, "left" if outer else "inner")
+    if size.n > BROADCAST_ROWS:
+        return df.join(lists, key, "left" if outer else "inner")
+    found = df.join(F.broadcast(keys), key, "left_semi").join(lists, key)
+    if not outer:
+        return found
+    rest = df.join(F.broadcast(keys), key, "left_anti").withColumn(values, F.lit(None).cast(lists.schema[values].dataType))
+    return found.unionByName(rest)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list: (node, component), component being the smallest node reachable.
 

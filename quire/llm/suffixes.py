@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import BROADCAST_ROWS, drop_stored, only_ids, stored
+from quire.llm.shared import BROADCAST_ROWS, drop_stored, only_ids, stored, with_lists
 from quire.llm.words import buffers, mixed, pieces, powers
 
 LENGTH, GRAM = 400, 17  # LENGTH - GRAM + 1 = 384 offsets
@@ -186,8 +186,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         witness = witness.select("w.key", "w.a", (F.col("w.a") - first - (size - 1)).alias("lo"), (F.col("w.a") - first).alias("hi"))
         open_ = rest.select("key", "a", "lo", "hi").unionByName(witness).distinct().groupBy("key").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("open"))
         open_ = stored(open_, "open")
-        few = open_.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4
-        again = texts.join(F.broadcast(open_) if few else open_, "key").select("key", "text", "open")
+        again = with_lists(texts, open_, "key", "open").select("key", "text", "open")
         rows = stored(_next_round(again, CELLS[k + 1], length), "cells")
         drop_stored(live)
     return found.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
@@ -196,9 +195,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def remove(docs: DataFrame, length: int = LENGTH, text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with text also kept, the remaining bytes."""
     starts = stored(repeats(docs, length), "starts")
-    few = starts.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text")).alias("key"))
-    rows = rows.join(F.broadcast(starts) if few else starts, "key", "left").select("doc_id", "text", "starts")
+    rows = with_lists(rows, starts, "key", "starts", outer=True).select("doc_id", "text", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
