@@ -190,7 +190,10 @@ def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("qid", "answer", F.size("citations").alias("n_citations"))
 
 
-@query()
+@query(
+    f"WITH {_HYBRID}, tp AS (SELECT qid, ord FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, ord DESC) AS rank FROM hy) WHERE rank <= 3 AND s > 0), "
+    "h AS (SELECT DISTINCT qid FROM tp JOIN conversations ON conv_id * 100000 + turn = ord WHERE role = 'user') SELECT (SELECT count(*) FROM q) AS questions, round((SELECT count(*) FROM h) / (SELECT count(*) FROM q)::DOUBLE, 3) AS hit_rate"
+)
 def retrieval_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of benchmark texts whose role citation is a user's turn."""
     found = rag.Index.build(_turns(spark, sf_dir)).retrieve(_questions(spark, sf_dir), 3)
@@ -335,7 +338,7 @@ def node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphview.degrees(_geography(spark, sf_dir)[1])
 
 
-@query()
+@query(f"WITH {_GEO}, pl AS (SELECT id, (row_number() OVER (ORDER BY ord) - 1)::INTEGER AS p FROM nd) SELECT a.p AS x, b.p AS y, 'contains' AS relation_type FROM ed JOIN pl a ON a.id = source JOIN pl b ON b.id = target")
 def relation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells of the relation matrix."""
     shown, kept = graphview.visible_graph(*_geography(spark, sf_dir), view="matrix")
