@@ -6,13 +6,11 @@ neighbours-of-neighbours joins: each vector is a pivot that compares the vectors
 it is, with each other, if at least one of the two is new there; every vector keeps its K nearest. Pairs that reach the
 threshold are kept as edges whatever the lists hold.
 
-A vector whose list holds only neighbours above the threshold is saturated: it may have more than K. Its list is
-enlarged through its neighbours' neighbours until nothing is added, which is its component, and its links there are
-counted in bounded squares of vectors, so no pair of a large group becomes a row. Components of up to SQUARE vectors
-are counted that way throughout.
-
-An audit compares AUDIT vectors with all others, in blocks, and measures the recall of links; below RECALL the lists
-are doubled and refined again.
+The graph alone loses links: a few rounds, lists of K. It only serves to know nearly all components beforehand. A sweep
+then compares every vector with all others, in blocks of BLOCK_BYTES that are broadcast in turn; it counts each vector's
+links and gives the pairs that join two known components, at most a forest of them for each task, so no pair of a large
+group becomes a row. Links and components are thus those of all pairs, whatever the graph has found. The sweep's
+comparisons grow with the square of the classes; rows, memory and disk do not.
 
 Cases: embeddings that are null, empty, zero, or hold null or non-finite components link with nothing, as do those of
 another length; a null vec_id links with nothing, its component is null and it isn't kept; of several embeddings under
@@ -35,7 +33,7 @@ from quire.llm.shared import BROADCAST_ROWS, components, drop_stored, stored
 
 THRESHOLD = 0.9
 K, TREES, LEAF, ROUNDS, STILL = 12, 6, 64, 4, 0.01
-SQUARE, AUDIT, RECALL, SEED = 1024, 256, 0.99, 11
+SEED, BLOCK_BYTES, TILE = 11, 16 << 20, (256, 4096)
 
 
 def _valid(e: Column) -> Column:
@@ -141,11 +139,11 @@ def _join(vectors: DataFrame, lists: DataFrame, k: int, kind: str) -> DataFrame:
     return rows.repartition("p").sortWithinPartitions("p").mapInArrow(run, PAIR).groupBy("v", "u").agg(F.max("s").alias("s"))
 
 
-def _refine(vectors: DataFrame, pairs: DataFrame, old: DataFrame | None, k: int, n: int, kind: str) -> tuple[DataFrame, DataFrame]:
-    """(lists, edges at the threshold) after up to ROUNDS joins."""
+def _refine(vectors: DataFrame, pairs: DataFrame, k: int, n: int, kind: str) -> DataFrame:
+    """The edges at the threshold after up to ROUNDS joins."""
     pairs = stored(pairs, "pairs")
     edges = stored(pairs.where(F.col("s") >= THRESHOLD).select("v", "u"), "links")
-    lists = stored(_lists(pairs, old, k), "lists")
+    lists = stored(_lists(pairs, None, k), "lists")
     drop_stored(pairs)
     for _ in range(ROUNDS):
         pairs = stored(_join(vectors, lists, k, kind), "pairs")
@@ -157,65 +155,77 @@ def _refine(vectors: DataFrame, pairs: DataFrame, old: DataFrame | None, k: int,
         moved = lists.select(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0] or 0
         if moved <= STILL * n * k:
             break
-    return lists, edges
-
-
-def _count_inside(vectors: DataFrame, comps: DataFrame, lists: DataFrame, k: int, kind: str) -> DataFrame:
-    """(id, links): the weight of a class's links inside its component, for saturated classes and those of small components."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, 3):
-            ids, w, side, need = (column(t, c) for c in ("id", "w", "side", "need"))
-            raw = t.column("vec").to_pylist()
-            total = np.zeros(len(ids), np.int64)
-            for at in _by_length(raw):
-                x = _unit([raw[i] for i in at], kind)
-                left = np.flatnonzero((side[at] != 1) & need[at])
-                right = np.flatnonzero(side[at] != 0)
-                for i in range(0, len(left), 512):
-                    rows = left[i : i + 512]
-                    linked = x[rows] @ x[right].T >= THRESHOLD
-                    linked &= ids[at][rows][:, None] != ids[at][right][None, :]
-                    total[at[rows]] += linked @ w[at][right]
-            took = (side != 1) & need
-            yield pa.RecordBatch.from_arrays([pa.array(ids[took]), pa.array(total[took])], names=["id", "links"])
-
-    sizes = comps.groupBy("component").agg(F.count("*").alias("m"))
-    full = lists.select(F.col("id"), ((F.size("s") >= k) & (F.element_at("s", -1) >= THRESHOLD)).alias("full"))
-    rows = comps.withColumnRenamed("node", "id").join(sizes, "component").join(full, "id", "left").where("m > 2").join(vectors, "id")
-    rows = rows.withColumn("need", F.coalesce("full", F.lit(False)) | (F.col("m") <= SQUARE)).withColumn("n", F.ceil(F.col("m") / SQUARE).cast("int"))
-    rows = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    keep = ["need", "w", "vec"]
-    one = rows.where("n = 1").select("component", F.lit(0).alias("x"), F.lit(0).alias("y"), "id", F.lit(2).alias("side"), *keep)
-    many = rows.where("n > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    left = many.where("need").select("component", F.col("blk").alias("x"), F.col("o").alias("y"), "id", F.lit(0).alias("side"), *keep)
-    right = many.select("component", F.col("o").alias("x"), F.col("blk").alias("y"), "id", F.lit(1).alias("side"), *keep)
-    rows = one.unionByName(left).unionByName(right).repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")
-    return rows.mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
-
-
-def _audit(vectors: DataFrame, counted: DataFrame, kind: str) -> float:
-    """The share of the true links of AUDIT vectors, compared with all, that counted has."""
-    asked = [(r.id, bytes(r.vec)) for r in vectors.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(AUDIT).select("id", "vec").collect()]
-    if not asked:
-        return 1.0
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(asked), np.int64)
-        size = np.array([len(v) for _, v in asked])
-        for batch in batches:
-            raw, w, ids = batch.column(2).to_pylist(), batch.column(1).to_numpy(), batch.column(0).to_numpy()
-            for at in _by_length(raw):
-                q = np.flatnonzero(size == len(raw[at[0]]))
-                if len(q):
-                    linked = _unit([asked[i][1] for i in q], kind) @ _unit([raw[i] for i in at], kind).T >= THRESHOLD
-                    linked &= np.array([asked[i][0] for i in q])[:, None] != ids[at][None, :]
-                    total[q] += linked @ w[at]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in asked], pa.int64()), pa.array(total)], names=["id", "truth"])
-
-    truth = vectors.select("id", "w", "vec").mapInArrow(run, "id long, truth long").groupBy("id").agg(F.sum("truth").alias("truth"))
-    got = truth.join(counted, "id", "left").agg(F.sum("truth").alias("t"), F.sum(F.least("truth", F.coalesce("links", F.lit(0)))).alias("g")).first()
-    return got.g / got.t if got.t else 1.0
+    return edges
+
+
+def _sweep(vectors: DataFrame, comps: DataFrame, n: int, kind: str) -> tuple[DataFrame, DataFrame]:
+    """((id, links): the weight of each class's links with all others, 0 left out; (a, b): links that join two components of comps)."""
+    spark = vectors.sparkSession
+    few = comps.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = vectors.join(F.broadcast(comps) if few else comps, vectors["id"] == comps["node"], "left").select("id", F.coalesce("component", "id").alias("c"), "w", "vec")
+    parts = max(2 * spark.sparkContext.defaultParallelism, n // 100_000)
+    rows = stored(rows.repartition(parts, F.xxhash64("id")), "sweep")
+
+    def block(held: list[tuple[int, int, int, bytes]]) -> DataFrame:
+        shipped = spark.sparkContext.broadcast(held)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            raw_r = [bytes(r[3]) for r in shipped.value]
+            ids_r, c_r, w_r = (np.array([r[i] for r in shipped.value], np.int64) for i in range(3))
+            sides = {len(raw_r[at[0]]): (at, _unit([raw_r[i] for i in at], kind)) for at in _by_length(raw_r)}
+            top: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while (up := top.get(c, c)) != c:
+                    top[c] = c = top.get(up, up)
+                return c
+
+            for batch in batches:
+                ids, c, w = (batch.column(i).to_numpy() for i in range(3))
+                raw = batch.column(3).to_pylist()
+                total, joined = np.zeros(len(ids), np.int64), []
+                for at in _by_length(raw):
+                    right, y = sides.get(len(raw[at[0]]), (at[:0], None))
+                    x = _unit([raw[i] for i in at], kind)
+                    for i in range(0, len(at), TILE[0]):
+                        for j in range(0, len(right), TILE[1]):
+                            linked = x[i : i + TILE[0]] @ y[j : j + TILE[1]].T >= THRESHOLD
+                            some = np.flatnonzero(linked.any(1))
+                            if not len(some):
+                                continue
+                            l, r, linked = at[i : i + TILE[0]][some], right[j : j + TILE[1]], linked[some]
+                            linked &= ids[l][:, None] != ids_r[r][None, :]
+                            total[l] += linked @ w_r[r]
+                            p, q = np.nonzero(linked & (c[l][:, None] != c_r[r][None, :]))
+                            if not len(p):
+                                continue
+                            _, first = np.unique(np.stack([c[l][p], c_r[r][q]], 1), axis=0, return_index=True)
+                            for p, q in zip(l[p[first]].tolist(), r[q[first]].tolist()):
+                                u, v = find(int(c[p])), find(int(c_r[q]))
+                                if u != v:
+                                    top[max(u, v)] = min(u, v)
+                                    joined.append((int(ids[p]), int(ids_r[q])))
+                some = np.flatnonzero(total)
+                a = np.concatenate([ids[some], np.array([p for p, _ in joined], np.int64)])
+                b = pa.array([None] * len(some) + [q for _, q in joined], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(np.append(total[some], np.zeros(len(joined), np.int64)))], names=["a", "b", "links"])
+
+        found = stored(rows.mapInArrow(run, "a long, b long, links long"), "swept")
+        shipped.unpersist()
+        return found
+
+    found, held, size = None, [], 0
+    for r in rows.toLocalIterator():
+        held.append((r.id, r.c, r.w, r.vec))
+        size += len(r.vec) + 32
+        if size >= BLOCK_BYTES:
+            part, held, size = block(held), [], 0
+            found = part if found is None else found.unionByName(part)
+    if held or found is None:
+        part = block(held)
+        found = part if found is None else found.unionByName(part)
+    drop_stored(rows)
+    return found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links")), found.where("b is not null").select("a", "b")
 
 
 def link(embeddings: DataFrame) -> DataFrame:
@@ -234,19 +244,12 @@ def link(embeddings: DataFrame) -> DataFrame:
 
     vectors = stored(classes.select("id", "w", "embedding").mapInArrow(pack, "id long, w long, vec binary"), "vectors")
     n, k = vectors.count(), K
-    lists, edges = _refine(vectors, _forest(vectors, n, k, kind), None, k, n, kind)
-    while True:
-        edges = stored(edges.select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct(), "edges")
-        comps = components(edges)
-        ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        seen = ends.join(vectors.select(F.col("id").alias("b"), "w"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("links"))
-        inside = _count_inside(vectors, comps, lists, k, kind).withColumnRenamed("links", "inside")
-        counted = stored(seen.join(inside, "id", "full").select("id", F.coalesce("inside", "links").alias("links")), "counted")
-        if k >= 8 * K or _audit(vectors, counted, kind) >= RECALL:
-            break
-        k *= 2
-        lists, more = _refine(vectors, _forest(vectors, n, k, kind), lists, k, n, kind)
-        edges = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(more)
+    edges = _refine(vectors, _forest(vectors, n, k, kind), k, n, kind)
+    edges = stored(edges.select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct(), "edges")
+    comps = components(edges)
+    counted, more = _sweep(vectors, comps, n, kind)
+    if more.limit(1).count():
+        comps = components(edges.unionByName(more))
     result = vectors.select("id", "w").join(counted, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left")
     result = stored(result.select("id", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "result")
     many = classes.where("w > 1").select("embedding", F.col("id").alias("rep"))
