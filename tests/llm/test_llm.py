@@ -189,6 +189,39 @@ def test_decontam(spark):
     assert decontam.find(frame(spark, rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_masks_lose_no_overlap():
+    from itertools import combinations
+
+    from quire.llm import decontam
+
+    def places(masks, n):
+        return [sum(1 << i + k for k, c in enumerate(m) if c == "1") for m in masks for i in range(n - len(m) + 1)]
+
+    for n, wrong, inside in [(13, 2, 0), (15, 3, 0), (20, 4, 0), (25, 5, 0), *((n, n // 5, 1) for n in range(decontam.SHORTEST, 13))]:
+        assert wrong == int(n * (1 - decontam.SHARE) + 1e-9)
+        seeds = places(decontam.masks(n), n)
+        for off in combinations(range(inside, n - inside), wrong):
+            assert any(not s & sum(1 << k for k in off) for s in seeds), (n, off)
+
+
+def test_decontam_finds_every_overlap(spark):
+    from itertools import combinations
+
+    from quire.llm import decontam
+
+    items, rows, want = [], [], set()
+    for n in (6, 9, 10, 11, 12, 13, 15):
+        own = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(own)))
+        for k, off in enumerate(combinations(range(1, n - 1), n // 5)):
+            text = ["q"] * (k % 3) + [w if j not in off else "z" for j, w in enumerate(own)] + ["q"] * (k % 2)
+            rows.append((n * 1000 + k, " ".join(text)))
+            want.add((n * 1000 + k, n, k % 3, k % 3 + n, n - len(off)))
+        rows.append((n * 1000 + 999, " ".join(own[: n - n // 5 - 1])))
+    found = decontam.find(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {tuple(r) for r in found.collect()} == want
+
+
 def brute_jaccard(rows, width, num, den):
     sets = [(i, sets_of(t, width)) for i, t in rows]
     pairs = [(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[:k] if a is not None and b is not None and x and y and den * len(x & y) >= num * len(x | y)]
