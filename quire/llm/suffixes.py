@@ -92,7 +92,13 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
         if len(p):
             cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (text[1:] != text[:-1]) | (p[1:] != p[:-1] + 1)]))
             out.append(np.stack([a[cut], p[cut], p[np.append(cut[1:], len(p)) - 1], text[cut]], 1))
-    return np.concatenate(out) if out else np.empty((0, 4), np.int64)
+    if not out:
+        return np.empty((0, 4), np.int64)
+    runs = np.concatenate(out)
+    # A run that a segment's end has cut is one run, or its cells would repeat themselves.
+    first = np.append(True, (runs[1:, 0] != runs[:-1, 0]) | (runs[1:, 3] != runs[:-1, 3]) | (runs[1:, 1] != runs[:-1, 2] + 1))
+    last = np.append(first[1:], True)
+    return np.stack([runs[first, 0], runs[first, 1], runs[last, 2], runs[first, 3]], 1)
 
 
 def cells(data: np.ndarray, at: np.ndarray, runs: np.ndarray, size: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -168,6 +168,26 @@ def test_suffixes(spark):
     assert suffixes.remove(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_suffixes_across_segments(spark, monkeypatch):
+    from quire.llm import suffixes
+
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(3000)) for _ in range(4)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(9, texts[0][700:1900] + texts[1][::-1])]
+    data, at = np.frombuffer(texts[0].encode(), np.uint8), np.array([0, 3000])
+    whole = suffixes.anchors(data, at, 400)
+    for size in (500, 777):
+        monkeypatch.setattr(suffixes, "SEGMENT", size)
+        assert suffixes.anchors(data, at, 400).tolist() == whole.tolist()
+
+    def split(d, a, length, anchors=suffixes.anchors):
+        suffixes.SEGMENT = 500
+        return anchors(d, a, length)
+
+    monkeypatch.setattr(suffixes, "anchors", split)
+    assert sorted(map(tuple, suffixes.remove(frame(spark, rows)).collect()), key=str) == brute_suffixes(rows, 400)
+
+
 def test_decontam(spark):
     from quire.llm import decontam
 
