@@ -1,36 +1,41 @@
 """Main text of web pages by wrapper induction.
 
-Each page becomes a DOM tree and is aligned with a reference page of its host by simple tree matching: two nodes match
-if their tags and classes agree, and their children are paired in order so that the most nodes match. A reference
-node whose aligned text is the same on nearly all the host's pages is constant, that is template; the other slots vary
-and are content, unless they stand in a part that pages use for something else (navigation, header, footer, sidebar,
-advert, notice, form, comments), told by tag, role, class or id.
+Each page becomes a DOM tree. A slot is a text leaf's place and text: the labels (tag and class, id, role) from the root
+down to it, its text, and its number among the page's leaves that agree in both. A slot that stands on nearly all the
+host's pages is constant, that is template; the others vary and are content, unless they stand in a part that pages use
+for something else (navigation, header, footer, sidebar, advert, notice, form, comments), told by tag, role, class or id.
 
-The reference is the page of the host with the smallest hash; every page of the host is aligned and counted. The
-counts are summed before they are shuffled, so a host with a third of all pages is no larger a task than others; pages
-themselves are never grouped.
+No page is a reference: slots are counted over all pages of the host. Aligning trees pairs nodes of one label only, so
+two leaves that any alignment pairs and finds the same have the same labels above them and the same text; whatever an
+alignment with a reference finds constant is counted here too, and pages of any length follow the same rule.
+
+Most slots stand on one page, so they are not all shuffled. A slot that stands on SHARE of a host's pages does so in at
+least one part of any division of the pages; tasks mark those of parts of PART pages, and only marked slots are
+counted, over all pages. Counts are summed before they are shuffled, so a host with a third of all pages is no larger a
+task than others; pages themselves are never grouped.
 
 Cases: a null or empty html, or one without content, gives an empty text; markup that ends early or isn't closed is
-read as far as it goes; a null url is a host of its own; repeated rows are extracted each; of pages with the same hash
-any is the reference, as they are equal; an empty table gives no rows; further columns are ignored. A host with fewer
+read as far as it goes; a null url is a host of its own; repeated rows are extracted and counted each; an empty table
+gives no rows; further columns are ignored. A host with fewer
 than FEW pages has no template, only the parts told by name are left out.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import stored
+from quire.llm.shared import only_ids, stored
 
 FEW, SHARE = 4, 0.8  # pages a host needs for a template; share of them on which a template node's text is the same
-CELLS = 4096  # pairs of children up to which they are paired by dynamic programming; longer lists pair equal ends, then in order
-BROADCAST_CHARS = 32 << 20
+PART = 2048
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -51,14 +56,13 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("children", "label", "leaf", "mark", "off", "tag", "text")
+    __slots__ = ("children", "label", "off", "path", "tag", "text")
 
-    def __init__(self, tag: str, label: str, off: bool):
+    def __init__(self, tag: str, label: str, off: bool, path: bytes = b""):
         self.tag, self.label, self.off = tag, label, off
+        self.path = hashlib.blake2b(path + label.encode(errors="replace"), digest_size=8).digest()  # of the labels down to here
         self.children: list[Node] = []
         self.text = ""
-        self.leaf = -1
-        self.mark = 0
 
 
 def _off(tag: str, rest: str, inside: str) -> tuple[str, bool]:
@@ -79,8 +83,8 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         text.clear()
         if joined:
             top = stack[-1]
-            leaf = Node("#", "#", top.off)
-            leaf.text, leaf.leaf = joined, len(leaves)
+            leaf = Node("#", "#", top.off, top.path)
+            leaf.text = joined
             top.children.append(leaf)
             leaves.append(leaf)
 
@@ -116,7 +120,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             if stack[k].tag in ("ul", "ol", "dl", "table", "select", "div", "article", "section", "body"):
                 break
         label, off = _off(tag, m[3], next((n.tag for n in reversed(stack) if n.tag in ("article", "main")), ""))
-        node = Node(tag, label, off or stack[-1].off)
+        node = Node(tag, label, off or stack[-1].off, stack[-1].path)
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at) if not m[3].endswith("/") else None
@@ -124,117 +128,54 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
     flush()
-    _mark(root)
     return root, leaves
 
 
-def _mark(n: Node) -> int:
-    n.mark = hash((n.label, n.text, tuple(_mark(c) for c in n.children)))
-    return n.mark
-
-
-def match(a: Node, b: Node, memo: dict[tuple[int, int], float]) -> float:
-    """How many nodes of the two trees simple tree matching pairs."""
-    if a.label != b.label:
-        return 0
-    key = (id(a), id(b))
-    if key not in memo:
-        memo[key] = 1 + sum(match(x, y, memo) for x, y in pairs(a.children, b.children, memo))
-    return memo[key]
-
-
-def pairs(left: list[Node], right: list[Node], memo: dict) -> list[tuple[Node, Node]]:
-    """The pairing of two lists of children, in order, that matches the most nodes."""
-    out, n = [], min(len(left), len(right))
-    head = 0
-    while head < n and left[head].mark == right[head].mark:
-        head += 1
-    tail = 0
-    while tail < n - head and left[-1 - tail].mark == right[-1 - tail].mark:
-        tail += 1
-    out += zip(left[:head], right[:head])
-    ends = list(zip(left[len(left) - tail :], right[len(right) - tail :]))
-    left, right = left[head : len(left) - tail], right[head : len(right) - tail]
-    if len(left) * len(right) > CELLS:
-        k = 0
-        for x in left:
-            j = next((j for j in range(k, len(right)) if right[j].label == x.label), None)
-            if j is not None:
-                out.append((x, right[j]))
-                k = j + 1
-    elif left and right:
-        best = [[0.0] * (len(right) + 1) for _ in range(len(left) + 1)]
-        gain = [[match(x, y, memo) for y in right] for x in left]
-        for i in range(len(left)):
-            for j in range(len(right)):
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + gain[i][j] if gain[i][j] else 0)
-        i, j, back = len(left), len(right), []
-        while i and j:
-            if gain[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + gain[i - 1][j - 1]:
-                back.append((left[i - 1], right[j - 1]))
-                i, j = i - 1, j - 1
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        out += reversed(back)
-    return out + ends
-
-
-def align(page: Node, reference: Node) -> dict[int, tuple[int, bool]]:
-    """For each text leaf of page that has a partner: the partner's number and whether its text is the same."""
-    memo: dict[tuple[int, int], float] = {}
-    out, todo = {}, [(page, reference)]
-    while todo:
-        a, b = todo.pop()
-        if a.leaf >= 0 and b.leaf >= 0:
-            out[a.leaf] = b.leaf, a.text == b.text
-        todo += [(x, y) for x, y in pairs(a.children, b.children, memo) if x.label == y.label]
+def slots(leaves: list[Node]) -> list[int]:
+    """The slot of each leaf, as 64 bits of its labels, text and number."""
+    seen: Counter[tuple[bytes, str]] = Counter()
+    out = []
+    for x in leaves:
+        key = x.path, x.text
+        seen[key] += 1
+        out.append(int.from_bytes(hashlib.blake2b(b"%s %d %s" % (x.path, seen[key], x.text.encode(errors="replace")), digest_size=8).digest(), "little", signed=True))
     return out
 
 
 def _blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, slots): the content blocks of each page with their reference leaf and whether it is the same."""
-    kind = pa.list_(pa.struct([("ref", pa.int32()), ("same", pa.bool_()), ("text", pa.string())]))
+    """(page_id, url, host, slots): the content blocks of each page, marked if SHARE of the host's pages in this part have them."""
+    kind = pa.list_(pa.struct([("slot", pa.int64()), ("often", pa.bool_()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[str, Node] = {}
         for batch in batches:
-            for i in range(0, len(batch), 128):
-                part, slots = batch.slice(i, 128), []
-                for page, reference in zip(part.column(3).to_pylist(), part.column(4).to_pylist()):
-                    tree, leaves = parse(page or "")
-                    partner = {}
-                    if reference is not None and any(not x.off for x in leaves):
-                        if reference not in trees:
-                            if len(trees) > 200:
-                                trees.clear()
-                            trees[reference] = parse(reference)[0]
-                        partner = align(tree, trees[reference])
-                    slots.append([{"ref": (p := partner.get(x.leaf, (-1, False)))[0], "same": p[1], "text": x.text} for x in leaves if not x.off])
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(slots, kind)], names=["page_id", "url", "host", "slots"])
-
-    return pages.mapInArrow(run, "page_id long, url string, host string, slots array<struct<ref: int, same: boolean, text: string>>")
+            for i in range(0, len(batch), PART):
+                part = batch.slice(i, PART)
+                pages, times, blocks = Counter(), Counter(), []
+                for host, page in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    leaves = [x for x in parse(page or "")[1] if not x.off]
+                    own = slots(leaves)
+                    blocks.append((host, own, [x.text for x in leaves]))
+                    pages[host] += bool(page)
+                    times.update((host, s) for s in own)
+                marked = [[{"slot": s, "often": times[host, s] >= SHARE * pages[host], "text": t} for s, t in zip(own, texts)] for host, own, texts in blocks]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(marked, kind)], names=["page_id", "url", "host", "slots"])
+
+    return pages.mapInArrow(run, "page_id long, url string, host string, slots array<struct<slot: long, often: boolean, text: string>>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host)
-    rows = rows.withColumn("pick", F.xxhash64("html"))
-    hosts = rows.where(F.length("html") > 0).groupBy("host").agg(F.min("pick").alias("pick"), F.count("*").alias("pages"))
+    hosts = rows.where(F.length("html") > 0).groupBy("host").agg(F.count("*").alias("pages"))
     hosts = stored(hosts.where(F.col("pages") >= FEW), "hosts")
-    small = hosts.limit(100_001).count() <= 100_000
-    picked = rows.join(F.broadcast(hosts) if small else hosts, ["host", "pick"]).select("host", F.col("html").alias("reference")).dropDuplicates(["host"])
-    picked = stored(picked, "references")
-    light = (picked.agg(F.sum(F.length("reference"))).first()[0] or 0) <= BROADCAST_CHARS
-    joined = rows.join(F.broadcast(picked) if light else picked, "host", "left").select("page_id", "url", "host", "html", "reference")
-    blocks = stored(_blocks(joined), "blocks")
-    same = blocks.select("host", F.explode(F.array_distinct(F.expr("transform(filter(slots, s -> s.same), s -> s.ref)"))).alias("ref"))
-    votes = same.groupBy("host", "ref").agg(F.count("*").alias("votes"))
-    template = votes.join(hosts, "host").where(F.col("votes") >= SHARE * F.col("pages")).groupBy("host").agg(F.collect_set("ref").alias("template"))
+    blocks = stored(_blocks(rows.select("page_id", "url", "host", "html")), "blocks")
+    slot = blocks.select("host", F.explode(F.expr("transform(filter(slots, s -> s.often), s -> s.slot)")).alias("slot")).distinct()
+    slot = stored(only_ids(slot, hosts.select("host"), "host"), "slots")
+    votes = only_ids(blocks.select("host", F.explode("slots.slot").alias("slot")), slot, ["host", "slot"]).groupBy("host", "slot").agg(F.count("*").alias("votes"))
+    template = votes.join(hosts, "host").where(F.col("votes") >= SHARE * F.col("pages")).groupBy("host").agg(F.collect_set("slot").alias("template"))
     template = stored(template, "template")
     few = template.limit(100_001).count() <= 100_000
     out = blocks.join(F.broadcast(template) if few else template, "host", "left")
-    kept = F.expr("transform(filter(slots, s -> template is null or not (s.same and array_contains(template, s.ref))), s -> s.text)")
+    kept = F.expr("transform(filter(slots, s -> template is null or not array_contains(template, s.slot)), s -> s.text)")
     return out.select("page_id", "url", F.coalesce(F.array_join(kept, "\n"), F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))

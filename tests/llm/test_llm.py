@@ -136,6 +136,27 @@ def test_wrapper(spark):
     assert wrapper.extract(df.limit(0)).count() == 0
 
 
+def test_wrapper_needs_no_reference(spark):
+    from quire.llm import wrapper
+
+    def page(k, n):
+        body = "".join(f"<p>paragraph {j} of {k}</p>" for j in range(n))
+        return f"<html><body><div>Made by the works</div><article><h1>Title {k}</h1>{body}<p>Printed with care</p><p>* * *</p><p>* * *</p></article></body></html>"
+
+    texts = {k: page(k, 1 + k % 3) for k in range(20)} | {k: f"<html><body><h1>Error {k}</h1></body></html>" for k in range(20, 24)}
+    df = spark.createDataFrame([(k, "http://h.example/p", t) for k, t in texts.items()], "page_id long, url string, html string")
+    want = {k: "\n".join([f"Title {k}", *(f"paragraph {j} of {k}" for j in range(1 + k % 3))]) if k < 20 else f"Error {k}" for k in texts}
+    first = df.orderBy(F.xxhash64("html")).first().page_id
+    if first < 20:  # the error page has the smallest hash
+        for k in range(1000):
+            odd = f"<html><body><h1>Error {k}</h1></body></html>"
+            new = spark.createDataFrame([(23, "http://h.example/p", odd)], df.schema)
+            df, want[23] = df.where("page_id <> 23").unionByName(new), f"Error {k}"
+            if df.orderBy(F.xxhash64("html")).first().page_id >= 20:
+                break
+    assert {r.page_id: r.text for r in wrapper.extract(df).collect()} == want
+
+
 def brute_suffixes(rows, length):
     texts = [(i, (t or "").encode()) for i, t in rows]
     seen = collections.Counter(t[p : p + length] for _, t in texts for p in range(len(t) - length + 1))
