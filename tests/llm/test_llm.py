@@ -157,6 +157,18 @@ def test_wrapper_needs_no_reference(spark):
     assert {r.page_id: r.text for r in wrapper.extract(df).collect()} == want
 
 
+def test_wrapper_long_pages(spark):
+    from quire.llm import wrapper
+
+    def page(k):
+        body = "".join(f"<p>paragraph {j} of {k}</p>" for j in range(70 + 3 * k))
+        return f"<html><body><article><h1>Title {k}</h1>{body}<p>Printed with care</p><p>tail {k}</p></article></body></html>"
+
+    df = spark.createDataFrame([(k, "http://h.example/p", page(k)) for k in range(8)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.extract(df).collect()}
+    assert got == {k: "\n".join([f"Title {k}", *(f"paragraph {j} of {k}" for j in range(70 + 3 * k)), f"tail {k}"]) for k in range(8)}
+
+
 def brute_suffixes(rows, length):
     texts = [(i, (t or "").encode()) for i, t in rows]
     seen = collections.Counter(t[p : p + length] for _, t in texts for p in range(len(t) - length + 1))
