@@ -43,6 +43,8 @@ CONTEXT = re.compile(
     rb"[\"']?(?:\x20*(?:[:=]|=>|->)\x20*|\x20+(?:is|was)\x20+)[\"'`]?([^\s\"'`<>,;]{8,})", re.I
 )
 
+SAID = re.compile(rb"\x20(?:is|was)\x20", re.I)  # with : = and ->, what CONTEXT can't do without
+
 #: Words that guessers try first, most common first.
 WORDS = (
     "password 123456 qwerty admin welcome login letmein dragon monkey master shadow sunshine princess football baseball secret token changeme "
@@ -82,6 +84,7 @@ def guess_cost(value: str) -> float:
         walk[i] = walk[i - 1] + 1 if near else 0
         turned = near and i > 1 and walk[i - 1] and ord(low[i]) - ord(low[i - 1]) != ord(low[i - 1]) - ord(low[i - 2])
         turns[i] = turns[i - 1] + bool(turned) if near else 0
+    period = [0] * (REACH + 1)  # how many characters up to here equal the one a unit before
     more = math.log10(2)  # a further segment doubles the orders to try
     for j in range(1, n + 1):
         b = best[j - 1] + single[j - 1]  # brute force, joined to what stands before
@@ -99,14 +102,12 @@ def guess_cost(value: str) -> float:
                 cost = min(cost or 99, math.log10(365 * 120))
             if cost is not None:
                 b = min(b, best[i] + cost + more)
-        for unit in range(1, min(REACH, j // 2) + 1):  # repeats of a unit that end here
-            times = 1
-            while j - (times + 1) * unit >= 0 and value[j - (times + 1) * unit : j - times * unit] == value[j - unit : j]:
-                times += 1
-                if times >= 3 or unit * times >= 6:
+        for unit in range(1, min(REACH, j - 1) + 1):  # repeats of a unit that end here
+            period[unit] = period[unit] + 1 if value[j - 1] == value[j - 1 - unit] else 0
+            longest = period[unit] // unit + 1
+            for times in (*range(2, min(longest, 4 * REACH) + 1), longest):  # of very many the whole run
+                if times >= 3 or times > 1 and unit * times >= 6:
                     b = min(b, best[j - times * unit] + sum(single[j - unit : j]) + math.log10(times) + more)
-                if times > 4 * REACH:
-                    break
         best[j] = b
     return best[n]
 
@@ -143,7 +144,7 @@ def spans(data: np.ndarray, at: np.ndarray) -> list[list[tuple[int, int, int]]]:
         named = b":" in text or b"=" in text
         if named:
             found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= VALUE_RUN]
-        if named or b" is " in text or b" was " in text or b"->" in text:
+        if named or b"->" in text or SAID.search(text):
             base = list(found)
             for m in CONTEXT.finditer(text):
                 if any(x < m.end(1) and m.start(1) < y for x, _, y in base):

@@ -347,6 +347,17 @@ def test_guess_cost():
     assert guess_cost("") == 0
 
 
+def test_guess_context_ignores_case_and_repeats_have_no_bound():
+    from quire.llm.secrets import guess_cost, spans
+
+    for said in (" is ", " IS ", " Was ", " was "):
+        for tail in ("", " a: b"):
+            text = ("My PASSWORD" + said + "8f3kQ9zLx0Vb2Rm7 now" + tail).encode()
+            assert [k for _, k, _ in spans(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]] == [3], (said, tail)
+    for mask in ("*" * 2000, "xY" * 1000):
+        assert guess_cost(mask) < 9
+
+
 def test_mixing(spark):
     from quire.llm import mixing
 
