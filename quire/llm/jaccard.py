@@ -260,7 +260,7 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Data
     )
     lists = stored(lists, "lists")
     in_lists = stored(lists.select("doc").distinct(), "listed")
-    known = stored(only_ids(chosen.select(F.col("doc_id").alias("doc"), "n", "sketch"), in_lists, "doc").dropDuplicates(["doc"]), "members")
+    known = stored(only_ids(chosen.select(F.col("doc_id").alias("doc"), "n", "sketch"), in_lists, "doc").dropDuplicates(["doc", "n", "sketch"]), "members")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     comps = None
@@ -291,7 +291,7 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Data
         found = fresh.agg(F.count("*").alias("n"), F.count_if("ok").alias("good")).first()
         if comps is not None:
             drop_stored(member)
-        if not found.n:
+        if not found.n and comps is not None:  # not after the first scan, which leaves the squares off the diagonal out
             drop_stored(fresh)
             break
         tested = fresh if tested is None else tested.union(fresh)

@@ -304,6 +304,17 @@ def test_jaccard(spark, width, num):
     assert got == brute_jaccard(rows, width, num, 100)
 
 
+def test_jaccard_off_the_diagonal(spark, monkeypatch):
+    from quire.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "SQUARE", 1)
+    left = "a b c d e f g h i j k l m n o p q r s t u v w x y z a1 b1 c1 d1 e1 f1 g1 h1 i1 j1 k1 l1 m1 n1"
+    for k in range(1):  # a pair in one list, whose squares on the diagonal may hold one of the two each
+        rows = [(10 * k + 1, left), (10 * k + 2, left + " o1"), (99, "of another kind")]
+        got = sorted(map(tuple, jaccard.join(frame(spark, rows), 3, 90, 100).collect()), key=str)
+        assert got == brute_jaccard(rows, 3, 90, 100)
+
+
 def test_keep_one(spark):
     from quire.llm import jaccard
 
