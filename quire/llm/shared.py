@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 250_000
 
 
+#: A key with more rows than HOT_ROWS, and than the HOT_KEYS-th part of all, is hot: so there are HOT_KEYS hot keys at most.
+HOT_ROWS, HOT_KEYS = 1000, 20_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; one under /tmp only where none is set."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Unset, it is one of this machine's where driver and tasks are one process; on a cluster that would lose data, so it raises.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file:///tmp/checkpoints/quire"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.gettempdir()}/checkpoints/quire"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -51,23 +61,28 @@ def only_ids(df: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, on, "left_semi")
 
 
-def with_lists(df: DataFrame, lists: DataFrame, key: str, values: str, outer: bool = False) -> DataFrame:
-    """df joined to lists (key, values), values being an array; outer keeps df's other rows, with a null array.
+def hot_keys(rows: DataFrame, on: str) -> list:
+    """The keys of rows, null left out, that are so common that a shuffle by them would be uneven: HOT_KEYS at most."""
+    counts = rows.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("__times"))
+    return [r[0] for r in counts.where(F.col("__times") > max(HOT_ROWS, rows.count() // HOT_KEYS)).select(on).collect()]
+
+
+def spread_join(rows: DataFrame, table: DataFrame, on: str, how: str = "inner", hot: list | None = None) -> DataFrame:
+    """rows joined (inner, left or left_semi) to table, which has one row a key, without one key's rows meeting in a task.
 
-    Rows without a list are told apart first, by their keys alone, so that of a long table only those with one are
-    shuffled; lists are broadcast only if they hold BROADCAST_ROWS values at most.
+    Rows of hot keys stay where they are and meet the table's rows of those keys, HOT_KEYS at most, by broadcast;
+    all others are shuffled, whatever their number. rows are read twice, and once more to find the hot keys if not given.
     """
-    keys = lists.select(key)
-    size = lists.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(values)), F.lit(0)).alias("total")).first()
-    if size.n <= BROADCAST_ROWS and size.total <= BROADCAST_ROWS:
-        return df.join(F.broadcast(lists), key, "left" if outer else "inner")
-    if size.n > BROADCAST_ROWS:
-        return df.join(lists, key, "left" if outer else "inner")
-    found = df.join(F.broadcast(keys), key, "left_semi").join(lists, key)
-    if not outer:
-        return found
-    rest = df.join(F.broadcast(keys), key, "left_anti").withColumn(values, F.lit(None).cast(lists.schema[values].dataType))
-    return found.unionByName(rest)
+    hot = hot_keys(rows, on) if hot is None else hot
+    nulls = rows.where(F.col(on).isNull()) if how == "left" else None  # else they would meet in one task
+    rows = rows.where(F.col(on).isNotNull()) if how == "left" else rows
+    if hot:
+        keys = rows.sparkSession.createDataFrame([(k,) for k in hot], f"`{on}` {rows.schema[on].dataType.simpleString()}")
+        few = table.join(F.broadcast(keys), on, "left_semi")
+        out = rows.join(F.broadcast(keys), on, "left_anti").join(table, on, how).unionByName(rows.join(F.broadcast(keys), on, "left_semi").join(F.broadcast(few), on, how))
+    else:
+        out = rows.join(table, on, how)
+    return out.unionByName(nulls, allowMissingColumns=True) if nulls is not None else out
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -85,18 +100,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .distinct(),
         "edges",
     )
+    hubs = hot_keys(both, "other")
     labels = stored(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")), "labels")
     while True:
         near = (
-            both.join(labels.select(F.col("node").alias("other"), F.col("component").alias("c")), "other")
+            spread_join(both, labels.select(F.col("node").alias("other"), F.col("component").alias("c")), "other", hot=hubs)
             .groupBy("node")
             .agg(F.min("c").alias("c"))
         )
-        lower = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "c").alias("component"))
+        lower = stored(labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "c").alias("component")), "lower")
         up = lower.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        jumped = lower.join(up, "component", "left").select("node", "old", F.least("component", "top").alias("component"))
+        jumped = spread_join(lower, up, "component", "left").select("node", "old", F.least("component", "top").alias("component"))
         after = stored(jumped, "labels")
         drop_stored(labels)
+        drop_stored(lower)
         moved = after.where(F.col("old") != F.col("component")).limit(1).count()
         labels = after.select("node", "component")
         if not moved:

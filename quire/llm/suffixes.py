@@ -28,13 +28,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import BROADCAST_ROWS, drop_stored, only_ids, stored, with_lists
+from quire.llm.shared import HOT_KEYS, HOT_ROWS, drop_stored, hot_keys, spread_join, stored
 from quire.llm.words import buffers, mixed, pieces, powers
 
 LENGTH, GRAM = 400, 17  # LENGTH - GRAM + 1 = 384 offsets
@@ -165,44 +166,63 @@ def _next_round(texts: DataFrame, size: int, length: int) -> DataFrame:
     return texts.mapInArrow(run, ROW)
 
 
-def _repeated(rows: DataFrame, column: str) -> DataFrame:
-    return rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("times")).where("times > 1").select(column)
+def _repeated(rows: DataFrame, column: str) -> tuple[DataFrame, list]:
+    """(values of column that more than one row has, those of them that are hot)."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("times")).where("times > 1")
+    counts = stored(counts, f"{column}s")
+    hot = counts.where(F.col("times") > max(HOT_ROWS, rows.count() // HOT_KEYS)).select(column).collect()
+    return counts.select(column), [r[0] for r in hot]
 
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, starts array<struct<lo, hi>>): runs of repeated windows' starts by text, key being xxhash64(text)."""
+def repeats(docs: DataFrame, length: int = LENGTH, hot: list | None = None) -> DataFrame:
+    """(key, starts array<struct<lo, hi>>): runs of repeated windows' starts by text, key being xxhash64(text).
+
+    Rows are told apart by shuffles whatever their number, so disk and time grow in proportion; hot holds the keys of
+    texts that very many rows have.
+    """
     texts = docs.select(F.xxhash64(F.col("text")).alias("key"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= length)
-    found = None
+    hot = hot_keys(texts, "key") if hot is None else hot
+    found = []
     rows = stored(_first_round(texts, length), "cells")
     for k, size in enumerate(CELLS):
-        cores = stored(_repeated(rows, "core"), "cores")
-        live = stored(only_ids(rows, cores, "core"), "live")
+        cores, common = _repeated(rows, "core")
+        live = stored(spread_join(rows, cores, "core", "left_semi", common), "live")
         drop_stored(rows)
-        spans = stored(_repeated(live, "span").withColumn("whole", F.lit(True)), "spans")
-        few = spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        judged = live.join(F.broadcast(spans) if few else spans, "span", "left")
-        done = stored(judged.where("whole").select("key", "lo", "hi").distinct(), "repeats")
-        found = done if found is None else found.unionByName(done)
+        drop_stored(cores)
+        spans, common = _repeated(live, "span")
+        judged = spread_join(live, spans.withColumn("whole", F.lit(True)), "span", "left", common)
+        judged = stored(judged.select("key", "a", "lo", "hi", "core", "span", "whole"), "judged")
+        drop_stored(live)
+        drop_stored(spans)
+        found.append(stored(judged.where("whole").select("key", "lo", "hi").distinct(), "repeats"))
         if size == 1:
+            drop_stored(judged)
             break
         rest = stored(judged.where("whole is null").select("core", "key", "a", "lo", "hi").distinct(), "rest")
         # A cell that is repeated as a whole stays a witness for those that share only its common string: one cell of each string.
         first = F.floor((F.col("w.a") - F.col("w.hi")) / size).cast("int") * size
-        witness = only_ids(judged.where("whole").groupBy("core", "span").agg(F.min(F.struct("key", "a", "lo", "hi")).alias("w")), rest.select("core").distinct(), "core")
+        witness = judged.where("whole").groupBy("core", "span").agg(F.min(F.struct("key", "a", "lo", "hi")).alias("w"))
+        witness = witness.join(rest.select("core").distinct(), "core", "left_semi")
         witness = witness.select("w.key", "w.a", (F.col("w.a") - first - (size - 1)).alias("lo"), (F.col("w.a") - first).alias("hi"))
         open_ = rest.select("key", "a", "lo", "hi").unionByName(witness).distinct().groupBy("key").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("open"))
         open_ = stored(open_, "open")
-        again = with_lists(texts, open_, "key", "open").select("key", "text", "open")
+        drop_stored(judged)
+        drop_stored(rest)
+        again = spread_join(texts, open_, "key", hot=hot).select("key", "text", "open")
         rows = stored(_next_round(again, CELLS[k + 1], length), "cells")
-        drop_stored(live)
-    return found.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
+        drop_stored(open_)
+    starts = reduce(DataFrame.unionByName, found).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
+    starts = stored(starts, "starts")
+    for t in found:
+        drop_stored(t)
+    return starts
 
 
 def remove(docs: DataFrame, length: int = LENGTH, text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with text also kept, the remaining bytes."""
-    starts = stored(repeats(docs, length), "starts")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text")).alias("key"))
-    rows = with_lists(rows, starts, "key", "starts", outer=True).select("doc_id", "text", "starts")
+    hot = hot_keys(rows, "key")
+    rows = spread_join(rows, repeats(docs, length, hot), "key", "left", hot).select("doc_id", "text", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
