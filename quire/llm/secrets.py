@@ -3,16 +3,17 @@
 Base kinds, each found leftmost and without overlap within its kind: assign (a credential name, : or =, a value of 8
 characters or more), access (AKIA and capitals or digits, 16 or more), hex (32 or more lower-case hex digits).
 
-The guess kind adds values in a wider credential context (more names, "is" and arrows as separators, symbols in the
-value). A value's guess cost is the cheapest segmentation, by dynamic programming over its characters, into words
-(by rank in a word list, or letters of one case as an unlisted word), dates, repeats, keyboard walks and sequences, and
-brute-force spans; a value that takes 10 ** GUESSES guesses or more is reported, so placeholders and prose are not.
-A value that a base span overlaps is left to that span.
+The guess kind judges every value in a credential context, which is wider than assign's (more names, "is" and arrows as
+separators, symbols in the value). A value's guess cost is the cheapest segmentation, by dynamic programming over its
+characters, into words (by rank in a word list, or letters of one case as an unlisted word), dates, repeats, keyboard
+walks and sequences, and brute-force spans; a value that takes 10 ** GUESSES guesses or more is reported, so
+placeholders and prose are not. A value that an assign span holds too is reported beside it: assign says that it is
+named as a secret, guess that it is a strong one.
 
 Every span is kind:start:end in code points, end exclusive. Cases: null and empty texts have no spans, an empty
 string of them and the SHA-256 of nothing; repeated rows are scanned each; two spans with the same start are ordered
 assign, access, hex, guess; an empty table gives no rows; further columns are ignored. A value of any length is
-segmented whole: a span is at most REACH characters long (repeats excepted), so time grows with the value's length.
+segmented whole, in time that grows with its length.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from quire.llm.words import pieces
 
 KINDS = ("assign", "access", "hex", "guess")
 GUESSES = 12.0
-REACH = 40
+UNIT = 12  # as every character of a unit takes 10 guesses at least
+LEAST, UNLISTED, EACH = 3, 3.5, 0.15  # letters of an unlisted word, what it costs and each letter more
 
 #: The base patterns.
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
@@ -54,6 +56,7 @@ WORDS = (
     "value string insert replace enter this that with from have will what when where"
 ).split()
 RANK = {w: k + 1 for k, w in enumerate(WORDS)}
+LONGEST = max(map(len, WORDS))
 LEET = str.maketrans("@4013$5!7", "aaoiessit")
 KEYS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
@@ -72,42 +75,56 @@ def _brute(c: str) -> float:
 
 
 def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of value takes."""
+    """log10 of the guesses that the cheapest segmentation of value takes; its time grows with the value's length.
+
+    Brute force takes a character at a time. A listed word is looked up, with leet spelling undone; unlisted words are
+    letters of one case, or a capital and small letters. A keyboard walk or sequence, and a repeat of a unit, starts where
+    its run does or up to two characters, or units, later. Units have UNIT characters at most: a longer one alone takes
+    10 ** GUESSES guesses, whatever repeats it, so no verdict depends on them.
+    """
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
     single = [_brute(c) for c in value]
+    ahead = [0.0]
+    for c in single:
+        ahead.append(ahead[-1] + c)
     best = [0.0] + [float("inf")] * n
-    walk = [0] * n  # how many characters up to here are a keyboard walk or a sequence
-    turns = [0] * n
-    for i in range(1, n):
-        near = (low[i - 1], low[i]) in _NEAR or abs(ord(low[i]) - ord(low[i - 1])) == 1
-        walk[i] = walk[i - 1] + 1 if near else 0
-        turned = near and i > 1 and walk[i - 1] and ord(low[i]) - ord(low[i - 1]) != ord(low[i - 1]) - ord(low[i - 2])
-        turns[i] = turns[i - 1] + bool(turned) if near else 0
-    period = [0] * (REACH + 1)  # how many characters up to here equal the one a unit before
     more = math.log10(2)  # a further segment doubles the orders to try
+    walk = turns = 0  # where the walk up to here starts, and its turns
+    letters, kind, word = 0, None, float("inf")  # where the letters of one case up to here start; the cheapest start of an unlisted word among them
+    period = [0] * (UNIT + 1)  # how many characters up to here equal the one a unit before
     for j in range(1, n + 1):
+        c = value[j - 1]
         b = best[j - 1] + single[j - 1]  # brute force, joined to what stands before
-        for i in range(max(0, j - REACH), j - 2):
-            piece, size = value[i:j], j - i
-            cost = None
+        case = "lower" if c.isalpha() and c.islower() else "upper" if c.isalpha() and c.isupper() else None
+        if case != kind or case is None:
+            letters, kind, word = j - 1, case, float("inf")
+        if case and j - letters >= LEAST:
+            word = min(word, best[j - LEAST] - EACH * (j - LEAST))
+            b = min(b, word + EACH * j + UNLISTED + more)
+        if case == "lower" and letters and value[letters - 1].isupper() and j - letters + 1 >= LEAST:
+            b = min(b, best[letters - 1] + EACH * (j - letters + 1) + UNLISTED + more)
+        for i in range(max(0, j - LONGEST), j - LEAST + 1):
             if (r := RANK.get(plain[i:j]) or RANK.get(low[i:j])) is not None:
-                cost = math.log10(r + 1) + (0.3 if piece != low[i:j] else 0) + (0.3 if plain[i:j] != low[i:j] else 0)
-            elif piece.isalpha() and (piece.islower() or piece.isupper() or piece.istitle()):
-                cost = 3.5 + 0.15 * size
-            if walk[j - 1] >= size - 1:
-                c = 1.7 + 0.5 * min(turns[j - 1], size) + math.log10(size)
-                cost = c if cost is None else min(cost, c)
-            if size <= 10 and piece[0].isdigit() and _DATE.fullmatch(piece):
-                cost = min(cost or 99, math.log10(365 * 120))
-            if cost is not None:
-                b = min(b, best[i] + cost + more)
-        for unit in range(1, min(REACH, j - 1) + 1):  # repeats of a unit that end here
-            period[unit] = period[unit] + 1 if value[j - 1] == value[j - 1 - unit] else 0
+                b = min(b, best[i] + math.log10(r + 1) + (0.3 if value[i:j] != low[i:j] else 0) + (0.3 if plain[i:j] != low[i:j] else 0) + more)
+        if c.isdigit():
+            for i in range(max(0, j - 10), j - 3):
+                if value[i].isdigit() and _DATE.fullmatch(value, i, j):
+                    b = min(b, best[i] + math.log10(365 * 120) + more)
+        if j > 1:
+            step = ord(low[j - 1]) - ord(low[j - 2])
+            if (low[j - 2], low[j - 1]) not in _NEAR and abs(step) != 1:
+                walk, turns = j - 1, 0
+            elif j - walk > 2:
+                turns += step != ord(low[j - 2]) - ord(low[j - 3])
+            for i in range(walk, min(walk + 3, j - LEAST + 1)):
+                b = min(b, best[i] + 1.7 + 0.5 * min(turns, j - i) + math.log10(j - i) + more)
+        for unit in range(1, min(UNIT, j - 1) + 1):
+            period[unit] = period[unit] + 1 if c == value[j - 1 - unit] else 0
             longest = period[unit] // unit + 1
-            for times in (*range(2, min(longest, 4 * REACH) + 1), longest):  # of very many the whole run
-                if times >= 3 or times > 1 and unit * times >= 6:
-                    b = min(b, best[j - times * unit] + sum(single[j - unit : j]) + math.log10(times) + more)
+            for times in range(max(2, longest - 2), longest + 1):
+                if times >= 3 or unit >= 3:
+                    b = min(b, best[j - times * unit] + ahead[j] - ahead[j - unit] + math.log10(times) + more)
         best[j] = b
     return best[n]
 
@@ -145,10 +162,7 @@ def spans(data: np.ndarray, at: np.ndarray) -> list[list[tuple[int, int, int]]]:
         if named:
             found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= VALUE_RUN]
         if named or b"->" in text or SAID.search(text):
-            base = list(found)
             for m in CONTEXT.finditer(text):
-                if any(x < m.end(1) and m.start(1) < y for x, _, y in base):
-                    continue
                 value = m[1].decode(errors="replace").rstrip(".)]}!?:")
                 if len(value) >= VALUE_RUN and guess_cost(value) >= GUESSES:
                     found.append((m.start(1), 3, m.start(1) + len(value.encode())))
