@@ -22,24 +22,21 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from quire.llm.shared import stored
-from quire.llm.words import counts, pieces
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, "7"
 BIN_ROWS = 2000  # documents of a pattern that a hash bin holds, about
+PATTERNS = 100_000  # patterns that the flow takes; it runs on the driver, and their plan is broadcast
+MADE = ("pattern", "size", "source_size", "target", "taken")
 
 
-@F.arrow_udf(LongType())
-def n_words(texts: pa.Array) -> pa.Array:
+def n_words(text: Column) -> Column:
     """The number of runs of characters other than space and 0x09-0x0D; 0 for null."""
-    return pa.array(np.concatenate([np.zeros(0, np.int64), *(counts(data, at) for _, _, data, at in pieces(texts))]))
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -117,22 +114,25 @@ def flow(supply: list[int], members: list[list[int]], demand: list[float], passe
 
 
 def mix(docs: DataFrame, members: Column, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED, keep: list[str] | None = None) -> DataFrame:
-    """keep's columns of docs with size, pattern, source_size, target and taken; members is an array of source names.
+    """keep's columns of docs with pattern, size, source_size, target and taken; members is an array of source names.
 
-    source_size and target are those of the document's first source in order.
+    source_size and target are those of the document's first source in order. Columns of keep that are named like one
+    of these give way. More than PATTERNS patterns raise ValueError.
     """
     name = F.transform(members, lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("~")))  # null becomes the last name
-    keep = keep or ["doc_id"]
+    kept = [F.col(f"`{c}`") for c in keep or ["doc_id"] if c.lower() not in MADE]
     rows = docs.select(
-        *(F.col(f"`{c}`") for c in keep),
+        F.struct(*kept, F.lit(0).alias("_")).alias("kept"),
         F.array_sort(F.array_distinct(F.coalesce(name, F.array().cast("array<string>")))).alias("pattern"),
         n_words(F.col("text").cast("string")).alias("size"),
         F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("order"),
-        F.xxhash64("text").alias("tie"),
+        F.xxhash64(F.col("text").cast("string")).alias("tie"),
     )
     rows = stored(rows, "mix")
     spark = docs.sparkSession
-    stats = rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    stats = rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(PATTERNS + 1).collect()
+    if len(stats) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} patterns of membership")
     stats.sort(key=lambda r: r.pattern)
     sources = sorted({s for r in stats for s in r.pattern})
     at = {s: k for k, s in enumerate(sources)}
@@ -158,9 +158,9 @@ def mix(docs: DataFrame, members: Column, weights: tuple[int, ...] = WEIGHTS, sh
     rows = rows.join(bins, ["pattern", "bin"])
     edge = (F.col("ahead") < F.col("rest")) & (F.col("ahead") + F.col("words") > F.col("rest"))
     full = F.when(F.col("ahead") + F.col("words") <= F.col("rest"), F.col("size")).otherwise(0)
-    within = W.partitionBy("pattern", "bin").orderBy("order", "tie", *(F.col(f"`{c}`") for c in keep)).rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("pattern", "bin").orderBy("order", "tie", F.to_json("kept")).rowsBetween(W.unboundedPreceding, -1)
     before = F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - before))
-    out = [*(F.col(f"`{c}`") for c in keep), "pattern", "size", "source_size", "target"]
+    out = [*(F.col("kept")[c].alias(c) for c in keep or ["doc_id"] if c.lower() not in MADE), *MADE[:-1]]
     inner = rows.where(edge).withColumn("extra", part)
     return rows.where(~edge).withColumn("extra", full).unionByName(inner).select(*out, (F.col("passes") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
