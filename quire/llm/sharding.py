@@ -5,10 +5,11 @@ shards' sizes: those of one size tier (powers of FAN) are merged, in order of ar
 files of up to the target size; a shard of at least half the target is left alone. So a row is rewritten once a
 tier, not once a compaction. Every append and compaction commits a manifest, the list of live shards: it is written
 under another name and renamed to its version's, which fails if another writer had that version first. Readers take
-the newest manifest and never see half a change; shards that no kept manifest lists are deleted by vacuum.
+the newest manifest and never see half a change. vacuum drops all versions but the KEPT newest with the shards that
+only they list; files that no version lists may be those of a writer before its commit, so they stay for AGE seconds.
 
 All bookkeeping is a line per shard. Rows move in one job a round, a group of shards being one task's output of at most
-the target size. All paths go through Hadoop's file systems, so a store may be local or remote.
+the target size, and each group has a task of its own. All paths go through Hadoop's file systems, so a store may be local or remote.
 
 Cases: rows are kept as they are, with nulls, repeats, empty texts and further columns; arrivals whose column is null
 are one arrival; a missing store and an empty table have version 0 and no shards, and read as None.
@@ -18,12 +19,14 @@ from __future__ import annotations
 
 import json
 import math
+import time
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FAN, TARGET = 4, 64 << 20
+KEPT, AGE = 2, 24 * 3600
 OPTIONS = {"compression": "zstd"}
 
 
@@ -51,19 +54,23 @@ class Store:
     def _fs(self):
         return self._path("x").getFileSystem(self.conf)
 
-    def _files(self, name: str) -> list[tuple[str, int]]:
-        """(path below the root, bytes) of all files in a folder, in order."""
+    def _files(self, name: str) -> list[tuple[str, int, float]]:
+        """(path below the root, bytes, seconds since it was written) of all files in a folder, in order."""
         top = self._path(name)
         if not self._fs().exists(top):
             return []
         out, found = [], self._fs().listFiles(top, True)
         while found.hasNext():
             f = found.next()
-            out.append((f"{name}/" + f.getPath().toString().split(f"/{name}/", 1)[1], f.getLen()))
+            out.append((f"{name}/" + f.getPath().toString().split(f"/{name}/", 1)[1], f.getLen(), time.time() - f.getModificationTime() / 1000))
         return sorted(out)
 
+    def versions(self) -> list[int]:
+        """The versions that can be read."""
+        return sorted(int(p.rsplit("/v", 1)[1][:-5]) for p, *_ in self._files("manifests") if p.endswith(".json") and "/v" in p)
+
     def version(self) -> int:
-        return max((int(p.rsplit("/v", 1)[1][:-5]) for p, _ in self._files("manifests") if p.endswith(".json") and "/v" in p), default=0)
+        return max(self.versions(), default=0)
 
     def shards(self, version: int | None = None) -> list[Shard]:
         """The live shards of a version, of the newest if none is named."""
@@ -93,7 +100,7 @@ class Store:
         """Writes df, a folder for each value of by; the new shards."""
         folder = f"data/v{version:012d}-{self.jvm.java.util.UUID.randomUUID()}"
         df.write.options(**OPTIONS).partitionBy(by).parquet(f"{self.root}/{folder}")
-        return [Shard(p, n, version) for p, n in self._files(folder) if p.endswith(".parquet")]
+        return [Shard(p, n, version) for p, n, _ in self._files(folder) if p.endswith(".parquet")]
 
     def append(self, df: DataFrame, arrival: str = "__arrival") -> int:
         """Appends the arrivals of df, one after the other in order of the column arrival (which isn't stored), as they are partitioned."""
@@ -140,21 +147,26 @@ class Store:
                 return version
             plan = self.spark.createDataFrame([(s.name, k) for k, g in enumerate(groups) for s in g], "__name string, __group int")
             rows = self._read([s for g in groups for s in g]).withColumn("__name", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1))
-            rows = rows.join(F.broadcast(plan), "__name").drop("__name").repartition(len(groups), "__group")
+            rows = rows.join(F.broadcast(plan), "__name").drop("__name").repartitionById(len(groups), "__group")
             made = self._write(rows, "__group", version + 1)
             gone = {s.path for g in groups for s in g}
             self.commit([s for s in live if s.path not in gone] + made, version)
             self.vacuum()
 
-    def vacuum(self) -> None:
-        """Deletes the shards that the newest manifest doesn't list, and the older manifests."""
-        version = self.version()
-        live = {s.path for s in self.shards(version)}
-        for p, _ in self._files("data"):
-            if p.endswith(".parquet") and p not in live:
+    def vacuum(self, keep: int = KEPT, age: float = AGE) -> None:
+        """Drops versions before the newest `keep` and the shards that only they list, and files of at least `age` seconds that none lists."""
+        versions = self.versions()
+        dropped, kept = versions[:-keep], versions[-keep:]
+        listed = {v: {s.path for s in self.shards(v)} for v in versions}
+        live = {p for v in kept for p in listed[v]}
+        once = {p for v in dropped for p in listed[v]}
+        for v in dropped:
+            self._fs().delete(self._path(f"manifests/v{v:012d}.json"), False)
+        for p, _, old in self._files("data"):
+            if p.endswith(".parquet") and p not in live and (p in once or old >= age):
                 self._fs().delete(self._path(p), False)
-        for p, _ in self._files("manifests"):
-            if not p.endswith(f"/v{version:012d}.json"):
+        for p, _, old in self._files("manifests"):
+            if "/draft-" in p and old >= age:
                 self._fs().delete(self._path(p), False)
 
     def _read(self, shards: list[Shard]) -> DataFrame:
