@@ -1,12 +1,14 @@
 """Document quality by a linear-chain conditional random field over lines.
 
 Each non-blank line is a position of a chain with two states, bad and good. Its features are measures of its own
-text and of its neighbours'; learned transitions tie the states of neighbouring lines. A labelled document teaches
-its label to all its lines. A document's score is the mean of its lines' forward-backward marginals of "good",
-weighted by the lines' lengths.
+text and of its neighbours'; learned transitions tie the states of neighbouring lines. Labels are of documents, and a
+document teaches its label to all its lines; so training sees neighbours of one state only, and what it learns of
+transitions is how far a line's state speaks for the next one's. A document's score is the mean of its lines'
+forward-backward marginals of "good", weighted by the lines' lengths.
 
-The model is fitted on a bounded sample: TRAIN_DOCS labelled documents, those first by the hash of doc_id, and of a
-document with more than TRAIN_LINES lines so many evenly spread ones. Scoring reads every line of every text.
+The model is fitted on a bounded sample of labelled documents: those first by the hash of doc_id, TRAIN_DOCS at most,
+of which those are left out that would bring the sample above TRAIN_LINES lines. All lines of a document are learned
+from, in chains of CHAIN neighbouring lines. Scoring reads every line of every text, as one chain.
 
 Cases: a null or empty text, or one of blank lines, scores the sample's share of good documents; a document without
 label, or whose label is null, is not learned from; contradicting labels of a document count as good if any is;
@@ -22,11 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quire.llm.shared import only_ids
 from quire.llm.words import pieces, words
 
-TRAIN_DOCS, TRAIN_LINES = 6000, 60
+TRAIN_DOCS, TRAIN_LINES, CHAIN = 6000, 100_000, 60
 STEPS, RATE, RIDGE = 250, 0.05, 1e-3
 
 _KIND = {
@@ -127,19 +130,20 @@ def _chains(u: np.ndarray, doc: np.ndarray, step: np.ndarray, label: np.ndarray
     return both[:, 1] / np.maximum(both.sum(1), 1e-300), pair
 
 
-def fit(x: np.ndarray, doc: np.ndarray, label: np.ndarray) -> Chain:
-    """Maximum likelihood with a ridge penalty, by Adam; label is each line's. Documents weigh alike whatever their length."""
+def fit(x: np.ndarray, doc: np.ndarray, line: np.ndarray, label: np.ndarray) -> Chain:
+    """Maximum likelihood with a ridge penalty, by Adam. doc, line and label are each line's, ordered by doc and line."""
     mean, scale = x.mean(0), x.std(0) + 1e-3
     z = np.clip((x - mean) / scale, -6, 6)
     docs, of = np.unique(doc, return_inverse=True)
+    chain = np.cumsum(np.append(True, (of[1:] != of[:-1]) | (line[1:] // CHAIN != line[:-1] // CHAIN)))
     prior = float(np.bincount(of, label).astype(bool).mean()) if len(docs) else 0.5
-    same = doc[1:] == doc[:-1]
+    same = chain[1:] == chain[:-1]
     true_pair = np.zeros((2, 2))
     np.add.at(true_pair, (label[:-1][same], label[1:][same]), 1)
     w, step = np.zeros(x.shape[1] + 1), np.zeros((2, 2))
     m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     for k in range(1, STEPS + 1):
-        p, pair = _chains(z @ w[:-1] + w[-1], doc, step, label)
+        p, pair = _chains(z @ w[:-1] + w[-1], chain, step, label)
         gap = label - p
         grad = np.concatenate([z.T @ gap, [gap.sum()], (true_pair - pair).ravel()]) / len(x) - RIDGE * np.concatenate([w[:-1], [0], step.ravel()])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
@@ -153,28 +157,35 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, labe
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
     known = known.where(usable) if usable is not None else known
     picked = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("row"))
+    sizes = only_ids(texts, picked.select("doc_id"), "doc_id").groupBy("doc_id").agg(F.sum(F.regexp_count("text", F.lit("\n")) + 1).alias("n"))
+    y, total = {}, 0
+    for r in picked.join(sizes, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # TRAIN_DOCS rows at most
+        if r.n is not None and total + r.n <= TRAIN_LINES:
+            y[r.doc_id], total = int(r.y > 0), total + r.n
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in y], "doc_id long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, at in pieces(batch.column(1)):
                 x, doc, _ = line_features(data, at)
-                first = np.searchsorted(doc, np.arange(j - i + 1))
-                keep = np.concatenate([[], *(np.unique(np.linspace(a, b - 1, min(b - a, TRAIN_LINES)).astype(int)) for a, b in zip(first, first[1:]) if b > a)]).astype(int)
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy(zero_copy_only=False)[i:j][doc[keep]], pa.int64()), pa.array(keep), pa.array(list(x[keep].astype("f4")), pa.list_(pa.float32()))], names=["doc_id", "line", "x"])
-
-    rows = only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), picked.select("doc_id"), "doc_id")
-    lines = rows.mapInArrow(run, "doc_id long, line long, x array<float>").toPandas()
-    y = {r.doc_id: int(r.y > 0) for r in picked.collect()}
-    lines = lines.sort_values(["doc_id", "line"], kind="stable")
+                line = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                ids, rows = (pa.array(batch.column(k).to_numpy(zero_copy_only=False)[i:j][doc], pa.int64()) for k in (0, 2))
+                yield pa.RecordBatch.from_arrays([ids, rows, pa.array(line), pa.array(list(x.astype("f4")), pa.list_(pa.float32()))], names=["doc_id", "row", "line", "x"])
+
+    lines = only_ids(texts, chosen, "doc_id").mapInArrow(run, "doc_id long, row long, line long, x array<float>").toPandas()
+    lines = lines.sort_values(["doc_id", "row", "line"], kind="stable")
     if not len(lines):
         return Chain(np.zeros(3 * N_OWN), np.ones(3 * N_OWN), np.zeros(3 * N_OWN), 0.0, np.zeros((2, 2)), 0.5)
-    return fit(np.stack(lines.x.to_numpy()).astype(float), lines.doc_id.to_numpy(), lines.doc_id.map(y).to_numpy())
+    return fit(np.stack(lines.x.to_numpy()).astype(float), lines.groupby(["doc_id", "row"]).ngroup().to_numpy(), lines.line.to_numpy(), lines.doc_id.map(y).to_numpy())
+
 
+def score(docs: DataFrame, model: Chain, out: str = "score") -> DataFrame:
+    """All columns of docs with out, the length-weighted mean marginal of "good" (0 to 1, never null).
 
-def score(docs: DataFrame, model: Chain) -> DataFrame:
-    """All columns of docs with score, the length-weighted mean marginal of "good" (0 to 1, never null)."""
-    clash = {"score", "__text"} & set(docs.columns)
-    rows = docs.drop(*clash).withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    A column of docs that is named like out gives way to it.
+    """
+    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()), F.coalesce(F.col("text").cast("string"), F.lit("")))
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +197,6 @@ def score(docs: DataFrame, model: Chain) -> DataFrame:
                     p = model.marginals(model.potentials(x), doc)
                     total = np.bincount(doc, size, j - i)
                     score[i:j] = np.where(total > 0, np.bincount(doc, size * p, j - i) / np.maximum(total, 1), model.prior)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.clip(score, 0, 1))], names=[*names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.clip(score, 0, 1))], names=[*names[:-1], out])
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, (out + ", " if out else "") + "score double")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField(out, DoubleType())]))
