@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a few longs up to this count (20 MB or so as a hash table) may be broadcast; above it Spark shuffles instead.
@@ -13,7 +13,7 @@ BROADCAST_ROWS = 250_000
 
 
 #: A key with more rows than HOT_ROWS, and than the HOT_KEYS-th part of all, is hot: so there are HOT_KEYS hot keys at most.
-HOT_ROWS, HOT_KEYS = 1000, 20_000
+HOT_ROWS, HOT_KEYS = 1000, 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, upper and lower case being one."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def columns(df: DataFrame, *without: str) -> list[Column]:
+    """df's columns whatever their names, but for those named."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c not in without]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
 
@@ -76,12 +89,10 @@ def spread_join(rows: DataFrame, table: DataFrame, on: str, how: str = "inner",
     hot = hot_keys(rows, on) if hot is None else hot
     nulls = rows.where(F.col(on).isNull()) if how == "left" else None  # else they would meet in one task
     rows = rows.where(F.col(on).isNotNull()) if how == "left" else rows
+    out = rows.join(table, on, how)
     if hot:
-        keys = rows.sparkSession.createDataFrame([(k,) for k in hot], f"`{on}` {rows.schema[on].dataType.simpleString()}")
-        few = table.join(F.broadcast(keys), on, "left_semi")
-        out = rows.join(F.broadcast(keys), on, "left_anti").join(table, on, how).unionByName(rows.join(F.broadcast(keys), on, "left_semi").join(F.broadcast(few), on, how))
-    else:
-        out = rows.join(table, on, how)
+        common = F.col(on).isin(hot)
+        out = rows.where(~common).join(table, on, how).unionByName(rows.where(common).join(F.broadcast(table.where(common)), on, how))
     return out.unionByName(nulls, allowMissingColumns=True) if nulls is not None else out
 
 

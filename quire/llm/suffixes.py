@@ -12,9 +12,10 @@ threshold. In a round windows are ranked in cells of neighbouring offsets from t
 cell's windows have in common (a cell with a unique one has no repeated window) and by the string that they cover
 together (a cell that repeats it is repeated as a whole). Only cells that repeat the first but not the second go on,
 with one witness of each whole cell that shares their common string, in smaller cells with longer common strings, down
-to single windows, whose two strings are the window itself. Spark does
-the ranking by aggregating fingerprints, with sums before the shuffle, so a string that occurs a million times is a
-row a task.
+to single windows, whose two strings are the window itself. Spark ranks by sorting the pairs of fingerprint and position
+by ranges: a rank is unique if neither neighbour in the order has it. Positions are part of the order, so a string that
+occurs a million times lies over as many tasks as its rows fill; only the rows at the ends of ranges, two a task, are
+compared on the driver.
 
 Fingerprints are polynomial hashes of 64 bits; that two different strings of the same cell get one is taken as
 impossible (a chance of 1e-3 or so for the whole of a corpus of 1e8 candidate cells).
@@ -27,6 +28,7 @@ no rows; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import HOT_KEYS, HOT_ROWS, drop_stored, hot_keys, spread_join, stored
+from quire.llm.shared import drop_stored, hot_keys, spread_join, stored
 from quire.llm.words import buffers, mixed, pieces, powers
 
 LENGTH, GRAM = 400, 17  # LENGTH - GRAM + 1 = 384 offsets
@@ -166,39 +168,64 @@ def _next_round(texts: DataFrame, size: int, length: int) -> DataFrame:
     return texts.mapInArrow(run, ROW)
 
 
-def _repeated(rows: DataFrame, column: str) -> tuple[DataFrame, list]:
-    """(values of column that more than one row has, those of them that are hot)."""
-    counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("times")).where("times > 1")
-    counts = stored(counts, f"{column}s")
-    hot = counts.where(F.col("times") > max(HOT_ROWS, rows.count() // HOT_KEYS)).select(column).collect()
-    return counts.select(column), [r[0] for r in hot]
+RANKED = ROW + ", repeated boolean, whole boolean, end boolean"
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """The rows whose core another row has, with whole: whether another row has their span, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = held = None
+
+        def mark(batch: pa.RecordBatch, after: pa.RecordBatch | None) -> pa.RecordBatch:
+            marks = []
+            for k in (4, 5):
+                v, null = batch.column(k).fill_null(0).to_numpy(), np.asarray(batch.column(k).is_null())
+                same = (v[1:] == v[:-1]) & ~null[1:] & ~null[:-1]
+                ends = [x is not None and bool(v[i] == x.column(k)[j].as_py()) and not null[i] for x, i, j in ((before, 0, -1), (after, -1, 0))]
+                marks.append(np.append(ends[0], same) | np.append(same, ends[1]))
+            end = np.zeros(len(batch), bool)
+            end[-1] = after is None
+            end[0] |= before is None
+            keep = np.flatnonzero(marks[0] | end)
+            return pa.RecordBatch.from_arrays([c.take(pa.array(keep)) for c in (*batch.columns, *map(pa.array, marks), pa.array(end))], names=[*batch.schema.names, "repeated", "whole", "end"])
+
+        for batch in batches:
+            if len(batch):
+                if held is not None:
+                    yield mark(held, batch)
+                    before = held
+                held = batch
+        if held is not None:
+            yield mark(held, None)
+
+    order = ["core", "span", "key", "a", "lo"]
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "a", "lo", "hi", "core", "span")
+    marked = stored(sorted_.mapInArrow(run, RANKED), "ranked")
+    ends = marked.where("end").select("core", "span", "repeated", "whole").collect()  # two rows a task
+    cores, spans = Counter(r.core for r in ends), Counter(r.span for r in ends if r.span is not None)
+    again = [list({r[k] for r in ends if not r[2 + k] and met.get(r[k], 0) > 1}) for k, met in enumerate((cores, spans))]
+    out = marked.select("key", "a", "lo", "hi", "core", "span", (F.col("repeated") | F.col("core").isin(again[0])).alias("repeated"), (F.col("whole") | F.coalesce(F.col("span").isin(again[1]), F.lit(False))).alias("whole"))
+    return out.where("repeated").drop("repeated")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, hot: list | None = None) -> DataFrame:
     """(key, starts array<struct<lo, hi>>): runs of repeated windows' starts by text, key being xxhash64(text).
 
-    Rows are told apart by shuffles whatever their number, so disk and time grow in proportion; hot holds the keys of
-    texts that very many rows have.
+    hot holds the keys of texts that very many rows have.
     """
     texts = docs.select(F.xxhash64(F.col("text")).alias("key"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= length)
     hot = hot_keys(texts, "key") if hot is None else hot
     found = []
     rows = stored(_first_round(texts, length), "cells")
     for k, size in enumerate(CELLS):
-        cores, common = _repeated(rows, "core")
-        live = stored(spread_join(rows, cores, "core", "left_semi", common), "live")
+        judged = _ranked(rows)
         drop_stored(rows)
-        drop_stored(cores)
-        spans, common = _repeated(live, "span")
-        judged = spread_join(live, spans.withColumn("whole", F.lit(True)), "span", "left", common)
-        judged = stored(judged.select("key", "a", "lo", "hi", "core", "span", "whole"), "judged")
-        drop_stored(live)
-        drop_stored(spans)
         found.append(stored(judged.where("whole").select("key", "lo", "hi").distinct(), "repeats"))
         if size == 1:
             drop_stored(judged)
             break
-        rest = stored(judged.where("whole is null").select("core", "key", "a", "lo", "hi").distinct(), "rest")
+        rest = stored(judged.where("not whole").select("core", "key", "a", "lo", "hi").distinct(), "rest")
         # A cell that is repeated as a whole stays a witness for those that share only its common string: one cell of each string.
         first = F.floor((F.col("w.a") - F.col("w.hi")) / size).cast("int") * size
         witness = judged.where("whole").groupBy("core", "span").agg(F.min(F.struct("key", "a", "lo", "hi")).alias("w"))
