@@ -1,25 +1,32 @@
 """Embedding near-dedup by NN-descent.
 
-Equal embeddings become one class first. A neighbour graph over the classes starts from a forest of random
-projections (vectors sorted by their side of random planes, neighbouring runs compared) and is refined by
-neighbours-of-neighbours joins: each vector is a pivot that compares the vectors on its list, and those on whose list
-it is, with each other, if at least one of the two is new there; every vector keeps its K nearest. Pairs that reach the
-threshold are kept as edges whatever the lists hold.
-
-The graph alone loses links: a few rounds, lists of K. It only serves to know nearly all components beforehand. A sweep
-then compares every vector with all others, in blocks of BLOCK_BYTES that are broadcast in turn; it counts each vector's
-links and gives the pairs that join two known components, at most a forest of them for each task, so no pair of a large
-group becomes a row. Links and components are thus those of all pairs, whatever the graph has found. The sweep's
-comparisons grow with the square of the classes; rows, memory and disk do not.
+Equal embeddings become one class first. A neighbour graph over the classes starts from a forest of random projections
+(vectors sorted by their side of random planes, neighbouring runs compared; so many trees that START of the pairs at
+the threshold should meet in one) and is refined by neighbours-of-neighbours joins: each vector is a pivot that compares
+the vectors on its list, and those on whose list it is, with each other, if at least one of the two is new there; every
+vector keeps its k nearest. A pivot that very many vectors have on their lists compares 2 k of them a round; the others
+stay new for a later one. Rounds end when they give hardly any new links.
+
+A vector whose list holds only links is saturated: it may have more. Its list is enlarged to its component, in which
+its links are counted in bounded squares of vectors; no pair of a large group becomes a row, as the runs and joins give
+beyond the lists only a forest of the links they see. Components of up to SQUARE vectors are counted that way throughout.
+
+The audit draws further trees that the graph has not seen. Their links are found independently of it, so the share of
+them that lies inside the graph's components tells its recall; a link that a tree is less likely to show weighs more.
+This needs no comparison with all vectors, and sees the more links the more there are, however rare among vectors. Below
+RECALL the audit's trees join the graph, k is doubled if lists are saturated, and it is refined and audited by new trees
+again; there is no other end. The last audit's links join the result, too.
 
 Cases: embeddings that are null, empty, zero, or hold null or non-finite components link with nothing, as do those of
 another length; a null vec_id links with nothing, its component is null and it isn't kept; of several embeddings under
 one vec_id the smallest counts, so each vec_id gives one row; ties in a list go to the smaller id; an empty table gives no rows;
-further columns are ignored.
+further columns are ignored. Where no tree shows any link the audit has nothing to judge by and gives None.
 """
 
 from __future__ import annotations
 
+import logging
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +36,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.groups import column, groups
-from quire.llm.shared import BROADCAST_ROWS, components, drop_stored, stored
+from quire.llm.shared import components, drop_stored, spread_join, stored
+
+log = logging.getLogger(__name__)
 
 THRESHOLD = 0.9
-K, TREES, LEAF, ROUNDS, STILL = 12, 6, 64, 4, 0.01
-SEED, BLOCK_BYTES, TILE = 11, 16 << 20, (256, 4096)
+K, LEAF, START, STILL = 12, 64, 0.95, 0.002
+TOGETHER = 4  # trees that are planted at once
+SQUARE, RECALL, SEED = 1024, 0.99, 11
 
 
 def _valid(e: Column) -> Column:
@@ -61,16 +71,47 @@ def _pairs(v: np.ndarray, u: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
 PAIR = "v long, u long, s double"
 
 
-def _forest(vectors: DataFrame, n: int, k: int, kind: str) -> DataFrame:
-    """Each vector's k nearest in its run of LEAF vectors, in each of TREES orders."""
-    bits = max(1, min(24, int(np.ceil(np.log2(max(2, n / LEAF))))))
+def _bits(n: int) -> int:
+    return max(1, min(24, math.ceil(math.log2(max(2, n / LEAF)))))
+
+
+def _meets(s: float, n: int) -> float:
+    """The chance, about, that a tree compares two of n vectors of cosine s."""
+    return (1 - math.acos(min(1.0, s)) / math.pi) ** _bits(n)
+
+
+def _forest_of(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the graph that a symmetric boolean matrix gives."""
+    top = np.arange(len(links))
+    a, b = np.nonzero(np.triu(links, 1))
+    kept = []
+    for k, (i, j) in enumerate(zip(a, b)):
+        if top[i] != top[j]:
+            top[top == top[j]] = top[i]
+            kept.append(k)
+    return a[kept], b[kept]
+
+
+def _near(s: np.ndarray, wanted: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """The wanted pairs and, where links are left out, a forest of the links, both ways."""
+    a, b = np.nonzero(wanted)
+    links = s >= THRESHOLD
+    if (links & ~wanted).any():
+        x, y = _forest_of(links)
+        a, b = np.concatenate([a, x, y]), np.concatenate([b, y, x])
+    return _pairs(ids[a], ids[b], s[a, b])
+
+
+def _forest(vectors: DataFrame, n: int, k: int, kind: str, trees: range) -> DataFrame:
+    """Each vector's k nearest in its run of LEAF vectors, in the order of each tree."""
+    bits = _bits(n)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(1).to_pylist()
             for at in _by_length(raw):
                 x = _unit([raw[i] for i in at], kind)
-                for tree in range(TREES):
+                for tree in trees:
                     planes = np.random.default_rng(SEED + tree).standard_normal((bits + 1, x.shape[1]))
                     side = x @ planes.T
                     code = ((side[:, :bits] > 0) * (1 << np.arange(bits)[::-1])).sum(1)
@@ -83,37 +124,51 @@ def _forest(vectors: DataFrame, n: int, k: int, kind: str) -> DataFrame:
                 raw, ids = run.column(4).to_pylist(), run.column(3).to_numpy()
                 for at in _by_length(raw):
                     x = _unit([raw[j] for j in at], kind)
-                    s = x @ x.T
                     own = ids[at]
+                    s = x @ x.T
                     s[own[:, None] == own[None, :]] = -2
                     keep = min(k, len(at) - 1)
                     if keep < 1:
                         continue
-                    top = np.argpartition(-s, keep - 1, 1)[:, :keep]
-                    top_s = np.take_along_axis(s, top, 1)
-                    links = (s >= THRESHOLD) & (s > -2)
-                    np.put_along_axis(links, top, False, 1)
-                    a, b = np.nonzero(links)
-                    yield _pairs(np.concatenate([np.repeat(own, keep), own[a]]), np.concatenate([own[top].ravel(), own[b]]), np.concatenate([top_s.ravel(), s[a, b]]))
-
-    parts = max(vectors.sparkSession.sparkContext.defaultParallelism, n * TREES // 100_000)
+                    wanted = np.zeros(s.shape, bool)
+                    np.put_along_axis(wanted, np.argpartition(-s, keep - 1, 1)[:, :keep], True, 1)
+                    yield _near(s, wanted & (s > -2), own)
+
+    parts = max(vectors.sparkSession.sparkContext.defaultParallelism, n * len(trees) // 100_000)
     placed = vectors.select("id", "vec").mapInArrow(place, "tree long, code long, side double, id long, vec binary")
-    return placed.repartitionByRange(parts, "tree", "code", "side").sortWithinPartitions("tree", "code", "side").mapInArrow(near, PAIR).where("v <> u")
+    return placed.repartitionByRange(parts, "tree", "code", "side").sortWithinPartitions("tree", "code", "side").mapInArrow(near, PAIR)
 
 
-def _lists(pairs: DataFrame, old: DataFrame | None, k: int) -> DataFrame:
-    """(id, u array, s array, fresh array, kth): each vector's k nearest of old and new pairs."""
+def _lists(pairs: DataFrame, old: DataFrame | None, k: int, waiting: DataFrame | None = None) -> DataFrame:
+    """(id, u array, s array, fresh array, kth): each vector's k nearest of old and new pairs; fresh are new ones and those of waiting (v, u)."""
     rows = pairs.select("v", "u", "s", F.lit(True).alias("fresh"))
     if old is not None:
-        rows = rows.unionByName(old.select(F.col("id").alias("v"), F.explode(F.arrays_zip("u", "s")).alias("e")).select("v", "e.u", "e.s", F.lit(False).alias("fresh")))
+        kept = old.select(F.col("id").alias("v"), F.explode(F.arrays_zip("u", "s")).alias("e")).select("v", "e.u", "e.s")
+        if waiting is None:
+            kept = kept.withColumn("fresh", F.lit(False))
+        else:
+            kept = kept.join(waiting.withColumn("fresh", F.lit(True)), ["v", "u"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+        rows = rows.unionByName(kept.select("v", "u", "s", "fresh"))
     rows = rows.groupBy("v", "u").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), "u", "fresh"))), 1, k)
-    out = rows.groupBy(F.col("v").alias("id")).agg(best.alias("e"))
-    return out.select("id", F.col("e.u").alias("u"), F.transform("e.d", lambda d: -d).alias("s"), F.col("e.fresh").alias("fresh"), F.when(F.size("e") < k, F.lit(-1.0)).otherwise(-F.element_at("e", -1)["d"]).alias("kth"))
+    turn = F.row_number().over(W.partitionBy("v").orderBy(F.desc("s"), "u"))
+    rows = rows.withColumn("turn", turn).where(F.col("turn") <= k).groupBy("v").agg(F.array_sort(F.collect_list(F.struct("turn", "u", "s", "fresh"))).alias("e"))
+    return rows.select(F.col("v").alias("id"), F.col("e.u").alias("u"), F.col("e.s").alias("s"), F.col("e.fresh").alias("fresh"), F.when(F.size("e") < k, F.lit(-1.0)).otherwise(F.element_at("e", -1)["s"]).alias("kth"))
 
 
-def _join(vectors: DataFrame, lists: DataFrame, k: int, kind: str) -> DataFrame:
-    """New pairs (v, u, s): the members of each pivot's list compared, if one of the two is fresh and either takes the other."""
+def _pivots(lists: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """((p, u, fresh): the vectors that each pivot compares, 2 k at most, fresh ones first; (v, u): entries that had to wait)."""
+    e = lists.select("id", F.explode(F.arrays_zip("u", "fresh")).alias("e")).select(F.col("id").alias("p"), "e.u", "e.fresh")
+    both = e.unionByName(e.select(F.col("u").alias("p"), F.col("p").alias("u"), "fresh")).groupBy("p", "u").agg(F.max("fresh").alias("fresh"))
+    each = W.partitionBy("p")
+    place = F.row_number().over(each.orderBy(F.col("fresh").desc(), F.xxhash64("p", "u")))
+    both = both.withColumn("place", place).withColumn("some", F.max("fresh").over(each)).where("some and (fresh or place <= %d)" % (2 * k))
+    both = stored(both.select("p", "u", "fresh", "place"), "pivots")
+    wait = both.where(F.col("place") > 2 * k).select(F.col("p").alias("v"), "u")
+    return both.where(F.col("place") <= 2 * k).select("p", "u", "fresh"), wait.unionByName(wait.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct()
+
+
+def _join(vectors: DataFrame, lists: DataFrame, pivots: DataFrame, kind: str) -> DataFrame:
+    """New pairs (v, u, s): the vectors of each pivot compared, if one of the two is fresh there and either takes the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, 1):
@@ -124,117 +179,143 @@ def _join(vectors: DataFrame, lists: DataFrame, k: int, kind: str) -> DataFrame:
             for at in _by_length(raw):
                 x = _unit([raw[i] for i in at], kind)
                 s = x @ x.T
-                new = fresh[at][:, None] | fresh[at][None, :]
-                np.fill_diagonal(new, False)
-                a, b = np.nonzero(new & ((s > kth[at][:, None]) | (s >= THRESHOLD)))
-                if len(a):
-                    yield _pairs(ids[at][a], ids[at][b], s[a, b])
+                s[~(fresh[at][:, None] | fresh[at][None, :])] = -2
+                np.fill_diagonal(s, -2)
+                found = _near(s, s > kth[at][:, None], ids[at])
+                if len(found):
+                    yield found
 
-    e = lists.select("id", F.explode(F.arrays_zip("u", "fresh")).alias("e")).select(F.col("id").alias("p"), "e.u", "e.fresh")
-    both = e.unionByName(e.select(F.col("u").alias("p"), F.col("p").alias("u"), "fresh")).groupBy("p", "u").agg(F.max("fresh").alias("fresh"))
-    turn = W.partitionBy("p").orderBy(F.col("fresh").desc(), F.xxhash64("p", "u"))
-    both = both.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= 2 * k)
     carried = vectors.select(F.col("id").alias("u"), "vec").join(lists.select(F.col("id").alias("u"), "kth"), "u", "left").withColumn("kth", F.coalesce("kth", F.lit(-1.0)))
-    rows = both.join(carried, "u").select("p", "u", "fresh", "kth", "vec")
+    rows = pivots.join(carried, "u").select("p", "u", "fresh", "kth", "vec")
     return rows.repartition("p").sortWithinPartitions("p").mapInArrow(run, PAIR).groupBy("v", "u").agg(F.max("s").alias("s"))
 
 
-def _refine(vectors: DataFrame, pairs: DataFrame, k: int, n: int, kind: str) -> DataFrame:
-    """The edges at the threshold after up to ROUNDS joins."""
-    pairs = stored(pairs, "pairs")
-    edges = stored(pairs.where(F.col("s") >= THRESHOLD).select("v", "u"), "links")
-    lists = stored(_lists(pairs, None, k), "lists")
-    drop_stored(pairs)
-    for _ in range(ROUNDS):
-        pairs = stored(_join(vectors, lists, k, kind), "pairs")
-        edges = edges.unionByName(stored(pairs.where(F.col("s") >= THRESHOLD).select("v", "u"), "links"))
-        after = stored(_lists(pairs, lists, k), "lists")
+class Graph:
+    """The neighbour graph: lists of the k nearest found, and links as (a, b) that join its components."""
+
+    def __init__(self, vectors: DataFrame, n: int, kind: str):
+        self.vectors, self.n, self.kind, self.k = vectors, n, kind, K
+        self.lists: DataFrame | None = None
+        self.links: DataFrame | None = None
+        self.trees = self.turns = 0
+
+    def plant(self, trees: int) -> DataFrame:
+        """The pairs of further trees, stored."""
+        pairs = stored(_forest(self.vectors, self.n, self.k, self.kind, range(self.trees, self.trees + trees)), "pairs")
+        self.trees += trees
+        return pairs
+
+    def add(self, pairs: DataFrame, waiting: DataFrame | None = None) -> int:
+        """Takes in pairs and drops them; the number of new links on lists."""
+        links = stored(pairs.where((F.col("s") >= THRESHOLD) & (F.col("v") < F.col("u"))).select(F.col("v").alias("a"), F.col("u").alias("b")).distinct(), "links")
+        self.links = links if self.links is None else self.links.unionByName(links)
+        after = stored(_lists(pairs, self.lists, self.k, waiting), "lists")
         drop_stored(pairs)
-        drop_stored(lists)
-        lists = after
-        moved = lists.select(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0] or 0
-        if moved <= STILL * n * k:
-            break
-    return edges
-
-
-def _sweep(vectors: DataFrame, comps: DataFrame, n: int, kind: str) -> tuple[DataFrame, DataFrame]:
-    """((id, links): the weight of each class's links with all others, 0 left out; (a, b): links that join two components of comps)."""
-    spark = vectors.sparkSession
-    few = comps.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = vectors.join(F.broadcast(comps) if few else comps, vectors["id"] == comps["node"], "left").select("id", F.coalesce("component", "id").alias("c"), "w", "vec")
-    parts = max(2 * spark.sparkContext.defaultParallelism, n // 100_000)
-    rows = stored(rows.repartition(parts, F.xxhash64("id")), "sweep")
-
-    def block(held: list[tuple[int, int, int, bytes]]) -> DataFrame:
-        shipped = spark.sparkContext.broadcast(held)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            raw_r = [bytes(r[3]) for r in shipped.value]
-            ids_r, c_r, w_r = (np.array([r[i] for r in shipped.value], np.int64) for i in range(3))
-            sides = {len(raw_r[at[0]]): (at, _unit([raw_r[i] for i in at], kind)) for at in _by_length(raw_r)}
-            top: dict[int, int] = {}
-
-            def find(c: int) -> int:
-                while (up := top.get(c, c)) != c:
-                    top[c] = c = top.get(up, up)
-                return c
-
-            for batch in batches:
-                ids, c, w = (batch.column(i).to_numpy() for i in range(3))
-                raw = batch.column(3).to_pylist()
-                total, joined = np.zeros(len(ids), np.int64), []
-                for at in _by_length(raw):
-                    right, y = sides.get(len(raw[at[0]]), (at[:0], None))
-                    x = _unit([raw[i] for i in at], kind)
-                    for i in range(0, len(at), TILE[0]):
-                        for j in range(0, len(right), TILE[1]):
-                            linked = x[i : i + TILE[0]] @ y[j : j + TILE[1]].T >= THRESHOLD
-                            some = np.flatnonzero(linked.any(1))
-                            if not len(some):
-                                continue
-                            l, r, linked = at[i : i + TILE[0]][some], right[j : j + TILE[1]], linked[some]
-                            linked &= ids[l][:, None] != ids_r[r][None, :]
-                            total[l] += linked @ w_r[r]
-                            p, q = np.nonzero(linked & (c[l][:, None] != c_r[r][None, :]))
-                            if not len(p):
-                                continue
-                            _, first = np.unique(np.stack([c[l][p], c_r[r][q]], 1), axis=0, return_index=True)
-                            for p, q in zip(l[p[first]].tolist(), r[q[first]].tolist()):
-                                u, v = find(int(c[p])), find(int(c_r[q]))
-                                if u != v:
-                                    top[max(u, v)] = min(u, v)
-                                    joined.append((int(ids[p]), int(ids_r[q])))
-                some = np.flatnonzero(total)
-                a = np.concatenate([ids[some], np.array([p for p, _ in joined], np.int64)])
-                b = pa.array([None] * len(some) + [q for _, q in joined], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(np.append(total[some], np.zeros(len(joined), np.int64)))], names=["a", "b", "links"])
-
-        found = stored(rows.mapInArrow(run, "a long, b long, links long"), "swept")
-        shipped.unpersist()
-        return found
-
-    found, held, size = None, [], 0
-    for r in rows.toLocalIterator():
-        held.append((r.id, r.c, r.w, r.vec))
-        size += len(r.vec) + 32
-        if size >= BLOCK_BYTES:
-            part, held, size = block(held), [], 0
-            found = part if found is None else found.unionByName(part)
-    if held or found is None:
-        part = block(held)
-        found = part if found is None else found.unionByName(part)
-    drop_stored(rows)
-    return found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links")), found.where("b is not null").select("a", "b")
+        if self.lists is not None:
+            drop_stored(self.lists)
+        self.lists = after
+        return after.select(F.sum(F.size(F.filter(F.arrays_zip("s", "fresh"), lambda e: e["fresh"] & (e["s"] >= THRESHOLD))))).first()[0] or 0
+
+    def refine(self) -> None:
+        """Joins neighbours of neighbours until a round gives few new links."""
+        while True:
+            pivots, waiting = _pivots(self.lists, self.k)
+            pairs = stored(_join(self.vectors, self.lists, pivots, self.kind), "pairs")
+            self.turns += 1
+            new = self.add(pairs, waiting)
+            drop_stored(pivots)
+            held = self.lists.select(F.sum(F.size(F.filter("s", lambda s: s >= THRESHOLD)))).first()[0] or 0
+            if new <= STILL * held:
+                return
+
+    def audit(self, pairs: DataFrame, comps: DataFrame) -> tuple[float | None, int]:
+        """(the share of links in pairs, which the graph has not seen, that lie inside comps, None if there is no link; the number that doesn't)."""
+        known = comps.select(F.col("node"), "component")
+        weight = F.pow(1 - F.acos(F.least(F.lit(1.0), "s")) / math.pi, F.lit(-float(_bits(self.n))))  # 1 / _meets()
+        links = pairs.where((F.col("s") >= THRESHOLD) & (F.col("v") < F.col("u"))).groupBy("v", "u").agg(F.max("s").alias("s")).withColumn("weight", weight)
+        links = links.join(known.select(F.col("node").alias("v"), F.col("component").alias("x")), "v", "left").join(known.select(F.col("node").alias("u"), F.col("component").alias("y")), "u", "left")
+        met = F.coalesce(F.col("x") == F.col("y"), F.lit(False))
+        got = links.agg(F.sum("weight").alias("all"), F.sum(F.when(met, F.col("weight")).otherwise(0.0)).alias("met"), F.count_if(~met).alias("missed")).first()
+        return (got.met / got["all"] if got["all"] else None), got.missed
+
+    def saturated(self) -> bool:
+        """Whether a list holds links only."""
+        return self.lists.where((F.size("s") >= self.k) & (F.col("kth") >= THRESHOLD)).limit(1).count() > 0
+
+    def components(self) -> DataFrame:
+        return components(self.links)
+
+
+def _graph(vectors: DataFrame, n: int, kind: str) -> tuple[Graph, DataFrame, float | None]:
+    """(the graph, its components, the recall of its last audit)."""
+    graph = Graph(vectors, n, kind)
+    trees = max(2, math.ceil(math.log(1 - START) / math.log(1 - min(0.9, _meets(THRESHOLD, n)))))
+    while graph.trees < trees:
+        graph.add(graph.plant(min(TOGETHER, trees - graph.trees)))
+    while True:
+        graph.refine()
+        comps = graph.components()
+        unseen = graph.plant(TOGETHER)
+        recall, missed = graph.audit(unseen, comps)
+        log.info("NN-descent: k %d, %d trees, %d joins, audited recall %s", graph.k, graph.trees - TOGETHER, graph.turns, recall)
+        graph.add(unseen)
+        if not missed:
+            return graph, comps, recall
+        drop_stored(comps)
+        if recall >= RECALL:
+            return graph, graph.components(), recall
+        if graph.saturated():
+            graph.k *= 2
+
+
+def _count_inside(vectors: DataFrame, comps: DataFrame, lists: DataFrame, k: int, kind: str) -> DataFrame:
+    """(id, links): the weight of a class's links inside its component, for saturated classes and those of small components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, 3):
+            ids, w, side, need = (column(t, c) for c in ("id", "w", "side", "need"))
+            raw = t.column("vec").to_pylist()
+            total = np.zeros(len(ids), np.int64)
+            for at in _by_length(raw):
+                x = _unit([raw[i] for i in at], kind)
+                left = np.flatnonzero((side[at] != 1) & need[at])
+                right = np.flatnonzero(side[at] != 0)
+                for i in range(0, len(left), 512):
+                    rows = left[i : i + 512]
+                    linked = x[rows] @ x[right].T >= THRESHOLD
+                    linked &= ids[at][rows][:, None] != ids[at][right][None, :]
+                    total[at[rows]] += linked @ w[at][right]
+            took = (side != 1) & need
+            yield pa.RecordBatch.from_arrays([pa.array(ids[took]), pa.array(total[took])], names=["id", "links"])
+
+    sizes = comps.groupBy("component").agg(F.count("*").alias("m"))
+    full = lists.select(F.col("id"), ((F.size("s") >= k) & (F.element_at("s", -1) >= THRESHOLD)).alias("full"))
+    rows = spread_join(comps.withColumnRenamed("node", "id"), sizes, "component").join(full, "id", "left").where("m > 2").join(vectors, "id")
+    rows = rows.withColumn("need", F.coalesce("full", F.lit(False)) | (F.col("m") <= SQUARE)).withColumn("n", F.ceil(F.col("m") / SQUARE).cast("int"))
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    keep = ["need", "w", "vec"]
+    one = rows.where("n = 1").select("component", F.lit(0).alias("x"), F.lit(0).alias("y"), "id", F.lit(2).alias("side"), *keep)
+    many = rows.where("n > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    left = many.where("need").select("component", F.col("blk").alias("x"), F.col("o").alias("y"), "id", F.lit(0).alias("side"), *keep)
+    right = many.select("component", F.col("o").alias("x"), F.col("blk").alias("y"), "id", F.lit(1).alias("side"), *keep)
+    rows = one.unionByName(left).unionByName(right).repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")
+    return rows.mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def link(embeddings: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector, by cosine >= THRESHOLD."""
+    return audited(embeddings)[0]
+
+
+def audited(embeddings: DataFrame) -> tuple[DataFrame, float | None]:
+    """(the rows of link(), the recall of the last audit)."""
     double = "double" in embeddings.schema["embedding"].dataType.simpleString()
     kind = "<f8" if double else "<f4"
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>" if double else "array<float>").alias("embedding"))
-    valid = stored(rows.where(F.col("vec_id").isNotNull() & _valid(F.col("embedding"))).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "valid")
-    classes = stored(valid.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("w")), "classes")
+    valid = rows.where(F.col("vec_id").isNotNull() & _valid(F.col("embedding"))).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    same = F.concat_ws(":", F.xxhash64("embedding"), F.xxhash64(F.lit(SEED), "embedding"))  # 128 bits stand for a vector
+    valid = stored(valid.withColumn("same", same), "valid")
+    classes = stored(valid.groupBy("same").agg(F.min("vec_id").alias("id"), F.count("*").alias("w"), F.first("embedding").alias("embedding")), "classes")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,20 +324,17 @@ def link(embeddings: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([flat[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], names=["id", "w", "vec"])
 
     vectors = stored(classes.select("id", "w", "embedding").mapInArrow(pack, "id long, w long, vec binary"), "vectors")
-    n, k = vectors.count(), K
-    edges = _refine(vectors, _forest(vectors, n, k, kind), k, n, kind)
-    edges = stored(edges.select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct(), "edges")
-    comps = components(edges)
-    counted, more = _sweep(vectors, comps, n, kind)
-    if more.limit(1).count():
-        comps = components(edges.unionByName(more))
+    graph, comps, recall = _graph(vectors, vectors.count(), kind)
+    listed = graph.lists.select("id", F.explode(F.arrays_zip("u", "s")).alias("e")).where(F.col("e.s") >= THRESHOLD).select("id", F.col("e.u").alias("u"))
+    seen = listed.join(vectors.select(F.col("id").alias("u"), "w"), "u").groupBy("id").agg(F.sum("w").alias("links"))
+    inside = _count_inside(vectors, comps, graph.lists, graph.k, kind).withColumnRenamed("links", "inside")
+    counted = seen.join(inside, "id", "full").select("id", F.coalesce("inside", "links").alias("links"))
     result = vectors.select("id", "w").join(counted, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left")
     result = stored(result.select("id", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "result")
-    many = classes.where("w > 1").select("embedding", F.col("id").alias("rep"))
-    few = many.limit(BROADCAST_ROWS // 20 + 1).count() <= BROADCAST_ROWS // 20
-    member = valid.join(F.broadcast(many) if few else many, "embedding", "left").select("vec_id", F.coalesce("rep", "vec_id").alias("id"))
-    linked = member.join(result, "id").select("vec_id", "n_links", "component_id")
+    many = classes.where("w > 1").select("same", F.col("id").alias("rep"))
+    member = stored(spread_join(valid.select("vec_id", "same"), many, "same", "left").select("vec_id", F.coalesce("rep", "vec_id").alias("id")), "member")
+    linked = spread_join(member, result, "id").select("vec_id", "n_links", "component_id")
     plain = rows.where(F.col("vec_id").isNotNull()).select("vec_id").distinct()
     out = plain.join(linked, "vec_id", "left").unionByName(rows.where(F.col("vec_id").isNull()).select("vec_id"), allowMissingColumns=True)
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept")), recall

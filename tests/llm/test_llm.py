@@ -64,26 +64,6 @@ def test_neardup(spark):
     assert neardup.link(df.limit(0)).count() == 0
 
 
-def test_neardup_needs_no_graph(spark, monkeypatch):
-    from quire.llm import neardup
-
-    forest = neardup._forest
-    monkeypatch.setattr(neardup, "_forest", lambda *a: forest(*a).limit(0))
-    monkeypatch.setattr(neardup, "BLOCK_BYTES", 4000, raising=False)
-    monkeypatch.setattr(neardup, "TILE", (7, 5), raising=False)
-    rng = np.random.default_rng(8)
-    rows = [(k, v.tolist()) for k, v in enumerate(rng.standard_normal((60, 16)))]
-    for k in range(25):  # isolated pairs, a chain and a group
-        rows.append((100 + k, (np.array(rows[k][1]) + 0.2 * rng.standard_normal(16)).tolist()))
-    rows += [(200 + k, (np.array(rows[-1][1]) + 0.1 * rng.standard_normal(16)).tolist()) for k in range(15)] + [(300, rows[0][1]), (301, [1.0, 2.0]), (302, [2.0, 4.1])]
-    good = {i: np.array(np.float32(v), float) for i, v in rows}
-    pairs = [(a, b) for a in good for b in good if a < b and len(good[a]) == len(good[b]) and good[a] @ good[b] / np.linalg.norm(good[a]) / np.linalg.norm(good[b]) >= 0.9]
-    degree, comp = collections.Counter(x for p in pairs for x in p), brute_components(pairs, good)
-    assert len(pairs) > 60
-    got = neardup.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
-    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(i, degree[i], comp[i]) for i in sorted(comp)]
-
-
 def test_quality(spark):
     from quire.llm import quality
 
