@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import BROADCAST_ROWS, stored
+from quire.llm.shared import BROADCAST_ROWS, columns, free, stored
 from quire.llm.words import mixed, pieces, words
 
 #: For overlaps of MIN_WORDS tokens or more, and for whole items of fewer words; found by greedy cover.
@@ -210,9 +210,8 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a benchmark passage. A row without doc_id is judged by its own text."""
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    found = stored(find(keyed.select(F.col("__key").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__key")).distinct(), "leaks")
-    if not found.limit(1).count():
-        return docs
+    key = free(docs, "key")
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
+    found = stored(find(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(key)).distinct(), "leaks")
     few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return keyed.join(F.broadcast(found) if few else found, "__key", "left_anti").drop("__key")
+    return keyed.join(F.broadcast(found) if few else found, key, "left_anti").select(columns(docs))

@@ -1,11 +1,17 @@
-"""Walking the groups of a sorted partition in Arrow batches."""
+"""Walking the groups of a sorted partition in Arrow batches, and telling repeated values by a sort."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+from quire.llm.shared import stored
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -36,3 +42,52 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 def column(t: pa.Table, name: str) -> np.ndarray:
     return t.column(name).to_numpy()
+
+
+def _marked(batch: pa.RecordBatch, at: list[int], before: pa.RecordBatch | None, after: pa.RecordBatch | None) -> pa.RecordBatch:
+    """The rows of a sorted batch that are repeated in column at[0] or stand at its partition's ends, with a mark for each column of at, and end."""
+    marks = []
+    for k in at:
+        v, null = batch.column(k).fill_null(0).to_numpy(), np.asarray(batch.column(k).is_null())
+        same = (v[1:] == v[:-1]) & ~null[1:] & ~null[:-1]
+        outer = [x is not None and not null[i] and x.column(k)[j].as_py() == v[i] for x, i, j in ((before, 0, -1), (after, -1, 0))]
+        marks.append(np.append(outer[0], same) | np.append(same, outer[1]))
+    end = np.zeros(len(batch), bool)
+    end[-1] = after is None
+    end[0] |= before is None
+    keep = pa.array(np.flatnonzero(marks[0] | end))
+    return pa.RecordBatch.from_arrays([c.take(keep) for c in (*batch.columns, *map(pa.array, marks), pa.array(end))], names=[*batch.schema.names, *(f"__met{k}" for k in range(len(at))), "__end"])
+
+
+def repeated(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The rows whose by[0] another row has, with met_<c> for the further columns c of by: whether another row has c, too.
+
+    Rows are sorted by ranges of by and order, so a value that very many rows have lies over several tasks; a row is
+    repeated if a neighbour has its value. Rows at the ends of ranges, two a task, are compared on the driver. The
+    columns of by hold longs; null equals nothing. Values of a further column of by that are equal have equal by[0].
+    """
+    names = rows.columns
+    at = [names.index(c) for c in by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = held = None
+        for batch in batches:
+            if len(batch):
+                if held is not None:
+                    yield _marked(held, at, before, batch)
+                    before = held
+                held = batch
+        if held is not None:
+            yield _marked(held, at, before, None)
+
+    sorted_ = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    flags = [f"__met{k}" for k in range(len(by))]
+    schema = StructType([*rows.schema.fields, *(StructField(c, BooleanType()) for c in (*flags, "__end"))])
+    marked = stored(sorted_.mapInArrow(run, schema), "sorted")
+    ends = marked.where("__end").select(*by, *flags).collect()
+    across = []
+    for k, c in enumerate(by):
+        times = Counter(r[c] for r in ends)
+        across.append(list({r[c] for r in ends if r[c] is not None and not r[flags[k]] and times[r[c]] > 1}))
+    met = [F.col(f) | F.coalesce(F.col(c).isin(x), F.lit(False)) for f, c, x in zip(flags, by, across)]
+    return marked.where(met[0]).select(*names, *(m.alias(f"met_{c}") for m, c in zip(met[1:], by[1:])))

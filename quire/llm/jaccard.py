@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.groups import column, groups
-from quire.llm.shared import BROADCAST_ROWS, components, drop_stored, only_ids, stored
+from quire.llm.groups import column, groups, repeated
+from quire.llm.shared import BROADCAST_ROWS, columns, components, drop_stored, free, hot_keys, only_ids, spread_join, stored
 from quire.llm.words import mixed, pieces, shingles, words
 
 SKETCH_BITS = 512  # at least; sketches of different sizes are compared in the smaller's
@@ -250,15 +250,11 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Data
     many = classes.where("members > 1").select("h1", "h2", "rep")
     few = many.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     chosen = real.join(F.broadcast(many) if few else many, ["h1", "h2"], "left").where("rep is null or rep = doc_id").drop("rep")
-    by_key = W.partitionBy("key")
-    lists = (
-        chosen.select(F.col("doc_id").alias("doc"), F.explode("keys").alias("key"))
-        .select("doc", "key", F.count("*").over(by_key).alias("size"), F.bit_xor(F.xxhash64("doc")).over(by_key).alias("who"))
-        .where(F.col("size") > 1)
-        .select("doc", "size", F.xxhash64("size", "who").alias("list"))  # lists of the same members are one
-        .distinct()
-    )
+    keyed = repeated(stored(chosen.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc")), "keyed"), ["key"], ["doc"])
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc")).alias("who"))
+    lists = spread_join(keyed, sizes, "key").select("doc", "size", F.xxhash64("size", "who").alias("list")).distinct()  # lists of the same members are one
     lists = stored(lists, "lists")
+    popular = hot_keys(lists, "list")
     in_lists = stored(lists.select("doc").distinct(), "listed")
     known = stored(only_ids(chosen.select(F.col("doc_id").alias("doc"), "n", "sketch"), in_lists, "doc").dropDuplicates(["doc", "n", "sketch"]), "members")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -275,7 +271,7 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Data
             no = tested.where(~F.col("ok")).select(F.col("a").alias("doc"), F.col("b").alias("o")).union(tested.where(~F.col("ok")).select("b", "a")).groupBy("doc").agg(F.collect_set("o").alias("no"))
             member = stored(member.join(no, "doc", "left").withColumn("no", F.coalesce("no", F.array().cast("array<long>"))), "members")
             torn = lists.join(member.select("doc", "c"), "doc").groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("list")
-            live = lists.join(torn, "list", "left_semi")
+            live = spread_join(lists, torn, "list", "left_semi", popular)
         rows = live.join(member, "doc").withColumn("blk", F.pmod(F.xxhash64("doc", "list"), squares).cast("int"))
         if comps is None:  # the squares on the diagonal
             rows = rows.select("list", F.col("blk").alias("x"), F.col("blk").alias("y"), F.lit(0).alias("side"), "doc", "n", "c", "sketch", "no")
@@ -310,11 +306,13 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) ->
 
     A row without doc_id stays.
     """
-    kept = join(docs, width, num, den).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("__n"))
-    kept = stored(kept, "kept")
-    once = only_ids(docs, kept.where("__n = 1").select("doc_id"), "doc_id").unionByName(docs.where(F.col("doc_id").isNull()))
-    twice = kept.where("__n > 1").select("doc_id")
-    if not twice.limit(1).count():
-        return once
-    first = W.partitionBy("doc_id").orderBy("text")
-    return once.unionByName(only_ids(docs, twice, "doc_id").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n"))
+    n, key = free(docs, "n"), free(docs, "key")
+    kept = stored(join(docs, width, num, den).where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias(n)), "kept")
+    keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
+    once = only_ids(keyed, kept.where(F.col(n) == 1).select(key), key).unionByName(keyed.where(F.col(key).isNull()))
+    twice = kept.where(F.col(n) > 1).select(key)
+    if twice.limit(1).count():
+        first = W.partitionBy(key).orderBy("text")
+        again = only_ids(keyed, twice, key).withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(n)
+        once = once.unionByName(again)
+    return once.select(columns(docs))

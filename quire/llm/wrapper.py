@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from quire.llm.shared import only_ids, spread_join, stored
 
 FEW, SHARE = 4, 0.8  # pages a host needs for a wrapper; share of them on which a template slot's text is the same
-REFERENCES, MAIN, ALIKE = 8, 2 / 3, 0.6
+REFERENCES, MAIN, ALIKE = 8, 2 / 3, 0.8
 PART = 2048
 BROADCAST_CHARS = 8 << 20  # of all wrappers together
 
