@@ -7,35 +7,60 @@ from pyspark.sql import functions as F
 
 from quire.llm import decontam, jaccard, mixing, quality, tokens
 from quire.llm.queries import table
-from quire.llm.shared import new_path
+from quire.llm.shared import columns, free, new_path
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier, trained on all labels, takes for good."""
+    """Documents that the line classifier, trained on all labels, takes for good; those of score 0.5 are.
+
+    Cases: a null or empty text, or one of blank lines, scores the share of good documents in the sample; repeated rows
+    are judged each; a null doc_id, lang or source plays no part; without labels all stay; an empty table gives no rows;
+    further columns, whatever their names, are kept.
+    """
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("score >= 0.5").select(docs.columns)
+    score = free(docs, "score")
+    return quality.score(docs, model, score).where(F.col(score) >= 0.5).select(columns(docs))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more; the smallest doc_id stays.
+
+    Cases: null and empty texts are in no group and stay, as do rows without doc_id; of rows that share a doc_id the
+    first by text stays; a text of fewer than five words is one shingle; an empty table gives no rows; further columns,
+    whatever their names, are kept.
+    """
     return jaccard.keep_one(docs, 5, 80, 100)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    Cases: null and empty texts stay; rows that share a doc_id go together if one of them has a passage; a row without
+    doc_id is judged by its own text; an empty table gives no rows; further columns, whatever their names, are kept.
+    """
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, a last part being rounded to a whole document or none."""
-    taken = mixing.mix(docs, F.array("source"), keep=docs.columns)
+    """Documents as often as the mix takes them, a last part being rounded to a whole document or none.
+
+    Cases: a text without words takes no words and goes; a null source is a source of its own; repeated rows are
+    documents of their own; an empty table gives no rows; further columns, whatever their names, are kept.
+    """
+    row = free(docs, "row")
+    packed = docs.select("doc_id", "text", "source", F.struct(*columns(docs)).alias(row))
+    taken = mixing.mix(packed, F.array("source"), keep=[row])
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    repeated = taken.withColumn("__times", times).where("__times > 0")
-    return repeated.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+    repeated = taken.select(row, times.alias("times")).where("times > 0").select(row, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    return repeated.select(f"{row}.*")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in ORC, read back: a row per document."""
+    """Token ids in ORC, read back: a row per document.
+
+    Cases: a null or empty text has only the end id; a null doc_id sorts first; repeated rows are written each; an empty
+    table gives no rows; further columns are not written.
+    """
     import public_tokenizers
 
     path = new_path(spark, "tokens")
