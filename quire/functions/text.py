@@ -24,6 +24,11 @@ CJK = "\\u4e00-\\u9fa5"
 NUMBERED = f"第[{NUMERAL}\\d]+"
 LEADER = "(?U)(?:[.\\u2026·•\\-—_]\\s*){4,}"
 TOC_LINE = f"(?U)^\\s*(?:{NUMBERED}[章节部篇].*|[一二三四五六七八九十]+[、.].*)\\s+\\d+\\s*$"
+BLANK = "[\\s&&[^\\n]]"  # white space inside a line, under (?U)
+#: Lines as is_noise_line() means them, each with its line break, in a text whose lines are clean.
+NOISE_LINES = (
+    f"(?Umd)^(?:|[^{CJK}A-Za-z\\n]{{1,2}}|(?:{NUMBERED}[章节部篇].*|[一二三四五六七八九十]+[、.].*){BLANK}+\\d+|(?=.{{0,39}}$)(?:[^\\d\\n]*\\d){{11}}.*)(?:\\n|\\z)"
+)
 LINE_BREAK = "\\r\\n|[\\n\\r\\u000b\\u000c\\u001c-\\u001e\\u0085\\u2028\\u2029]"
 
 
@@ -77,10 +82,15 @@ def is_noise_line(c: Column, cleaned: bool = False) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """The text's clean lines that aren't noise, joined by newlines."""
+    """The text's clean lines that aren't noise, joined by newlines.
+
+    What clean_line() and is_noise_line() do to a line is done to all lines of the text at once, by multi-line patterns:
+    these run as compiled code over the whole text, an array of lines would be interpreted line by line.
+    """
     c = sub(sub(sub(_scrubbed(c), "[\\t\\r\\f]+", " "), "[ \\u3000]{2,}", " "), "(?U)第\\s*\\d+\\s*页\\s*/\\s*共\\s*\\d+\\s*页")
-    lines = F.transform(F.split(c, LINE_BREAK), clean_line)
-    return strip(F.array_join(F.filter(lines, lambda x: ~is_noise_line(x)), "\n"))
+    c = sub(sub(sub(c, LINE_BREAK, "\n"), LEADER.replace("\\s", BLANK), " "), "[ \\u3000]{2,}", " ")
+    c = sub(c, f"(?Umd)^{BLANK}+|{BLANK}+$")
+    return strip(sub(c, NOISE_LINES))
 
 
 def lines_of(c: Column) -> Column:
