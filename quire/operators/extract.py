@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import terms as T
-from quire.functions.text import CJK, best_sentence, clean_line, clean_text, contains_any, is_noise_line, normalize_key, safe_id, split_sentences, strip, sub
+from quire.functions.text import CJK, best_definition, best_sentence, clean_line, clean_text, contains_any, is_noise_line, normalize_key, safe_id, split_sentences, strip, sub, tokenize
 from quire.lexicon import DEFAULT, Lexicon
 from quire.operators.components import cut
 
@@ -16,6 +19,10 @@ CONTEXT, TERMS, NODES, EDGES, CHAIN = 6, 20, 14, 35, 4
 WEIGHTS = {"contains": 0.8, "parallel": 0.45, "applies_to": 0.55, "prerequisite": 0.65}
 NAME = f"[{CJK}A-Za-z0-9（）()]{{2,18}}"
 CHAPTER_KEY = ["textbook_id", "chapter_id"]
+#: Keywords of a chapter; what a model is shown and how many nodes and edges of its reply count.
+KEYWORDS, KEYWORD_CHARS = 35, 12_000
+SHOWN, MODEL_NODES, MODEL_EDGES, MODEL_IMPORTANCE = 8000, 18, 30, 0.75
+REPLY = "nodes array<struct<name:string,definition:string,category:string,page:int>>, edges array<struct<source:string,target:string,relation_type:string,description:string>>"
 
 
 def raw_candidates(text: Column, title: Column, lexicon: Lexicon = DEFAULT) -> Column:
@@ -55,6 +62,64 @@ def candidate_terms(chapters: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFram
     return ordered.select(*CHAPTER_KEY, F.posexplode(kept).alias("rank", "term")).withColumn("rank", F.col("rank") + 1)
 
 
+def keywords(chapters: DataFrame, most: int = KEYWORDS, chars: int = KEYWORD_CHARS) -> DataFrame:
+    """(textbook_id, chapter_id, rank, term, score): the tokens of a chapter's first `chars` characters by TF-IDF over the chapters."""
+    tokens = chapters.select(*CHAPTER_KEY, tokenize(F.left(F.col("content"), F.lit(chars))).alias("t"))
+    tf = tokens.select(*CHAPTER_KEY, F.size("t").alias("n"), F.explode("t").alias("term")).groupBy(*CHAPTER_KEY, "term").agg((F.count("*") / F.first("n")).alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    total = chapters.agg(F.count("*").alias("chapters"))
+    scored = tf.join(df, "term").crossJoin(F.broadcast(total)).withColumn("score", F.col("tf") * (F.log((1 + F.col("chapters")) / (1 + F.col("df"))) + 1))  # total is one row
+    rank = F.row_number().over(W.partitionBy(*CHAPTER_KEY).orderBy(F.round("score", 9).desc(), "term"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= most).select(*CHAPTER_KEY, "rank", "term", "score")
+
+
+def json_object(reply: Column) -> Column:
+    """The JSON object in a model's reply: the reply itself if it is one, else what its outermost braces hold, else null."""
+    text = strip(reply)
+    inner = F.regexp_extract(text, "(?s)(\\{.*\\})", 1)
+    valid = lambda c: F.when(c.startswith("{") & F.try_parse_json(c).isNotNull(), c)
+    return F.coalesce(valid(text), valid(inner))
+
+
+def model_graphs(chapters: DataFrame, books: DataFrame, ask: Callable[[str, str, str], str | None], lexicon: Lexicon = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) that a model of your own finds: ask(book title, chapter title, text) returns JSON with nodes and edges.
+
+    It is shown the first SHOWN characters. Names are normalized and judged as those of rules are; edges count if both
+    ends are nodes and their relation is known. Chapters without a usable reply have no rows: use the rules for them.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            said = []
+            for row in zip(b["textbook_title"], b["title"], b["shown"]):
+                try:
+                    said.append(ask(*row) or None)
+                except Exception:  # a service that fails leaves the chapter to the rules
+                    said.append(None)
+            yield b.drop(columns="shown").assign(reply=said)
+
+    rows = chapters.join(books.select("textbook_id", F.col("title").alias("textbook_title")), "textbook_id").select(*CHAPTER_KEY, "chapter_ord", "title", "page_start", "textbook_title", "content")
+    shown = rows.drop("content").withColumn("shown", F.lit("")).schema
+    asked = rows.withColumn("shown", F.left("content", F.lit(SHOWN))).drop("content")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shown if f.name != "shown")
+    said = cut(asked.mapInPandas(run, f"{schema}, reply string")).withColumn("r", F.from_json(json_object(F.col("reply")), REPLY))
+    named = said.select(*CHAPTER_KEY, "chapter_ord", "title", "page_start", "textbook_title", F.posexplode(F.slice("r.nodes", 1, MODEL_NODES)).alias("pos", "n"))
+    named = named.withColumn("name", T.normalize_term(F.coalesce("n.name", F.lit("")), lexicon)).where(T.term_ok(F.col("name"), lexicon))
+    named = named.withColumn("turn", F.row_number().over(W.partitionBy(*CHAPTER_KEY, "name").orderBy("pos"))).where("turn = 1")
+    text = chapters.select(*CHAPTER_KEY, "content")
+    named = named.join(text, CHAPTER_KEY).withColumn("definition", F.coalesce(F.nullif("n.definition", F.lit("")), best_definition(F.col("name"), F.col("content"))))
+    nodes = named.select(
+        "textbook_id", "chapter_id", "chapter_ord", safe_id("node", F.concat_ws(":", "textbook_id", "chapter_id", "name")).alias("id"), "name", T.clean_definition(F.col("name"), F.col("definition"), lexicon).alias("definition"),
+        clean_line(F.coalesce(F.nullif("n.category", F.lit("")), F.lit("核心概念"))).alias("category"), clean_line(F.col("title")).alias("chapter"), F.coalesce(F.nullif("n.page", F.lit(0)), "page_start").alias("page"), "textbook_title",
+        F.format_string("%s, %s, 第 %d 页", "textbook_title", "title", "page_start").alias("source"), F.lit(1).alias("frequency"), F.array().cast("array<string>").alias("aliases"), F.lit(MODEL_IMPORTANCE).alias("importance"),
+    )
+    edges = said.select(*CHAPTER_KEY, F.posexplode(F.slice("r.edges", 1, MODEL_EDGES)).alias("edge_ord", "e")).where(F.col("e.relation_type").isin(list(WEIGHTS)))
+    ids = nodes.select(*CHAPTER_KEY, "name", "id")
+    ends = edges.join(ids.select(*CHAPTER_KEY, F.col("name").alias("s"), F.col("id").alias("source")), CHAPTER_KEY).where("e.source = s")
+    ends = ends.join(ids.select(*CHAPTER_KEY, F.col("name").alias("t"), F.col("id").alias("target")), CHAPTER_KEY).where("e.target = t")
+    return nodes, ends.select("textbook_id", "chapter_id", "edge_ord", "source", "target", F.col("e.relation_type").alias("relation_type"), F.coalesce("e.description", F.lit("")).alias("description"), F.lit(1.0).alias("weight"))
+
+
 def chapter_nodes(chapters: DataFrame, books: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """Nodes of the chapters that are extractable, before names are judged again; with chapter_ord, chapter_id and rank."""
     good = chapters.where(T.chapter_is_extractable(F.col("title"), F.col("content"), lexicon))

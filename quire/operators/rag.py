@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire import schemas
 from quire.functions.text import split_sentences, tokenize
 from quire.operators import segment, vectors
+from quire.operators.components import cut
 
 #: The weights of the hybrid score and BM25's parameters.
 VECTOR, LEXICAL, EXACT = 0.62, 0.28, 0.10
 K1, B = 1.5, 0.75
+CONTEXT = 10_000  # characters of sources that a writer of answers gets
 NOT_INDEXED, NOT_FOUND = "当前知识库尚未建立索引，请先点击“建立 RAG 索引”。", "当前知识库中未找到相关信息。"
 TABLES = ("chunks", "postings", "grams", "vocabulary", "stats")
 
@@ -59,8 +64,9 @@ class Index:
 
     @classmethod
     def build(cls, chunks: DataFrame, features: int = vectors.FEATURES) -> Index:
-        tf = vectors.counts(chunks, "ord", vectors.word_grams(F.col("text")))
-        vocab = vectors.vocabulary(tf, chunks.count(), "ord", features)
+        """The index of chunks; gram counts, from which vocabulary, weights and norms come, are computed once and kept."""
+        tf = cut(vectors.counts(chunks, "ord", vectors.word_grams(F.col("text"))))
+        vocab = cut(vectors.vocabulary(tf, chunks.count(), "ord", features))
         return cls(chunks, term_postings(chunks), vectors.tfidf(tf, vocab, "ord"), vocab, corpus_stats(chunks))
 
     def save(self, path: str) -> Index:
@@ -76,6 +82,17 @@ class Index:
     def load(cls, spark: SparkSession, path: str) -> Index:
         return cls(*(spark.read.parquet(f"{path}/{t}") for t in TABLES))
 
+    @staticmethod
+    def clear(spark: SparkSession, path: str) -> bool:
+        """Deletes a saved index; whether there was one."""
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+    @classmethod
+    def empty(cls, spark: SparkSession) -> Index:
+        """The index of nothing, as after clear()."""
+        return cls.build(spark.createDataFrame([], schemas.CHUNKS))
+
     def status(self) -> DataFrame:
         """indexed_books, chunk_count, embedding_backend."""
         return self.chunks.agg(F.count_distinct("textbook_id").alias("indexed_books"), F.count("*").alias("chunk_count")).withColumn("embedding_backend", F.lit("tfidf"))
@@ -102,15 +119,46 @@ class Index:
         best = top_by(self.scores(queries).join(F.broadcast(asked.select("qid", "k")) if asked.limit(100_001).count() <= 100_000 else asked.select("qid", "k"), "qid"), "score", F.col("k"))
         return best.join(asked.select("qid", "question"), "qid").join(self.chunks, "ord").select("qid", "question", "rank", "score", "ord", "chunk_id", "text", "textbook", "chapter", "page")
 
-    def answer(self, queries: DataFrame, k: int = 5) -> DataFrame:
-        """(qid, answer, citations, source_chunks) of every question."""
+    def answer(self, queries: DataFrame, k: int = 5, write: Callable[[str, str], str | None] | None = None) -> DataFrame:
+        """(qid, answer, citations, source_chunks) of every question.
+
+        write(question, sources), if given, writes the answers from up to CONTEXT characters of sources; where it gives
+        none or fails, sentences of the sources stand, as without it. An index without chunks says that it is empty.
+        """
+        if not self.chunks.limit(1).count():
+            none = F.array().cast("array<struct<textbook:string,chapter:string,page:int,relevance_score:double,chunk_id:string>>")
+            text = F.array().cast("array<struct<chunk_id:string,text:string,textbook:string,chapter:string,page:int,relevance_score:double>>")
+            return queries.select("qid", F.lit(NOT_INDEXED).alias("answer"), none.alias("citations"), text.alias("source_chunks"))
         found = self.retrieve(queries, k)
         cited = F.struct("rank", F.struct("textbook", "chapter", "page", F.round("score", 4).alias("relevance_score"), "chunk_id").alias("c"), F.struct("chunk_id", "text", "textbook", "chapter", "page", F.round("score", 4).alias("relevance_score")).alias("s"))
         listed = found.groupBy("qid").agg(F.array_sort(F.collect_list(cited)).alias("all"))
-        out = queries.select("qid").join(extracts(found), "qid", "left").join(listed, "qid", "left")
+        out = queries.select("qid").join(written(found, write), "qid", "left").join(listed, "qid", "left")
         return out.select("qid", F.coalesce("answer", F.lit(NOT_FOUND)).alias("answer"), F.col("all.c").alias("citations"), F.col("all.s").alias("source_chunks"))
 
 
+def written(found: DataFrame, write: Callable[[str, str], str | None] | None) -> DataFrame:
+    """(qid, answer): what write makes of each question and its sources, else extracts()."""
+    plain = extracts(found)
+    if write is None:
+        return plain
+    block = F.format_string("[%s, %s, 第 %d 页]\n%s", "textbook", "chapter", "page", "text")
+    sources = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))), lambda x: x["b"]), "\n\n")
+    asked = found.groupBy("qid").agg(F.first("question").alias("question"), F.left(sources, F.lit(CONTEXT)).alias("sources"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            said = []
+            for question, text in zip(b["question"], b["sources"]):
+                try:
+                    said.append(write(question, text) or None)
+                except Exception:  # a service that fails must not fail the batch
+                    said.append(None)
+            yield pd.DataFrame({"qid": b["qid"], "said": said})
+
+    said = asked.mapInPandas(run, f"qid {found.schema['qid'].dataType.simpleString()}, said string")
+    return plain.join(said, "qid", "left").select("qid", F.coalesce("said", "answer").alias("answer"))
+
+
 def extracts(found: DataFrame) -> DataFrame:
     """(qid, answer): sentences that share most tokens with the question, four at most, each with its source."""
     asked = F.array_distinct(tokenize(F.col("question")))

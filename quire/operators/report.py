@@ -7,10 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import collapse, strip, thousands
+from quire.functions.titles import chapter_number
 
 #: Concepts that a report shows first, and its limits.
 PREFERRED = ("感染", "抗原", "受体", "抗体", "炎症")
 CASES, TOP_NODES, TOP_MERGES, CHAPTER_NODES, CUT = 5, 30, 30, 20, 180
+LISTED = {"chapters": 12, "decisions": 20, "results": 8}  # rows of the lists that a client shows
 EMPTY_CHAPTER = "本章未保留独立核心节点，相关内容可能已并入跨教材同名或近义概念。"
 
 
@@ -62,6 +64,46 @@ def top_merges(decisions: DataFrame, most: int = TOP_MERGES) -> DataFrame:
     return decisions.where("action = 'merge'").orderBy(F.desc("confidence"), "decision_id").limit(most)
 
 
+def listed_chapters(chapters: DataFrame, most: int = LISTED["chapters"]) -> DataFrame:
+    """The chapters that a list shows of each book: by chapter number, then page, then title."""
+    order = W.partitionBy("textbook_id").orderBy(chapter_number(F.col("title")), "page_start", "title")
+    return chapters.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def listed_decisions(decisions: DataFrame, most: int = LISTED["decisions"]) -> DataFrame:
+    return decisions.orderBy("decision_ord").limit(most)
+
+
+def listed_results(results: DataFrame, most: int = LISTED["results"]) -> DataFrame:
+    """The first rows of a benchmark's results (qid, ...)."""
+    return results.orderBy("qid").limit(most)
+
+
+def book_summary(books: DataFrame, chapters: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(textbook_id, part, line, text): the summary of each book's graph as Markdown lines, in order of part and line."""
+    sizes = export_summary(books, chapters, nodes, edges)
+    heads = [F.format_string("# %s 知识图谱摘要", "title"), F.format_string("- 章节数：%d", "chapters"), F.format_string("- 知识点数：%d", "nodes"), F.format_string("- 关系数：%d", "edges"), F.lit("## 教材章节")]
+    first = sizes.select("textbook_id", F.lit(0).alias("part"), F.posexplode(F.array(*heads)).alias("line", "text"))
+    chapter = F.format_string("- %s（第 %d–%d 页，%d 字）", "title", "page_start", "page_end", "char_count")
+    second = chapters.select("textbook_id", F.lit(1).alias("part"), F.col("chapter_ord").alias("line"), chapter.alias("text"))
+    third = books.select("textbook_id", F.lit(2).alias("part"), F.lit(0).alias("line"), F.lit("## 章节节点分布").alias("text"))
+    counts = chapter_histogram(nodes).select("textbook_id", F.lit(2).alias("part"), F.col("rank").alias("line"), F.format_string("- %s：%d 个节点", "chapter", "n").alias("text"))
+    fourth = books.select("textbook_id", F.lit(3).alias("part"), F.lit(0).alias("line"), F.lit("## 重要知识点示例").alias("text"))
+    best = top_nodes(nodes, ["textbook_id"]).select("textbook_id", F.lit(3).alias("part"), F.col("rank").alias("line"), F.format_string("- %s（%s，%s，第 %d 页）", "name", "chapter", "category", "page").alias("text"))
+    return first.unionByName(second).unionByName(third).unionByName(counts).unionByName(fourth).unionByName(best)
+
+
+def decision_summary(decisions: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(line, text): the decisions' counts and surest merges as Markdown lines."""
+    n = decisions.agg(F.count("*").alias("all"), *(F.count_if(F.col("action") == a).alias(a) for a in ("merge", "keep", "remove")))
+    n = n.crossJoin(nodes.agg(F.count("*").alias("nodes"))).crossJoin(edges.agg(F.count("*").alias("edges")))  # a row each
+    said = (("决策总数", "all"), ("合并", "merge"), ("保留", "keep"), ("删除", "remove"), ("整合后节点", "nodes"), ("整合后关系", "edges"))
+    heads = n.select(F.posexplode(F.array(F.lit("# 跨教材整合决策摘要"), *(F.format_string(f"- {a}：%d", c) for a, c in said), F.lit("## 高置信度合并示例"))).alias("line", "text"))
+    text = F.format_string("- %s：置信度 %.2f，结果节点 %s，来源 %s", "decision_id", "confidence", "result_node", F.array_join(F.slice("affected_nodes", 1, 5), "、"))
+    place = F.row_number().over(W.orderBy(F.desc("confidence"), "decision_id"))
+    return heads.unionByName(top_merges(decisions).select((place + 100).alias("line"), text.alias("text")))
+
+
 def export_summary(books: DataFrame, chapters: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(textbook_id, title, chapters, nodes, edges) of each book."""
     c = chapters.groupBy("textbook_id").agg(F.count("*").alias("chapters"))

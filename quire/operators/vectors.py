@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,6 +82,38 @@ def cosine_pairs(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame
     return left.join(right.withColumnRenamed("w", "w2"), "term").groupBy(a, b).agg(F.sum(F.col("w") * F.col("w2")).alias("cosine"))
 
 
+def encoded(docs: DataFrame, key: str, text: str, encode: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """(key, vector array<double>): what an encoder of your own makes of each batch of texts, scaled to length 1."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            v = np.asarray(encode(b["__text"].tolist()), float).reshape(len(b), -1)
+            norm = np.sqrt((v * v).sum(1, keepdims=True))
+            yield pd.DataFrame({key: b[key], "vector": list(v / np.where(norm > 0, norm, 1.0))})
+
+    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    return rows.mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, vector array<double>")
+
+
+def backend(name: str = "auto", encode: Callable[[list[str]], np.ndarray] | None = None) -> str:
+    """The vectors that a setting stands for: an encoder's if asked for and given, else TF-IDF; hash is asked for by name."""
+    wanted = (name or "auto").lower()
+    if wanted in ("hash", "hashing"):
+        return "hash"
+    return "encoder" if wanted in ("auto", "encoder", "sentence-transformers") and encode is not None else "tfidf"
+
+
+def vectorized(docs: DataFrame, key: str, text: str, name: str = "auto", encode: Callable[[list[str]], np.ndarray] | None = None, features: int = FEATURES) -> tuple[str, DataFrame]:
+    """(the back end, its unit vectors of docs): postings (key, term, w) or, by an encoder, (key, vector)."""
+    kind = backend(name, encode)
+    if kind == "encoder":
+        return kind, encoded(docs, key, text, encode)
+    if kind == "hash":
+        return kind, hashed(docs, key, text).withColumnRenamed("slot", "term")
+    tf = counts(docs, key, word_grams(F.col(text)))
+    return kind, tfidf(tf, vocabulary(tf, docs.count(), key, features), key)
+
+
 def dense_cosine(x: Column, y: Column) -> Column:
     """Cosine of two arrays; a zero vector's norm counts as 1."""
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: u.cast("double") * v), F.lit(0.0), lambda s, v: s + v)
@@ -86,6 +122,6 @@ def dense_cosine(x: Column, y: Column) -> Column:
 
 
 def top_neighbours(pairs: DataFrame, a: str, b: str, k: int = 10) -> DataFrame:
-    """The k most similar b of each a, ties to the smaller b."""
-    rank = F.row_number().over(W.partitionBy(a).orderBy(F.desc("cosine"), b))
+    """The k most similar b of each a; of ties, to nine places, the smaller b."""
+    rank = F.row_number().over(W.partitionBy(a).orderBy(F.round("cosine", 9).desc(), b))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)

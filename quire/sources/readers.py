@@ -171,3 +171,12 @@ def upload_name(filename: Column) -> Column:
     suffix = F.lower(F.regexp_extract(filename, r"(?<=.)(\.[^.]*)$", 1))
     stem = F.regexp_replace(filename, r"(?<=.)\.[^.]*$", "")
     return F.concat(safe_id("file", F.concat(stem, suffix)), suffix)
+
+
+def save_upload(spark: SparkSession, path: str, folder: str) -> str:
+    """Copies a file into the landing folder under its hashed name, between any two of Hadoop's file systems; the new path."""
+    name = spark.range(1).select(upload_name(F.lit(path.rstrip("/").rsplit("/", 1)[-1])).alias("n")).first().n
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+    jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
+    return f"{folder.rstrip('/')}/{name}"

@@ -16,7 +16,7 @@ from quire import schemas
 from quire.sources.readers import book_order
 
 CHAT_KEPT = 200
-SCHEMAS = {"books": schemas.TEXTBOOKS, "nodes": schemas.NODES, "edges": schemas.EDGES, "merged": schemas.NODES, "kept_edges": schemas.EDGES, "decisions": schemas.DECISIONS, "chat": schemas.CHAT}
+SCHEMAS = {"books": schemas.TEXTBOOKS, "chapters": schemas.CHAPTERS, "nodes": schemas.NODES, "edges": schemas.EDGES, "merged": schemas.NODES, "kept_edges": schemas.EDGES, "decisions": schemas.DECISIONS, "chat": schemas.CHAT}
 
 
 class Store:
@@ -62,14 +62,26 @@ class Store:
         self.upsert("nodes", nodes)
         self.upsert("edges", edges)
 
-    def delete_book(self, textbook_id: str) -> bool:
-        """Deletes a book with its graph and resets the integration; whether there was such a book."""
-        if not self.get("books", textbook_id).limit(1).count():
+    def save_integration(self, nodes: DataFrame, edges: DataFrame, decisions: DataFrame) -> None:
+        """Makes these the integrated graph and its decisions."""
+        for table, df in (("merged", nodes), ("kept_edges", edges), ("decisions", decisions)):
+            self.write(table, df)
+
+    def integration(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(nodes, edges, decisions) as last saved; empty if they never were."""
+        return self.read("merged"), self.read("kept_edges"), self.read("decisions")
+
+    def delete_book(self, textbook_id: str, uploads: str | None = None, index: str | None = None) -> bool:
+        """Deletes a book with its chapters, graph and upload, resets the integration and clears the index; whether there was such a book."""
+        book = self.get("books", textbook_id).select("filename").first()
+        if book is None:
             return False
-        for table in ("books", "nodes", "edges"):
+        for table in ("books", "chapters", "nodes", "edges"):
             self.write(table, self.read(table).where(F.col("textbook_id") != textbook_id))
-        for table in ("merged", "kept_edges", "decisions"):
-            self.write(table, self.spark.createDataFrame([], SCHEMAS[table]))
+        self.save_integration(*(self.spark.createDataFrame([], SCHEMAS[t]) for t in ("merged", "kept_edges", "decisions")))
+        for path in ([f"{uploads.rstrip('/')}/{book.filename}"] if uploads and book.filename else []) + ([index] if index else []):
+            gone = self._jvm.org.apache.hadoop.fs.Path(path)
+            gone.getFileSystem(self._conf).delete(gone, True)
         return True
 
     def append_chat(self, rows: DataFrame) -> None:
@@ -89,11 +101,26 @@ def chat_tail(chat: DataFrame, kept: int = CHAT_KEPT, by: list[str] | None = Non
     return chat.withColumn("__n", n).where(F.col("__n") <= kept).drop("__n")
 
 
-def export(books: DataFrame, nodes: DataFrame, edges: DataFrame, path: str) -> DataFrame:
-    """Writes books without content, and a JSON folder per book's graph; (file, bytes, sha256) of what is there."""
-    from quire.operators.report import export_books
-
-    export_books(books).write.mode("overwrite").json(f"{path}/books")
+def export(books: DataFrame, nodes: DataFrame, edges: DataFrame, path: str, chapters: DataFrame | None = None, integrated: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Writes books without content, and a JSON folder per book's graph; (file, bytes, sha256) of what is there.
+
+    With chapters and the integration (nodes, edges, decisions) also the summaries and the refined book, and definitions
+    cleaned again.
+    """
+    from quire.functions.terms import clean_definition
+    from quire.operators import report
+
+    if chapters is not None and integrated is not None:
+        merged, kept, decisions = integrated
+        merged = merged.withColumn("definition", clean_definition(F.col("name"), F.col("definition")))
+        nodes = nodes.withColumn("definition", clean_definition(F.col("name"), F.col("definition")))
+        summaries = {
+            "summaries": report.book_summary(books, chapters, nodes, edges).orderBy("textbook_id", "part", "line"), "decision-summary": report.decision_summary(decisions, merged, kept).orderBy("line"),
+            "refined": report.refined_book(books, chapters, merged).orderBy("book_ord", "chapter_ord", "line"), "summary": report.export_summary(books, chapters, nodes, edges), "merged": merged, "merged-edges": kept, "decisions": decisions,
+        }
+        for name, df in summaries.items():
+            df.write.mode("overwrite").json(f"{path}/{name}")
+    report.export_books(books).write.mode("overwrite").json(f"{path}/books")
     nodes.write.mode("overwrite").partitionBy("textbook_id").json(f"{path}/nodes")
     edges.write.mode("overwrite").partitionBy("textbook_id").json(f"{path}/edges")
     files = nodes.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path)

@@ -17,11 +17,12 @@ def upload_stream(spark: SparkSession, path: str, per_batch: int = 50) -> DataFr
 
 
 def ingest(files: DataFrame, store: Store, checkpoint: str):
-    """A query that parses each batch of files and upserts its books."""
+    """A query that parses each batch of files and upserts its books and their chapters."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        books, _chapters = readers.parse(rows)
+        books, chapters = readers.parse(rows)
         store.upsert("books", books)
+        store.upsert("chapters", chapters)
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
