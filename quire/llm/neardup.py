@@ -41,7 +41,7 @@ from quire.llm.shared import components, drop_stored, spread_join, stored
 log = logging.getLogger(__name__)
 
 THRESHOLD = 0.9
-K, LEAF, START, STILL = 12, 64, 0.95, 0.002
+K, LEAF, START, STILL = 12, 64, 0.95, 0.01
 TOGETHER = 4  # trees that are planted at once
 SQUARE, RECALL, SEED = 1024, 0.99, 11
 
@@ -140,16 +140,17 @@ def _forest(vectors: DataFrame, n: int, k: int, kind: str, trees: range) -> Data
 
 
 def _lists(pairs: DataFrame, old: DataFrame | None, k: int, waiting: DataFrame | None = None) -> DataFrame:
-    """(id, u array, s array, fresh array, kth): each vector's k nearest of old and new pairs; fresh are new ones and those of waiting (v, u)."""
-    rows = pairs.select("v", "u", "s", F.lit(True).alias("fresh"))
+    """(id, u array, s array, fresh array, kth): each vector's k nearest of old and new pairs; fresh are new ones and those of waiting (v, u).
+
+    All steps group by v or finer, so one shuffle by v serves them all.
+    """
+    rows = pairs.select("v", "u", "s", F.lit(1).alias("kind"))
     if old is not None:
-        kept = old.select(F.col("id").alias("v"), F.explode(F.arrays_zip("u", "s")).alias("e")).select("v", "e.u", "e.s")
-        if waiting is None:
-            kept = kept.withColumn("fresh", F.lit(False))
-        else:
-            kept = kept.join(waiting.withColumn("fresh", F.lit(True)), ["v", "u"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
-        rows = rows.unionByName(kept.select("v", "u", "s", "fresh"))
-    rows = rows.groupBy("v", "u").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
+        rows = rows.unionByName(old.select(F.col("id").alias("v"), F.explode(F.arrays_zip("u", "s")).alias("e")).select("v", "e.u", "e.s", F.lit(0).alias("kind")))
+    if waiting is not None:
+        rows = rows.unionByName(waiting.select("v", "u", F.lit(None).cast("double").alias("s"), F.lit(2).alias("kind")))
+    fresh = (F.min("kind") == 1) | ((F.min("kind") == 0) & (F.max("kind") == 2))
+    rows = rows.repartition("v").groupBy("v", "u").agg(F.max("s").alias("s"), fresh.alias("fresh")).where("s is not null")
     turn = F.row_number().over(W.partitionBy("v").orderBy(F.desc("s"), "u"))
     rows = rows.withColumn("turn", turn).where(F.col("turn") <= k).groupBy("v").agg(F.array_sort(F.collect_list(F.struct("turn", "u", "s", "fresh"))).alias("e"))
     return rows.select(F.col("v").alias("id"), F.col("e.u").alias("u"), F.col("e.s").alias("s"), F.col("e.fresh").alias("fresh"), F.when(F.size("e") < k, F.lit(-1.0)).otherwise(F.element_at("e", -1)["s"]).alias("kth"))
@@ -158,13 +159,13 @@ def _lists(pairs: DataFrame, old: DataFrame | None, k: int, waiting: DataFrame |
 def _pivots(lists: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """((p, u, fresh): the vectors that each pivot compares, 2 k at most, fresh ones first; (v, u): entries that had to wait)."""
     e = lists.select("id", F.explode(F.arrays_zip("u", "fresh")).alias("e")).select(F.col("id").alias("p"), "e.u", "e.fresh")
-    both = e.unionByName(e.select(F.col("u").alias("p"), F.col("p").alias("u"), "fresh")).groupBy("p", "u").agg(F.max("fresh").alias("fresh"))
+    both = e.unionByName(e.select(F.col("u").alias("p"), F.col("p").alias("u"), "fresh")).repartition("p").groupBy("p", "u").agg(F.max("fresh").alias("fresh"))
     each = W.partitionBy("p")
     place = F.row_number().over(each.orderBy(F.col("fresh").desc(), F.xxhash64("p", "u")))
     both = both.withColumn("place", place).withColumn("some", F.max("fresh").over(each)).where("some and (fresh or place <= %d)" % (2 * k))
     both = stored(both.select("p", "u", "fresh", "place"), "pivots")
     wait = both.where(F.col("place") > 2 * k).select(F.col("p").alias("v"), "u")
-    return both.where(F.col("place") <= 2 * k).select("p", "u", "fresh"), wait.unionByName(wait.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct()
+    return both.where(F.col("place") <= 2 * k).select("p", "u", "fresh"), wait.unionByName(wait.select(F.col("u").alias("v"), F.col("v").alias("u")))
 
 
 def _join(vectors: DataFrame, lists: DataFrame, pivots: DataFrame, kind: str) -> DataFrame:
@@ -187,7 +188,7 @@ def _join(vectors: DataFrame, lists: DataFrame, pivots: DataFrame, kind: str) ->
 
     carried = vectors.select(F.col("id").alias("u"), "vec").join(lists.select(F.col("id").alias("u"), "kth"), "u", "left").withColumn("kth", F.coalesce("kth", F.lit(-1.0)))
     rows = pivots.join(carried, "u").select("p", "u", "fresh", "kth", "vec")
-    return rows.repartition("p").sortWithinPartitions("p").mapInArrow(run, PAIR).groupBy("v", "u").agg(F.max("s").alias("s"))
+    return rows.repartition("p").sortWithinPartitions("p").mapInArrow(run, PAIR)
 
 
 class Graph:
@@ -205,16 +206,19 @@ class Graph:
         self.trees += trees
         return pairs
 
-    def add(self, pairs: DataFrame, waiting: DataFrame | None = None) -> int:
-        """Takes in pairs and drops them; the number of new links on lists."""
-        links = stored(pairs.where((F.col("s") >= THRESHOLD) & (F.col("v") < F.col("u"))).select(F.col("v").alias("a"), F.col("u").alias("b")).distinct(), "links")
+    def add(self, pairs: DataFrame, waiting: DataFrame | None = None) -> float:
+        """Takes in pairs and drops them; the share of new links among those on lists."""
+        links = stored(pairs.where((F.col("s") >= THRESHOLD) & (F.col("v") < F.col("u"))).select(F.col("v").alias("a"), F.col("u").alias("b")), "links")
         self.links = links if self.links is None else self.links.unionByName(links)
         after = stored(_lists(pairs, self.lists, self.k, waiting), "lists")
         drop_stored(pairs)
         if self.lists is not None:
             drop_stored(self.lists)
         self.lists = after
-        return after.select(F.sum(F.size(F.filter(F.arrays_zip("s", "fresh"), lambda e: e["fresh"] & (e["s"] >= THRESHOLD))))).first()[0] or 0
+        is_link = lambda e: e["s"] >= THRESHOLD
+        held = F.filter(F.arrays_zip("s", "fresh"), is_link)
+        got = after.agg(F.sum(F.size(F.filter(held, lambda e: e["fresh"]))).alias("new"), F.sum(F.size(held)).alias("all")).first()
+        return got.new / got["all"] if got["all"] else 0.0
 
     def refine(self) -> None:
         """Joins neighbours of neighbours until a round gives few new links."""
@@ -224,8 +228,7 @@ class Graph:
             self.turns += 1
             new = self.add(pairs, waiting)
             drop_stored(pivots)
-            held = self.lists.select(F.sum(F.size(F.filter("s", lambda s: s >= THRESHOLD)))).first()[0] or 0
-            if new <= STILL * held:
+            if new <= STILL:
                 return
 
     def audit(self, pairs: DataFrame, comps: DataFrame) -> tuple[float | None, int]:

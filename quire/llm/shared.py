@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,21 +99,58 @@ def spread_join(rows: DataFrame, table: DataFrame, on: str, how: str = "inner",
     return out.unionByName(nulls, allowMissingColumns=True) if nulls is not None else out
 
 
+#: Edges that a task joins into components at once, about 20 MB.
+TASK_EDGES = 500_000
+
+
+def _stars(edges: DataFrame, tasks: int) -> DataFrame:
+    """(node, other): in each of the tasks, every node beside the smallest node that the task's edges (node, other) join it to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not held:
+            return
+        x, y = (np.concatenate(c) for c in zip(*held))
+        nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        x, y = at[: len(x)], at[len(x) :]
+        top = np.arange(len(nodes))
+        while True:  # labels fall along edges, then along themselves
+            before = top.copy()
+            low = np.minimum(top[x], top[y])
+            np.minimum.at(top, top[x], low)
+            np.minimum.at(top, top[y], low)
+            while (top[top] != top).any():
+                top = top[top]
+            if (before == top).all():
+                break
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[top])], names=["node", "other"])
+
+    return edges.coalesce(tasks).mapInArrow(run, "node long, other long")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an edge list: (node, component), component being the smallest node reachable.
+    """Connected components of an edge list of longs: (node, component), component being the smallest node reachable.
 
-    Labels start as the smaller end of any edge and fall to the smallest neighbour's label; after each round every
-    label is replaced by its own label (pointer jumping), so long paths shrink by half. Only nodes with an edge come
-    back. Self loops and repeated edges are allowed; an edge with a null end is ignored. An empty list gives no rows.
+    Tasks of up to TASK_EDGES edges first join what their own edges join, which leaves a star for each of their
+    components. If that took more than one task, labels start as the smaller end of any star's edge and fall to the
+    smallest neighbour's label; after each round every label is replaced by its own label (pointer jumping), so long
+    paths shrink by half. Only nodes with an edge come back. Self loops and repeated edges are allowed; an edge with a
+    null end is ignored. An empty list gives no rows.
     """
+    given = stored(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where(F.col("node").isNotNull() & F.col("other").isNotNull()), "given")
+    tasks = -(-given.count() // TASK_EDGES)
+    stars = stored(_stars(given, max(1, tasks)), "stars")
+    drop_stored(given)
+    if tasks <= 1:
+        return stars.withColumnRenamed("other", "component")
     both = stored(
-        edges.select(F.col(a).alias("node"), F.col(b).alias("other"))
-        .where(F.col("node").isNotNull() & F.col("other").isNotNull())
+        stars
         .withColumn("way", F.explode(F.array(F.lit(True), F.lit(False))))
         .select(F.when(F.col("way"), F.col("node")).otherwise(F.col("other")).alias("node"), F.when(F.col("way"), F.col("other")).otherwise(F.col("node")).alias("other"))
         .distinct(),
         "edges",
     )
+    drop_stored(stars)
     hubs = hot_keys(both, "other")
     labels = stored(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")), "labels")
     while True:
