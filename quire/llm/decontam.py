@@ -1,21 +1,23 @@
 """Benchmark decontamination by spaced seeds.
 
 A seed is a fixed mask over token positions: it hashes the tokens at some offsets and ignores those between, so a
-substituted token at an ignored offset doesn't spoil the hash. The benchmark's seeds are hashed into a sorted table,
-a document's at every position; where they meet, document and item are aligned on that diagonal and the overlap
+substituted token at an ignored offset doesn't spoil the hash. The hashes of the benchmark's seeds are joined with those
+of the documents at every position; where two meet, document and item are aligned on that diagonal and the overlap
 around the hit is verified: the best run of at least min(MIN_WORDS, item's words) aligned tokens of which SHARE agree,
 both its ends among them.
 
 The masks lose nothing: every such run has a hit. A run of 26 tokens or more can be halved into two of 13 or more, one
 of which has the share as well, so runs of 13 to 25 tokens at any ends are all there is to cover; and a run of 14, or
 16 to 19, or 21 to 24 holds one of 13, 15 or 20 with as many substitutions at most. The test enumerates all places of 2
-substitutions in 13 tokens, 3 in 15, 4 in 20 and 5 in 25, and for items of SHORTEST to 12 words all places inside them.
+substitutions in 13 tokens, 3 in 15, 4 in 20 and 5 in 25, and for shorter items all places inside them.
 
-Tokens are words with A-Z lowered and ASCII punctuation at their ends left out. Items below SHORTEST words, which
-ordinary text repeats by chance, find nothing, and so do runs of fewer than MIN_WORDS tokens of longer items.
+Tokens are words with A-Z lowered and ASCII punctuation at their ends left out. Runs of fewer than MIN_WORDS tokens of
+longer items find nothing. An item of few words stands in ordinary text by chance: `shortest` leaves such items out.
 
-The benchmark is taken in blocks of BLOCK_WORDS words, each a broadcast of proven size; every block passes over all
-documents. With the usual benchmark there is one block.
+Documents' hashes first pass a sieve, a bit for each value of some of a benchmark hash's bits; it has 16 bits for each
+benchmark seed, up to SIEVE, so it is a broadcast of bounded size whatever the benchmark's. What passes is shuffled and
+joined with the benchmark's seeds. Hits are pairs of numbers; for each the document's tokens on the diagonal, as many as
+the item has, are joined with the item's. Nothing of the benchmark goes through the driver but the sieve.
 
 Cases: null or empty texts and items match nothing; a null item_id is reported as null; repeated documents and items
 are reported each; an empty table gives no rows; an item's best overlap with a document is reported once, the leftmost
@@ -31,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import BROADCAST_ROWS, columns, free, stored
+from quire.llm.shared import BROADCAST_ROWS, columns, drop_stored, free, only_ids, spread_join, stored
 from quire.llm.words import mixed, pieces, words
 
 #: For overlaps of MIN_WORDS tokens or more, and for whole items of fewer words; found by greedy cover.
 MASKS = ("111011", "11111")
 SHORT_MASKS = {
+    1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: ("10111", "11011", "11101"),
     6: ("111101", "111011", "110111", "101111"),
     7: ("11111", "111011", "110111"),
     8: ("111111", "1111011", "1101111"),
@@ -45,9 +48,8 @@ SHORT_MASKS = {
     11: ("1111011", "110010111", "1101100101", "111111"),
     12: ("11111011", "110101111", "11101100011", "111001111"),
 }
-MIN_WORDS, SHARE, SHORTEST = 13, 0.8, 6
-BLOCK_WORDS = 400_000
-HITS = 1 << 19  # hits, or tokens on their diagonals, that are held at once
+MIN_WORDS, SHARE, SHORTEST = 13, 0.8, 1
+SIEVE = 28  # the binary logarithm of the sieve's largest size: 32 MB
 
 _MULT = (np.random.default_rng(99).integers(0, 2**62, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _TRIM = np.zeros(256, bool)
@@ -56,17 +58,21 @@ _TRIM[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
 def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of the words of texts, end punctuation left out; a word of punctuation only is no token."""
+    n = len(data)
+    if not n:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    space, trim, here = (data == 32) | ((data >= 9) & (data <= 13)), _TRIM[data], np.arange(n)
+    edge = np.zeros(n + 1, bool)  # where a word may start, or the one before end
+    edge[at] = True
+    edge[:-1] |= space
+    edge[1:] |= space
+    solid = ~space & ~trim
+    start = np.maximum.accumulate(np.where(edge[:-1], here, 0))
+    end = np.minimum.accumulate(np.where(edge[1:], here, n)[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(solid, here, -1))
+    after = np.minimum.accumulate(np.where(solid, here, n)[::-1])[::-1]
     blank = data.copy()
-    for _ in range(3):  # up to three marks on either side
-        space = (blank == 32) | ((blank >= 9) & (blank <= 13))
-        edge = np.concatenate([[True], space])
-        first, last = edge[:-1].copy(), np.append(space[1:], True)
-        first[at[:-1][at[:-1] < len(blank)]] = True
-        last[at[1:][at[1:] > 0] - 1] = True
-        off = _TRIM[blank] & (first | last)
-        if not off.any():
-            break
-        blank[off] = 32
+    blank[trim & ((before < start) | (after > end))] = 32
     h, row, _, _ = words(blank, at)
     return h, row
 
@@ -76,136 +82,160 @@ def masks(n: int) -> tuple[str, ...]:
     return MASKS if n >= MIN_WORDS else SHORT_MASKS.get(n, ())
 
 
-def _seeded(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
+def _seeded(h: np.ndarray, mask: str) -> np.ndarray:
     """The mask's hash at every position that has room for it."""
     n = max(len(h) - len(mask) + 1, 0)
-    total = np.full(n, salt, np.uint64)
+    total = np.full(n, int(mask, 2), np.uint64)
     for k, c in enumerate(mask):
         if c == "1":
             total += h[k : k + n] * _MULT[k]
     return mixed(total)
 
 
-class Items:
-    """A block of benchmark items with their seed table."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        texts = pa.array([t for _, t in rows], pa.large_string())
-        h, row = (np.concatenate(x) for x in zip(*[(h, r + i) for i, _, data, at in pieces(texts) for h, r in [tokens(data, at)]])) if rows else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        self.ids = [i for i, _ in rows]
-        n = np.bincount(row, minlength=len(rows))
-        first = np.concatenate([[0], np.cumsum(n)])
-        self.h, self.first, self.n = h, first, n
-        keys, item, offset = [], [], []
-        used = sorted({m for x in np.unique(n) for m in masks(int(x))})
-        self.salts = {m: k for k, m in enumerate(used)}
-        for i in range(len(rows)):
-            own = h[first[i] : first[i + 1]]
-            for m in masks(len(own)):
-                f = _seeded(own, m, self.salts[m])
-                keys.append(f)
-                item.append(np.full(len(f), i))
-                offset.append(np.arange(len(f)))
-        keys, item, offset = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, item, offset))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.item, self.offset = keys[order].astype(np.uint64), item[order].astype(np.int64), offset[order].astype(np.int64)
-        self.sieve = np.zeros(1 << 22, bool)
-        self.sieve[(self.keys >> np.uint64(42)).astype(np.int64)] = True
-
-    def hits(self, h: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(text, item, diagonal): the item's token k stands at diagonal + k of h, a seed agrees, and so do enough tokens."""
-        held = [np.empty((0, 3), np.int64)]
-        for mask, salt in self.salts.items():
-            s = _seeded(h, mask, salt)
-            at = np.flatnonzero(self.sieve[(s >> np.uint64(42)).astype(np.int64)])
-            at = at[row[at] == row[at + len(mask) - 1]]
-            a, b = np.searchsorted(self.keys, s[at], "left"), np.searchsorted(self.keys, s[at], "right")
-            at, a, b = at[a < b], a[a < b], b[a < b]
-            ends = np.cumsum(b - a)
-            for i in np.split(np.arange(len(at)), np.flatnonzero(np.diff(ends // HITS)) + 1):
-                n = (b - a)[i]
-                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a[i], n)
-                p = np.repeat(at[i], n)
-                held.append(self._near(h, row, np.stack([row[p], self.item[k], p - self.offset[k]], 1)))
-        yield from map(tuple, np.unique(np.concatenate(held), axis=0).tolist())
-
-    def _near(self, h: np.ndarray, row: np.ndarray, hits: np.ndarray) -> np.ndarray:
-        """Those of hits on whose diagonal SHARE of the fewest tokens agree; the others can't pass verify()."""
-        hits = np.unique(hits, axis=0)
-        keep = np.zeros(len(hits), bool)
-        n = self.n[hits[:, 1]]
-        ends = np.cumsum(n)
-        for i in np.split(np.arange(len(hits)), np.flatnonzero(np.diff(ends // HITS)) + 1):
-            if not len(i):
-                continue
-            m = n[i]
-            k = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            text, item, diagonal = np.repeat(hits[i], m, axis=0).T
-            p = np.clip(diagonal + k, 0, len(h) - 1)
-            same = (p == diagonal + k) & (row[p] == text) & (h[p] == self.h[self.first[item] + k])
-            keep[i] = np.add.reduceat(same, np.cumsum(m) - m) >= SHARE * np.minimum(m, MIN_WORDS) - 1e-9
-        return hits[keep]
-
-    def verify(self, h: np.ndarray, low: int, high: int, item: int, diagonal: int) -> tuple[int, int, int] | None:
-        """(first token, end token, agreeing) of the longest good overlap in h[low:high] on the diagonal, or None."""
-        own = self.h[self.first[item] : self.first[item + 1]]
-        a, b = max(low, diagonal), min(high, diagonal + len(own))
-        least = min(MIN_WORDS, len(own))
-        if b - a < least:
-            return None
-        same = h[a:b] == own[a - diagonal : b - diagonal]
-        gain = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - SHARE, -SHARE))])
-        # The longest run with agreeing ends and a sum of at least 0: the first such start whose gain is not above the end's.
-        floor = np.minimum.accumulate(np.where(np.append(same, False), gain, np.inf))
-        start = np.searchsorted(-floor, -(gain + 1e-9), "left")
-        length = np.where(np.append(False, same), np.arange(len(gain)) - start, 0)
-        e = int(np.argmax(length))
-        s = int(start[e])
-        if e - s < least:
-            return None
-        return a + s, a + e, int(same[s:e].sum())
-
-
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, first_token, end_token (exclusive), n_same: the best overlap of each contaminated pair."""
-    spark = docs.sparkSession
-    schema = "doc_id long, item_id long, first_token long, end_token long, n_same long"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def block(items: list[tuple[int, str]]) -> DataFrame:
-        shipped = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = Items(shipped.value)
-            for batch in batches:
-                ids = batch.column(0).to_pylist()
-                for i, _, data, at in pieces(batch.column(1)):
-                    h, row = tokens(data, at)
-                    best: dict[tuple[int, int], tuple] = {}
-                    for doc, item, diagonal in table.hits(h, row):
-                        low, high = np.searchsorted(row, [doc, doc + 1])
-                        got = table.verify(h, int(low), int(high), item, diagonal)
-                        if got:
-                            key, new = (doc, item), (got[1] - got[0], -(got[0] - int(low)), got[2])
-                            best[key] = max(best.get(key, new), new)
-                    if best:
-                        out = [(ids[i + d], table.ids[k], -s, n - s, same) for (d, k), (n, s, same) in best.items()]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "item_id", "first_token", "end_token", "n_same"])
-
-        return rows.mapInArrow(run, schema)
-
-    found, held, size = None, [], 0
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where(F.length("text") > 0).orderBy("item_id", "text")
-    for r in items.toLocalIterator():
-        held.append((r[0], r[1]))
-        size += len(r[1].split())
-        if size >= BLOCK_WORDS:
-            part, held, size = block(held), [], 0
-            found = part if found is None else found.unionByName(part)
-    if held or found is None:
-        part = block(held)
-        found = part if found is None else found.unionByName(part)
-    return found
+def verify(doc: np.ndarray, item: np.ndarray, least: int) -> tuple[int, int, int] | None:
+    """(first token, end token, agreeing) of the longest good overlap of two aligned runs of tokens, or None."""
+    if len(doc) < least:
+        return None
+    same = doc == item
+    gain = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - SHARE, -SHARE))])
+    # The longest run with agreeing ends and a sum of at least 0: the first such start whose gain is not above the end's.
+    floor = np.minimum.accumulate(np.where(np.append(same, False), gain, np.inf))
+    start = np.searchsorted(-floor, -(gain + 1e-9), "left")
+    length = np.where(np.append(False, same), np.arange(len(gain)) - start, 0)
+    e = int(np.argmax(length))
+    s = int(start[e])
+    return (s, e, int(same[s:e].sum())) if e - s >= least else None
+
+
+def _items(benchmark: DataFrame, shortest: int) -> DataFrame:
+    """(row, item_id, n, h): the items' token hashes, row being a number of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, at in pieces(batch.column(1)):
+                h, row = tokens(data, at)
+                cut = np.searchsorted(row, np.arange(j - i + 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(cut)), pa.array([h[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["item_id", "n", "h"])
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
+    made = rows.mapInArrow(run, "item_id long, n long, h binary").where(F.col("n") >= shortest)
+    return stored(made.select(F.monotonically_increasing_id().alias("row"), "item_id", "n", "h"), "items")
+
+
+def _item_seeds(items: DataFrame) -> DataFrame:
+    """(key, row, offset) of every seed of the items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, n, h in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                for m in masks(n):
+                    f = _seeded(np.frombuffer(h, "<u8"), m)
+                    yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(np.full(len(f), row)), pa.array(np.arange(len(f)))], names=["key", "row", "offset"])
+
+    return stored(items.select("row", "n", "h").mapInArrow(run, "key long, row long, offset long"), "seeds")
+
+
+def _sieve(seeds: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, the sieve as bytes): a bit for each value of the first bits of seeds' keys."""
+    bits = min(SIEVE, max(16, (16 * seeds.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            yield pa.RecordBatch.from_arrays([pa.array((cell >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (cell & np.uint64(63))).view(np.int64))], names=["word", "mark"])
+
+    marks = seeds.select("key").mapInArrow(run, "word long, mark long").groupBy("word").agg(F.bit_or("mark").alias("mark"))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    for r in marks.toLocalIterator():  # 2 ** (SIEVE - 6) rows at most
+        out[r.word] = r.mark
+    return bits, out
+
+
+def _candidates(texts: DataFrame, used: list[str], bits: int, sieve: np.ndarray) -> DataFrame:
+    """(key, text, at): the seeds of texts (text_key, text) that pass the sieve."""
+    shipped = texts.sparkSession.sparkContext.broadcast(sieve)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shipped.value
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for i, _, data, at in pieces(batch.column(1)):
+                h, row = tokens(data, at)
+                first = np.searchsorted(row, row)
+                for mask in used:
+                    s = _seeded(h, mask)
+                    cell = (s >> np.uint64(64 - bits)).astype(np.int64)
+                    p = np.flatnonzero((table[cell >> 6] >> (cell & 63)) & 1)
+                    p = p[row[p] == row[p + len(mask) - 1]]
+                    if len(p):
+                        yield pa.RecordBatch.from_arrays([pa.array(s[p].view(np.int64)), pa.array(keys[i + row[p]]), pa.array(p - first[p])], names=["key", "text", "at"])
+
+    return stored(texts.mapInArrow(run, "key long, text long, at long"), "candidates")
+
+
+def _aligned(texts: DataFrame) -> DataFrame:
+    """(text, row, begin, offset, doc): for each hit of texts (text_key, text, hits) the document's tokens on its diagonal.
+
+    begin is the first of them in the document, offset its place in the item.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, hits = batch.column(0).to_numpy(), batch.column(2)
+            cut = np.asarray(hits.offsets).astype(np.int64)
+            item, diagonal, size = (hits.values.field(k).to_numpy() for k in range(3))
+            for i, j, data, at in pieces(batch.column(1)):
+                h, row = tokens(data, at)
+                ends = np.searchsorted(row, np.arange(j - i + 1))
+                for d in range(i, j):
+                    own = h[ends[d - i] : ends[d - i + 1]]
+                    x = slice(cut[d], cut[d + 1])
+                    begin, end = np.maximum(diagonal[x], 0), np.minimum(diagonal[x] + size[x], len(own))
+                    runs = pa.array([own[a:b].tobytes() for a, b in zip(begin, end)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(begin), keys[d])), pa.array(item[x]), pa.array(begin), pa.array(begin - diagonal[x]), runs], names=["text", "row", "begin", "offset", "doc"])
+
+    return texts.mapInArrow(run, "text long, row long, begin long, offset long, doc binary")
+
+
+def _verified(pairs: DataFrame) -> DataFrame:
+    """(text, row, item_id, first_token, end_token, n_same) of the pairs (text, row, item_id, begin, offset, doc, h, n) that overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, out = [], []
+            for k, (begin, offset, doc, h, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3, 8)))):
+                doc, item = np.frombuffer(doc, "<u8"), np.frombuffer(h, "<u8")
+                got = verify(doc, item[offset : offset + len(doc)], min(MIN_WORDS, n))
+                if got:
+                    keep.append(k)
+                    out.append((begin + got[0], begin + got[1], got[2]))
+            chosen = batch.take(pa.array(keep, pa.int64()))
+            ends = [pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([*chosen.columns[:3], *ends], names=["text", "row", "item_id", "first_token", "end_token", "n_same"])
+
+    return pairs.select("text", "row", "item_id", "begin", "offset", "doc", "h", "n").mapInArrow(run, "text long, row long, item_id long, first_token long, end_token long, n_same long")
+
+
+def find(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+    """doc_id, item_id, first_token, end_token (exclusive), n_same: the best overlap of each contaminated pair; items of `shortest` tokens or more count."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    items = _items(benchmark, max(1, shortest))
+    seeds = _item_seeds(items)
+    sizes = [r.n for r in items.select(F.least("n", F.lit(MIN_WORDS)).alias("n")).distinct().collect()]  # MIN_WORDS rows at most
+    used = sorted({m for n in sizes for m in masks(n)})
+    found = _candidates(rows.select("text_key", "text"), used, *_sieve(seeds))
+    hits = spread_join(found, seeds, "key").select("text", "row", (F.col("at") - F.col("offset")).alias("diagonal")).distinct()
+    hits = hits.join(items.select("row", "n"), "row")
+    listed = stored(hits.groupBy("text").agg(F.collect_list(F.struct("row", "diagonal", "n")).alias("hits")).withColumnRenamed("text", "text_key"), "hits")
+    drop_stored(found)
+    few = listed.limit(BROADCAST_ROWS // 10 + 1).count() <= BROADCAST_ROWS // 10
+    one = only_ids(rows, listed.select("text_key"), "text_key").groupBy("text_key").agg(F.first("text").alias("text"))
+    aligned = _aligned(one.join(F.broadcast(listed) if few else listed, "text_key").select("text_key", "text", "hits"))
+    pairs = _verified(aligned.join(items, "row"))
+    best = pairs.groupBy("text", "row").agg(F.max(F.struct((F.col("end_token") - F.col("first_token")).alias("n"), (-F.col("first_token")).alias("at"), "n_same")).alias("b"), F.first("item_id").alias("item_id"))
+    best = stored(best.select(F.col("text").alias("text_key"), "item_id", (-F.col("b.at")).alias("first_token"), (F.col("b.n") - F.col("b.at")).alias("end_token"), F.col("b.n_same").alias("n_same")), "leaks")
+    ids = only_ids(rows.select("doc_id", "text_key"), best.select("text_key").distinct(), "text_key")
+    return spread_join(ids, best, "text_key").select("doc_id", "item_id", "first_token", "end_token", "n_same")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

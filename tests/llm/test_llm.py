@@ -215,13 +215,24 @@ def test_decontam(spark):
     rows += [(200, "so, Only seven words stand in here now!"), (201, None), (202, ""), (203, items[-1][1]), (203, items[-1][1]), (None, items[11][1]), (205, "two words")]
     found = decontam.find(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1)))
     got = collections.Counter((r.doc_id, r.item_id) for r in found.collect())
-    assert got == collections.Counter({**{(100 + k, k): 1 for k in range(10)}, (200, 50): 1, (203, None): 2, (None, 11): 1})
+    assert got == collections.Counter({**{(100 + k, k): 1 for k in range(10)}, (200, 50): 1, (203, None): 2, (None, 11): 1, (205, 51): 1})
     kept = decontam.clean(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted([*range(40), 201, 202, 205])
+    assert sorted(r.doc_id for r in kept.collect()) == sorted([*range(40), 201, 202])
+    longer = decontam.find(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), shortest=6)
+    assert {(r.doc_id, r.item_id) for r in longer.collect()} == set(got) - {(205, 51)}
     assert decontam.find(frame(spark, rows).limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert decontam.find(frame(spark, rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_tokens_lose_end_punctuation_of_any_length():
+    from quire.llm import decontam
+    from quire.llm.words import words
+
+    dirty, clean = ["!!!!!a", "(((b...)))", "c-d", "?!?!", "e", "''f" + "\"" * 50, "g\n--h--"], ["a", "b", "c-d", "", "e", "f", "g h"]
+    got, want = ([f(*(np.frombuffer("".join(x).encode(), np.uint8), np.concatenate([[0], np.cumsum(list(map(len, x)))])))[:2] for f, x in ((decontam.tokens, dirty), (words, clean))])
+    assert [a.tolist() for a in got] == [a.tolist() for a in want]
+
+
 def test_masks_lose_no_overlap():
     from itertools import combinations
 
@@ -243,14 +254,14 @@ def test_decontam_finds_every_overlap(spark):
     from quire.llm import decontam
 
     items, rows, want = [], [], set()
-    for n in (6, 9, 10, 11, 12, 13, 15):
+    for n in (1, 4, 5, 6, 9, 10, 11, 12, 13, 15):
         own = [f"i{n}x{k}" for k in range(n)]
         items.append((n, " ".join(own)))
         for k, off in enumerate(combinations(range(1, n - 1), n // 5)):
             text = ["q"] * (k % 3) + [w if j not in off else "z" for j, w in enumerate(own)] + ["q"] * (k % 2)
             rows.append((n * 1000 + k, " ".join(text)))
             want.add((n * 1000 + k, n, k % 3, k % 3 + n, n - len(off)))
-        rows.append((n * 1000 + 999, " ".join(own[: n - n // 5 - 1])))
+        rows.append((n * 1000 + 999, " ".join(own[: max(0, n - n // 5 - 1)])))
     found = decontam.find(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
     assert {tuple(r) for r in found.collect()} == want
 
