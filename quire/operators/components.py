@@ -2,23 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; unset, one of this machine's in local mode, and an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.gettempdir()}/checkpoints/quire"
+    return found.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and stored where spark.checkpoint.dir says (under /tmp where it is unset)."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints/quire"))
-    return df.checkpoint()
+    """df computed once, as a table in the shared folder: cuts the lineage and survives a lost executor."""
+    path = f"{shared_folder(df.sparkSession)}/quire-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table of cut() that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def connected(nodes: DataFrame, edges: DataFrame, node: str = "node", a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node: the smallest node that edges (a, b) reach, the node itself without any.
 
-    Each round takes the smallest label of the neighbours and then the label's own label, so a path halves; rounds are
-    checkpointed to the folder that the session names in spark.checkpoint.dir (one under /tmp where none is set).
+    Each round takes the smallest label of the neighbours and then the label's own label, so a path halves; a round's
+    labels are a table in the shared folder, which the next but one replaces.
     """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
     both = cut(both)
@@ -28,6 +48,8 @@ def connected(nodes: DataFrame, edges: DataFrame, node: str = "node", a: str = "
         lower = labels.join(near, "x", "left").select("x", F.col("c").alias("old"), F.least("c", "d").alias("c"))
         up = lower.select(F.col("x").alias("c"), F.col("c").alias("top"))
         after = cut(lower.join(up, "c", "left").select("x", "old", F.least("c", "top").alias("c")))
+        dropped(labels)
         if not after.where("c <> old").limit(1).count():
+            dropped(both)
             return after.select(F.col("x").alias(node), F.col("c").alias("component"))
         labels = after.select("x", "c")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions.terms import indel_ratio, mergeable_name
 from quire.functions.text import char_overlap, normalize_key
 from quire.operators import vectors
-from quire.operators.components import connected
+from quire.operators.components import connected, cut
 
 #: The neighbours that are looked at, and the thresholds of the merge rule.
 NEIGHBOURS, THRESHOLD, SURE, TIGHT = 10, 0.82, 0.94, 0.90
@@ -36,7 +36,7 @@ def exact_pairs(nodes: DataFrame) -> DataFrame:
 def neighbour_pairs(nodes: DataFrame, features: int = vectors.FEATURES, k: int = NEIGHBOURS) -> DataFrame:
     """(a, b, cosine), a < b, for b among a's k nearest by character TF-IDF of name and definition."""
     texts = nodes.select("ord", F.concat("name", F.lit("。"), F.coalesce("definition", F.lit(""))).alias("text"))
-    tf = vectors.counts(texts, "ord", vectors.word_grams(F.col("text")))
+    tf = cut(vectors.gram_counts(texts, "ord", "text"))
     unit = vectors.tfidf(tf, vectors.vocabulary(tf, texts.count(), "ord", features), "ord")
     pairs = vectors.cosine_pairs(unit.withColumnRenamed("ord", "a"), unit.withColumnRenamed("ord", "b"), "a", "b").where("a <> b")
     return vectors.top_neighbours(pairs, "a", "b", k).where("a < b").select("a", "b", "cosine")

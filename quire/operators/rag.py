@@ -65,9 +65,9 @@ class Index:
     @classmethod
     def build(cls, chunks: DataFrame, features: int = vectors.FEATURES) -> Index:
         """The index of chunks; gram counts, from which vocabulary, weights and norms come, are computed once and kept."""
-        tf = cut(vectors.counts(chunks, "ord", vectors.word_grams(F.col("text"))))
+        tf = cut(vectors.gram_counts(chunks, "ord", "text"))
         vocab = cut(vectors.vocabulary(tf, chunks.count(), "ord", features))
-        return cls(chunks, term_postings(chunks), vectors.tfidf(tf, vocab, "ord"), vocab, corpus_stats(chunks))
+        return cls(chunks, cut(term_postings(chunks)), vectors.tfidf(tf, vocab, "ord"), vocab, corpus_stats(chunks))
 
     def save(self, path: str) -> Index:
         """Writes the tables, postings sorted by term so that a question's terms prune row groups; the index read back."""
@@ -99,7 +99,7 @@ class Index:
 
     def vector_scores(self, queries: DataFrame) -> DataFrame:
         """(qid, ord, cosine); a question's grams outside the vocabulary are dropped."""
-        tf = vectors.counts(queries, "qid", vectors.word_grams(F.col("question")))
+        tf = vectors.gram_counts(queries, "qid", "question")
         asked = vectors.tfidf(tf, self.vocabulary, "qid")
         return vectors.cosine_pairs(asked, self.grams, "qid", "ord")
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import sub
+from quire.operators.components import cut
 
 SIZES, FEATURES, SLOTS = (2, 3, 4), 16_000, 4096
 
@@ -49,6 +50,17 @@ def counts(docs: DataFrame, key: str, terms: Column) -> DataFrame:
     return docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def gram_counts(docs: DataFrame, key: str, text: str, sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """(key, term, tf) of word_grams(): words are counted first, and grams are cut from each distinct word of a text.
+
+    Words and grams are rows, not arrays, so that all of it runs as compiled code.
+    """
+    words = docs.select(key, F.explode(F.split(F.lower(sub(F.col(text), "(?U)\\s+", " ")), " ")).alias("w")).where("w <> ''").groupBy(key, "w").agg(F.count("*").alias("n"))
+    padded = words.select(key, "n", F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"), F.explode(F.array(*map(F.lit, sizes))).alias("size")).where((F.length("w") >= F.col("size")) | (F.col("size") == sizes[0]))
+    placed = padded.select(key, "n", "w", "size", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("w") - F.col("size") + 1))).alias("i"))
+    return placed.groupBy(key, F.substring("w", F.col("i"), F.col("size")).alias("term")).agg(F.sum("n").alias("tf"))
+
+
 def vocabulary(tf: DataFrame, n_docs: Column | int, key: str, features: int | None = FEATURES) -> DataFrame:
     """(term, idf) of the most frequent terms, ties by term; idf = ln((1 + N) / (1 + df)) + 1."""
     terms = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
@@ -110,7 +122,7 @@ def vectorized(docs: DataFrame, key: str, text: str, name: str = "auto", encode:
         return kind, encoded(docs, key, text, encode)
     if kind == "hash":
         return kind, hashed(docs, key, text).withColumnRenamed("slot", "term")
-    tf = counts(docs, key, word_grams(F.col(text)))
+    tf = cut(gram_counts(docs, key, text))
     return kind, tfidf(tf, vocabulary(tf, docs.count(), key, features), key)
 
 

@@ -236,11 +236,11 @@ def document_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
-    name = F.concat(F.lit("Depot "), F.substring(F.md5(F.col("s_suppkey").cast("string").cast("binary")), 1, 4), F.lit(" unit"))
+    name = F.concat(F.lit("Depot "), F.substring(F.md5(F.col("s_suppkey").cast("string").cast("binary")), 1, 2), F.lit(" unit"))
     return s.select(F.col("s_suppkey").alias("ord"), name.alias("name"), F.concat(F.lit("serves nation "), F.col("s_nationkey").cast("string")).alias("definition"), F.col("s_nationkey").cast("string").alias("textbook_id"))
 
 
-_SUPPLIERS = f"n AS (SELECT s_suppkey AS ord, 'Depot ' || left(md5(s_suppkey::VARCHAR), 4) || ' unit' AS name, 'serves nation ' || s_nationkey AS definition, s_nationkey::VARCHAR AS book, {S.key(chr(39) + 'Depot ' + chr(39) + ' || left(md5(s_suppkey::VARCHAR), 4) || ' + chr(39) + ' unit' + chr(39))} AS k FROM supplier)"
+_SUPPLIERS = f"n AS (SELECT s_suppkey AS ord, 'Depot ' || left(md5(s_suppkey::VARCHAR), 2) || ' unit' AS name, 'serves nation ' || s_nationkey AS definition, s_nationkey::VARCHAR AS book, {S.key(chr(39) + 'Depot ' + chr(39) + ' || left(md5(s_suppkey::VARCHAR), 2) || ' + chr(39) + ' unit' + chr(39))} AS k FROM supplier)"
 _GRAM = """flatten(list_transform(list_filter(string_split(regexp_replace(lower(name || '。' || definition), '[%s]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w:
  list_concat(list_transform(range(1, greatest(1, length(w) + 1) + 1), lambda i: substr(' ' || w || ' ', i::BIGINT, 2)),
  list_concat(list_transform(range(1, length(w) + 1), lambda i: substr(' ' || w || ' ', i::BIGINT, 3)), list_transform(range(1, length(w)), lambda i: substr(' ' || w || ' ', i::BIGINT, 4))))))""" % S.SPACE
