@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quire.llm.shared import only_ids
+from quire.llm.shared import columns, only_ids
 from quire.llm.words import pieces, words
 
 TRAIN_DOCS, TRAIN_LINES, CHAIN = 6000, 100_000, 60
@@ -185,18 +185,19 @@ def score(docs: DataFrame, model: Chain, out: str = "score") -> DataFrame:
 
     A column of docs that is named like out gives way to it.
     """
-    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.select([c for c, name in zip(columns(docs), docs.columns) if name.lower() != out.lower()]).withColumn("text", F.col("text").cast("string"))
     names = rows.columns
+    at_text = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = np.full(len(batch), model.prior)
-            for i, j, data, at in pieces(batch.column(len(names) - 1)):
+            for i, j, data, at in pieces(batch.column(at_text)):
                 x, doc, size = line_features(data, at)
                 if len(x):
                     p = model.marginals(model.potentials(x), doc)
                     total = np.bincount(doc, size, j - i)
                     score[i:j] = np.where(total > 0, np.bincount(doc, size * p, j - i) / np.maximum(total, 1), model.prior)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.clip(score, 0, 1))], names=[*names[:-1], out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(score, 0, 1))], names=[*names, out])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField(out, DoubleType())]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(out, DoubleType())]))
