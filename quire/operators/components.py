@@ -1,4 +1,4 @@
-"""Connected components by falling labels, for the concept graphs of a corpus."""
+"""Tables kept in the shared folder, numbering a sorted table, and connected components by falling labels."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -34,6 +35,18 @@ def dropped(df: DataFrame) -> None:
         gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
 
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with name, each row's number from 1 in an order that must be total.
+
+    Rows are sorted by ranges, counted in each, and numbered inside: no task sees more than its range.
+    """
+    place = {"__part": F.spark_partition_id(), "__n": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(place))
+    ahead = F.coalesce(F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = placed.groupBy("__part").count().select("__part", ahead.alias("__ahead"))  # a row a partition
+    return placed.join(F.broadcast(parts), "__part").withColumn(name, F.col("__ahead") + F.col("__n") + 1).drop("__part", "__n", "__ahead")
+
+
 def connected(nodes: DataFrame, edges: DataFrame, node: str = "node", a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node: the smallest node that edges (a, b) reach, the node itself without any.
 

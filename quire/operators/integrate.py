@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions.terms import indel_ratio, mergeable_name
 from quire.functions.text import char_overlap, normalize_key
 from quire.operators import vectors
-from quire.operators.components import connected, cut
+from quire.operators.components import connected, cut, numbered
 
 #: The neighbours that are looked at, and the thresholds of the merge rule.
 NEIGHBOURS, THRESHOLD, SURE, TIGHT = 10, 0.82, 0.94, 0.90
@@ -21,8 +21,8 @@ FUZZY, OVERLAP, LOOSE = 0.72, 0.58, 0.55
 def concatenated(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All graphs' nodes with ord and edges with ord, in order of graph_ord."""
     return (
-        nodes.withColumn("ord", F.row_number().over(W.orderBy("graph_ord", "textbook_id", "node_ord")).cast("long")),
-        edges.withColumn("ord", F.row_number().over(W.orderBy("graph_ord", "textbook_id", "edge_ord")).cast("long")),
+        numbered(nodes, "ord", "graph_ord", "textbook_id", "node_ord"),
+        numbered(edges, "ord", "graph_ord", "textbook_id", "edge_ord"),
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import titles
 from quire.functions.text import LINE_BREAK, clean_line, clean_text, is_noise_line, lines_of, looks_like_toc_page, safe_id, strip, sub
+from quire.operators.components import numbered
 
 UNTITLED, UNKNOWN_CHAPTER, AUTOMATIC = "未命名章节", "未识别章节", "自动分段"
 SPLIT_SIZE = 16_000
@@ -193,6 +194,6 @@ def chunk_rows(chapters: DataFrame, books: DataFrame) -> DataFrame:
     """CHUNKS of chapters (textbook_id, chapter_ord, chapter_id, title, ...), in order of book_ord, chapter and offset."""
     rows = chapters.join(books.select("textbook_id", F.col("title").alias("textbook"), "book_ord"), "textbook_id")
     cut = chunks(rows, ["textbook_id", "textbook", "book_ord", "chapter_ord", "chapter_id", "title", "page_start", "page_end", "char_count"], "content")
-    order = W.orderBy("book_ord", "textbook_id", "chapter_ord", "start")
+    cut = numbered(cut, "place", "book_ord", "textbook_id", "chapter_ord", "start")
     ident = safe_id("chunk", F.concat_ws(":", "textbook_id", "chapter_id", F.col("start").cast("string")))
-    return cut.select(ident.alias("chunk_id"), (F.row_number().over(order) - 1).cast("long").alias("ord"), "text", "textbook_id", "textbook", F.col("title").alias("chapter"), page_of(F.col("page_start"), F.col("page_end"), F.col("start"), F.col("char_count")).alias("page"))
+    return cut.select(ident.alias("chunk_id"), (F.col("place") - 1).alias("ord"), "text", "textbook_id", "textbook", F.col("title").alias("chapter"), page_of(F.col("page_start"), F.col("page_end"), F.col("start"), F.col("char_count")).alias("page"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import feedback, segment
+from quire.operators.components import cut
 from quire.sources import readers
 from quire.sources.store import Store
 
@@ -33,7 +34,7 @@ def run_commands(commands: DataFrame, store: Store, checkpoint: str):
     def batch(rows: DataFrame, number: int) -> None:
         messages = [(r.seq, r.message) for r in rows.orderBy("seq").toLocalIterator()]
         replies, after = feedback.run_all(store.read("decisions"), store.read("merged"), [m for _, m in messages])
-        store.write("decisions", after.checkpoint() if messages else after)
+        store.write("decisions", cut(after) if messages else after)
         said = [x for (s, m), r in zip(messages, replies) for x in ((2 * s, "user", m), (2 * s + 1, "assistant", r))]
         if said:
             store.append_chat(rows.sparkSession.createDataFrame(said, "seq long, role string, content string"))
