@@ -33,12 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.groups import column, groups, repeated
-from quire.llm.shared import BROADCAST_ROWS, columns, components, drop_stored, free, hot_keys, only_ids, spread_join, stored
+from quire.llm.groups import column, groups
+from quire.llm.shared import BROADCAST_ROWS, HOT_ROWS, columns, components, drop_stored, free, hot_keys, only_ids, spread_join, stored
 from quire.llm.words import mixed, pieces, shingles, words
 
 SKETCH_BITS = 512  # at least; sketches of different sizes are compared in the smaller's
 SQUARE = 2048  # members of a list that are compared with as many others at once, about
+SAMPLE, PARTS = 16, 64  # one of so many documents shows which keys are common; those are counted in so many parts
 AGAIN = 16  # partners a member may get in each later scan of a square
 
 
@@ -250,10 +251,18 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Data
     many = classes.where("members > 1").select("h1", "h2", "rep")
     few = many.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     chosen = real.join(F.broadcast(many) if few else many, ["h1", "h2"], "left").where("rep is null or rep = doc_id").drop("rep")
-    keyed = repeated(stored(chosen.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc")), "keyed"), ["key"], ["doc"])
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc")).alias("who"))
-    lists = spread_join(keyed, sizes, "key").select("doc", "size", F.xxhash64("size", "who").alias("list")).distinct()  # lists of the same members are one
+    sample = real.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SAMPLE)) == 0).select(F.explode("keys").alias("key"))
+    common = F.col("key").isin(hot_keys(sample, "key", HOT_ROWS // SAMPLE))  # only tells which keys are counted in parts
+    part = F.when(common, F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(PARTS))).otherwise(0)
+    by_key = W.partitionBy("key", part)
+    keyed = chosen.select(F.col("doc_id").alias("doc"), F.explode("keys").alias("key"))
+    keyed = keyed.select("doc", "key", F.count("*").over(by_key).alias("size"), F.bit_xor(F.xxhash64("doc")).over(by_key).alias("who"))
+    keyed = stored(keyed.where(common | (F.col("size") > 1)), "keyed")
+    totals = keyed.where(common).groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc")).alias("who"))
+    whole = keyed.where(common).select("doc", "key").join(F.broadcast(totals), "key").where(F.col("size") > 1)  # HOT_KEYS rows at most
+    lists = keyed.where(~common).unionByName(whole).select("doc", "size", F.xxhash64("size", "who").alias("list")).distinct()  # lists of the same members are one
     lists = stored(lists, "lists")
+    drop_stored(keyed)
     popular = hot_keys(lists, "list")
     in_lists = stored(lists.select("doc").distinct(), "listed")
     known = stored(only_ids(chosen.select(F.col("doc_id").alias("doc"), "n", "sketch"), in_lists, "doc").dropDuplicates(["doc", "n", "sketch"]), "members")

@@ -185,9 +185,10 @@ def score(docs: DataFrame, model: Chain, out: str = "score") -> DataFrame:
 
     A column of docs that is named like out gives way to it.
     """
-    rows = docs.select([c for c, name in zip(columns(docs), docs.columns) if name.lower() != out.lower()]).withColumn("text", F.col("text").cast("string"))
-    names = rows.columns
-    at_text = names.index("text")
+    kept = [c for c in docs.columns if c.lower() != out.lower()]
+    rows = docs.withColumn("text", F.col("text").cast("string")).select([c for c, name in zip(columns(docs), docs.columns) if name in kept])
+    rows = rows.toDF(*(f"c{k}" for k in range(len(kept))))  # names that Arrow functions take, whatever the columns'
+    names, at_text = rows.columns, kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,6 +199,6 @@ def score(docs: DataFrame, model: Chain, out: str = "score") -> DataFrame:
                     p = model.marginals(model.potentials(x), doc)
                     total = np.bincount(doc, size, j - i)
                     score[i:j] = np.where(total > 0, np.bincount(doc, size * p, j - i) / np.maximum(total, 1), model.prior)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(score, 0, 1))], names=[*names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(score, 0, 1))], names=[*names, "score"])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(out, DoubleType())]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType())])).toDF(*kept, out)

@@ -77,10 +77,10 @@ def only_ids(df: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, on, "left_semi")
 
 
-def hot_keys(rows: DataFrame, on: str) -> list:
+def hot_keys(rows: DataFrame, on: str, least: int = HOT_ROWS) -> list:
     """The keys of rows, null left out, that are so common that a shuffle by them would be uneven: HOT_KEYS at most."""
     counts = rows.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("__times"))
-    return [r[0] for r in counts.where(F.col("__times") > max(HOT_ROWS, rows.count() // HOT_KEYS)).select(on).collect()]
+    return [r[0] for r in counts.where(F.col("__times") > max(least, rows.count() // HOT_KEYS)).select(on).collect()]
 
 
 def spread_join(rows: DataFrame, table: DataFrame, on: str, how: str = "inner", hot: list | None = None) -> DataFrame:
