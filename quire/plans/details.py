@@ -12,7 +12,7 @@ from quire.functions import titles as H
 from quire.lexicon import Lexicon
 from quire.operators import extract, feedback, graphview, integrate, rag, report, segment
 from quire.plans import sql as S
-from quire.plans.queries import _CLUSTERS, _HYBRID, _concepts, _merged, _relations, _turns, query, table
+from quire.plans.queries import _CLUSTERS, _HYBRID, ORACLES, _concepts, _merged, _relations, _turns, query, table
 
 # Text functions
 
@@ -201,6 +201,10 @@ def cited_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("qid", F.md5(F.encode("answer", "UTF-8")).alias("digest"), F.coalesce(F.size("citations"), F.lit(0)).alias("n_citations"))
 
 
+_TEXT = "coalesce(b.answer, pl.plain, '当前知识库中未找到相关信息。')"
+ORACLES["extractive_answers"] = ORACLES["cited_answers"].replace(f"md5({_TEXT}) AS digest", f"{_TEXT} AS answer")
+
+
 @query(f"SELECT item_id AS qid, {S.quoted(rag.NOT_INDEXED)} AS answer, 0 AS n_citations FROM benchmark")
 def unindexed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a cleared index answers."""
