@@ -93,7 +93,16 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(spark, path)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nn_descent, op2_quality_crf, op3_wrapper_induction, op4_suffix_dedup, op5_spaced_seeds, op6_jaccard_join, op7_secret_scan, op8_source_mix, op9_size_tiered_shards, op10_token_orc)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof; of each third document, by crc32, the text is lower-cased as the tampering to find."""
+    from quire.llm import merkle
+
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.coalesce(_third() == 0, F.lit(False)), F.translate("text", merkle.UPPER, merkle.LOWER)).otherwise(F.col("text"))
+    return merkle.verify(merkle.manifest(docs, tampered={"text": tampered}))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nn_descent, op2_quality_crf, op3_wrapper_induction, op4_suffix_dedup, op5_spaced_seeds, op6_jaccard_join, op7_secret_scan, op8_source_mix, op9_size_tiered_shards, op10_token_orc, op11_merkle_manifest)}
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -117,4 +126,20 @@ SELECT x.i, f.rest - least(2.0::DOUBLE * x.size, f.rest * x.w / f.open), f.open
 t AS (SELECT i.source, i.size AS source_size, f.target, round(f.target)::BIGINT AS words FROM f JOIN i ON i.i = f.i),
 q AS (SELECT d.*, t.source_size, t.target, least(2, t.words // greatest(t.source_size, 1)) AS passes, t.words, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
 SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(size, words - passes * source_size - before)))::BIGINT AS taken FROM q""",
+    "op11_merkle_manifest": """WITH RECURSIVE poly AS (SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM poly WHERE k < 8),
+crcs AS (SELECT list(c ORDER BY i) AS t FROM poly WHERE k = 8),
+d AS (SELECT doc_id, lang, source, n_chars, text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 3 = 0 AS bad FROM documents, crcs),
+f AS (SELECT doc_id, lang, bad, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+coalesce(strlen(text) || ':' || text, '-') AS said, coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') AS low FROM d),
+leaf AS (SELECT doc_id, lang, sha256(head || said) AS h, CASE WHEN bad THEN sha256(head || low) ELSE sha256(head || said) END AS other FROM f),
+n AS (SELECT *, coalesce('1' || lang, '0') AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS m FROM leaf),
+up AS (SELECT 0 AS k, g, pos, h, m, '' AS pre FROM n UNION ALL SELECT k + 1, g, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (m + 7) // 8, string_agg(h, '' ORDER BY pos) FROM up WHERE m > 1 GROUP BY k, g, pos // 8, m),
+sub AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS m FROM up WHERE m = 1),
+top AS (SELECT 0 AS k, pos, h, m, '' AS pre FROM sub UNION ALL SELECT k + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (m + 7) // 8, string_agg(h, '' ORDER BY pos) FROM top WHERE m > 1 GROUP BY k, pos // 8, m),
+walk AS (SELECT doc_id, h, g, 0 AS k, pos, other AS fold, '' AS proof, FALSE AS above FROM n UNION ALL
+SELECT w.doc_id, w.h, w.g, CASE WHEN u.pre IS NULL AND NOT w.above THEN 0 ELSE w.k + 1 END, CASE WHEN u.pre IS NULL THEN s.pos ELSE w.pos // 8 END,
+CASE WHEN u.pre IS NULL THEN w.fold ELSE sha256(u.pre[1 : 64 * (w.pos % 8)] || w.fold || u.pre[64 * (w.pos % 8) + 65 :]) END, CASE WHEN u.pre IS NULL THEN w.proof ELSE w.proof || u.pre[1 : 64 * (w.pos % 8)] || u.pre[64 * (w.pos % 8) + 65 :] END, w.above OR u.pre IS NULL
+FROM walk w JOIN sub s ON s.g = w.g LEFT JOIN (SELECT k, g, pos, pre, FALSE AS above FROM up WHERE k > 0 UNION ALL SELECT k, '', pos, pre, TRUE FROM top WHERE k > 0) u ON u.above = w.above AND u.k = w.k + 1 AND u.pos = w.pos // 8 AND u.g = CASE WHEN w.above THEN '' ELSE w.g END WHERE u.pre IS NOT NULL OR NOT w.above),
+last AS (SELECT * FROM walk WHERE above QUALIFY row_number() OVER (PARTITION BY doc_id, h ORDER BY k DESC) = 1)
+SELECT l.doc_id, l.h AS leaf, s.h AS subroot, r.h AS root, sha256(l.proof) AS proof_sha256, l.fold AS folded_root, l.fold = r.h AS verified FROM last l JOIN sub s ON s.g = l.g, (SELECT h FROM top WHERE m = 1) r""",
 }
