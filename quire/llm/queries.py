@@ -102,7 +102,26 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(merkle.manifest(docs, tampered={"text": tampered}))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nn_descent, op2_quality_crf, op3_wrapper_induction, op4_suffix_dedup, op5_spaced_seeds, op6_jaccard_join, op7_secret_scan, op8_source_mix, op9_size_tiered_shards, op10_token_orc, op11_merkle_manifest)}
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, of each tenth, by crc32, after its words repeat from some place on."""
+    from quire.llm import periodic
+
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size(F.filter(F.split("text", periodic.WORD_BREAK), lambda w: w != ""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", g.alias("g"), F.when(F.coalesce(h % 10 == 0, F.lit(False)), n).alias("n"))
+    start = (F.col("g") % F.col("n")).cast("int")
+    period = (1 + F.floor((F.col("n") - start) / (3 + F.col("g") % 8))).cast("int")
+    text = F.when(F.col("n") > 0, periodic.repeated(F.col("text"), start, period)).otherwise(F.col("text"))
+    found = periodic.find(docs.select("doc_id", text.alias("text")))
+    said = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    milli = F.expr("(1000 * best.length) div best.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"),
+        F.sha2(F.array_join(said, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nn_descent, op2_quality_crf, op3_wrapper_induction, op4_suffix_dedup, op5_spaced_seeds, op6_jaccard_join, op7_secret_scan, op8_source_mix, op9_size_tiered_shards, op10_token_orc, op11_merkle_manifest, op12_periodic_runs)}
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
