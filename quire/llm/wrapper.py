@@ -9,14 +9,17 @@ A host's wrapper is the union of REFERENCES of its pages, aligned one after the
 alone stays in it, so an error page among them does no harm. Then every page of the host is aligned with the wrapper,
 and over all pages the slots (the wrapper's places of text) are told apart:
 
-- A text that stands in one slot on SHARE of the host's pages is constant: template.
+- A text that stands in one slot on SHARE of the host's pages is constant: template. Copies of a page count as one page.
+  A slot is known by the labels down to it, equal ones in a row as one, so pages that nest a level deeper share slots.
 - The other slots vary. The wrapper is entered at its root and left for the child that holds MAIN of the varying text
-  that isn't linked, as long as one does and is no mere block of text; where this ends is the content region. Varying
+  that isn't linked (in paragraphs and headings it weighs more), as long as one does and is no mere block of text; where this ends is the content region. Varying
   slots in the region, and first-level headings, are the main text; menus, adverts, footers and comments vary too, but
-  outside it.
+  outside it. Inside it, a constant text without links that stands between varying ones in a slot of theirs is content.
 
 Names (tags such as nav or footer, words in class, id and role) are a prior: what they call no content doesn't count
-for the region and isn't taken from it. They decide alone for hosts of fewer than FEW pages, which give no wrapper.
+for the region and isn't taken from it. A page with less than OTHER of its varying text in the region has another layout;
+that and a page of a host with fewer than FEW different pages is judged alone: what isn't constant and lies in article or main, if
+that is half of its text; else what its names leave; if they say nothing, the region of its own text.
 
 Most texts stand on one page, so they are not all shuffled. A text that stands on SHARE of a host's pages does so in at
 least one part of any division of the pages; tasks mark those of parts of PART pages, and only marked ones are
@@ -25,7 +28,7 @@ task than others; pages are never grouped, but for the REFERENCES of each host.
 
 Cases: a null or empty html, or one without content, gives an empty text; markup that ends early or isn't closed is
 read as far as it goes, nested to any depth; a null url is a host of its own; repeated rows are extracted and counted
-each; an empty table gives no rows; further columns are ignored.
+once; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,10 +45,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import only_ids, spread_join, stored
+from quire.llm.shared import BROADCAST_ROWS, drop_stored, only_ids, spread_join, stored
 
-FEW, SHARE = 4, 0.8  # pages a host needs for a wrapper; share of them on which a template slot's text is the same
+FEW, SHARE = 2, 0.8  # different pages a host needs for a wrapper; share of them on which a template slot's text is the same
 REFERENCES, MAIN, ALIKE = 8, 2 / 3, 0.8
+OTHER = 1 / 4  # of a page's varying text, by weight, that is in the region unless the page has another layout
+BLOCK = 3  # times that text in paragraphs and headings weighs what text in bare boxes does
 PART = 2048
 BROADCAST_CHARS = 8 << 20  # of all wrappers together
 
@@ -73,13 +78,16 @@ _DIGITS = re.compile(r"\d+")
 class Node:
     """An element, or with the label # the text between two block boundaries."""
 
-    __slots__ = ("aligned", "at", "children", "inside", "label", "linked", "off", "path", "runs", "shape", "tag", "text")
+    __slots__ = ("aligned", "at", "children", "inside", "label", "linked", "off", "path", "runs", "shape", "tag", "text", "weight")
 
-    def __init__(self, tag: str, label: str, off: bool, path: bytes = b"", inside: str = ""):
+    def __init__(self, tag: str, label: str, off: bool, above: Node | None = None, inside: str = ""):
         self.tag, self.label, self.off, self.inside = tag, label, off, inside
-        self.path = hashlib.blake2b(path + label.encode(errors="replace"), digest_size=8).digest()  # of the labels down to here
+        if above is not None and above.label == label:
+            self.path = above.path
+        else:  # of the labels down to here, without repeats
+            self.path = hashlib.blake2b((above.path if above else b"") + label.encode(errors="replace"), digest_size=8).digest()
         self.children: list[Node] = []
-        self.text, self.linked = "", 0
+        self.text, self.linked, self.weight = "", 0, 0
 
 
 def _named(tag: str, rest: str, inside: str) -> tuple[str, bool]:
@@ -101,8 +109,9 @@ def parse(page: str) -> tuple[list[Node], list[Node]]:
         joined = " ".join(entities.unescape("".join(text)).split())
         if joined:
             top = stack[-1]
-            leaf = Node("#", "#", top.off, top.path, top.inside)
+            leaf = Node("#", "#", top.off, top, top.inside)
             leaf.text, leaf.linked = joined, min(len(joined), sum(linked))
+            leaf.weight = (len(joined) - leaf.linked) * (BLOCK if top.tag in BLOCKS_OF_TEXT else 1)
             top.children.append(leaf)
             nodes.append(leaf)
             leaves.append(leaf)
@@ -150,7 +159,7 @@ def parse(page: str) -> tuple[list[Node], list[Node]]:
                     break
         top = stack[-1]
         label, off = _named(tag, m[3], top.inside)
-        node = Node(tag, label, off or top.off, top.path, tag if tag in ("article", "main") else top.inside)
+        node = Node(tag, label, off or top.off, top, tag if tag in ("article", "main") else top.inside)
         top.children.append(node)
         nodes.append(node)
         if tag in RAW:
@@ -370,38 +379,54 @@ class Wrapper:
 
     def region(self, mass: dict[int, float]) -> list[int]:
         """The nodes of the content region; mass: varying text by node."""
-        total = [mass.get(k, 0.0) for k in range(len(self.label))]
-        for k in range(len(total) - 1, 0, -1):
-            total[self.parent[k]] += total[k]
-        top = 0
-        while total[top] > 0 and self.children[top]:
-            best = max(self.children[top], key=lambda c: (total[c], -c))
-            if total[best] < MAIN * total[top] or self.label[best].split(".")[0] in BLOCKS_OF_TEXT or all(self.label[c] == "#" for c in self.children[best]):
-                break
-            top = best
-        inside = [False] * len(total)
-        for k in range(len(total)):
-            inside[k] = k == top or k > 0 and inside[self.parent[k]]
-        return [k for k, x in enumerate(inside) if x]
-
-
-def slots(leaves: list[Node], wrapped: bool) -> list[int]:
-    """The slot and text of each leaf, as 64 bits of its place (in the wrapper, or by labels where that has none), text and number."""
+        return _region(self.parent, self.label, self.children, mass)
+
+
+def _region(parent: list[int], label: list[str], children: list[list[int]], mass: dict[int, float]) -> list[int]:
+    total = [mass.get(k, 0.0) for k in range(len(label))]
+    for k in range(len(total) - 1, 0, -1):
+        total[parent[k]] += total[k]
+    top = 0
+    while total[top] > 0 and children[top]:
+        best = max(children[top], key=lambda c: (total[c], -c))
+        if total[best] < MAIN * total[top] or label[best].split(".")[0] in BLOCKS_OF_TEXT or all(label[c] == "#" for c in children[best]):
+            break
+        top = best
+    inside = [False] * len(total)
+    for k in range(len(total)):
+        inside[k] = k == top or k > 0 and inside[parent[k]]
+    return [k for k, x in enumerate(inside) if x]
+
+
+def own_region(nodes: list[Node]) -> set[int]:
+    """The ids of the nodes in the content region of a page that is looked at alone."""
+    number = {id(n): k for k, n in enumerate(nodes)}
+    parent = [0] * len(nodes)
+    children: list[list[int]] = [[number[id(c)] for c in n.children] for n in nodes]
+    for k, cs in enumerate(children):
+        for c in cs:
+            parent[c] = k
+    mass = {k: float(n.weight) for k, n in enumerate(nodes) if not n.off}
+    return {id(nodes[k]) for k in _region(parent, [n.label for n in nodes], children, mass)}
+
+
+def slots(leaves: list[Node]) -> list[int]:
+    """The slot and text of each leaf, as 64 bits of the labels down to it (the wrapper's, where it is aligned), text and number."""
     seen: Counter[tuple[bytes, str]] = Counter()
     out = []
     for x in leaves:
-        key = b"%d" % x.at if wrapped and x.aligned else x.path, x.text
+        key = x.path, x.text
         seen[key] += 1
-        out.append(int.from_bytes(hashlib.blake2b(b"%s %d %s" % (key[0], seen[key], x.text.encode(errors="replace")), digest_size=8).digest(), "little", signed=True))
+        out.append(int.from_bytes(hashlib.blake2b(b"%s %d %s" % (x.path, seen[key], x.text.encode(errors="replace")), digest_size=8).digest(), "little", signed=True))
     return out
 
 
 def _wrappers(rows: DataFrame) -> DataFrame:
-    """(host, wrapper) of the hosts with FEW pages or more. rows: (host, html)."""
+    """(host, pages, wrapper) of the hosts with FEW different pages or more. rows: (host, html, share)."""
     full = rows.where(F.length("html") > 0)
     turn = F.struct(F.xxhash64("html").alias("h"), "html")
-    one = full.groupBy("host", F.pmod(F.xxhash64("html", F.lit(1)), F.lit(REFERENCES)).alias("part")).agg(F.min(turn).alias("r"), F.count("*").alias("n"))
-    listed = one.groupBy("host").agg(F.sum("n").alias("pages"), F.array_sort(F.collect_list("r")).alias("refs")).where(F.col("pages") >= FEW)
+    one = full.groupBy("host", F.pmod(F.xxhash64("html", F.lit(1)), F.lit(REFERENCES)).alias("part")).agg(F.min(turn).alias("r"), F.sum("share").alias("n"))
+    listed = one.groupBy("host").agg(F.round(F.sum("n")).cast("long").alias("pages"), F.array_sort(F.collect_list("r")).alias("refs")).where(F.col("pages") >= FEW)
     listed = listed.select("host", "pages", F.col("refs.html").alias("refs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,16 +438,18 @@ def _wrappers(rows: DataFrame) -> DataFrame:
     return listed.mapInArrow(run, "host string, pages long, wrapper string")
 
 
-LEAF = "slot: long, at: int, often: boolean, out: boolean, head: boolean, plain: int, text: string"
+LEAF = "slot: long, at: int, often: boolean, out: boolean, head: boolean, named: boolean, own: boolean, plain: int, weight: int, text: string"
+_LEAF = pa.struct([("slot", pa.int64()), ("at", pa.int32()), *((x, pa.bool_()) for x in ("often", "out", "head", "named", "own")), ("plain", pa.int32()), ("weight", pa.int32()), ("text", pa.string())])
 
 
 def _blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, leaves) of pages (page_id, url, host, html, wrapper).
+    """(page_id, url, host, share, leaves) of pages (page_id, url, host, share, html, wrapper).
 
     A leaf is marked often if SHARE of the host's pages in this part have it; out if its names say so; head if it is a
-    first-level heading; plain counts its characters outside links.
+    first-level heading; named in article or main; own in the region of the page alone; plain counts its characters
+    outside links, and weight is their weight for the region.
     """
-    kind = pa.list_(pa.struct([("slot", pa.int64()), ("at", pa.int32()), ("often", pa.bool_()), ("out", pa.bool_()), ("head", pa.bool_()), ("plain", pa.int32()), ("text", pa.string())]))
+    names = [f.name for f in _LEAF]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrappers: dict[str, Wrapper] = {}
@@ -431,7 +458,7 @@ def _blocks(pages: DataFrame) -> DataFrame:
             for i in range(0, len(batch), PART):
                 part = batch.slice(i, PART)
                 pages, times, blocks = Counter(), Counter(), []
-                for host, page, text in zip(*(part.column(k).to_pylist() for k in (2, 3, 4))):
+                for host, share, page, text in zip(*(part.column(k).to_pylist() for k in (2, 3, 4, 5))):
                     nodes, leaves = parse(page or "")
                     if text:
                         if len(shapes.rows) > 100_000:  # a cache that starts anew
@@ -439,17 +466,18 @@ def _blocks(pages: DataFrame) -> DataFrame:
                         if host not in wrappers:
                             wrappers[host] = Wrapper.load(text)
                         wrappers[host].align(nodes, shapes)
-                        heads = {id(c) for n in nodes if n.tag == "h1" for c in n.children}
-                    else:
-                        leaves = [x for x in leaves if not x.off]
-                    own = slots(leaves, bool(text))
-                    blocks.append((host, own, [(x.at, x.off, id(x) in heads, len(x.text) - x.linked, x.text) if text else (-1, False, False, 0, x.text) for x in leaves]))
-                    pages[host] += bool(page)
-                    times.update((host, s) for s in own)
-                marked = [[dict(zip(("slot", "at", "often", "out", "head", "plain", "text"), (s, x[0], times[host, s] >= SHARE * pages[host], *x[1:]))) for s, x in zip(own, rest)] for host, own, rest in blocks]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(marked, kind)], names=["page_id", "url", "host", "leaves"])
+                    heads = {id(c) for n in nodes if n.tag == "h1" for c in n.children}
+                    alone = set() if any(x.off for x in leaves) else own_region(nodes)  # only asked for where names say nothing
+                    own = slots(leaves)
+                    blocks.append((host, own, [(x.at if text else -1, x.off, id(x) in heads, bool(x.inside), id(x) in alone, len(x.text) - x.linked, x.weight, x.text) for x in leaves]))
+                    if page:
+                        pages[host] += share
+                    for s in own:
+                        times[host, s] += share
+                marked = [[dict(zip(names, (s, x[0], times[host, s] >= SHARE * pages[host] - 1e-6, *x[1:]))) for s, x in zip(own, rest)] for host, own, rest in blocks]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(marked, pa.list_(_LEAF))], names=["page_id", "url", "host", "share", "leaves"])
 
-    return pages.mapInArrow(run, f"page_id long, url string, host string, leaves array<struct<{LEAF}>>")
+    return pages.mapInArrow(run, f"page_id long, url string, host string, share double, leaves array<struct<{LEAF}>>")
 
 
 def _regions(varying: DataFrame, wrappers: DataFrame) -> DataFrame:
@@ -464,28 +492,50 @@ def _regions(varying: DataFrame, wrappers: DataFrame) -> DataFrame:
     return wrappers.select("host", "wrapper").join(mass, "host", "left").select("host", "wrapper", "mass").mapInArrow(run, "host string, region array<int>")
 
 
+def _chosen(rows: DataFrame) -> DataFrame:
+    """(page_id, url, text) of rows (page_id, url, leaves, template, region)."""
+    mass = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, s: a + s["weight"])
+    const = "coalesce(array_contains(template, s.slot), false) AS const, coalesce(array_contains(region, s.at), false) AS inside"
+    rows = rows.select("page_id", "url", "region", F.expr(f"transform(filter(leaves, s -> not s.out), s -> struct(s.at, s.head, s.named, s.own, s.plain, s.weight, s.text, {const}))").alias("l"), F.exists("leaves", lambda s: s["out"]).alias("told"))
+    rows = rows.withColumn("varied", F.filter("l", lambda s: ~s["const"])).withColumn("core", F.filter("varied", lambda s: s["inside"]))
+    place = F.transform("l", lambda s: s["inside"] & ~s["const"])
+    rows = rows.withColumns({"begin": F.array_position(place, True), "end": F.size("l") + 1 - F.array_position(F.reverse(place), True), "ats": F.transform("core", lambda s: s["at"])})
+    between = lambda s, i: s["inside"] & (i + 1 > F.col("begin")) & (i + 1 < F.col("end")) & (s["plain"] == F.length(s["text"])) & F.array_contains(F.col("ats"), s["at"])
+    by_wrapper = F.filter("l", lambda s, i: F.when(s["const"], between(s, i)).otherwise(s["inside"] | s["head"]))
+    rest = F.when(F.size("varied") > 0, F.col("varied")).otherwise(F.col("l"))
+    rows = rows.withColumn("rest", rest).withColumn("article", F.filter("rest", lambda s: s["named"]))
+    alone = F.when((F.size("article") > 0) & (2 * mass(F.col("article")) >= mass(F.col("rest"))), F.col("article")).when(F.col("told"), F.col("rest")).otherwise(F.filter("rest", lambda s: s["own"] | s["head"]))
+    follows = F.col("region").isNotNull() & (mass(F.col("core")) > 0) & (mass(F.col("core")) >= OTHER * mass(F.col("varied")))
+    return rows.select("page_id", "url", F.array_join(F.transform(F.when(follows, by_wrapper).otherwise(alone), lambda s: s["text"]), "\n").alias("text"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host)
-    wrappers = stored(_wrappers(rows.select("host", "html")), "wrappers")
+    rows = rows.withColumn("copy", F.xxhash64("host", "html"))
+    copies = stored(rows.where(F.length("html") > 0).groupBy("copy").agg(F.count("*").alias("n")).where("n > 1"), "copies")
+    few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(copies), "copy", "left") if few else spread_join(rows, copies, "copy", "left")
+    rows = rows.select("page_id", "url", "host", (1 / F.coalesce("n", F.lit(1))).alias("share"), "html")  # copies share one vote
+    wrappers = stored(_wrappers(rows.select("host", "html", "share")), "wrappers")
     chars = wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
     small = chars <= BROADCAST_CHARS
 
     def by_host(left: DataFrame, right: DataFrame) -> DataFrame:
         return left.join(F.broadcast(right), "host", "left") if small else spread_join(left, right, "host", "left")
 
-    blocks = by_host(rows.select("page_id", "url", "host", "html"), wrappers.select("host", "wrapper")).select("page_id", "url", "host", "html", "wrapper")
+    blocks = by_host(rows, wrappers.select("host", "wrapper")).select("page_id", "url", "host", "share", "html", "wrapper")
     blocks = stored(_blocks(blocks), "blocks")
     slot = blocks.select("host", F.explode(F.expr("transform(filter(leaves, s -> s.often), s -> s.slot)")).alias("slot")).distinct()
     slot = stored(only_ids(slot, wrappers.select("host"), "host"), "slots")
-    votes = only_ids(blocks.select("host", F.explode("leaves.slot").alias("slot")), slot, ["host", "slot"]).groupBy("host", "slot").agg(F.count("*").alias("votes"))
-    template = votes.join(wrappers.select("host", "pages"), "host").where(F.col("votes") >= SHARE * F.col("pages")).groupBy("host").agg(F.collect_set("slot").alias("template"))
+    votes = only_ids(blocks.select("host", "share", F.explode("leaves.slot").alias("slot")), slot, ["host", "slot"]).groupBy("host", "slot").agg(F.sum("share").alias("votes"))
+    template = votes.join(wrappers.select("host", "pages"), "host").where(F.col("votes") >= SHARE * F.col("pages") - 1e-6).groupBy("host").agg(F.collect_set("slot").alias("template"))
     template = stored(template, "template")
+    drop_stored(slot)
     varies = F.expr("filter(leaves, s -> not s.out and (template is null or not array_contains(template, s.slot)))")
-    varying = by_host(blocks, template).select("page_id", "url", "host", varies.alias("leaves"))
-    mass = varying.select("host", F.explode("leaves").alias("s")).where("s.at >= 0").select("host", "s.at", "s.plain")
+    varying = by_host(blocks, template).select("host", varies.alias("leaves"))
+    mass = varying.select("host", F.explode("leaves").alias("s")).where("s.at >= 0").select("host", "s.at", F.col("s.weight").alias("plain"))
     regions = stored(_regions(mass, wrappers), "regions")
-    kept = F.expr("transform(filter(leaves, s -> region is null or s.head or array_contains(region, s.at)), s -> s.text)")
-    out = by_host(varying, regions)
-    return out.select("page_id", "url", F.coalesce(F.array_join(kept, "\n"), F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    out = _chosen(by_host(by_host(blocks.select("page_id", "url", "host", "leaves"), template), regions))
+    return out.select("page_id", "url", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -83,13 +83,66 @@ def test_articles_of_sites(spark, neutral):
     assert got == {k: article for k, (_, article) in made.items()}
 
 
-def test_without_a_wrapper_neutral_names_tell_nothing(spark, monkeypatch):
-    """The ablation: names alone keep the menus of a site that doesn't name them."""
-    monkeypatch.setattr(wrapper, "FEW", 1000)
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_without_a_wrapper_a_long_constant_text_passes_for_content(spark, monkeypatch):
+    """The ablation: only slots tell a constant box of many words from a short article."""
     rng = random.Random(33)
+    notice = "<div>" + "".join(f"<p>Paragraph {k} of the terms of use, which stand on every page of this site.</p>" for k in range(40)) + "</div>"
     made = {k: site(rng, k, True) for k in range(12)}
-    df = spark.createDataFrame([(k, "http://s.example/", page) for k, (page, _) in made.items()], "page_id long, url string, html string")
-    assert all(r.text != made[r.page_id][1] for r in wrapper.extract(df).collect())
+    rows = [(k, "http://s.example/", page.replace("<body>", f"<body>{notice}")) for k, (page, _) in made.items()]
+    assert extracted(spark, rows) == {k: text for k, (_, text) in made.items()}
+    monkeypatch.setattr(wrapper, "FEW", 1000)
+    assert all(text != made[k][1] for k, text in extracted(spark, rows).items())
+
+
+@pytest.mark.parametrize("others", [0, 1, 5])
+def test_copies_of_a_page_count_once(spark, others):
+    rng = random.Random(34)
+    made = {k: site(rng, k, False) for k in range(others + 1)}
+    rows = [(k, f"http://s.example/{k}", page) for k, (page, _) in made.items()] + [(100 + k, f"http://s.example/{k}", made[0][0]) for k in range(40)]
+    assert extracted(spark, rows) == {k: text for k, (_, text) in made.items()} | {100 + k: made[0][1] for k in range(40)}
+
+
+def test_a_page_of_another_layout_keeps_its_article(spark):
+    rng = random.Random(35)
+    made = {k: site(rng, k, False) for k in range(9)}
+    words = [" ".join(rng.choice(WORDS) for _ in range(30)) for _ in range(5)]
+    odd = "<body><nav><a href='/'>Home</a></nav><main><section><article><h1>Odd one</h1>" + "".join(f"<p>{w}</p>" for w in words) + "</article></section></main><footer>end</footer></body>"
+    rows = [(k, "http://s.example/", page) for k, (page, _) in made.items()] + [(99, "http://s.example/odd", odd)]
+    assert extracted(spark, rows) == {k: text for k, (_, text) in made.items()} | {99: "\n".join(["Odd one", *words])}
+
+
+def test_a_level_more_of_nesting(spark):
+    rng = random.Random(36)
+    say = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    made = {}
+    for k in range(9):
+        blocks, extra = [say(20) for _ in range(4)], k % 3 == 0
+        page = f"<body><div><a href='/'>Home</a></div>{'<div>' * extra}<div><h1>Title {k}</h1>" + "".join(f"<p>{b}</p>" for b in blocks) + f"</div>{'</div>' * extra}<div><p>All rights reserved by the works</p></div></body>"
+        made[k] = page, "\n".join([f"Title {k}", *blocks])
+    assert extracted(spark, [(k, "http://s.example/", p) for k, (p, _) in made.items()]) == {k: t for k, (_, t) in made.items()}
+
+
+def test_a_sentence_of_every_article_stays_inside(spark):
+    rng = random.Random(37)
+    say = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    made = {}
+    for k in range(8):
+        blocks = [say(15), "Advice: drink water.", say(18), say(12)]
+        made[k] = "<body><div><p>Welcome to the works</p></div><div>" + "".join(f"<p>{b}</p>" for b in blocks) + "<p>All rights reserved</p></div></body>", "\n".join(blocks)
+    assert extracted(spark, [(k, "http://s.example/", p) for k, (p, _) in made.items()]) == {k: t for k, (_, t) in made.items()}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_neutral_hosts_of_few_pages(spark, n):
+    rng = random.Random(38)
+    made = {(h, k): site(rng, k + 5 * h, True) for h in range(6) for k in range(n)}
+    rows = [(10 * h + k, f"http://host{h}.example/{k}", page) for (h, k), (page, _) in made.items()]
+    got = extracted(spark, rows)
+    assert sum(got[10 * h + k] == text for (h, k), (_, text) in made.items()) >= 0.9 * len(made)
 
 
 def article(page):
