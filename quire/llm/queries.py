@@ -76,7 +76,7 @@ def op9_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     store = sharding.Store(spark, new_path(spark, "shards"))
-    store.append(docs.withColumn("__arrival", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int")))
+    store.append(docs.withColumn("__arrival", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int")), "__arrival")
     store.compact()
     placed = store.placed()
     if placed is None:

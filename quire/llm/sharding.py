@@ -25,6 +25,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.shared import free
+
 FAN, TARGET = 4, 64 << 20
 KEPT, AGE = 2, 24 * 3600
 OPTIONS = {"compression": "zstd"}
@@ -103,7 +105,10 @@ class Store:
         return [Shard(p, n, version) for p, n, _ in self._files(folder) if p.endswith(".parquet")]
 
     def append(self, df: DataFrame, arrival: str = "__arrival") -> int:
-        """Appends the arrivals of df, one after the other in order of the column arrival (which isn't stored), as they are partitioned."""
+        """Appends the arrivals of df, one after the other in order of the column arrival (which isn't stored), as they are partitioned.
+
+        A df without that column is one arrival.
+        """
         version, live = self.version(), self.shards()
         if arrival not in df.columns:
             df = df.withColumn(arrival, F.lit(0))
@@ -145,10 +150,12 @@ class Store:
             groups = self.groups(live)
             if not groups:
                 return version
-            plan = self.spark.createDataFrame([(s.name, k) for k, g in enumerate(groups) for s in g], "__name string, __group int")
-            rows = self._read([s for g in groups for s in g]).withColumn("__name", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1))
-            rows = rows.join(F.broadcast(plan), "__name").drop("__name").repartitionById(len(groups), "__group")
-            made = self._write(rows, "__group", version + 1)
+            rows = self._read([s for g in groups for s in g])
+            name, group = free(rows, "__name"), free(rows, "__group")
+            plan = self.spark.createDataFrame([(s.name, k) for k, g in enumerate(groups) for s in g], f"{name} string, {group} int")
+            rows = rows.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1))
+            rows = rows.join(F.broadcast(plan), name).drop(name).repartitionById(len(groups), group)
+            made = self._write(rows, group, version + 1)
             gone = {s.path for g in groups for s in g}
             self.commit([s for s in live if s.path not in gone] + made, version)
             self.vacuum()
@@ -178,10 +185,13 @@ class Store:
         return self._read(shards) if shards else None
 
     def placed(self) -> DataFrame | None:
-        """The newest version's rows with shard (its number in the manifest), shard_bytes and version."""
+        """The newest version's rows with shard (its number in the manifest), shard_bytes and version; columns of their names give way."""
         shards, version = self.shards(), self.version()
         if not shards:
             return None
-        known = self.spark.createDataFrame([(s.name, k, s.size) for k, s in enumerate(shards)], "__name string, shard int, shard_bytes long")
-        rows = self._read(shards).withColumn("__name", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1))
-        return rows.join(F.broadcast(known), "__name").drop("__name").withColumn("version", F.lit(version))
+        rows = self._read(shards)
+        rows = rows.drop(*(c for c in rows.columns if c.lower() in ("shard", "shard_bytes", "version")))
+        name = free(rows, "__name")
+        known = self.spark.createDataFrame([(s.name, k, s.size) for k, s in enumerate(shards)], f"{name} string, shard int, shard_bytes long")
+        rows = rows.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1))
+        return rows.join(F.broadcast(known), name).drop(name).withColumn("version", F.lit(version))

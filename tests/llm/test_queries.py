@@ -226,3 +226,17 @@ def test_vacuum_spares_writers_and_readers(spark, tmp_path):
     assert lost()
     store.vacuum(keep=1, age=0)
     assert not lost() and store.read().count() == 500 and store.versions() == [store.version()]
+
+
+def test_shards_keep_columns_of_any_name(spark, tmp_path):
+    from quire.llm import sharding
+
+    store = sharding.Store(spark, f"file://{tmp_path}/s", fan=2, target=1 << 20)
+    row = "id AS doc_id, id * 2 AS __group, cast(id AS string) AS __name, id * 3 AS `a.b`, id * 4 AS version, id * 5 AS Shard"
+    for k in range(4):
+        store.append(spark.range(10 * k, 10 * k + 10).selectExpr(*row.split(", ")))
+    store.compact()
+    want = sorted((i, 2 * i, str(i), 3 * i, 4 * i, 5 * i) for i in range(40))
+    assert sorted(tuple(r) for r in store.read().collect()) == want and len(store.shards()) < 4
+    got = store.placed().collect()
+    assert sorted((r.doc_id, r["__group"], r["__name"]) for r in got) == [w[:3] for w in want] and {r.version for r in got} == {store.version()}
