@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,6 +27,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan, or what is mapped from one, dealt evenly over the cores if it has fewer partitions than there are cores; else df.
+
+    For work that costs far more a byte than a shuffle: a small table in one file would leave all but one core idle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with name, value worked out once a row however often it is used: as the optimizer doesn't copy it into filters and columns above."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes a table of cut() that nothing reads any more."""
     spark = df.sparkSession

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,12 +14,15 @@ from pyspark.sql import functions as F
 from quire.functions import terms as T
 from quire.functions.text import CJK, best_definition, best_sentence, clean_line, clean_text, contains_any, is_noise_line, normalize_key, safe_id, split_sentences, strip, sub, tokenize
 from quire.lexicon import DEFAULT, Lexicon
-from quire.operators.components import cut
+from quire.operators.components import cut, once
 
 #: How many terms, nodes and edges a chapter gives, and the edges' weights.
 CONTEXT, TERMS, NODES, EDGES, CHAIN = 6, 20, 14, 35, 4
 WEIGHTS = {"contains": 0.8, "parallel": 0.45, "applies_to": 0.55, "prerequisite": 0.65}
 NAME = f"[{CJK}A-Za-z0-9（）()]{{2,18}}"
+LETTER = re.compile("[\u4e00-\u9fa5A-Za-z0-9]")
+LETTERS = re.compile("[\u4e00-\u9fa5A-Za-z0-9]*")
+LONGEST, SPACES = 18, 64  # characters of a term; white space before a verb that is looked at before all of it is
 CHAPTER_KEY = ["textbook_id", "chapter_id"]
 #: Keywords of a chapter; what a model is shown and how many nodes and edges of its reply count.
 KEYWORDS, KEYWORD_CHARS = 35, 12_000
@@ -25,41 +30,125 @@ SHOWN, MODEL_NODES, MODEL_EDGES, MODEL_IMPORTANCE = 8000, 18, 30, 0.75
 REPLY = "nodes array<struct<name:string,definition:string,category:string,page:int>>, edges array<struct<source:string,target:string,relation_type:string,description:string>>"
 
 
-def raw_candidates(text: Column, title: Column, lexicon: Lexicon = DEFAULT) -> Column:
-    """array<string> of candidates in order: the title, terms around defining verbs, hints with their neighbours."""
+def said_candidates(text: Column, title: Column, lexicon: Lexicon = DEFAULT) -> Column:
+    """array<string> of candidates in order: the title and the terms around defining verbs."""
     every = lambda p: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), strip)
-    alternatives = lambda words: "|".join(words)
     parts = [F.array(strip(sub(clean_line(title), "(?U)^(?:第.+章|第.+节)\\s*")))]
     if lexicon.subject_verbs:
-        parts.append(every(f"(?U)({NAME})\\s*(?:{alternatives(lexicon.subject_verbs)})"))
+        parts.append(every(f"(?U)({NAME})\\s*(?:{'|'.join(lexicon.subject_verbs)})"))
     if lexicon.lead_words:
-        parts.append(every(f"(?U)(?:{alternatives(lexicon.lead_words)})\\s*({NAME})"))
+        parts.append(every(f"(?U)(?:{'|'.join(lexicon.lead_words)})\\s*({NAME})"))
     if lexicon.object_verbs:
-        parts.append(every(f"(?U)({NAME})\\s*(?:{alternatives(lexicon.object_verbs)})"))
-    near = f"[{CJK}A-Za-z0-9]{{0,{CONTEXT}}}"
-    parts += [every(f"({near}{h}{near})") for h in lexicon.hints]
+        parts.append(every(f"(?U)({NAME})\\s*(?:{'|'.join(lexicon.object_verbs)})"))
     return F.concat(*parts)
 
 
+def defining_verbs(lexicon: Lexicon = DEFAULT) -> tuple[str, ...]:
+    """The verbs after a term that count as its definition."""
+    return (*lexicon.subject_verbs, *lexicon.object_verbs[:2])
+
+
+def hint_contexts(text: str, size: int, places: list[int]) -> list[str]:
+    """What stands around a hint of some size: up to CONTEXT letters before and after, from left to right, no two overlapping.
+
+    places are all places of the hint in text. A stretch begins as far left as it may; if the hint stands again within
+    CONTEXT letters of there, the last of these is the one that it goes on from.
+    """
+    out, at, k = [], 0, 0
+    while k < len(places):
+        p = places[k]
+        if p < at:
+            k += 1
+            continue
+        start = p
+        while start > at and p - start < CONTEXT and LETTER.match(text[start - 1]):
+            start -= 1
+        last, j = p, k + 1
+        while j < len(places) and places[j] <= start + CONTEXT:
+            if not LETTERS.fullmatch(text, start, places[j]):
+                break
+            last = places[j]
+            j += 1
+        end = last + size
+        stop = end
+        while stop < len(text) and stop - end < CONTEXT and LETTER.match(text[stop]):
+            stop += 1
+        out.append(text[start:stop].strip())
+        at = stop
+    return out
+
+
+def _scanner(lexicon: Lexicon):
+    """text -> (the contexts of all hints, hint by hint; the names before defining verbs), by one pass of an automaton."""
+    import ahocorasick
+
+    hints, verbs, found = list(dict.fromkeys(lexicon.hints)), set(defining_verbs(lexicon)), ahocorasick.Automaton()
+    for w in {*hints, *verbs} - {""}:
+        found.add_word(w, w)
+    if len(found):
+        found.make_automaton()
+
+    def scan(text: str) -> tuple[list[str], list[str]]:
+        places: dict[str, list[int]] = {}
+        ends: dict[str, None] = {}
+        for e, w in found.iter(text) if len(found) else ():
+            p = e - len(w) + 1
+            places.setdefault(w, []).append(p)
+            if w in verbs:
+                q = len(text[max(0, p - SPACES) : p].rstrip()) + max(0, p - SPACES)
+                if q == max(0, p - SPACES):
+                    q = len(text[:p].rstrip())
+                ends[text[max(0, q - LONGEST) : q]] = None
+        return [c for h in hints if h in places for c in hint_contexts(text, len(h), places[h])], list(ends)
+
+    return scan
+
+
+def raw_candidates(chapters: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """(textbook_id, chapter_id, raw, ends) of chapters (textbook_id, chapter_id, title, text): candidates in order, and
+    what stands before the defining verbs. Each text is read once for all hints and verbs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = _scanner(lexicon)
+        for batch in batches:
+            for i in range(0, len(batch), 64):
+                part = batch.slice(i, 64)
+                found = [scan(t) for t in part.column(2).to_pylist()]
+                raw = [a + b for a, (b, _) in zip(part.column(3).to_pylist(), found)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(raw, pa.list_(pa.string())), pa.array([e for _, e in found], pa.list_(pa.string()))], names=[*CHAPTER_KEY, "raw", "ends"])
+
+    rows = chapters.select(*(F.col(c).cast("string").alias(c) for c in CHAPTER_KEY), F.coalesce("text", F.lit("")).alias("text"), said_candidates(F.coalesce("text", F.lit("")), F.col("title"), lexicon).alias("said"))
+    return rows.mapInArrow(run, "textbook_id string, chapter_id string, raw array<string>, ends array<string>")
+
+
 def candidate_terms(chapters: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """(textbook_id, chapter_id, rank, term): up to TERMS accepted terms of a chapter, best first, none inside another.
 
-    Terms are normalized and judged once per distinct candidate, whatever the number of chapters that have it.
+    chapters have content, or text, its clean form. Terms are normalized and judged once per distinct candidate, whatever
+    the number of chapters that have it. A chapter's text is not joined with its terms: which of them are defined is told
+    by what stands before its verbs.
     """
-    text = chapters.select(*CHAPTER_KEY, "title", clean_text(F.col("content")).alias("text"))
-    found = text.select(*CHAPTER_KEY, F.posexplode(raw_candidates(F.col("text"), F.col("title"), lexicon)).alias("pos", "raw"))
+    ranked = ranked_terms(chapters if "text" in chapters.columns else chapters.withColumn("text", clean_text(F.col("content"))), lexicon)
+    return ranked.select(*CHAPTER_KEY, F.posexplode("terms").alias("rank", "term")).withColumn("rank", F.col("rank") + 1)
+
+
+def ranked_terms(chapters: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """(textbook_id, chapter_id, terms) of chapters (textbook_id, chapter_id, title, text)."""
+    read = cut(raw_candidates(chapters, lexicon))
+    found = read.select(*CHAPTER_KEY, F.posexplode("raw").alias("pos", "raw"))
     known = found.select("raw").distinct().select("raw", T.normalize_term(F.col("raw"), lexicon).alias("term"))
-    known = known.where(T.term_ok(F.col("term"), lexicon))
+    known = cut(known.where(T.term_ok(F.col("term"), lexicon)))
     counted = found.join(known, "raw").groupBy(*CHAPTER_KEY, "term").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    scored = counted.join(text, CHAPTER_KEY).select(*CHAPTER_KEY, "term", "pos", T.term_score(F.col("term"), F.col("text"), F.col("n"), lexicon).alias("s"))
-    down = F.struct((-F.col("s.score")).alias("a"), (-F.col("s.hint")).alias("b"), (-F.col("s.defined")).alias("c"), (-F.col("s.length")).alias("d"), "pos", "term")
-    ordered = scored.groupBy(*CHAPTER_KEY).agg(F.transform(F.array_sort(F.collect_list(down)), lambda x: x["term"]).alias("all"))
+    listed = counted.groupBy(*CHAPTER_KEY).agg(F.collect_list(F.struct("term", "n", "pos")).alias("found"))  # of one text
+    ends = F.flatten(F.transform("ends", lambda e: F.transform(F.sequence(F.lit(1), F.length(e)), lambda n: F.substring(e, n, F.lit(LONGEST)))))
+    rows = once(listed.join(read.select(*CHAPTER_KEY, "ends"), CHAPTER_KEY), "defined", F.array_intersect("found.term", F.when(F.size("ends") > 0, ends).otherwise(F.array().cast("array<string>"))))
+    down = F.transform("found", lambda f: T.falling_score(f["term"], f["n"], F.array_contains("defined", f["term"]), f["pos"], lexicon))
 
     def keep(acc: Column, t: Column) -> Column:
-        return F.when(F.exists(acc, lambda r: r.contains(t) | t.contains(r)), acc).otherwise(F.concat(acc, F.array(t)))
+        return F.when((F.size(acc) >= TERMS) | F.exists(acc, lambda r: r.contains(t) | t.contains(r)), acc).otherwise(F.concat(acc, F.array(t)))
 
-    kept = F.slice(F.aggregate("all", F.array().cast("array<string>"), keep), 1, TERMS)
-    return ordered.select(*CHAPTER_KEY, F.posexplode(kept).alias("rank", "term")).withColumn("rank", F.col("rank") + 1)
+    ordered = rows.select(*CHAPTER_KEY, F.transform(F.array_sort(down), lambda x: x["term"]).alias("all"))
+    return ordered.select(*CHAPTER_KEY, F.aggregate("all", F.array().cast("array<string>"), keep).alias("terms"))
 
 
 def keywords(chapters: DataFrame, most: int = KEYWORDS, chars: int = KEYWORD_CHARS) -> DataFrame:
@@ -122,12 +211,15 @@ def model_graphs(chapters: DataFrame, books: DataFrame, ask: Callable[[str, str,
 
 def chapter_nodes(chapters: DataFrame, books: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """Nodes of the chapters that are extractable, before names are judged again; with chapter_ord, chapter_id and rank."""
-    good = chapters.where(T.chapter_is_extractable(F.col("title"), F.col("content"), lexicon))
-    ranked = candidate_terms(good, lexicon).where(F.col("rank") <= NODES)
-    text = clean_text(F.col("content"))
-    rows = good.select(*CHAPTER_KEY, "chapter_ord", "title", "page_start", text.alias("text")).withColumn("sentences", F.filter(split_sentences(F.col("text")), lambda s: ~is_noise_line(s)))
-    rows = rows.join(ranked, CHAPTER_KEY).join(books.select("textbook_id", F.col("title").alias("textbook_title")), "textbook_id")
-    rows = rows.withColumn("definition", best_sentence(F.col("term"), F.col("sentences"), F.col("text"))).drop("sentences", "text")
+    keys = [*CHAPTER_KEY, "chapter_ord", "title", "page_start"]
+    clean = once(chapters.select(*keys, "content"), "text", clean_text(F.col("content")))
+    good = cut(clean.where(T.chapter_is_extractable(F.col("title"), F.col("content"), lexicon, F.col("text"))).drop("content"))
+    ranked = ranked_terms(good, lexicon).withColumn("terms", F.slice("terms", 1, NODES))
+    rows = once(good.join(ranked, CHAPTER_KEY), "sentences", F.filter(split_sentences(F.col("text")), lambda s: ~is_noise_line(s)))
+    # A chapter's sentences meet its terms inside its row; only terms and definitions leave it.
+    named = F.transform("terms", lambda t, k: F.struct((k + 1).alias("rank"), t.alias("term"), best_sentence(t, F.col("sentences"), F.col("text")).alias("definition")))
+    rows = rows.select(*keys, F.explode(named).alias("t")).select(*keys, "t.*")
+    rows = rows.join(books.select("textbook_id", F.col("title").alias("textbook_title")), "textbook_id")
     rows = rows.withColumn("definition", T.clean_definition(F.col("term"), F.col("definition"), lexicon))
     return rows.select(
         "textbook_id", "chapter_id", "chapter_ord", "rank", "title",

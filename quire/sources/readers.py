@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quire import schemas
 from quire.functions.text import clean_text, safe_id, strip
 from quire.operators import segment
+from quire.operators.components import once, spread
 
 FORMATS = {"md": "markdown", "markdown": "markdown", "txt": "text", "docx": "word", "xlsx": "excel", "xlsm": "excel"}
 #: Namespaces of the office formats.
@@ -137,7 +138,7 @@ def read_documents(spark: SparkSession, path: str, schema: str, multi_line: bool
 def as_chapters(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(books, chapters): each document as a book of one chapter, for tables of plain texts."""
     ident = F.concat(F.lit("doc_"), F.col(key).cast("string"))
-    clean = docs.select(F.col(key).alias("book_ord"), ident.alias("textbook_id"), clean_text(F.col(text)).alias("content"))
+    clean = once(spread(docs.select(key, text)), "__content", clean_text(F.col(text))).select(F.col(key).alias("book_ord"), ident.alias("textbook_id"), F.col("__content").alias("content"))
     books = clean.select("textbook_id", F.concat(F.lit("Document "), F.col("book_ord").cast("string")).alias("title"), "book_ord", F.length("content").alias("total_chars"))
     chapters = clean.where("content <> ''").select(
         "textbook_id", F.lit(1).alias("chapter_ord"), F.lit("ch_001").alias("chapter_id"), strip(F.left(F.get(F.split("content", "\n"), F.lit(0)), F.lit(40))).alias("title"),
