@@ -46,6 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.shared import BROADCAST_ROWS, drop_stored, only_ids, spread_join, stored
+from quire.operators.components import once
 
 FEW, SHARE = 2, 0.8  # different pages a host needs for a wrapper; share of them on which a template slot's text is the same
 REFERENCES, MAIN, ALIKE = 8, 2 / 3, 0.8
@@ -499,8 +500,9 @@ def _chosen(rows: DataFrame) -> DataFrame:
     rows = rows.select("page_id", "url", "region", F.expr(f"transform(filter(leaves, s -> not s.out), s -> struct(s.at, s.head, s.named, s.own, s.plain, s.weight, s.text, {const}))").alias("l"), F.exists("leaves", lambda s: s["out"]).alias("told"))
     rows = rows.withColumn("varied", F.filter("l", lambda s: ~s["const"])).withColumn("core", F.filter("varied", lambda s: s["inside"]))
     place = F.transform("l", lambda s: s["inside"] & ~s["const"])
-    rows = rows.withColumns({"begin": F.array_position(place, True), "end": F.size("l") + 1 - F.array_position(F.reverse(place), True), "ats": F.transform("core", lambda s: s["at"])})
-    between = lambda s, i: s["inside"] & (i + 1 > F.col("begin")) & (i + 1 < F.col("end")) & (s["plain"] == F.length(s["text"])) & F.array_contains(F.col("ats"), s["at"])
+    edge = F.struct(F.array_position(place, True).alias("begin"), (F.size("l") + 1 - F.array_position(F.reverse(place), True)).alias("end"), F.array_distinct(F.transform("core", lambda s: s["at"])).alias("ats"))
+    rows = once(rows, "edge", edge)
+    between = lambda s, i: s["inside"] & (i + 1 > F.col("edge.begin")) & (i + 1 < F.col("edge.end")) & (s["plain"] == F.length(s["text"])) & F.array_contains(F.col("edge.ats"), s["at"])
     by_wrapper = F.filter("l", lambda s, i: F.when(s["const"], between(s, i)).otherwise(s["inside"] | s["head"]))
     rest = F.when(F.size("varied") > 0, F.col("varied")).otherwise(F.col("l"))
     rows = rows.withColumn("rest", rest).withColumn("article", F.filter("rest", lambda s: s["named"]))
