@@ -69,20 +69,6 @@ def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", graphview.palette_index(F.col("p_name"), 9).alias("colour"), graphview.shorten(F.col("p_name"), 7).alias("label"), graphview.natural_key(name).alias("place"), shown.alias("shown"))
 
 
-#: title, whether it looks like something else, whether it is a valid one, whether it is a catalogue row.
-TITLE_TESTS = (
-    ("第七章 上肢", False, True, False), ("第七章 上肢 128", True, True, True), ("参见第三章。", True, False, False), ("推荐阅读", True, False, False), ("第十二章 休克", False, True, False), ("目录", True, False, False),
-    ("第三章 细胞；组织", True, False, False), ("绪论", False, False, False), ("索引 312", True, False, True), ("第一章", False, True, False),
-)
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({S.quoted(a)}, {str(b).lower()}, {str(c).lower()}, {str(d).lower()})" for a, b, c, d in TITLE_TESTS) + ") t(title, suspicious, valid, catalogue)")
-def title_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What titles look like."""
-    rows = spark.createDataFrame([(a,) for a, *_ in TITLE_TESTS], "title string")
-    return rows.select("title", H.is_suspicious(F.col("title")).alias("suspicious"), H.is_valid_title(F.col("title")).alias("valid"), H.is_catalog_row(F.col("title")).alias("catalogue"))
-
-
 _PLAIN = Lexicon(hints=(), publishing=(), min_chapter=500)
 _TOC = "(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?:[.\\x{2026}·•\\-—_]\\s*){4,}'))) >= 4)"
 

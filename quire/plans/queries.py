@@ -357,32 +357,6 @@ def concept_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphview.chapter_tree(nodes, books, chapters).select("book", "chapter", F.size("names").cast("long").alias("n"))
 
 
-# Terms and titles: literals
-
-TERMS = (
-    ("根据抗原", "抗原", True), ("称为神经内分泌细胞", "神经内分泌细胞", True), ("分化为骨骼肌", "骨骼肌", True), ("释放顶体酶", "顶体酶", True), ("上颌动脉以翼外肌为标志可", "上颌动脉", True),
-    ("外分泌腺按形态可", "外分泌腺", True), ("动作电位", "动作电位", True), ("肾小球滤过率", "肾小球滤过率", True), ("leukocyte", "leukocyte", True), ("主要症状", "主要症状", False),
-    ("第八章", "", False), ("感染", "感染", False), ("解剖学", "解剖学", False), ("有调节体温", "有调节体温", False),
-)
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({S.quoted(a)}, {S.quoted(b)}, {str(c).lower()})" for a, b, c in TERMS) + ") t(raw, term, ok)")
-def chinese_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates, what normalizing makes of them, and whether they are concepts."""
-    rows = spark.createDataFrame([(a,) for a, _, _ in TERMS], "raw string").withColumn("term", T.normalize_term(F.col("raw")))
-    return rows.withColumn("ok", T.term_ok(F.col("term")))
-
-
-TITLES = (("第十二章  休 克", "第十二章 休克", "第十二章", 12), ("第3章", "第3章", "第3章", 3), ("绪论", "绪论", "绪论", 0), ("第二十章 稳态 学习目标", "第二十章 稳态", "第二十章", 20))
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({S.quoted(a)}, {S.quoted(b)}, {S.quoted(c)}, {d})" for a, b, c, d in TITLES) + ") t(raw, title, chapter_key, number)")
-def chapter_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles in one form, their keys and numbers."""
-    rows = spark.createDataFrame([(a,) for a, *_ in TITLES], "raw string")
-    return rows.select("raw", H.normalize_title(F.col("raw")).alias("title"), H.chapter_key(F.col("raw")).alias("chapter_key"), H.chapter_number(F.col("raw")).alias("number"))
-
-
 # Extraction, feedback, reports
 
 
