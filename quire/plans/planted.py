@@ -133,14 +133,14 @@ def judged_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ok", T.term_ok(F.col("term"), normalized=True))
 
 
-_FLAT = """list_concat(list_transform(range(1, length(w)), lambda i: substr(w, i::BIGINT, 2)), list_concat(list_transform(range(1, length(w) - 1), lambda i: substr(w, i::BIGINT, 3)), list_transform(range(1, length(w) - 2), lambda i: substr(w, i::BIGINT, 4))))"""
-
-
 @query(
-    f"WITH RECURSIVE poly AS (SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM poly WHERE k < 8), crcs AS (SELECT list(c ORDER BY i) AS t FROM poly WHERE k = 8), "
-    f"d AS (SELECT doc_id, ' ' || regexp_replace(text, '[{S.SPACE}]+', '', 'g') || ' ' AS w FROM documents), g AS (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest({_FLAT}) AS g FROM d WHERE length(w) > 2) GROUP BY doc_id, g), "
+    f"WITH RECURSIVE poly AS (SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM poly WHERE k < 8), "
+    f"d AS (SELECT doc_id, ' ' || regexp_replace(text, '[{S.SPACE}]+', '', 'g') || ' ' AS w FROM documents), c AS (SELECT doc_id, unnest(l) AS ch, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(w, '') AS l FROM d WHERE length(w) > 2)), "
+    "l AS (SELECT doc_id, ch || lead(ch) OVER o AS two, ch || lead(ch) OVER o || lead(ch, 2) OVER o AS three, ch || lead(ch) OVER o || lead(ch, 2) OVER o || lead(ch, 3) OVER o AS four FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i)), "
+    "g AS (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest([two, three, four]) AS g FROM l) WHERE g IS NOT NULL GROUP BY doc_id, g), "
     "u AS (SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM g)), "
-    "s AS (SELECT g, (xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x) // 2 + 1), lambda i: ('0x' || substr(x, (2 * i - 1)::BIGINT, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 4096)::INTEGER AS slot FROM u, crcs), "
+    "b AS (SELECT g, x, 0 AS pos, 4294967295::BIGINT AS c FROM u UNION ALL SELECT g, x, pos + 1, xor(b.c >> 8, p.c) FROM b JOIN (SELECT i, c FROM poly WHERE k = 8) p ON p.i = xor(b.c, ('0x' || substr(x, (2 * pos + 1)::BIGINT, 2))::BIGINT) & 255 WHERE 2 * pos < length(x)), "
+    "s AS (SELECT g, (xor(c, 4294967295) % 4096)::INTEGER AS slot FROM b WHERE 2 * pos = length(x)), "
     "w AS (SELECT doc_id, slot, sum(n)::DOUBLE AS n FROM g JOIN s USING (g) GROUP BY doc_id, slot) SELECT doc_id, count(*) AS slots, max(slot)::BIGINT AS highest, sum(slot * n)::BIGINT AS placed, round(max(n) / sqrt(sum(n * n)), 6) AS largest FROM w GROUP BY doc_id"
 )
 def hashed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
