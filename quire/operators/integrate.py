@@ -61,7 +61,7 @@ def clusters(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(ord, cluster, size): clusters numbered from 1 by falling size, then by their first node."""
     comp = connected(nodes.select(F.col("ord").alias("node")), pairs)
     sizes = comp.groupBy("component").agg(F.count("*").alias("size"))
-    ranked = sizes.withColumn("cluster", F.row_number().over(W.orderBy(F.desc("size"), "component")))
+    ranked = numbered(sizes.withColumn("falling", -F.col("size")), "cluster", "falling", "component").withColumn("cluster", F.col("cluster").cast("int"))
     return comp.join(ranked, "component").select(F.col("node").alias("ord"), "cluster", "size")
 
 
