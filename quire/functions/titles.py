@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import NUMERAL, clean_line, clean_text, collapse, contains_any, count_of, strip, sub
 
-#: Markers of resources, sections and publishing matter.
+# Fixed values from here to TITLE: markers of resources, sections and publishing matter, the patterns of titles, and their limits.
 RESOURCES = "本章数字资源"
 STOP_MARKERS = ("本章数字资源", "学习目标", "本章思维导图", "推荐阅读", "中英文名词对照索引", "附录", "数字特色", "AR 模型")
 CATALOG = ("推荐阅读", "中英文名词对照索引", "附录", "数字特色", "AR 模型")
@@ -21,6 +21,7 @@ HEADING = f"(?iU)^\\s*(?:{PREFIX}[\\s\\u3000：:、.-]*.{{0,40}}|Chapter\\s+\\d+
 TITLE_LINE = f"(?U)^\\s*(?:\\d+\\s+)?({PREFIX})(.*)$"
 SECTION = f"(?U)^\\s*(?:第\\s*{N}\\s*节|[一二三四五六七八九十]+、|\\d+[\\.、])"
 CATALOG_ROW = f"(?U)(?:{PREFIX}|推荐阅读|索引|附录|AR\\s*模型).{{0,24}}\\d+"
+REST, BODY, TITLE = 22, 30, 45  # characters after a title's number, of a body line at least, of a title
 
 
 def is_heading(c: Column) -> Column:
@@ -56,7 +57,7 @@ def is_suspicious(c: Column) -> Column:
     """Whether a title looks like something else: a catalogue row, a sentence, or an overlong name."""
     t = clean_line(c)
     rest = collapse(F.regexp_extract(t, TITLE_LINE, 2), "")
-    odd = t.rlike(TITLE_LINE) & ((F.length(rest) > 22) | rest.rlike("(?U)\\d"))
+    odd = t.rlike(TITLE_LINE) & ((F.length(rest) > REST) | rest.rlike("(?U)\\d"))
     return (t == "") | contains_any(t, NOT_TITLE) | t.rlike("[。！？；;]") | odd
 
 
@@ -65,7 +66,7 @@ def is_catalog_row(c: Column) -> Column:
 
 
 def is_body_line(c: Column) -> Column:
-    return (F.length(c) > 30) | c.rlike("[。！？；;]")
+    return (F.length(c) > BODY) | c.rlike("[。！？；;]")
 
 
 def is_stop_line(c: Column) -> Column:
@@ -73,7 +74,7 @@ def is_stop_line(c: Column) -> Column:
 
 
 def is_valid_title(c: Column) -> Column:
-    return (F.length(c) > 0) & (F.length(c) <= 45) & ~contains_any(c, NOT_TITLE) & ~c.rlike("[。！？；;]") & c.rlike(f"(?U)^{PREFIX}")
+    return (F.length(c) > 0) & (F.length(c) <= TITLE) & ~contains_any(c, NOT_TITLE) & ~c.rlike("[。！？；;]") & c.rlike(f"(?U)^{PREFIX}")
 
 
 def is_catalog_fragment(content: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from quire.functions.text import LEADER, TOC_LINE
-from quire.functions.titles import CATALOG_ROW, NOT_TITLE, PREFIX, RESOURCES, SECTION, STOP_MARKERS, TITLE_LINE, N
+from quire.functions.titles import BODY, CATALOG_ROW, NOT_TITLE, PREFIX, RESOURCES, SECTION, STOP_MARKERS, TITLE, TITLE_LINE, N
 
 EDGE = " 　：:、.-|"
 
@@ -39,7 +39,7 @@ def _stops(line: str) -> bool:
 
 
 def _prose(line: str) -> bool:
-    return len(line) > 30 or bool(_MARKS.search(line))
+    return len(line) > BODY or bool(_MARKS.search(line))
 
 
 def _whole(prefix: str, parts: list[str]) -> str | None:
@@ -50,7 +50,7 @@ def _whole(prefix: str, parts: list[str]) -> str | None:
     t = re.sub("(?<=[一-龥])\\s+(?=[一-龥])", "", t)
     t = re.sub(rf"(第{N}章)(.+?)\s+\2.+$", r"\1\2", t)
     t = re.sub(rf"(第{N}章)\s*", r"\1 ", " ".join(t.split()).strip(" ：:、.-")).strip()
-    bad = not t or len(t) > 45 or any(m in t for m in NOT_TITLE) or _MARKS.search(t) or not _PREFIX.match(t)
+    bad = not t or len(t) > TITLE or any(m in t for m in NOT_TITLE) or _MARKS.search(t) or not _PREFIX.match(t)
     return None if bad else t
 
 

@@ -11,6 +11,7 @@ from quire.functions.titles import chapter_number
 #: How many nodes a view shows at each density, and edges for each node.
 LIMITS = {"calm": {"force": 70, "tree": 48, "matrix": 28, "edges": 1.2}, "balanced": {"force": 135, "tree": 82, "matrix": 40, "edges": 1.8}, "rich": {"force": 230, "tree": 120, "matrix": 54, "edges": 2.4}}
 UNKNOWN_CHAPTER = "未识别章节"
+EXACT_EDGES = 100_000  # that one row may gather
 
 
 def natural_key(c: Column) -> Column:
@@ -64,13 +65,16 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, query: str, exact: bool =
     """(id) of the nodes that match and their neighbours.
 
     By default a one-hop semi-join. exact follows one ordered pass over the edges, in which a later edge sees what
-    earlier ones added: a fold, so it gathers the edges of the shown book into one row; meant for graphs on a screen.
+    earlier ones added: a fold, so it gathers the edges of the shown book into one row; meant for graphs on a screen, and
+    refused for more than EXACT_EDGES edges.
     """
     found = nodes.where(matches(query)).select("id")
     if not exact:
         out = edges.join(found.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id"))
         back = edges.join(found.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("source").alias("id"))
         return found.union(out).union(back).distinct()
+    if edges.limit(EXACT_EDGES + 1).count() > EXACT_EDGES:
+        raise ValueError(f"more than {EXACT_EDGES} edges: take the semi-join (exact=False)")
     listed = edges.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "source", "target"))), lambda e: F.struct(e["source"].alias("s"), e["target"].alias("t"))).alias("e"))
     start = found.agg(F.collect_set("id").alias("m"))
 
