@@ -14,7 +14,8 @@ and over all pages the slots (the wrapper's places of text) are told apart:
 - The other slots vary. The wrapper is entered at its root and left for the child that holds MAIN of the varying text
   that isn't linked (in paragraphs and headings it weighs more), as long as one does and is no mere block of text; where this ends is the content region. Varying
   slots in the region, and first-level headings, are the main text; menus, adverts, footers and comments vary too, but
-  outside it. Inside it, a constant text without links that stands between varying ones in a slot of theirs is content.
+  outside it. Inside it, a constant text without links that stands between varying ones in a slot of theirs, now here, now
+  there, is content; one that has the same place on SHARE of the pages, from the start or the end, is template.
 
 Names (tags such as nav or footer, words in class, id and role) are a prior: what they call no content doesn't count
 for the region and isn't taken from it. A page with less than OTHER of its varying text in the region has another layout;
@@ -422,6 +423,16 @@ def slots(leaves: list[Node]) -> list[int]:
     return out
 
 
+def positions(leaves: list[Node]) -> list[tuple[int, int]]:
+    """The place of each leaf among those of its labels, from the start and from the end, from 1."""
+    total, seen = Counter(x.path for x in leaves), Counter()
+    out = []
+    for x in leaves:
+        seen[x.path] += 1
+        out.append((seen[x.path], total[x.path] + 1 - seen[x.path]))
+    return out
+
+
 def _wrappers(rows: DataFrame) -> DataFrame:
     """(host, pages, wrapper) of the hosts with FEW different pages or more. rows: (host, html, share)."""
     full = rows.where(F.length("html") > 0)
@@ -439,8 +450,8 @@ def _wrappers(rows: DataFrame) -> DataFrame:
     return listed.mapInArrow(run, "host string, pages long, wrapper string")
 
 
-LEAF = "slot: long, at: int, often: boolean, out: boolean, head: boolean, named: boolean, own: boolean, plain: int, weight: int, text: string"
-_LEAF = pa.struct([("slot", pa.int64()), ("at", pa.int32()), *((x, pa.bool_()) for x in ("often", "out", "head", "named", "own")), ("plain", pa.int32()), ("weight", pa.int32()), ("text", pa.string())])
+LEAF = "slot: long, at: int, often: boolean, out: boolean, head: boolean, named: boolean, own: boolean, plain: int, weight: int, first: int, last: int, text: string"
+_LEAF = pa.struct([("slot", pa.int64()), ("at", pa.int32()), *((x, pa.bool_()) for x in ("often", "out", "head", "named", "own")), ("plain", pa.int32()), ("weight", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("text", pa.string())])
 
 
 def _blocks(pages: DataFrame) -> DataFrame:
@@ -448,7 +459,7 @@ def _blocks(pages: DataFrame) -> DataFrame:
 
     A leaf is marked often if SHARE of the host's pages in this part have it; out if its names say so; head if it is a
     first-level heading; named in article or main; own in the region of the page alone; plain counts its characters
-    outside links, and weight is their weight for the region.
+    outside links, and weight is their weight for the region; first and last are its positions().
     """
     names = [f.name for f in _LEAF]
 
@@ -469,8 +480,8 @@ def _blocks(pages: DataFrame) -> DataFrame:
                         wrappers[host].align(nodes, shapes)
                     heads = {id(c) for n in nodes if n.tag == "h1" for c in n.children}
                     alone = set() if any(x.off for x in leaves) else own_region(nodes)  # only asked for where names say nothing
-                    own = slots(leaves)
-                    blocks.append((host, own, [(x.at if text else -1, x.off, id(x) in heads, bool(x.inside), id(x) in alone, len(x.text) - x.linked, x.weight, x.text) for x in leaves]))
+                    own, places = slots(leaves), positions(leaves)
+                    blocks.append((host, own, [(x.at if text else -1, x.off, id(x) in heads, bool(x.inside), id(x) in alone, len(x.text) - x.linked, x.weight, *at, x.text) for x, at in zip(leaves, places)]))
                     if page:
                         pages[host] += share
                     for s in own:
@@ -494,15 +505,15 @@ def _regions(varying: DataFrame, wrappers: DataFrame) -> DataFrame:
 
 
 def _chosen(rows: DataFrame) -> DataFrame:
-    """(page_id, url, text) of rows (page_id, url, leaves, template, region)."""
+    """(page_id, url, text) of rows (page_id, url, leaves, template, fixed, region)."""
     mass = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, s: a + s["weight"])
-    const = "coalesce(array_contains(template, s.slot), false) AS const, coalesce(array_contains(region, s.at), false) AS inside"
+    const = "coalesce(array_contains(template, s.slot), false) AS const, coalesce(array_contains(fixed, s.slot), false) AS fixed, coalesce(array_contains(region, s.at), false) AS inside"
     rows = rows.select("page_id", "url", "region", F.expr(f"transform(filter(leaves, s -> not s.out), s -> struct(s.at, s.head, s.named, s.own, s.plain, s.weight, s.text, {const}))").alias("l"), F.exists("leaves", lambda s: s["out"]).alias("told"))
     rows = rows.withColumn("varied", F.filter("l", lambda s: ~s["const"])).withColumn("core", F.filter("varied", lambda s: s["inside"]))
     place = F.transform("l", lambda s: s["inside"] & ~s["const"])
     edge = F.struct(F.array_position(place, True).alias("begin"), (F.size("l") + 1 - F.array_position(F.reverse(place), True)).alias("end"), F.array_distinct(F.transform("core", lambda s: s["at"])).alias("ats"))
     rows = once(rows, "edge", edge)
-    between = lambda s, i: s["inside"] & (i + 1 > F.col("edge.begin")) & (i + 1 < F.col("edge.end")) & (s["plain"] == F.length(s["text"])) & F.array_contains(F.col("edge.ats"), s["at"])
+    between = lambda s, i: ~s["fixed"] & s["inside"] & (i + 1 > F.col("edge.begin")) & (i + 1 < F.col("edge.end")) & (s["plain"] == F.length(s["text"])) & F.array_contains(F.col("edge.ats"), s["at"])
     by_wrapper = F.filter("l", lambda s, i: F.when(s["const"], between(s, i)).otherwise(s["inside"] | s["head"]))
     rest = F.when(F.size("varied") > 0, F.col("varied")).otherwise(F.col("l"))
     rows = rows.withColumn("rest", rest).withColumn("article", F.filter("rest", lambda s: s["named"]))
@@ -532,9 +543,16 @@ def extract(pages: DataFrame) -> DataFrame:
     slot = blocks.select("host", F.explode(F.expr("transform(filter(leaves, s -> s.often), s -> s.slot)")).alias("slot")).distinct()
     slot = stored(only_ids(slot, wrappers.select("host"), "host"), "slots")
     votes = only_ids(blocks.select("host", "share", F.explode("leaves.slot").alias("slot")), slot, ["host", "slot"]).groupBy("host", "slot").agg(F.sum("share").alias("votes"))
-    template = votes.join(wrappers.select("host", "pages"), "host").where(F.col("votes") >= SHARE * F.col("pages") - 1e-6).groupBy("host").agg(F.collect_set("slot").alias("template"))
-    template = stored(template, "template")
+    template = votes.join(wrappers.select("host", "pages"), "host").where(F.col("votes") >= SHARE * F.col("pages") - 1e-6).select("host", "slot", "pages")
+    constant = stored(template, "constant")
     drop_stored(slot)
+    # A constant text is fixed if it also has one place among the texts of its labels, from the start or from the end.
+    held = only_ids(blocks.select("host", "share", F.explode(F.expr("transform(leaves, s -> struct(s.slot, s.first, s.last))")).alias("s")).select("host", "share", "s.*"), constant.select("host", "slot"), ["host", "slot"])
+    place = held.select("host", "slot", "share", F.explode(F.array("first", -F.col("last"))).alias("place")).groupBy("host", "slot", "place").agg(F.sum("share").alias("n"))
+    place = place.groupBy("host", "slot").agg(F.max("n").alias("n"))
+    template = constant.join(place, ["host", "slot"]).groupBy("host").agg(F.collect_set("slot").alias("template"), F.collect_set(F.when(F.col("n") >= SHARE * F.col("pages") - 1e-6, F.col("slot"))).alias("fixed"))
+    template = stored(template, "template")
+    drop_stored(constant)
     varies = F.expr("filter(leaves, s -> not s.out and (template is null or not array_contains(template, s.slot)))")
     varying = by_host(blocks, template).select("host", varies.alias("leaves"))
     mass = varying.select("host", F.explode("leaves").alias("s")).where("s.at >= 0").select("host", "s.at", F.col("s.weight").alias("plain"))

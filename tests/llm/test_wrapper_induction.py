@@ -131,7 +131,7 @@ def test_a_sentence_of_every_article_stays_inside(spark):
     say = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
     made = {}
     for k in range(8):
-        blocks = [say(15), "Advice: drink water.", say(18), say(12)]
+        blocks = [*(say(15) for _ in range(1 + k % 4)), "Advice: drink water.", *(say(18) for _ in range(1 + k // 3))]
         made[k] = "<body><div><p>Welcome to the works</p></div><div>" + "".join(f"<p>{b}</p>" for b in blocks) + "<p>All rights reserved</p></div></body>", "\n".join(blocks)
     assert extracted(spark, [(k, "http://s.example/", p) for k, (p, _) in made.items()]) == {k: t for k, (_, t) in made.items()}
 
