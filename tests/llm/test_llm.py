@@ -447,7 +447,7 @@ def test_pipeline(spark):
 
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["good_documents", "one_of_each_group", "without_benchmark", "mixed_sources", "token_files"]
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in entry.queries() if q.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in entry.queries() if q.startswith("op")}
 
 
 def test_html_entities_are_the_standard_ones():
