@@ -19,9 +19,14 @@ benchmark seed, up to SIEVE, so it is a broadcast of bounded size whatever the b
 joined with the benchmark's seeds. Hits are pairs of numbers; for each the document's tokens on the diagonal, as many as
 the item has, are joined with the item's. Nothing of the benchmark goes through the driver but the sieve.
 
-Cases: null or empty texts and items match nothing; a null item_id is reported as null; repeated documents and items
-are reported each; an empty table gives no rows; an item's best overlap with a document is reported once, the leftmost
-of ties; further columns are ignored.
+Common phrases: equal texts are one text, and items of the same tokens one item, until the end. A seed, item or text of
+many rows is cut into parts, each of which meets all rows of the other side; a text's hits are dealt into blocks of
+HITS. What remains grows with the pairs of different texts and different items that share a seed.
+
+Cases: null or empty texts and items match nothing; repeated documents are reported each; items of the same tokens are
+reported once, by their smallest item_id (null if none has one) and their number, and same_items() lists them; an
+empty table gives no rows; an item's best overlap with a document is reported once, the leftmost of ties; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import BROADCAST_ROWS, columns, drop_stored, free, only_ids, spread_join, stored
+from quire.llm.shared import BROADCAST_ROWS, columns, drop_stored, free, hot_parts, only_ids, salted_join, stored
 from quire.llm.words import mixed, pieces, words
 
 #: For overlaps of MIN_WORDS tokens or more, and for whole items of fewer words; found by greedy cover.
@@ -50,6 +55,7 @@ SHORT_MASKS = {
 }
 MIN_WORDS, SHARE, SHORTEST = 13, 0.8, 1
 SIEVE = 28  # the binary logarithm of the sieve's largest size: 32 MB
+HITS = 10_000  # hits of a text that are worked on at once
 
 _MULT = (np.random.default_rng(99).integers(0, 2**62, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _TRIM = np.zeros(256, bool)
@@ -107,8 +113,8 @@ def verify(doc: np.ndarray, item: np.ndarray, least: int) -> tuple[int, int, int
     return (s, e, int(same[s:e].sum())) if e - s >= least else None
 
 
-def _items(benchmark: DataFrame, shortest: int) -> DataFrame:
-    """(row, item_id, n, h): the items' token hashes, row being a number of their own."""
+def _read_items(benchmark: DataFrame, shortest: int) -> DataFrame:
+    """(item_id, n, h): the items' token hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,21 +124,32 @@ def _items(benchmark: DataFrame, shortest: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(cut)), pa.array([h[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["item_id", "n", "h"])
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
-    made = rows.mapInArrow(run, "item_id long, n long, h binary").where(F.col("n") >= shortest)
-    return stored(made.select(F.monotonically_increasing_id().alias("row"), "item_id", "n", "h"), "items")
+    return rows.mapInArrow(run, "item_id long, n long, h binary").where(F.col("n") >= max(1, shortest))
+
+
+def _items(benchmark: DataFrame, shortest: int) -> DataFrame:
+    """(row, item_id, n_items, n, h): the different items, row being a number of their own."""
+    made = _read_items(benchmark, shortest).groupBy("h", "n").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"))
+    return stored(made.select(F.monotonically_increasing_id().alias("row"), "item_id", "n_items", "n", "h"), "items")
+
+
+def same_items(benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+    """(item_id, same_as): every item that find() looks for, beside the one that stands for all of its tokens."""
+    made = _read_items(benchmark, shortest)
+    return made.join(made.groupBy("h").agg(F.min("item_id").alias("same_as")), "h").select("item_id", "same_as")
 
 
 def _item_seeds(items: DataFrame) -> DataFrame:
-    """(key, row, offset) of every seed of the items."""
+    """(key, row, n, offset) of every seed of the items, n being the item's number of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, n, h in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 for m in masks(n):
                     f = _seeded(np.frombuffer(h, "<u8"), m)
-                    yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(np.full(len(f), row)), pa.array(np.arange(len(f)))], names=["key", "row", "offset"])
+                    yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(np.full(len(f), row)), pa.array(np.full(len(f), n)), pa.array(np.arange(len(f)))], names=["key", "row", "n", "offset"])
 
-    return stored(items.select("row", "n", "h").mapInArrow(run, "key long, row long, offset long"), "seeds")
+    return stored(items.select("row", "n", "h").mapInArrow(run, "key long, row long, n long, offset long"), "seeds")
 
 
 def _sieve(seeds: DataFrame) -> tuple[int, np.ndarray]:
@@ -198,12 +215,12 @@ def _aligned(texts: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
-    """(text, row, item_id, first_token, end_token, n_same) of the pairs (text, row, item_id, begin, offset, doc, h, n) that overlap."""
+    """(text, row, item_id, n_items, first_token, end_token, n_same) of the pairs (text, row, item_id, n_items, begin, offset, doc, h, n) that overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, out = [], []
-            for k, (begin, offset, doc, h, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3, 8)))):
+            for k, (begin, offset, doc, h, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4, 9)))):
                 doc, item = np.frombuffer(doc, "<u8"), np.frombuffer(h, "<u8")
                 got = verify(doc, item[offset : offset + len(doc)], min(MIN_WORDS, n))
                 if got:
@@ -211,31 +228,44 @@ def _verified(pairs: DataFrame) -> DataFrame:
                     out.append((begin + got[0], begin + got[1], got[2]))
             chosen = batch.take(pa.array(keep, pa.int64()))
             ends = [pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([*chosen.columns[:3], *ends], names=["text", "row", "item_id", "first_token", "end_token", "n_same"])
+            yield pa.RecordBatch.from_arrays([*chosen.columns[:4], *ends], names=["text", "row", "item_id", "n_items", "first_token", "end_token", "n_same"])
+
+    return pairs.select("text", "row", "item_id", "n_items", "begin", "offset", "doc", "h", "n").mapInArrow(run, "text long, row long, item_id long, n_items long, first_token long, end_token long, n_same long")
+
 
-    return pairs.select("text", "row", "item_id", "begin", "offset", "doc", "h", "n").mapInArrow(run, "text long, row long, item_id long, first_token long, end_token long, n_same long")
+def _listed(hits: DataFrame) -> DataFrame:
+    """(text, hits) of hits (text, row, diagonal, n): the hits of a text in blocks of about HITS."""
+    block = F.lit(0)
+    if hits.count() > HITS:  # else no text has more
+        many = hits.groupBy("text").agg(F.count("*").alias("blocks")).where(F.col("blocks") > HITS).withColumn("blocks", F.ceil(F.col("blocks") / HITS))
+        few = many.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        hits = hits.join(F.broadcast(many) if few else many, "text", "left")
+        block = F.coalesce(F.pmod(F.xxhash64("row", "diagonal"), F.col("blocks")), F.lit(0))
+    return hits.groupBy("text", block.alias("block")).agg(F.collect_list(F.struct("row", "diagonal", "n")).alias("hits")).select("text", "hits")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
-    """doc_id, item_id, first_token, end_token (exclusive), n_same: the best overlap of each contaminated pair; items of `shortest` tokens or more count."""
+    """doc_id, item_id, n_items, first_token, end_token (exclusive), n_same: the best overlap of each contaminated document with each different item; items of `shortest` tokens or more count."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
-    items = _items(benchmark, max(1, shortest))
+    items = _items(benchmark, shortest)
     seeds = _item_seeds(items)
     sizes = [r.n for r in items.select(F.least("n", F.lit(MIN_WORDS)).alias("n")).distinct().collect()]  # MIN_WORDS rows at most
     used = sorted({m for n in sizes for m in masks(n)})
     found = _candidates(rows.select("text_key", "text"), used, *_sieve(seeds))
-    hits = spread_join(found, seeds, "key").select("text", "row", (F.col("at") - F.col("offset")).alias("diagonal")).distinct()
-    hits = hits.join(items.select("row", "n"), "row")
-    listed = stored(hits.groupBy("text").agg(F.collect_list(F.struct("row", "diagonal", "n")).alias("hits")).withColumnRenamed("text", "text_key"), "hits")
+    hits = stored(salted_join(found, seeds, "key").select("text", "row", (F.col("at") - F.col("offset")).alias("diagonal"), "n").distinct(), "hits")
     drop_stored(found)
-    few = listed.limit(BROADCAST_ROWS // 10 + 1).count() <= BROADCAST_ROWS // 10
-    one = only_ids(rows, listed.select("text_key"), "text_key").groupBy("text_key").agg(F.first("text").alias("text"))
+    listed = stored(_listed(hits).withColumnRenamed("text", "text_key"), "listed")
+    few = listed.limit(BROADCAST_ROWS // 10 + 1).count() <= BROADCAST_ROWS // 10 and hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    one = only_ids(rows, listed.select("text_key").distinct(), "text_key").groupBy("text_key").agg(F.first("text").alias("text"))
     aligned = _aligned(one.join(F.broadcast(listed) if few else listed, "text_key").select("text_key", "text", "hits"))
-    pairs = _verified(aligned.join(items, "row"))
-    best = pairs.groupBy("text", "row").agg(F.max(F.struct((F.col("end_token") - F.col("first_token")).alias("n"), (-F.col("first_token")).alias("at"), "n_same")).alias("b"), F.first("item_id").alias("item_id"))
-    best = stored(best.select(F.col("text").alias("text_key"), "item_id", (-F.col("b.at")).alias("first_token"), (F.col("b.n") - F.col("b.at")).alias("end_token"), F.col("b.n_same").alias("n_same")), "leaks")
-    ids = only_ids(rows.select("doc_id", "text_key"), best.select("text_key").distinct(), "text_key")
-    return spread_join(ids, best, "text_key").select("doc_id", "item_id", "first_token", "end_token", "n_same")
+    pairs = _verified(salted_join(aligned, items, "row", hot_parts(hits, "row")))
+    best = pairs.groupBy("text", "row").agg(F.max(F.struct((F.col("end_token") - F.col("first_token")).alias("n"), (-F.col("first_token")).alias("at"), "n_same", "item_id", "n_items")).alias("b"))
+    best = stored(best.select(F.col("text").alias("text_key"), "b.item_id", "b.n_items", (-F.col("b.at")).alias("first_token"), (F.col("b.n") - F.col("b.at")).alias("end_token"), "b.n_same"), "leaks")
+    for done in (items, seeds, hits, listed):
+        drop_stored(done)
+    ids = rows.select("doc_id", "text_key")
+    out = ids.join(F.broadcast(best), "text_key") if best.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else salted_join(ids, best, "text_key")
+    return out.select("doc_id", "item_id", "n_items", "first_token", "end_token", "n_same")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -99,6 +99,35 @@ def spread_join(rows: DataFrame, table: DataFrame, on: str, how: str = "inner",
     return out.unionByName(nulls, allowMissingColumns=True) if nulls is not None else out
 
 
+def hot_parts(rows: DataFrame, on: str, least: int = HOT_ROWS) -> list[tuple]:
+    """(key, parts) of the keys that hot_keys() finds: how many parts each has to be cut into to be hot no more."""
+    counts = rows.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("__times"))
+    total = rows.count()
+    if total <= least:
+        return []
+    limit = max(least, total // HOT_KEYS)
+    return [(r[0], -(-r[1] // limit)) for r in counts.where(F.col("__times") > limit).collect()]
+
+
+def salted_join(rows: DataFrame, table: DataFrame, on: str, hot: list[tuple] | None = None) -> DataFrame:
+    """The inner join of rows and table, both with any number of rows a key, without one key's rows meeting in a task.
+
+    A hot key's rows are spread by a hash of their columns over as many parts as hot_parts() says, and the table's rows
+    of that key are repeated for each part. So the repeated rows are fewer than the join's result, and only the hot
+    keys themselves, HOT_KEYS at most, are broadcast. rows are read once more to find the hot keys if not given.
+    """
+    hot = hot_parts(rows, on) if hot is None else hot
+    if not hot:
+        return rows.join(table, on)
+    kind = rows.schema[on].dataType.simpleString()
+    parts = F.broadcast(rows.sparkSession.createDataFrame(hot, f"`{on}` {kind}, __parts int"))
+    salt = F.coalesce(F.pmod(F.xxhash64(*columns(rows)), F.col("__parts")), F.lit(0)).cast("int")
+    left = rows.join(parts, on, "left").withColumn("__salt", salt).drop("__parts")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1))
+    right = table.join(parts, on, "left").withColumn("__salt", each).drop("__parts")
+    return left.join(right, [on, "__salt"]).drop("__salt")
+
+
 #: Edges that a task joins into components at once, about 20 MB.
 TASK_EDGES = 500_000
 

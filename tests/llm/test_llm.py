@@ -263,7 +263,25 @@ def test_decontam_finds_every_overlap(spark):
             want.add((n * 1000 + k, n, k % 3, k % 3 + n, n - len(off)))
         rows.append((n * 1000 + 999, " ".join(own[: max(0, n - n // 5 - 1)])))
     found = decontam.find(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
-    assert {tuple(r) for r in found.collect()} == want
+    assert {(r.doc_id, r.item_id, r.first_token, r.end_token, r.n_same) for r in found.collect()} == want
+
+
+def test_decontam_cuts_common_phrases_into_parts(spark, monkeypatch):
+    """A phrase of most texts and items, items of the same tokens, texts with more hits than a block holds."""
+    from quire.llm import decontam, shared
+
+    monkeypatch.setattr(decontam, "HITS", 7)
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 20)
+    monkeypatch.setattr(shared, "HOT_ROWS", 10)
+    monkeypatch.setattr(shared.hot_parts, "__defaults__", (10,))
+    phrase = [f"p{k}" for k in range(15)]
+    items = [(k, " ".join([f"a{k}", *phrase, f"b{k}"])) for k in range(12)] + [(100 + k, "  ".join(["A3", *phrase, "b3."])) for k in range(4)] + [(200, " ".join(f"c{k}" for k in range(20)))]
+    rows = [(k, " ".join([f"x{k}", *phrase, f"y{k}"])) for k in range(60)] + [(900 + k, " ".join(phrase * 3)) for k in range(30)] + [(1000, "nothing of that kind")]
+    got = collections.Counter(tuple(r) for r in decontam.find(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect())
+    ends = {**{k: (1, 16) for k in range(60)}, **{900 + k: (0, 15) for k in range(30)}}
+    assert got == collections.Counter((d, i, 5 if i == 3 else 1, s, e, 15) for d, (s, e) in ends.items() for i in range(12))
+    same = {r.item_id: r.same_as for r in decontam.same_items(spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert same == {**{k: k for k in (*range(12), 200)}, **{100 + k: 3 for k in range(4)}}
 
 
 def brute_jaccard(rows, width, num, den):
