@@ -19,8 +19,9 @@ benchmark seed, up to SIEVE, so it is a broadcast of bounded size whatever the b
 joined with the benchmark's seeds. Hits are pairs of numbers; for each the document's tokens on the diagonal, as many as
 the item has, are joined with the item's. Nothing of the benchmark goes through the driver but the sieve.
 
-Common phrases: equal texts are one text, and items of the same tokens one item, until the end. A seed, item or text of
-many rows is cut into parts, each of which meets all rows of the other side; a text's hits are dealt into blocks of
+Common phrases: equal texts are one text, and items of the same tokens one item, until the end. Of hits in a row on one
+diagonal only the first is joined: seeds carry the one before them (0 if none), and where that meets, too, its own rows
+tell the diagonal. A seed, item or text of many rows is cut into parts, each of which meets all rows of the other side; a text's hits are dealt into blocks of
 HITS. What remains grows with the pairs of different texts and different items that share a seed.
 
 Cases: null or empty texts and items match nothing; repeated documents are reported each; items of the same tokens are
@@ -127,6 +128,11 @@ def _read_items(benchmark: DataFrame, shortest: int) -> DataFrame:
     return rows.mapInArrow(run, "item_id long, n long, h binary").where(F.col("n") >= max(1, shortest))
 
 
+def _before(seeds: np.ndarray) -> np.ndarray:
+    """The seed before each, 0 for the first."""
+    return np.concatenate([np.zeros(min(1, len(seeds)), np.uint64), seeds[:-1]])
+
+
 def _items(benchmark: DataFrame, shortest: int) -> DataFrame:
     """(row, item_id, n_items, n, h): the different items, row being a number of their own."""
     made = _read_items(benchmark, shortest).groupBy("h", "n").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"))
@@ -140,16 +146,16 @@ def same_items(benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
 
 
 def _item_seeds(items: DataFrame) -> DataFrame:
-    """(key, row, n, offset) of every seed of the items, n being the item's number of tokens."""
+    """(key, before, row, n, offset) of every seed of the items, n being the item's number of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, n, h in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 for m in masks(n):
                     f = _seeded(np.frombuffer(h, "<u8"), m)
-                    yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(np.full(len(f), row)), pa.array(np.full(len(f), n)), pa.array(np.arange(len(f)))], names=["key", "row", "n", "offset"])
+                    yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(_before(f).view(np.int64)), pa.array(np.full(len(f), row)), pa.array(np.full(len(f), n)), pa.array(np.arange(len(f)))], names=["key", "before", "row", "n", "offset"])
 
-    return stored(items.select("row", "n", "h").mapInArrow(run, "key long, row long, n long, offset long"), "seeds")
+    return stored(items.select("row", "n", "h").mapInArrow(run, "key long, before long, row long, n long, offset long"), "seeds")
 
 
 def _sieve(seeds: DataFrame) -> tuple[int, np.ndarray]:
@@ -169,7 +175,7 @@ def _sieve(seeds: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def _candidates(texts: DataFrame, used: list[str], bits: int, sieve: np.ndarray) -> DataFrame:
-    """(key, text, at): the seeds of texts (text_key, text) that pass the sieve."""
+    """(key, previous, text, at): the seeds of texts (text_key, text) that pass the sieve, and those before them."""
     shipped = texts.sparkSession.sparkContext.broadcast(sieve)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +191,10 @@ def _candidates(texts: DataFrame, used: list[str], bits: int, sieve: np.ndarray)
                     p = np.flatnonzero((table[cell >> 6] >> (cell & 63)) & 1)
                     p = p[row[p] == row[p + len(mask) - 1]]
                     if len(p):
-                        yield pa.RecordBatch.from_arrays([pa.array(s[p].view(np.int64)), pa.array(keys[i + row[p]]), pa.array(p - first[p])], names=["key", "text", "at"])
+                        previous = np.where(p > first[p], _before(s)[p], np.uint64(0))
+                        yield pa.RecordBatch.from_arrays([pa.array(s[p].view(np.int64)), pa.array(previous.view(np.int64)), pa.array(keys[i + row[p]]), pa.array(p - first[p])], names=["key", "previous", "text", "at"])
 
-    return stored(texts.mapInArrow(run, "key long, text long, at long"), "candidates")
+    return stored(texts.mapInArrow(run, "key long, previous long, text long, at long"), "candidates")
 
 
 def _aligned(texts: DataFrame) -> DataFrame:
@@ -233,10 +240,10 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("text", "row", "item_id", "n_items", "begin", "offset", "doc", "h", "n").mapInArrow(run, "text long, row long, item_id long, n_items long, first_token long, end_token long, n_same long")
 
 
-def _listed(hits: DataFrame) -> DataFrame:
+def _listed(hits: DataFrame, total: int) -> DataFrame:
     """(text, hits) of hits (text, row, diagonal, n): the hits of a text in blocks of about HITS."""
     block = F.lit(0)
-    if hits.count() > HITS:  # else no text has more
+    if total > HITS:  # else no text has more
         many = hits.groupBy("text").agg(F.count("*").alias("blocks")).where(F.col("blocks") > HITS).withColumn("blocks", F.ceil(F.col("blocks") / HITS))
         few = many.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         hits = hits.join(F.broadcast(many) if few else many, "text", "left")
@@ -252,17 +259,20 @@ def find(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> Dat
     sizes = [r.n for r in items.select(F.least("n", F.lit(MIN_WORDS)).alias("n")).distinct().collect()]  # MIN_WORDS rows at most
     used = sorted({m for n in sizes for m in masks(n)})
     found = _candidates(rows.select("text_key", "text"), used, *_sieve(seeds))
-    hits = stored(salted_join(found, seeds, "key").select("text", "row", (F.col("at") - F.col("offset")).alias("diagonal"), "n").distinct(), "hits")
-    drop_stored(found)
-    listed = stored(_listed(hits).withColumnRenamed("text", "text_key"), "listed")
-    few = listed.limit(BROADCAST_ROWS // 10 + 1).count() <= BROADCAST_ROWS // 10 and hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    first = (F.col("previous") != F.col("before")) | (F.col("before") == 0)
+    hits = stored(salted_join(found, seeds, "key").where(first).select("text", "row", (F.col("at") - F.col("offset")).alias("diagonal"), "n").distinct(), "hits")
+    many = hits.count()
+    listed = stored(_listed(hits, many).withColumnRenamed("text", "text_key"), "listed")
+    few = listed.limit(BROADCAST_ROWS // 10 + 1).count() <= BROADCAST_ROWS // 10 and many <= BROADCAST_ROWS
     one = only_ids(rows, listed.select("text_key").distinct(), "text_key").groupBy("text_key").agg(F.first("text").alias("text"))
-    aligned = _aligned(one.join(F.broadcast(listed) if few else listed, "text_key").select("text_key", "text", "hits"))
+    texts = one.join(F.broadcast(listed) if few else listed, "text_key").select("text_key", "text", "hits")
+    if many > 10 * HITS:  # far more work than the texts' bytes tell
+        texts = texts.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, many // (10 * HITS)))
+    aligned = _aligned(texts)
     pairs = _verified(salted_join(aligned, items, "row", hot_parts(hits, "row")))
     best = pairs.groupBy("text", "row").agg(F.max(F.struct((F.col("end_token") - F.col("first_token")).alias("n"), (-F.col("first_token")).alias("at"), "n_same", "item_id", "n_items")).alias("b"))
     best = stored(best.select(F.col("text").alias("text_key"), "b.item_id", "b.n_items", (-F.col("b.at")).alias("first_token"), (F.col("b.n") - F.col("b.at")).alias("end_token"), "b.n_same"), "leaks")
-    for done in (items, seeds, hits, listed):
-        drop_stored(done)
+    drop_stored(items, seeds, found, hits, listed)
     ids = rows.select("doc_id", "text_key")
     out = ids.join(F.broadcast(best), "text_key") if best.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else salted_join(ids, best, "text_key")
     return out.select("doc_id", "item_id", "n_items", "first_token", "end_token", "n_same")

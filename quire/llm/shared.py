@@ -63,12 +63,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Deletes a table of stored() that nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        drop_path(df.sparkSession, path)
+def drop_stored(*tables: DataFrame) -> None:
+    """Deletes tables of stored() that nothing reads any more."""
+    spark = tables[0].sparkSession
+    for path in {f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles()}:
+        drop_path(spark, path)
     # Lets the context cleaner find shuffles that only dropped plans refer to, so disks don't fill up in long loops.
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def only_ids(df: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
