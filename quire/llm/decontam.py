@@ -14,7 +14,7 @@ substitutions in 13 tokens, 3 in 15, 4 in 20 and 5 in 25, and for shorter items
 Tokens are words with A-Z lowered and ASCII punctuation at their ends left out. Runs of fewer than MIN_WORDS tokens of
 longer items find nothing. An item of few words stands in ordinary text by chance: `shortest` leaves such items out.
 
-Documents' hashes first pass a sieve, a bit for each value of some of a benchmark hash's bits; it has 16 bits for each
+Documents' hashes first pass a sieve, a bit for each value of some of a benchmark hash's bits; it has 128 bits for each
 benchmark seed, up to SIEVE, so it is a broadcast of bounded size whatever the benchmark's. What passes is shuffled and
 joined with the benchmark's seeds. Hits are pairs of numbers; for each the document's tokens on the diagonal, as many as
 the item has, are joined with the item's. Nothing of the benchmark goes through the driver but the sieve.
@@ -160,7 +160,7 @@ def _item_seeds(items: DataFrame) -> DataFrame:
 
 def _sieve(seeds: DataFrame) -> tuple[int, np.ndarray]:
     """(bits, the sieve as bytes): a bit for each value of the first bits of seeds' keys."""
-    bits = min(SIEVE, max(16, (16 * seeds.count()).bit_length()))
+    bits = min(SIEVE, max(16, (128 * seeds.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
