@@ -37,9 +37,9 @@ def neighbour_pairs(nodes: DataFrame, features: int = vectors.FEATURES, k: int =
     """(a, b, cosine), a < b, for b among a's k nearest by character TF-IDF of name and definition."""
     texts = nodes.select("ord", F.concat("name", F.lit("。"), F.coalesce("definition", F.lit(""))).alias("text"))
     tf = cut(vectors.gram_counts(texts, "ord", "text"))
-    unit = vectors.tfidf(tf, vectors.vocabulary(tf, texts.count(), "ord", features), "ord")
-    pairs = vectors.cosine_pairs(unit.withColumnRenamed("ord", "a"), unit.withColumnRenamed("ord", "b"), "a", "b").where("a <> b")
-    return vectors.top_neighbours(pairs, "a", "b", k).where("a < b").select("a", "b", "cosine")
+    unit = cut(vectors.tfidf(tf, vectors.vocabulary(tf, texts.count(), "ord", features), "ord"))
+    found = vectors.top_cosine(unit.withColumnRenamed("ord", "a"), unit.withColumnRenamed("ord", "b"), "a", "b", k)
+    return found.where("a < b").select("a", "b", "cosine")
 
 
 def should_merge(semantic: Column, fuzzy: Column, overlap: Column, same_book: Column, threshold: float = THRESHOLD) -> Column:

@@ -137,3 +137,52 @@ def top_neighbours(pairs: DataFrame, a: str, b: str, k: int = 10) -> DataFrame:
     """The k most similar b of each a; of ties, to nine places, the smaller b."""
     rank = F.row_number().over(W.partitionBy(a).orderBy(F.round("cosine", 9).desc(), b))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+#: Postings that a text's first look at its neighbours may read, and the margin for sums of doubles in another order.
+PROBED, MARGIN = 1000, 1e-8
+
+
+def bounded_terms(left: DataFrame, right: DataFrame, a: str) -> DataFrame:
+    """(a, term, w, read, bound): left's terms that right has, rarest first.
+
+    read is the number of right's postings of this term and the rarer ones; bound is the largest cosine of a pair of
+    unit vectors that shares this term or more common ones only: the smaller of the sum of weights times right's
+    largest ones, and of the length of what is left of the vector.
+    """
+    known = right.groupBy("term").agg(F.count("*").alias("df"), F.max("w").alias("most"))
+    rare = W.partitionBy(a).orderBy("df", "term").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rest = W.partitionBy(a).orderBy("df", "term").rowsBetween(W.currentRow, W.unboundedFollowing)
+    bound = F.least(F.sum(F.col("w") * F.col("most")).over(rest), F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest)))
+    return left.join(known, "term").select(a, "term", "w", F.sum("df").over(rare).alias("read"), bound.alias("bound"))
+
+
+def promising_pairs(terms: DataFrame, right: DataFrame, a: str, b: str, k: int, probed: int = PROBED) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b, part) that may be among a's k best, terms (a, term, w) that part does not count), of bounded_terms().
+
+    The rarest terms, up to `probed` postings, give some partners, and the k-th best of their sums is a threshold that
+    a's k best reach. A partner that shares only terms whose bound is below it is none of them, so the lists of those
+    terms, which are the long ones, aren't read; pairs whose sum and the rest's bound stay below it leave, too.
+    """
+    near = cosine_pairs(terms.where(F.col("read") <= probed).select(a, "term", "w"), right, a, b).where(F.col(a) != F.col(b))
+    rank = F.row_number().over(W.partitionBy(a).orderBy(F.desc("cosine"), b))
+    least = near.withColumn("rank", rank).where(F.col("rank") == k).select(a, (F.col("cosine") - MARGIN).alias("least"))
+    judged = cut(terms.join(least, a, "left").select(a, "term", "w", "bound", F.coalesce("least", F.lit(-1.0)).alias("least")))
+    kept, late = judged.where("bound >= least"), judged.where("bound < least")
+    rest = judged.groupBy(a).agg(F.first("least").alias("least"), F.coalesce(F.max(F.when(F.col("bound") < F.col("least"), F.col("bound"))), F.lit(0.0)).alias("rest"))
+    pairs = cosine_pairs(kept.select(a, "term", "w"), right, a, b).where(F.col(a) != F.col(b))
+    return cut(pairs.join(rest, a).where(F.col("cosine") + F.col("rest") >= F.col("least")).select(a, b, F.col("cosine").alias("part"))), late.select(a, "term", "w")
+
+
+def top_cosine(left: DataFrame, right: DataFrame, a: str, b: str, k: int = 10, probed: int = PROBED) -> DataFrame:
+    """(a, b, cosine, rank): the k most similar b of each a, itself left out, as top_neighbours() of all cosine_pairs().
+
+    left (a, term, w) and right (b, term, w) are postings of vectors of length 1 without negative weights. Exact: terms
+    are left unread only where no pair can reach a's k best by them. A text without k partners by its rare terms has
+    no threshold, so all its terms are read. Pairs that share no term don't count; empty tables give no rows.
+    """
+    terms = cut(bounded_terms(left, right, a))
+    pairs, late = promising_pairs(terms, right, a, b, k, probed)
+    more = pairs.select(a, b).join(late, a).join(right.withColumnRenamed("w", "w2"), [b, "term"]).select(a, b, (F.col("w") * F.col("w2")).alias("part"))
+    full = pairs.unionByName(more).groupBy(a, b).agg(F.sum("part").alias("cosine"))
+    return top_neighbours(full, a, b, k)

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import dense
+from quire.operators import dense, integrate
 from quire.operators.components import shared_folder
-from quire.plans.queries import query, table
+from quire.plans.queries import neighbours_sql, query, table
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -39,3 +39,10 @@ def inverted_file_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = dense.InvertedFile.build(rows, new_folder(spark, "inverted"))
     found = index.search(rows.where("key % 20 = 0"))
     return found.select("qid", "rank", "key", F.round("cosine", 6).alias("cosine"), F.lit(index.probes).alias("probes"), F.lit(len(index.centroids)).alias("cells"))
+
+
+@query(neighbours_sql("SELECT conv_id * 1000 + turn AS ord, coalesce(text, '') || '。' AS text FROM conversations"))
+def turn_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of conversation turns among each other's ten nearest, over the whole table."""
+    nodes = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.coalesce("text", F.lit("")).alias("name"), F.lit("").alias("definition"))
+    return integrate.neighbour_pairs(nodes).select("a", "b", F.round("cosine", 6).alias("cosine"))

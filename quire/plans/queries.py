@@ -206,13 +206,18 @@ def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.hashed(table(spark, sf_dir, "benchmark"), "item_id", "text").select("item_id", "slot", F.round("w", 9).alias("w"))
 
 
-@query(
-    f"WITH c AS (SELECT item_id AS ord, text || '。' AS text FROM benchmark), cg AS (SELECT ord, term, count(*) AS tf FROM (SELECT ord, unnest({_GRAMS.replace('{x}', 'text')}) AS term FROM c) GROUP BY ord, term), "
-    "voc AS (SELECT term, ln((1.0 + (SELECT count(*) FROM c)) / (1 + df)) + 1 AS idf FROM (SELECT term, sum(tf) AS total, count(*) AS df FROM cg GROUP BY term ORDER BY total DESC, term LIMIT 16000)), "
-    "cw AS (SELECT ord, term, tf * idf AS w FROM cg JOIN voc USING (term)), cn AS (SELECT ord, sqrt(sum(w * w)) AS norm FROM cw GROUP BY ord), "
-    "cs AS (SELECT x.ord AS a, y.ord AS b, sum(x.w * y.w) / max(nx.norm * ny.norm) AS cosine FROM cw x JOIN cw y ON x.term = y.term AND x.ord <> y.ord JOIN cn nx ON nx.ord = x.ord JOIN cn ny ON ny.ord = y.ord GROUP BY x.ord, y.ord) "
-    "SELECT a, b, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(cosine, 9) DESC, b) AS r FROM cs) WHERE r <= 10 AND a < b"
-)
+def neighbours_sql(texts: str) -> str:
+    """The pairs of texts (a query for ord and text) among each other's ten nearest."""
+    return (
+        f"WITH c AS ({texts}), cg AS (SELECT ord, term, count(*) AS tf FROM (SELECT ord, unnest({_GRAMS.replace('{x}', 'text')}) AS term FROM c) GROUP BY ord, term), "
+        "voc AS (SELECT term, ln((1.0 + (SELECT count(*) FROM c)) / (1 + df)) + 1 AS idf FROM (SELECT term, sum(tf) AS total, count(*) AS df FROM cg GROUP BY term ORDER BY total DESC, term LIMIT 16000)), "
+        "cw AS (SELECT ord, term, tf * idf AS w FROM cg JOIN voc USING (term)), cn AS (SELECT ord, sqrt(sum(w * w)) AS norm FROM cw GROUP BY ord), "
+        "cs AS (SELECT x.ord AS a, y.ord AS b, sum(x.w * y.w) / max(nx.norm * ny.norm) AS cosine FROM cw x JOIN cw y ON x.term = y.term AND x.ord <> y.ord JOIN cn nx ON nx.ord = x.ord JOIN cn ny ON ny.ord = y.ord GROUP BY x.ord, y.ord) "
+        "SELECT a, b, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(cosine, 9) DESC, b) AS r FROM cs) WHERE r <= 10 AND a < b"
+    )
+
+
+@query(neighbours_sql("SELECT item_id AS ord, text || '。' AS text FROM benchmark"))
 def neighbour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of benchmark texts among each other's ten nearest, in order."""
     nodes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.col("text").alias("name"), F.lit("").alias("definition"))
