@@ -20,23 +20,24 @@ VECTOR, LEXICAL, EXACT = 0.62, 0.28, 0.10
 K1, B = 1.5, 0.75
 CONTEXT = 10_000  # characters of sources that a writer of answers gets
 NOT_INDEXED, NOT_FOUND = "当前知识库尚未建立索引，请先点击“建立 RAG 索引”。", "当前知识库中未找到相关信息。"
+Tokenizer = Callable[[Column], Column]
 TABLES = ("chunks", "postings", "grams", "vocabulary", "stats")
 
 
-def term_postings(chunks: DataFrame, key: str = "ord", text: str = "text") -> DataFrame:
+def term_postings(chunks: DataFrame, key: str = "ord", text: str = "text", words: Tokenizer = tokenize) -> DataFrame:
     """(key, term, tf, dl): token counts and each text's length in tokens."""
-    tokens = chunks.select(key, tokenize(F.col(text)).alias("t"))
+    tokens = chunks.select(key, words(F.col(text)).alias("t"))
     return tokens.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def corpus_stats(chunks: DataFrame, text: str = "text") -> DataFrame:
+def corpus_stats(chunks: DataFrame, text: str = "text", words: Tokenizer = tokenize) -> DataFrame:
     """One row: n texts and avgdl, their mean length in tokens."""
-    return chunks.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size(tokenize(F.col(text)))), F.lit(0.0)).alias("avgdl"))
+    return chunks.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size(words(F.col(text)))), F.lit(0.0)).alias("avgdl"))
 
 
-def bm25(queries: DataFrame, postings: DataFrame, stats: DataFrame, key: str = "ord") -> DataFrame:
+def bm25(queries: DataFrame, postings: DataFrame, stats: DataFrame, key: str = "ord", words: Tokenizer = tokenize) -> DataFrame:
     """(qid, key, bm25) of texts that share a term; a term that a question repeats counts as often."""
-    asked = queries.select("qid", F.explode(tokenize(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    asked = queries.select("qid", F.explode(words(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     known = asked.select("term").distinct().join(postings, "term")
     df = known.groupBy("term").agg(F.count("*").alias("df"))
     rows = known.join(df, "term").crossJoin(F.broadcast(stats)).join(asked, "term")  # stats is one row
@@ -54,20 +55,24 @@ def top_by(scores: DataFrame, score: str, k: Column | int, key: str = "ord") ->
 
 @dataclass
 class Index:
-    """The tables of an index: chunks; token postings; gram postings of unit length; the gram vocabulary; one row of stats."""
+    """The tables of an index: chunks; token postings; gram postings of unit length; the gram vocabulary; one row of stats.
+
+    words is the tokenizer of chunks and questions, which a saved index doesn't hold: give load() the one of build().
+    """
 
     chunks: DataFrame
     postings: DataFrame
     grams: DataFrame
     vocabulary: DataFrame
     stats: DataFrame
+    words: Tokenizer = tokenize
 
     @classmethod
-    def build(cls, chunks: DataFrame, features: int = vectors.FEATURES) -> Index:
+    def build(cls, chunks: DataFrame, features: int = vectors.FEATURES, words: Tokenizer = tokenize) -> Index:
         """The index of chunks; gram counts, from which vocabulary, weights and norms come, are computed once and kept."""
         tf = cut(vectors.gram_counts(chunks, "ord", "text"))
         vocab = cut(vectors.vocabulary(tf, chunks.count(), "ord", features))
-        return cls(chunks, cut(term_postings(chunks)), vectors.tfidf(tf, vocab, "ord"), vocab, corpus_stats(chunks))
+        return cls(chunks, cut(term_postings(chunks, words=words)), vectors.tfidf(tf, vocab, "ord"), vocab, corpus_stats(chunks, words=words), words)
 
     def save(self, path: str) -> Index:
         """Writes the tables, postings sorted by term so that a question's terms prune row groups; the index read back."""
@@ -76,11 +81,11 @@ class Index:
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
         for name in ("postings", "grams"):
             getattr(self, name).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/{name}")
-        return self.load(self.chunks.sparkSession, path)
+        return self.load(self.chunks.sparkSession, path, self.words)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in TABLES))
+    def load(cls, spark: SparkSession, path: str, words: Tokenizer = tokenize) -> Index:
+        return cls(*(spark.read.parquet(f"{path}/{t}") for t in TABLES), words)
 
     @staticmethod
     def clear(spark: SparkSession, path: str) -> bool:
@@ -105,9 +110,9 @@ class Index:
 
     def scores(self, queries: DataFrame) -> DataFrame:
         """(qid, ord, score): vector and BM25 scores over their question's largest, and the share of question tokens found."""
-        asked = queries.select("qid", F.array_distinct(tokenize(F.col("question"))).alias("q"))
+        asked = queries.select("qid", F.array_distinct(self.words(F.col("question"))).alias("q"))
         exact = asked.select("qid", F.size("q").alias("nq"), F.explode("q").alias("term")).join(self.postings.select("ord", "term"), "term").groupBy("qid", "ord").agg((F.count("*") / F.greatest(F.lit(1), F.first("nq"))).alias("exact"))
-        rows = self.vector_scores(queries).join(bm25(queries, self.postings, self.stats), ["qid", "ord"], "full").join(exact, ["qid", "ord"], "full").na.fill(0.0, ["cosine", "bm25", "exact"])
+        rows = self.vector_scores(queries).join(bm25(queries, self.postings, self.stats, words=self.words), ["qid", "ord"], "full").join(exact, ["qid", "ord"], "full").na.fill(0.0, ["cosine", "bm25", "exact"])
         each = W.partitionBy("qid")
         share = lambda c: F.when(F.max(c).over(each) > 0, F.col(c) / F.max(c).over(each)).otherwise(F.col(c))
         return rows.select("qid", "ord", (VECTOR * share("cosine") + LEXICAL * share("bm25") + EXACT * F.col("exact")).alias("score"))
