@@ -34,12 +34,26 @@ def exact_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def neighbour_pairs(nodes: DataFrame, features: int = vectors.FEATURES, k: int = NEIGHBOURS) -> DataFrame:
-    """(a, b, cosine), a < b, for b among a's k nearest by character TF-IDF of name and definition."""
-    texts = nodes.select("ord", F.concat("name", F.lit("。"), F.coalesce("definition", F.lit(""))).alias("text"))
-    tf = cut(vectors.gram_counts(texts, "ord", "text"))
-    unit = cut(vectors.tfidf(tf, vectors.vocabulary(tf, texts.count(), "ord", features), "ord"))
-    found = vectors.top_cosine(unit.withColumnRenamed("ord", "a"), unit.withColumnRenamed("ord", "b"), "a", "b", k)
-    return found.where("a < b").select("a", "b", "cosine")
+    """(a, b, cosine), a < b, for b among a's k nearest by character TF-IDF of name and definition.
+
+    Equal texts are compared once, as a class named by its first node: a node's k nearest lie in the k + 1 nearest classes
+    of its own, nearness of ties told by their first nodes, and are among the first k + 1 nodes of each.
+    """
+    texts = nodes.select("ord", F.coalesce(F.concat("name", F.lit("。"), F.coalesce("definition", F.lit(""))), F.lit("")).alias("text"))
+    # Rows of one ord are one text.
+    whole = texts.groupBy("ord").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("text"))
+    whole = cut(whole.withColumn("digest", F.sha2("text", 256)))
+    classes = cut(whole.groupBy("digest").agg(F.min("ord").alias("class"), F.count("*").alias("copies"), F.min("text").alias("text")))
+    members = whole.select("ord", "digest").join(classes.select("digest", "class"), "digest").select("ord", "class")
+    terms = vectors.frequent(vectors.term_totals(classes, "text", "copies"), texts.count(), features)
+    near = vectors.top_in_blocks(classes, "class", "text", terms, k + 1)
+    turn = F.row_number().over(W.partitionBy("class").orderBy("ord"))
+    first = members.withColumn("turn", turn).where(F.col("turn") <= k + 1).select(F.col("class").alias("b"), F.col("ord").alias("other"))
+    rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("near"), "other"))
+    ranked = near.join(first, "b").withColumn("rank", rank).where(F.col("rank") <= k + 1)
+    lists = ranked.groupBy(F.col("a").alias("class")).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("other").alias("b"), "cosine"))).alias("near"))
+    own = members.join(lists, "class").select(F.col("ord").alias("a"), F.explode(F.slice(F.filter("near", lambda x: x["b"] != F.col("ord")), 1, k)).alias("x"))
+    return own.select("a", "x.b", "x.cosine").where("a < b")
 
 
 def should_merge(semantic: Column, fuzzy: Column, overlap: Column, same_book: Column, threshold: float = THRESHOLD) -> Column:

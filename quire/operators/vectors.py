@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ from quire.functions.text import sub
 from quire.operators.components import cut
 
 SIZES, FEATURES, SLOTS = (2, 3, 4), 16_000, 4096
+HELD = 200_000  # terms that a task sums up before it hands their sums on
 
 
 def _every(w: Column, n: int) -> Column:
@@ -61,6 +65,66 @@ def gram_counts(docs: DataFrame, key: str, text: str, sizes: tuple[int, ...] = S
     return placed.groupBy(key, F.substring("w", F.col("i"), F.col("size")).alias("term")).agg(F.sum("n").alias("tf"))
 
 
+@lru_cache(1 << 16)
+def _cut_grams(word: str, sizes: tuple[int, ...]) -> tuple[str, ...]:
+    w = f" {word} "
+    return tuple(w[i : i + n] for n in sizes if len(w) >= n or n == sizes[0] for i in range(max(1, len(w) - n + 1)))
+
+
+def text_grams(folded: str, sizes: tuple[int, ...] = SIZES) -> Counter[str]:
+    """The grams of word_grams() of one text that folded() has made ready, with their counts."""
+    out: Counter[str] = Counter()
+    for word, n in Counter(folded.split(" ")).items():
+        if word:
+            for g in _cut_grams(word, sizes):
+                out[g] += n
+    return out
+
+
+def folded(text: Column) -> Column:
+    """The text as gram_counts() and text_grams() cut it into words; a null text has none."""
+    return F.coalesce(F.lower(sub(text, "(?U)\\s+", " ")), F.lit(""))
+
+
+def term_totals(docs: DataFrame, text: str, copies: str | None = None, sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """(term, total, df) of the grams of all texts, each as often as its copies say; what leaves a task is a sum a term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[str] = Counter()
+        df: Counter[str] = Counter()
+
+        def sums() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64()), pa.array([df[t] for t in total], pa.int64())], names=["term", "total", "df"])
+            total.clear()
+            df.clear()
+            return out
+
+        for batch in batches:
+            for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for g, c in text_grams(t, sizes).items():
+                    total[g] += c * n
+                    df[g] += n
+                if len(total) > HELD:
+                    yield sums()
+        yield sums()
+
+    rows = docs.select(folded(F.col(text)).alias("t"), (F.col(copies) if copies else F.lit(1)).cast("long").alias("n"))
+    return rows.mapInArrow(run, "term string, total long, df long").groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+
+
+def frequent(totals: DataFrame, n_docs: int, features: int = FEATURES) -> list[tuple[str, float]]:
+    """vocabulary() of term_totals(), of `features` terms at most, as a list in the order of the terms."""
+    terms = totals.orderBy(F.desc("total"), "term").limit(features)
+    return sorted((r.term, r.idf) for r in terms.select("term", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf")).collect())
+
+
+def unit_vector(folded: str, code: dict[str, tuple[int, float]], sizes: tuple[int, ...] = SIZES) -> tuple[list[int], np.ndarray]:
+    """(codes, weights) of a text's TF-IDF vector of length 1; code has a term's number and idf."""
+    found = [(*code[g], n) for g, n in text_grams(folded, sizes).items() if g in code]
+    w = np.array([idf * n for _, idf, n in found], float)
+    return [c for c, _, _ in found], w / np.sqrt(w @ w) if len(w) else w
+
+
 def vocabulary(tf: DataFrame, n_docs: Column | int, key: str, features: int | None = FEATURES) -> DataFrame:
     """(term, idf) of the most frequent terms, ties by term; idf = ln((1 + N) / (1 + df)) + 1."""
     terms = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
@@ -186,3 +250,114 @@ def top_cosine(left: DataFrame, right: DataFrame, a: str, b: str, k: int = 10, p
     more = pairs.select(a, b).join(late, a).join(right.withColumnRenamed("w", "w2"), [b, "term"]).select(a, b, (F.col("w") * F.col("w2")).alias("part"))
     full = pairs.unionByName(more).groupBy(a, b).agg(F.sum("part").alias("cosine"))
     return top_neighbours(full, a, b, k)
+
+
+#: Texts in a block at most and at least; a term is multiplied as a column if its pairs in two blocks are this share of all pairs.
+BLOCK, SMALL_BLOCK, COLUMN = 2048, 64, 1 / 256
+PAIRS = 1 << 22  # pairs of rarer terms that are added up at once
+
+
+def packed(docs: DataFrame, key: str, text: str, terms: list[tuple[str, float]], size: int = BLOCK) -> DataFrame:
+    """(ids, n, codes, w): the unit vectors of docs over terms, each partition of docs in blocks of up to `size` texts, by rising key.
+
+    Texts without any of the terms are left out. The arrays are binary: keys, numbers of terms, terms' numbers, weights.
+    """
+    code = {t: (i, idf) for i, (t, idf) in enumerate(terms)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, list[int], np.ndarray]] = []
+
+        def block() -> pa.RecordBatch:
+            held.sort(key=lambda x: x[0])
+            ids, n = np.array([x[0] for x in held], np.int64), np.array([len(x[1]) for x in held], np.int64)
+            codes, w = np.concatenate([np.array(x[1], np.int32) for x in held]), np.concatenate([x[2] for x in held])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, n, codes, w)], names=["ids", "n", "codes", "w"])
+
+        for batch in batches:
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                codes, w = unit_vector(t, code)
+                if codes:
+                    held.append((k, codes, w))
+                if len(held) == size:
+                    yield block()
+        if held:
+            yield block()
+
+    return docs.select(F.col(key).cast("long").alias("k"), folded(F.col(text)).alias("t")).mapInArrow(run, "ids binary, n binary, codes binary, w binary")
+
+
+def _products(a: list[np.ndarray], b: list[np.ndarray], terms: int) -> np.ndarray:
+    """All dot products of two blocks (ids, n, codes, w): common terms as columns of two matrices, rare ones pair by pair."""
+    (ia, ca, wa), (ib, cb, wb) = ((np.repeat(np.arange(len(x[0])), x[1]), x[2], x[3]) for x in (a, b))
+    na, nb = np.bincount(ca, minlength=terms), np.bincount(cb, minlength=terms)
+    column = na * nb > COLUMN * len(a[0]) * len(b[0])
+    place = np.cumsum(column) - 1
+    sides = []
+    for i, c, w, n in ((ia, ca, wa, len(a[0])), (ib, cb, wb, len(b[0]))):
+        m, own = np.zeros((n, int(column.sum()))), column[c]
+        m[i[own], place[c[own]]] = w[own]
+        sides.append(m)
+    near = sides[0] @ sides[1].T
+    ka, kb = np.flatnonzero(~column[ca] & (nb[ca] > 0)), np.flatnonzero(~column[cb])
+    kb = kb[np.argsort(cb[kb], kind="stable")]
+    start = np.searchsorted(cb[kb], ca[ka])
+    n = nb[ca[ka]]
+    part = np.cumsum(n) // PAIRS
+    for p in np.unique(part):
+        own = part == p
+        k, m = ka[own], n[own]
+        at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m - start[own], m)
+        x, y = np.repeat(k, m), kb[at]
+        np.add.at(near.ravel(), ia[x] * len(b[0]) + ib[y], wa[x] * wb[y])
+    return near
+
+
+def _best(rows: np.ndarray, ids: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
+    """The places of each row's k best: by falling cosine to nine places, then by id."""
+    order = np.lexsort((ids, -np.round(near, 9), rows))
+    r = rows[order]
+    first = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else np.zeros(0, int)
+    return order[np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r)))) < k]
+
+
+def top_in_blocks(docs: DataFrame, key: str, text: str, terms: list[tuple[str, float]], k: int, size: int = BLOCK) -> DataFrame:
+    """(a, b, cosine, near): the k texts nearest to each, itself among them, of those that share a term of `terms` with it; near is rounded, ties go to the smaller b.
+
+    Every pair of texts is multiplied, in blocks that a task reads from the shared folder: no pair is shuffled, only the
+    k best of a block of texts among the blocks that one task sets beside it. Time grows with the square of the texts.
+    """
+    n = docs.count()
+    size = max(SMALL_BLOCK, min(size, -(-n // (2 * docs.sparkSession.sparkContext.defaultParallelism))))
+    packs = cut(packed(docs.select(key, text).repartition(max(1, -(-n // size))), key, text, terms, 2 * size))
+    width = len(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, names, best = None, None, None
+
+        def found() -> pa.RecordBatch:
+            rows, ids, near = best
+            return pa.RecordBatch.from_arrays([pa.array(names[rows]), pa.array(ids), pa.array(near), pa.array(np.round(near, 9))], names=["a", "b", "cosine", "near"])
+
+        for batch in batches:
+            for j in range(len(batch)):
+                a, b = ([np.frombuffer(batch.column(o + c)[j].as_buffer(), kind) for c, kind in enumerate((np.int64, np.int64, np.int32, float))] for o in (0, 4))
+                mark = a[0].tobytes()
+                if mark != last:
+                    if best is not None:
+                        yield found()
+                    last, names, best = mark, a[0].copy(), (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))
+                near = _products(a, b, width)
+                rounded = np.round(near, 9)
+                least = -np.partition(-rounded, k - 1, 1)[:, k - 1 : k] if near.shape[1] > k else np.full((len(near), 1), -1.0)
+                r, c = np.nonzero((rounded >= least) & (near > 0))
+                rows, ids, cos = np.append(best[0], r), np.append(best[1], b[0][c]), np.append(best[2], near[r, c])
+                keep = _best(rows, ids, cos, k)
+                best = rows[keep], ids[keep], cos[keep]
+        if best is not None:
+            yield found()
+
+    sides = packs.crossJoin(packs.select(*(F.col(c).alias(f"{c}_b") for c in packs.columns)).hint("shuffle_replicate_nl"))  # each task reads its blocks
+    pairs = sides.mapInArrow(run, "a long, b long, cosine double, near double")
+    rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("near"), "b"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")

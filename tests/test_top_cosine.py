@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import vectors
+from quire.operators import integrate, vectors
 
 
 def postings(spark, texts):
@@ -49,3 +49,21 @@ def test_pairs_that_share_common_words_only_are_not_read(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "a long, term string, w double")
     assert vectors.top_cosine(none, none.withColumnRenamed("a", "b"), "a", "b").count() == 0
+
+
+def test_copies_are_compared_once_and_still_have_their_own_neighbours(spark):
+    """40 texts of 30 copies each: no task multiplies more than the 40, ties and copies come as in all pairs."""
+    nodes = spark.createDataFrame([(i, f"part {i % 40} of {i % 7 if i < 40 else (i % 40) % 7}", "") for i in range(1200)] + [(1200, None, None)], "ord long, name string, definition string")
+    compared = []
+    blocks = vectors.top_in_blocks
+    vectors.top_in_blocks = lambda docs, *a, **b: compared.append(docs.count()) or blocks(docs, *a, **b)
+    try:
+        got = {(r.a, r.b): round(r.cosine, 8) for r in integrate.neighbour_pairs(nodes).collect()}
+    finally:
+        vectors.top_in_blocks = blocks
+    texts = nodes.select("ord", F.concat("name", F.lit("。"), "definition").alias("text"))
+    tf = vectors.gram_counts(texts, "ord", "text")
+    unit = vectors.tfidf(tf, vectors.vocabulary(tf, 1201, "ord"), "ord")
+    every = vectors.cosine_pairs(unit.withColumnRenamed("ord", "a"), unit.withColumnRenamed("ord", "b"), "a", "b").where("a <> b")
+    want = {(r.a, r.b): round(r.cosine, 8) for r in vectors.top_neighbours(every, "a", "b").where("a < b").collect()}
+    assert got == want and compared == [41]
