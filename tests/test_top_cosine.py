@@ -51,6 +51,18 @@ def test_empty_tables(spark):
     assert vectors.top_cosine(none, none.withColumnRenamed("a", "b"), "a", "b").count() == 0
 
 
+def test_blocks_give_the_nearest_of_all_pairs(spark):
+    texts = texts_of(240, 7)
+    rows = spark.createDataFrame(list(enumerate(texts)), "ord long, text string")
+    tf = vectors.gram_counts(rows, "ord", "text")
+    unit = vectors.tfidf(tf, vectors.vocabulary(tf, len(texts), "ord", 300), "ord")
+    want = vectors.top_neighbours(vectors.cosine_pairs(unit.withColumnRenamed("ord", "a"), unit.withColumnRenamed("ord", "b"), "a", "b"), "a", "b", 5)
+    terms = vectors.frequent(vectors.term_totals(rows, "text"), len(texts), 300)
+    got = vectors.top_in_blocks(rows, "ord", "text", terms, 5, size=50)
+    pairs = lambda df: {(r.a, r.b): round(r.cosine, 8) for r in df.collect()}
+    assert pairs(got) == pairs(want) and len(pairs(want)) == 5 * (len(texts) - 1)  # one has none of the terms
+
+
 def test_copies_are_compared_once_and_still_have_their_own_neighbours(spark):
     """40 texts of 30 copies each: no task multiplies more than the 40, ties and copies come as in all pairs."""
     nodes = spark.createDataFrame([(i, f"part {i % 40} of {i % 7 if i < 40 else (i % 40) % 7}", "") for i in range(1200)] + [(1200, None, None)], "ord long, name string, definition string")
