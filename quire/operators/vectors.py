@@ -71,14 +71,9 @@ def _cut_grams(word: str, sizes: tuple[int, ...]) -> tuple[str, ...]:
     return tuple(w[i : i + n] for n in sizes if len(w) >= n or n == sizes[0] for i in range(max(1, len(w) - n + 1)))
 
 
-def text_grams(folded: str, sizes: tuple[int, ...] = SIZES) -> Counter[str]:
-    """The grams of word_grams() of one text that folded() has made ready, with their counts."""
-    out: Counter[str] = Counter()
-    for word, n in Counter(folded.split(" ")).items():
-        if word:
-            for g in _cut_grams(word, sizes):
-                out[g] += n
-    return out
+def text_grams(folded: str, sizes: tuple[int, ...] = SIZES) -> list[str]:
+    """The grams of word_grams() of one text that folded() has made ready, repeats among them."""
+    return [g for word in folded.split(" ") if word for g in _cut_grams(word, sizes)]
 
 
 def folded(text: Column) -> Column:
@@ -101,9 +96,14 @@ def term_totals(docs: DataFrame, text: str, copies: str | None = None, sizes: tu
 
         for batch in batches:
             for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for g, c in text_grams(t, sizes).items():
-                    total[g] += c * n
-                    df[g] += n
+                grams = text_grams(t, sizes)
+                if n == 1:
+                    total.update(grams)
+                    df.update(set(grams))
+                else:
+                    for g, c in Counter(grams).items():
+                        total[g] += c * n
+                        df[g] += n
                 if len(total) > HELD:
                     yield sums()
         yield sums()
@@ -118,11 +118,28 @@ def frequent(totals: DataFrame, n_docs: int, features: int = FEATURES) -> list[t
     return sorted((r.term, r.idf) for r in terms.select("term", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf")).collect())
 
 
-def unit_vector(folded: str, code: dict[str, tuple[int, float]], sizes: tuple[int, ...] = SIZES) -> tuple[list[int], np.ndarray]:
-    """(codes, weights) of a text's TF-IDF vector of length 1; code has a term's number and idf."""
-    found = [(*code[g], n) for g, n in text_grams(folded, sizes).items() if g in code]
-    w = np.array([idf * n for _, idf, n in found], float)
-    return [c for c, _, _ in found], w / np.sqrt(w @ w) if len(w) else w
+class Coder:
+    """TF-IDF vectors of single texts over a list of terms; the terms of a word are looked up once."""
+
+    def __init__(self, terms: list[tuple[str, float]], sizes: tuple[int, ...] = SIZES):
+        self.number, self.idf, self.sizes = {t: i for i, (t, _) in enumerate(terms)}, np.array([idf for _, idf in terms], float), sizes
+        self.words: dict[str, list[int]] = {}
+
+    def unit(self, folded: str) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of terms, weights) of the text's vector of length 1; empty if it has none of the terms."""
+        found: list[int] = []
+        for word in folded.split(" "):
+            if word not in self.words:
+                if len(self.words) > HELD:
+                    self.words.clear()
+                self.words[word] = [self.number[g] for g in _cut_grams(word, self.sizes) if g in self.number] if word else []
+            found += self.words[word]
+        if not found:
+            return np.zeros(0, int), np.zeros(0)
+        tf = np.bincount(found, minlength=len(self.idf))
+        codes = np.flatnonzero(tf)
+        w = tf[codes] * self.idf[codes]
+        return codes, w / np.sqrt(w @ w)
 
 
 def vocabulary(tf: DataFrame, n_docs: Column | int, key: str, features: int | None = FEATURES) -> DataFrame:
@@ -262,22 +279,22 @@ def packed(docs: DataFrame, key: str, text: str, terms: list[tuple[str, float]],
 
     Texts without any of the terms are left out. The arrays are binary: keys, numbers of terms, terms' numbers, weights.
     """
-    code = {t: (i, idf) for i, (t, idf) in enumerate(terms)}
+    coder = Coder(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, list[int], np.ndarray]] = []
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
 
         def block() -> pa.RecordBatch:
             held.sort(key=lambda x: x[0])
             ids, n = np.array([x[0] for x in held], np.int64), np.array([len(x[1]) for x in held], np.int64)
-            codes, w = np.concatenate([np.array(x[1], np.int32) for x in held]), np.concatenate([x[2] for x in held])
+            codes, w = np.concatenate([x[1] for x in held]).astype(np.int32), np.concatenate([x[2] for x in held])
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, n, codes, w)], names=["ids", "n", "codes", "w"])
 
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                codes, w = unit_vector(t, code)
-                if codes:
+                codes, w = coder.unit(t)
+                if len(codes):
                     held.append((k, codes, w))
                 if len(held) == size:
                     yield block()
@@ -313,7 +330,7 @@ def _products(a: list[np.ndarray], b: list[np.ndarray], terms: int) -> np.ndarra
     return near
 
 
-def _best(rows: np.ndarray, ids: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
+def best_places(rows: np.ndarray, ids: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
     """The places of each row's k best: by falling cosine to nine places, then by id."""
     order = np.lexsort((ids, -np.round(near, 9), rows))
     r = rows[order]
@@ -352,7 +369,7 @@ def top_in_blocks(docs: DataFrame, key: str, text: str, terms: list[tuple[str, f
                 least = -np.partition(-rounded, k - 1, 1)[:, k - 1 : k] if near.shape[1] > k else np.full((len(near), 1), -1.0)
                 r, c = np.nonzero((rounded >= least) & (near > 0))
                 rows, ids, cos = np.append(best[0], r), np.append(best[1], b[0][c]), np.append(best[2], near[r, c])
-                keep = _best(rows, ids, cos, k)
+                keep = best_places(rows, ids, cos, k)
                 best = rows[keep], ids[keep], cos[keep]
         if best is not None:
             yield found()
