@@ -167,7 +167,7 @@ def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tfidf_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each question's five best texts by character TF-IDF."""
     index = rag.Index.build(_turns(spark, sf_dir))
-    return rag.top_by(index.vector_scores(_questions(spark, sf_dir)), "cosine", 5).select("qid", "rank", "ord", F.round("cosine", 6).alias("score"))
+    return index.nearest(_questions(spark, sf_dir), 5).select("qid", "rank", "ord", F.round("cosine", 6).alias("score"))
 
 
 _EXACT = f"ex AS (SELECT qid, ord, count(*) / max(nq)::DOUBLE AS exact FROM (SELECT qid, len(list_distinct({S.tokens('question')})) AS nq, unnest(list_distinct({S.tokens('question')})) AS term FROM q) JOIN p USING (term) GROUP BY qid, ord)"
