@@ -162,8 +162,59 @@ def tfidf(tf: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     return normalized(tf.join(vocab, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w")), key)
 
 
+def unique(docs: DataFrame, key: str) -> bool:
+    """Whether no two rows have one key."""
+    return not docs.groupBy(key).count().where("count > 1").limit(1).count()
+
+
+def _crc_table() -> np.ndarray:
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, (c >> 1) ^ np.uint32(0xEDB88320), c >> 1)
+    return c
+
+
+CRC_TABLE = _crc_table()
+
+
+def gram_slots(compact: str, slots: int = SLOTS, sizes: tuple[int, ...] = SIZES) -> np.ndarray:
+    """The CRC-32 slots of flat_grams() of a text without white space, all grams of a size at once."""
+    if not compact:
+        return np.zeros(0, np.int64)
+    data = np.frombuffer(f" {compact} ".encode("utf-8", "surrogatepass"), np.uint8)
+    at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where characters begin
+    out = []
+    for n in sizes:
+        start, end = at[: max(0, len(at) - n)], at[n:]
+        crc = np.full(len(start), 0xFFFFFFFF, np.uint32)
+        for step in range(int((end - start).max(initial=0))):
+            place = start + step
+            more = CRC_TABLE[(crc ^ data[np.minimum(place, len(data) - 1)]) & 0xFF] ^ (crc >> 8)
+            crc = np.where(place < end, more, crc)
+        out.append((crc ^ np.uint32(0xFFFFFFFF)).astype(np.int64) % slots)
+    return np.concatenate(out)
+
+
 def hashed(docs: DataFrame, key: str, text: str, slots: int = SLOTS) -> DataFrame:
-    """(key, slot, w): counts of CRC-32 hashed grams, scaled to length 1."""
+    """(key, slot, w): counts of CRC-32 hashed grams, scaled to length 1, worked out inside a text's row unless rows share a key."""
+    if unique(docs, key):
+        kind = docs.select(F.col(key).alias("k")).schema["k"].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, len(batch), 64):
+                    part = batch.slice(i, 64)
+                    rows, found, weights = [], [], []
+                    for j, t in enumerate(part.column(1).to_pylist()):
+                        tf = np.bincount(gram_slots(t or "", slots), minlength=slots)
+                        own = np.flatnonzero(tf)
+                        w = tf[own].astype(float)
+                        rows.append(np.full(len(own), j))
+                        found.append(own.astype(np.int32))
+                        weights.append(w / np.sqrt(w @ w) if len(w) else w)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(found)), pa.array(np.concatenate(weights))], names=[key, "slot", "w"])
+
+        return docs.select(key, sub(F.col(text), "(?U)\\s+", "").alias("__compact")).mapInArrow(run, f"`{key}` {kind}, slot int, w double")
     grams = docs.select(key, F.explode(flat_grams(F.col(text))).alias("gram"))
     slot = F.pmod(F.crc32(F.encode("gram", "UTF-8")), F.lit(slots)).cast("int")
     tf = grams.groupBy(key, slot.alias("term")).agg(F.count("*").cast("double").alias("w"))

@@ -127,3 +127,18 @@ def test_components_of_chains(spark):
 
 def test_lineage_is_cut_by_a_table(spark):
     assert cut(spark.range(5)).inputFiles()
+
+
+def test_hashed_grams_of_a_text_are_counted_inside_its_row(spark):
+    """As the joined plan's, which rows of one key still take, without a shuffle of grams."""
+    texts = ["abc de", "é中文 😀x" * 5, " \n", None, "a", "abc de"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = vectors.hashed(rows, "k", "t")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    slot = F.pmod(F.crc32(F.encode("gram", "UTF-8")), F.lit(vectors.SLOTS)).cast("int")
+    grams = rows.where("k <> 1").select("k", F.explode(vectors.flat_grams(F.col("t"))).alias("gram"))
+    want = vectors.normalized(grams.groupBy("k", slot.alias("term")).agg(F.count("*").cast("double").alias("w")), "k")
+    as_map = lambda df: {(r[0], r[1]): round(r[2], 12) for r in df.collect()}
+    assert as_map(got.where("k <> 1")) == as_map(want) and got.where("k = 1").count() > 20
+    twice = vectors.hashed(spark.createDataFrame([(1, "abc"), (1, "abc")], "k long, t string"), "k", "t")
+    assert as_map(twice) == as_map(vectors.hashed(spark.createDataFrame([(1, "abc")], "k long, t string"), "k", "t"))
