@@ -98,19 +98,26 @@ def lines_of(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, LINE_BREAK), strip), lambda x: x != "")
 
 
+#: What a table of contents has at least one of: a mark of chapters, catalogues and numbered lines, or a leader.
+TOC_MARK = "[第目一二三四五六七八九十]|\\ufffd{3}"
+
+
 def looks_like_toc_page(c: Column) -> Column:
-    """Whether a page reads as a table of contents."""
-    raw = lines_of(c)
-    clean = F.transform(raw, clean_line)
-    leaders = F.size(F.filter(raw, lambda x: x.rlike(LEADER) | x.rlike("\\ufffd{3,}") | clean_line(x).rlike(TOC_LINE)))
-    chapters = F.size(F.filter(clean, lambda x: x.rlike(f"(?U)^\\s*{NUMBERED}[章部篇]")))
-    sections = F.size(F.filter(clean, lambda x: x.rlike(f"(?U)^\\s*{NUMBERED}节")))
-    named = F.exists(F.slice(clean, 1, 8), lambda x: F.contains(x, F.lit("目录")))
-    back = F.exists(F.slice(clean, 1, 14), lambda x: contains_any(x, BACK_MATTER))
-    marks = F.regexp_count(c, F.lit("[，。；：、]"))
-    prose = (F.length(c) > 1200) & (marks > 18) & ~named & (leaders < 4)
-    listed = named | (leaders >= 4) | (chapters >= 3) | ((chapters >= 2) & back) | ((chapters + sections >= 5) & (leaders >= 1))
-    return (F.size(raw) > 0) & ~prose & listed
+    """Whether a page reads as a table of contents; lines are looked at only if the page has what such lines are told by."""
+
+    def listed(raw: Column, clean: Column) -> Column:
+        leaders = F.size(F.filter(raw, lambda x: x.rlike(LEADER) | x.rlike("\\ufffd{3,}") | clean_line(x).rlike(TOC_LINE)))
+        chapters = F.size(F.filter(clean, lambda x: x.rlike(f"(?U)^\\s*{NUMBERED}[章部篇]")))
+        sections = F.size(F.filter(clean, lambda x: x.rlike(f"(?U)^\\s*{NUMBERED}节")))
+        named = F.exists(F.slice(clean, 1, 8), lambda x: F.contains(x, F.lit("目录")))
+        back = F.exists(F.slice(clean, 1, 14), lambda x: contains_any(x, BACK_MATTER))
+        marks = F.regexp_count(c, F.lit("[，。；：、]"))
+        prose = (F.length(c) > 1200) & (marks > 18) & ~named & (leaders < 4)
+        found = named | (leaders >= 4) | (chapters >= 3) | ((chapters >= 2) & back) | ((chapters + sections >= 5) & (leaders >= 1))
+        return (F.size(raw) > 0) & ~prose & found
+
+    marked = c.rlike(TOC_MARK) | c.rlike(LEADER)
+    return F.when(~marked, F.lit(False)).otherwise(bind(lines_of(c), lambda raw: bind(F.transform(raw, clean_line), lambda clean: listed(raw, clean))))
 
 
 def normalize_key(c: Column, synonyms: dict[str, str] = SYNONYMS) -> Column:
@@ -136,15 +143,16 @@ def tokenize(c: Column, stop: list[str] | tuple[str, ...] = tuple(STOP_WORDS)) -
 
 def best_definition(term: Column, text: Column, verbs: tuple[str, ...] = DEFINING, fallback: int = 140, cut: int = 220) -> Column:
     """The first sentence with the term and a defining verb, else the first with the term, else the text's start."""
-    clean = clean_text(text)
-    return best_sentence(term, F.filter(split_sentences(clean), lambda s: ~is_noise_line(s)), clean, verbs, fallback, cut)
+    # Only sentences with the term are asked whether they are noise, and the clean text is made once.
+    named = lambda clean: F.filter(split_sentences(clean), lambda s: F.contains(s, term) & ~is_noise_line(s))
+    return bind(clean_text(text), lambda clean: best_sentence(term, named(clean), clean, verbs, fallback, cut))
 
 
 def best_sentence(term: Column, sentences: Column, clean: Column, verbs: tuple[str, ...] = DEFINING, fallback: int = 140, cut: int = 220) -> Column:
     """best_definition() of a text whose clean form and sentences are already at hand."""
-    named = F.filter(sentences, lambda s: F.contains(s, term))
-    defining = F.filter(named, lambda s: contains_any(s, verbs))
-    return F.coalesce(F.substring(F.get(defining, F.lit(0)), 1, cut), F.substring(F.get(named, F.lit(0)), 1, cut), F.substring(clean, 1, fallback))
+    first = lambda found: F.substring(F.get(found, F.lit(0)), 1, cut)
+    best = lambda named: F.coalesce(first(F.filter(named, lambda s: contains_any(s, verbs))), first(named))
+    return F.coalesce(bind(F.filter(sentences, lambda s: F.contains(s, term)), best), F.substring(clean, 1, fallback))
 
 
 def safe_id(prefix: str, value: Column, length: int = 12) -> Column:

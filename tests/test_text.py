@@ -82,3 +82,21 @@ def test_display_functions(spark):
 
     got = row(spark, a=graphview.palette_index(F.lit("book_abcdef"), 9), b=graphview.shorten(F.lit("abcdefghijklmnop")), c=graphview.natural_key(F.lit("A10")), d=graphview.natural_key(F.lit("a9")), e=graphview.file_size(F.lit(2048)))
     assert got[0] == palette("book_abcdef", 9) and got[1] == "abcdefghijkl..." and got[3] < got[2] and got[4] == "2.0 KB"
+
+
+def test_lines_are_looked_at_only_where_a_table_of_contents_can_be(spark, monkeypatch):
+    """Prose without any mark of a table of contents is told by the whole text, with the result of the lines."""
+    leaders = "\n".join(f"Chapter {i} ..... {i}" for i in range(5))
+    texts = ["Plain prose. Of lines\nand - dashes.\n" * 3, leaders, "目录\nx", "第一章 甲\n第二章 乙\n第三章 丙", "a ---- b", "", None, "第﻿一章 a\n第二章 b\n第三章 c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    out = {r.i: r.toc for r in rows.select("i", X.looks_like_toc_page(F.col("t")).alias("toc")).collect()}
+    assert [out[i] for i in range(8)] == [False, True, True, True, False, False, None, True]
+    monkeypatch.setattr(X, "lines_of", lambda c: F.array(F.raise_error(F.lit("lines were read")).cast("string")))
+    assert rows.where("i = 0").select(X.looks_like_toc_page(F.col("t")).alias("toc")).first().toc is False
+
+
+def test_only_sentences_with_the_term_are_asked_whether_they_are_noise(spark, monkeypatch):
+    asked = X.is_noise_line
+    monkeypatch.setattr(X, "is_noise_line", lambda c, cleaned=False: F.when(c.contains("other"), F.raise_error(F.lit("asked")).cast("boolean")).otherwise(asked(c, cleaned)))
+    rows = spark.createDataFrame([("Some other words here! The term is defined here! More of other things!",)], "t string")
+    assert rows.select(X.best_definition(F.lit("term"), F.col("t"), (" is ",)).alias("d")).first().d == "The term is defined here!"
