@@ -11,6 +11,7 @@ from quire.functions import text as X
 from quire.functions import titles as H
 from quire.lexicon import Lexicon
 from quire.operators import extract, feedback, graphview, integrate, rag, report, segment
+from quire.operators.components import once
 from quire.plans import sql as S
 from quire.plans.queries import _CLUSTERS, _HYBRID, ORACLES, _concepts, _merged, _relations, _turns, query, table
 
@@ -27,7 +28,7 @@ _CLEAN = S.clean_text("text")
 )
 def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best definition of each document's first token."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.get(X.tokenize(F.col("text")), F.lit(0)).alias("term")).where("term is not null")
+    rows = once(table(spark, sf_dir, "documents").select("doc_id", "text"), "term", F.get(X.tokenize(F.col("text")), F.lit(0))).where("term is not null")
     return rows.select("doc_id", F.md5(F.encode(X.best_definition(F.col("term"), F.col("text"), _VERBS), "UTF-8")).alias("digest"))
 
 

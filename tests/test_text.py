@@ -100,3 +100,10 @@ def test_only_sentences_with_the_term_are_asked_whether_they_are_noise(spark, mo
     monkeypatch.setattr(X, "is_noise_line", lambda c, cleaned=False: F.when(c.contains("other"), F.raise_error(F.lit("asked")).cast("boolean")).otherwise(asked(c, cleaned)))
     rows = spark.createDataFrame([("Some other words here! The term is defined here! More of other things!",)], "t string")
     assert rows.select(X.best_definition(F.lit("term"), F.col("t"), (" is ",)).alias("d")).first().d == "The term is defined here!"
+
+
+def test_a_chapters_clean_text_is_made_once(spark):
+    rows = spark.createDataFrame([("word " * 200,)], "t string")
+    found = rows.select(T.chapter_is_extractable(F.lit("x"), F.col("t"), Lexicon(hints=(), publishing=("a", "b"), min_chapter=500)).alias("good"))
+    assert found._jdf.queryExecution().analyzed().toString().count(X.NOISE_LINES[:12]) == 1
+    assert found.first().good
