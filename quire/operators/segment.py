@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import titles
 from quire.functions.text import LINE_BREAK, clean_line, clean_text, is_noise_line, lines_of, looks_like_toc_page, safe_id, strip, sub
-from quire.operators.components import numbered
+from quire.operators.components import cut, numbered
 
 UNTITLED, UNKNOWN_CHAPTER, AUTOMATIC = "未命名章节", "未识别章节", "自动分段"
 SPLIT_SIZE = 16_000
@@ -49,29 +50,51 @@ def fixed_split(docs: DataFrame, key: str, text: str, title: str = AUTOMATIC, si
     return pieces.select(key, order.alias("chapter_ord"), F.concat(F.lit(f"{title} "), order.cast("string")).alias("title"), "content")
 
 
+def spans(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[tuple[int, int]]:
+    """(start, end) of overlapping windows that end after a sentence or line where one ends late enough. In time linear in the text."""
+    n, least, start, out = len(text), int(size * SNAP), 0, []
+    for _ in range(-(-n // max(1, least + 1 - overlap)) + 1 if n else 0):
+        end = min(n, start + size)
+        if start + size < n:
+            late = max(text.rfind(c, start + least + 1, end) for c in "。；\n")
+            end = late + 1 if late >= 0 else end
+        out.append((start, end))
+        if end >= n:
+            break
+        start = max(0, end - overlap)
+    return out
+
+
 def windows(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
-    """array<struct<start, end>> of overlapping windows that end after a sentence or line where one ends late enough."""
-    n = F.length(text)
-    least = int(size * SNAP)
-    steps = F.ceil(n / F.lit(max(1, least + 1 - overlap))).cast("int") + 1
+    """array<struct<start, end>> of spans(); a null text has none."""
 
-    def step(acc: Column, _: Column) -> Column:
-        start = F.when(F.size(acc) == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), F.element_at(acc, -1)["end"] - overlap))
-        last = start + size >= n
-        snapped = F.length(F.regexp_extract(F.substring(text, start + 1, F.lit(size)), "(?s)^(.*[。；\\n])", 1))
-        end = F.when(last, n).when(snapped - 1 > least, start + snapped).otherwise(start + size)
-        over = (F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) >= n)
-        return F.when(over, acc).otherwise(F.concat(acc, F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))))
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": a, "end": b} for a, b in spans(t or "", size, overlap)] for t in texts])
 
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), steps), empty, step)).otherwise(empty)
+    return run(text)
 
 
 def chunks(docs: DataFrame, key: list[str], text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, clean: bool = True) -> DataFrame:
-    """(key..., start, end, text): the windows of each text, of its clean form by default."""
+    """(key..., start, end, text): the windows of each text, of its clean form by default.
+
+    Windows are found and cut out where the text is read, as each begins where the last one ended.
+    """
     rows = docs.select(*key, (clean_text(F.col(text)) if clean else F.col(text)).alias("__t"))
-    rows = rows.select(*key, "__t", F.explode(windows(F.col("__t"), size, overlap)).alias("w"))
-    return rows.select(*key, "w.start", "w.end", F.substring(F.col("__t"), F.col("w.start") + 1, F.col("w.end") - F.col("w.start")).alias("text"))
+    names = [*key, "start", "end", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 64):
+                part = batch.slice(i, 64)
+                texts = [t or "" for t in part.column(len(key)).to_pylist()]
+                found = [(j, a, b) for j, t in enumerate(texts) for a, b in spans(t, size, overlap)]
+                row = pa.array([j for j, _, _ in found], pa.int64())
+                own = [pa.array(x, kind) for x, kind in (([a for _, a, _ in found], pa.int32()), ([b for _, _, b in found], pa.int32()), ([texts[j][a:b] for j, a, b in found], pa.string()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(row) for k in range(len(key))), *own], names=names)
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in key)
+    return rows.mapInArrow(run, f"{kinds}, start int, end int, text string")
 
 
 def page_of(page_start: Column, page_end: Column, start: Column, chars: Column) -> Column:
@@ -190,10 +213,10 @@ def postprocess(chapters: DataFrame, key: str = "textbook_id") -> DataFrame:
     return make_chapters(joined, key)
 
 
-def chunk_rows(chapters: DataFrame, books: DataFrame) -> DataFrame:
-    """CHUNKS of chapters (textbook_id, chapter_ord, chapter_id, title, ...), in order of book_ord, chapter and offset."""
+def chunk_rows(chapters: DataFrame, books: DataFrame, clean: bool = True) -> DataFrame:
+    """CHUNKS of chapters (textbook_id, chapter_ord, chapter_id, title, ...), in order of book_ord, chapter and offset; clean: whether content has yet to be cleaned."""
     rows = chapters.join(books.select("textbook_id", F.col("title").alias("textbook"), "book_ord"), "textbook_id")
-    cut = chunks(rows, ["textbook_id", "textbook", "book_ord", "chapter_ord", "chapter_id", "title", "page_start", "page_end", "char_count"], "content")
-    cut = numbered(cut, "place", "book_ord", "textbook_id", "chapter_ord", "start")
+    found = chunks(rows, ["textbook_id", "textbook", "book_ord", "chapter_ord", "chapter_id", "title", "page_start", "page_end", "char_count"], "content", clean=clean)
+    placed = numbered(cut(found), "place", "book_ord", "textbook_id", "chapter_ord", "start")
     ident = safe_id("chunk", F.concat_ws(":", "textbook_id", "chapter_id", F.col("start").cast("string")))
-    return cut.select(ident.alias("chunk_id"), (F.col("place") - 1).alias("ord"), "text", "textbook_id", "textbook", F.col("title").alias("chapter"), page_of(F.col("page_start"), F.col("page_end"), F.col("start"), F.col("char_count")).alias("page"))
+    return placed.select(ident.alias("chunk_id"), (F.col("place") - 1).alias("ord"), "text", "textbook_id", "textbook", F.col("title").alias("chapter"), page_of(F.col("page_start"), F.col("page_end"), F.col("start"), F.col("char_count")).alias("page"))

@@ -11,7 +11,7 @@ from quire.functions import text as X
 from quire.functions import titles as H
 from quire.lexicon import Lexicon
 from quire.operators import extract, feedback, graphview, integrate, rag, report, segment
-from quire.operators.components import once
+from quire.operators.components import once, spread
 from quire.plans import sql as S
 from quire.plans.queries import _CLUSTERS, _HYBRID, ORACLES, _concepts, _merged, _relations, _turns, query, table
 
@@ -159,9 +159,10 @@ def book_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of books of one chapter and ten pages, with ids, ordinals and pages."""
     d = table(spark, sf_dir, "documents")
     key = F.col("doc_id").cast("string").alias("textbook_id")
-    chapters = d.select(key, F.lit(1).alias("chapter_ord"), F.lit("ch_001").alias("chapter_id"), F.lit("all").alias("title"), F.lit(1).alias("page_start"), F.lit(10).alias("page_end"), F.col("text").alias("content"), F.length(X.clean_text(F.col("text"))).alias("char_count"))
+    clean = once(spread(d.select("doc_id", "text")), "content", X.clean_text(F.col("text")))
+    chapters = clean.select(key, F.lit(1).alias("chapter_ord"), F.lit("ch_001").alias("chapter_id"), F.lit("all").alias("title"), F.lit(1).alias("page_start"), F.lit(10).alias("page_end"), "content", F.length("content").alias("char_count"))
     books = d.select(key, F.lit("b").alias("title"), F.col("doc_id").alias("book_ord"))
-    return segment.chunk_rows(chapters, books).select("chunk_id", "ord", "textbook_id", "page", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+    return segment.chunk_rows(chapters, books, clean=False).select("chunk_id", "ord", "textbook_id", "page", F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 
 # Retrieval

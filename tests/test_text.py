@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from quire.functions import terms as T
@@ -73,6 +75,16 @@ def test_windows_cover_the_text(spark):
     assert len(w) == 0
 
 
+def test_windows_of_a_long_text_take_time_in_proportion(spark):
+    """A text of four million characters: a window is cut where the last one ended, not by walking there from the start."""
+    text = "".join(f"Sentence {i} of many;" if i % 3 else f"第{i}句。\n" for i in range(220_000))
+    begun = time.monotonic()
+    rows = segment.chunks(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), ["doc_id"], "text", clean=False).collect()
+    assert time.monotonic() - begun < 30
+    assert all(text[r.start : r.end] == r.text for r in rows) and rows[-1].end == len(text) and {r.doc_id for r in rows} == {1}
+    assert all(b.start == a.end - 80 and 455 < a.end - a.start <= 700 for a, b in zip(rows, rows[1:])) and len(rows) > 5000
+
+
 def test_display_functions(spark):
     def palette(s, size):
         h = 7
