@@ -78,7 +78,9 @@ def is_noise_line(c: Column, cleaned: bool = False) -> Column:
     n = F.length(line)
     mark = (n <= 2) & ~line.rlike(f"[{CJK}A-Za-z]")
     digits = (F.regexp_count(line, F.lit("(?U)\\d")) > 10) & (n < 40)
-    return (n == 0) | mark | line.rlike(TOC_LINE) | digits
+    # Most lines show without being cleaned that they are none: cleaning takes no letter away and adds no digit or numeral.
+    plain = c.rlike(f"[{CJK}A-Za-z]{{3}}") & ~c.rlike("[第一二三四五六七八九十]") & (F.regexp_count(c, F.lit("(?U)\\d")) <= 10)
+    return F.when(plain, F.lit(False)).otherwise((n == 0) | mark | line.rlike(TOC_LINE) | digits)
 
 
 def clean_text(c: Column) -> Column:
@@ -87,12 +89,24 @@ def clean_text(c: Column) -> Column:
     What clean_line() and is_noise_line() do to a line is done to all lines of the text at once, by multi-line patterns:
     these run as compiled code over the whole text, an array of lines would be interpreted line by line.
     """
-    c = sub(sub(sub(_scrubbed(c), "[\\t\\r\\f]+", " "), "[ \\u3000]{2,}", " "), "(?U)第\\s*\\d+\\s*页\\s*/\\s*共\\s*\\d+\\s*页")
-    c = sub(sub(sub(c, LINE_BREAK, "\n"), LEADER.replace("\\s", BLANK), " "), "[ \\u3000]{2,}", " ")
+    c = F.when(c.rlike("[\\x00-\\x09\\x0b-\\x1f\\x7f\\ufeff\\ufffd]"), sub(_scrubbed(c), "[\\t\\r\\f]+", " ")).otherwise(c)
+    c = sub(sub(c, "[ \\u3000]{2,}", " "), "(?U)第\\s*\\d+\\s*页\\s*/\\s*共\\s*\\d+\\s*页")
+    c = sub(sub(sub(c, "[\\u0085\\u2028\\u2029]", "\n"), LEADER.replace("\\s", BLANK), " "), "[ \\u3000]{2,}", " ")
     c = sub(c, f"(?Umd)^{BLANK}+|{BLANK}+$")
     return strip(sub(c, NOISE_LINES))
 
 
+def clean_short(c: Column) -> Column:
+    """clean_text() of a short text: a line of plain ASCII without repeated spaces, leaders and many digits is clean as it stands."""
+    plain = c.rlike("\\A[A-Za-z][ -~]*[!-~]\\z") & c.rlike("[A-Za-z]{3}") & ~c.contains("  ") & ~c.rlike(LEADER) & (F.regexp_count(c, F.lit("[0-9]")) <= 10)
+    return F.when(plain, c).otherwise(clean_text(c))
+
+
+def clean_again(c: Column) -> Column:
+    """clean_text() of what clean_text() has made, which differs only if a page mark that it took away has left another one."""
+    return F.when(c.contains("页"), clean_text(c)).otherwise(c)
+
+
 def lines_of(c: Column) -> Column:
     """The non-blank lines of a text, stripped."""
     return F.filter(F.transform(F.split(c, LINE_BREAK), strip), lambda x: x != "")

@@ -369,7 +369,7 @@ def concept_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concept nodes of all documents, by a lexicon for Latin prose."""
     books, chapters = readers.as_chapters(table(spark, sf_dir, "documents"))
-    nodes, _ = extract.build_graphs(chapters, books, LATIN)
+    nodes, _ = extract.build_graphs(chapters, books, LATIN, cleaned=True)
     return nodes.select("textbook_id", "node_ord", "id", "name", "category", F.round("importance", 6).alias("importance"))
 
 
@@ -377,7 +377,7 @@ def document_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule edges between them."""
     books, chapters = readers.as_chapters(table(spark, sf_dir, "documents"))
-    _, edges = extract.build_graphs(chapters, books, LATIN)
+    _, edges = extract.build_graphs(chapters, books, LATIN, cleaned=True)
     return edges.select("textbook_id", "edge_ord", "source", "target", "relation_type", "weight")
 
 

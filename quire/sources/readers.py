@@ -139,7 +139,8 @@ def as_chapters(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tup
     """(books, chapters): each document as a book of one chapter, for tables of plain texts."""
     ident = F.concat(F.lit("doc_"), F.col(key).cast("string"))
     clean = once(spread(docs.select(key, text)), "__content", clean_text(F.col(text))).select(F.col(key).alias("book_ord"), ident.alias("textbook_id"), F.col("__content").alias("content"))
-    books = clean.select("textbook_id", F.concat(F.lit("Document "), F.col("book_ord").cast("string")).alias("title"), "book_ord", F.length("content").alias("total_chars"))
+    # Not from clean: once() can't be left out, so texts would be cleaned for the titles alone.
+    books = docs.select(ident.alias("textbook_id"), F.concat(F.lit("Document "), F.col(key).cast("string")).alias("title"), F.col(key).alias("book_ord"), F.length(clean_text(F.col(text))).alias("total_chars"))
     chapters = clean.where("content <> ''").select(
         "textbook_id", F.lit(1).alias("chapter_ord"), F.lit("ch_001").alias("chapter_id"), strip(F.left(F.get(F.split("content", "\n"), F.lit(0)), F.lit(40))).alias("title"),
         F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), "content", F.length("content").alias("char_count"),

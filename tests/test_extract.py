@@ -4,11 +4,13 @@ import random
 import re
 import time
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import terms as T
+from quire.functions import text as X
 from quire.lexicon import DEFAULT, LATIN, Lexicon
 from quire.operators import extract as E
 
@@ -113,3 +115,32 @@ def test_definitions_are_those_of_the_first_sentences(spark):
     nodes = {r.name: r for r in E.chapter_nodes(chapters, books).collect()}
     assert nodes["血压"].definition == "血压是指血管内血液对管壁的侧压力。" and nodes["血压"].source == "书, 第一章 血压, 第 3 页"
     assert [r["rank"] for r in sorted(nodes.values(), key=lambda r: r["rank"])] == list(range(1, len(nodes) + 1))
+
+
+def test_names_before_verbs_are_those_of_the_pattern_and_no_text_is_matched_by_it(spark):
+    rng = random.Random(9)
+    words = ["a", "I", "abc", "is", "are", "was", "x" * 17, "y" * 18, "z" * 19, "q" * 40, "（a)", "细胞", "-", "a-b", ".", "has"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\n", "\u3000", "\u2003 ", ""]) for _ in range(60)) for _ in range(200)] + ["", "is is is is", "abc is is x"]
+    pattern = f"(?U)({E.NAME})\\s*(?:{'|'.join(LATIN.subject_verbs)})"
+    rows = spark.createDataFrame(list(enumerate(texts)), "chapter_id long, text string").selectExpr("'b' AS textbook_id", "cast(chapter_id AS string) AS chapter_id", "'t' AS title", "text")
+    want = {r.chapter_id: r.w for r in rows.select("chapter_id", F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("w")).collect()}
+    lexicon = replace(LATIN, object_verbs=(), lead_words=())
+    assert {r.chapter_id: r.raw[1:] for r in E.raw_candidates(rows, lexicon).collect()} == want and sum(map(len, want.values())) > 100
+    plan = E.raw_candidates(rows, lexicon)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+    assert not E.scanned(("是", "是指")) and not E.scanned((" is", " is ")) and not E.scanned((" a.b",))
+
+
+def test_lines_and_cleaned_texts_are_judged_as_by_cleaning_all(spark):
+    rng = random.Random(4)
+    bits = ["第", "1", "2", "3", " 页", "/", "共", "\n", " ", "\u3000", "....", "·", "abc", "白细胞", "a", "\ufeff", "\x00", "目", "一、", "12345678901", "\ufffd", "\r\n", "\t", "\x85", "\u2028", "\x1c", "\x0b", "\x7f", "--", "Abcd e"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(1500)] + ["第1第2页/共3页页/共3页", None]
+    c = F.col("t")
+    line, n = X.clean_line(c), F.length(X.clean_line(c))
+    noise = (n == 0) | ((n <= 2) & ~line.rlike(f"[{X.CJK}A-Za-z]")) | line.rlike(X.TOC_LINE) | ((F.regexp_count(line, F.lit("(?U)\\d")) > 10) & (n < 40))
+    whole = X.sub(X.sub(X.sub(X._scrubbed(c), "[\\t\\r\\f]+", " "), "[ \\u3000]{2,}", " "), "(?U)第\\s*\\d+\\s*页\\s*/\\s*共\\s*\\d+\\s*页")
+    whole = X.sub(X.sub(X.sub(whole, X.LINE_BREAK, "\n"), X.LEADER.replace("\\s", X.BLANK), " "), "[ \\u3000]{2,}", " ")
+    whole = X.strip(X.sub(X.sub(whole, f"(?Umd)^{X.BLANK}+|{X.BLANK}+$"), X.NOISE_LINES))
+    once, twice = X.clean_text(c), X.clean_text(X.clean_text(c))
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(noise.alias("a"), X.is_noise_line(c).alias("b"), twice.alias("c"), X.clean_again(once).alias("d"), whole.alias("e"), once.alias("f"), X.clean_short(c).alias("g")).collect()
+    assert all(r.a == r.b and r.c == r.d and r.e == r.f == r.g for r in got) and len({r.a for r in got}) == 3
