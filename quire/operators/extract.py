@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +17,7 @@ from quire.functions import terms as T
 from quire.functions.text import CJK, best_definition, best_sentence, clean_again, clean_line, clean_text, contains_any, is_noise_line, normalize_key, safe_id, split_sentences, strip, sub, tokenize
 from quire.lexicon import DEFAULT, Lexicon
 from quire.operators.components import cut, once
+from quire.operators.vectors import unique
 
 #: How many terms, nodes and edges a chapter gives, and the edges' weights.
 CONTEXT, TERMS, NODES, EDGES, CHAIN = 6, 20, 14, 35, 4
@@ -28,6 +31,7 @@ LONGEST, SPACES = 18, 64  # characters of a term; white space before a verb that
 CHAPTER_KEY = ["textbook_id", "chapter_id"]
 #: Keywords of a chapter; what a model is shown and how many nodes and edges of its reply count.
 KEYWORDS, KEYWORD_CHARS = 35, 12_000
+KNOWN = 100_000  # frequent terms that every task has, some 15 MB
 SHOWN, MODEL_NODES, MODEL_EDGES, MODEL_IMPORTANCE = 8000, 18, 30, 0.75
 REPLY = "nodes array<struct<name:string,definition:string,category:string,page:int>>, edges array<struct<source:string,target:string,relation_type:string,description:string>>"
 
@@ -181,13 +185,46 @@ def ranked_terms(chapters: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     return ordered.select(*CHAPTER_KEY, F.aggregate("all", F.array().cast("array<string>"), keep).alias("terms"))
 
 
-def keywords(chapters: DataFrame, most: int = KEYWORDS, chars: int = KEYWORD_CHARS) -> DataFrame:
-    """(textbook_id, chapter_id, rank, term, score): the tokens of a chapter's first `chars` characters by TF-IDF over the chapters."""
-    tokens = chapters.select(*CHAPTER_KEY, tokenize(F.left(F.col("content"), F.lit(chars))).alias("t"))
-    tf = tokens.select(*CHAPTER_KEY, F.size("t").alias("n"), F.explode("t").alias("term")).groupBy(*CHAPTER_KEY, "term").agg((F.count("*") / F.first("n")).alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    total = chapters.agg(F.count("*").alias("chapters"))
-    scored = tf.join(df, "term").crossJoin(F.broadcast(total)).withColumn("score", F.col("tf") * (F.log((1 + F.col("chapters")) / (1 + F.col("df"))) + 1))  # total is one row
+def keywords(chapters: DataFrame, most: int = KEYWORDS, chars: int = KEYWORD_CHARS, known: int = KNOWN) -> DataFrame:
+    """(textbook_id, chapter_id, rank, term, score): the tokens of a chapter's first `chars` characters by TF-IDF over the chapters.
+
+    A chapter's tokens are counted inside its row. The most frequent terms, `known` at most, are at hand there with their
+    frequency; any other term is no more frequent than the rarest of them, which bounds its score from both sides. Terms
+    that can't be among the chapter's best leave, and only what is left of the others is joined with its frequency.
+    """
+    tokens = chapters.select(*CHAPTER_KEY, tokenize(F.left(F.col("content"), F.lit(chars))).alias("t")).withColumn("n", F.size("t"))
+    if not unique(chapters, *CHAPTER_KEY):  # rows of one chapter are counted together, by the longest's length
+        tokens = tokens.groupBy(*CHAPTER_KEY).agg(F.flatten(F.collect_list("t")).alias("t"), F.max("n").alias("n"))
+    total, n_terms = chapters.count(), F.count("*").alias("df")
+    df = cut(tokens.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(n_terms))
+    common = df.orderBy(F.desc("df"), "term").limit(known).collect()  # bounded
+    table = chapters.sparkSession.sparkContext.broadcast({r.term: r.df for r in common})
+    rarest = common[-1].df if len(common) == known else 0  # 0: all terms are known
+    idf = lambda n: math.log((1 + total) / (1 + n)) + 1
+    high, low = idf(1), idf(max(1, rarest))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = {t: idf(n) for t, n in table.value.items()} if total else {}
+        for batch in batches:
+            for i in range(0, len(batch), 64):
+                part = batch.slice(i, 64)
+                rows, out = [], []
+                for j, (t, n) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
+                    tf = {w: c / n for w, c in Counter(t or ()).items()}
+                    least = sorted((round(f * weight.get(w, low), 9) for w, f in tf.items()), reverse=True)[:most]
+                    bar = (least[-1] if len(least) == most else 0.0) - 1e-8  # the last of the best reaches it; what rounding may change
+                    best = [(w, f, table.value.get(w)) for w, f in tf.items() if f * weight.get(w, high) >= bar]
+                    rows += [j] * len(best)
+                    out += best
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int64())))], names=[*CHAPTER_KEY, "term", "tf", "df"])
+
+    kinds = ", ".join(f"{c} {tokens.schema[c].dataType.simpleString()}" for c in CHAPTER_KEY)
+    rows = tokens.mapInArrow(run, f"{kinds}, term string, tf double, df long")
+    if rarest:
+        rows = cut(rows)
+        rows = rows.where("df IS NOT NULL").unionByName(rows.where("df IS NULL").drop("df").join(df, "term").select(rows.columns))
+    scored = rows.withColumn("score", F.col("tf") * (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1))
     rank = F.row_number().over(W.partitionBy(*CHAPTER_KEY).orderBy(F.round("score", 9).desc(), "term"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= most).select(*CHAPTER_KEY, "rank", "term", "score")
 

@@ -162,9 +162,9 @@ def tfidf(tf: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     return normalized(tf.join(vocab, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w")), key)
 
 
-def unique(docs: DataFrame, key: str) -> bool:
+def unique(docs: DataFrame, *key: str) -> bool:
     """Whether no two rows have one key."""
-    return not docs.groupBy(key).count().where("count > 1").limit(1).count()
+    return not docs.groupBy(*key).count().where("count > 1").limit(1).count()
 
 
 def _crc_table() -> np.ndarray:

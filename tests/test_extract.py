@@ -1,5 +1,6 @@
 """Candidate terms against a plain search with one pattern for each hint, and definitions inside a chapter's row."""
 
+import math
 import random
 import re
 import time
@@ -144,3 +145,25 @@ def test_lines_and_cleaned_texts_are_judged_as_by_cleaning_all(spark):
     once, twice = X.clean_text(c), X.clean_text(X.clean_text(c))
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(noise.alias("a"), X.is_noise_line(c).alias("b"), twice.alias("c"), X.clean_again(once).alias("d"), whole.alias("e"), once.alias("f"), X.clean_short(c).alias("g")).collect()
     assert all(r.a == r.b and r.c == r.d and r.e == r.f == r.g for r in got) and len({r.a for r in got}) == 3
+
+
+@pytest.mark.parametrize("known", [3, 40, 1000])
+def test_keywords_are_the_best_by_exact_scores_however_few_frequencies_are_at_hand(spark, known):
+    rng = random.Random(35)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(words[: rng.choice((5, 60, 300))]) for _ in range(rng.randint(0, 150))) for _ in range(60)] + ["", None]
+    rows = spark.createDataFrame([(i, "c", t) for i, t in enumerate(texts)], "textbook_id long, chapter_id string, content string")
+    tf = {i: Counter((t or "").split()) for i, t in enumerate(texts)}
+    df = Counter(w for c in tf.values() for w in c)
+    want = {}
+    for i, c in tf.items():
+        score = {w: round(k / c.total() * (math.log((1 + len(texts)) / (1 + df[w])) + 1), 9) for w, k in c.items()}
+        want[i] = sorted(c, key=lambda w: (-score[w], w))[:12]
+    got = {}
+    for r in E.keywords(rows, 12, known=known).orderBy("textbook_id", "rank").collect():
+        got.setdefault(r.textbook_id, []).append(r.term)
+    assert got == {i: w for i, w in want.items() if w}
+    twice = E.keywords(spark.createDataFrame([(1, "c", "aa bb aa"), (1, "c", "cc")], rows.schema), known=known).collect()
+    assert {r.term: round(r.score, 9) for r in twice} == {w: round(k / 3 * (math.log(3 / 2) + 1), 9) for w, k in (("aa", 2), ("bb", 1), ("cc", 1))}
+    plan = E.keywords(rows, 12, known=1000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan  # a text's terms are neither counted nor looked up by a shuffle
