@@ -192,13 +192,13 @@ def score(docs: DataFrame, model: Chain, out: str = "score") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = np.full(len(batch), model.prior)
-            for i, j, data, at in pieces(batch.column(at_text)):
+            for i, j, data, at in pieces(batch.column(at_text)):  # handed on piece by piece, as whole texts go with their scores
+                score = np.full(j - i, model.prior)
                 x, doc, size = line_features(data, at)
                 if len(x):
                     p = model.marginals(model.potentials(x), doc)
                     total = np.bincount(doc, size, j - i)
-                    score[i:j] = np.where(total > 0, np.bincount(doc, size * p, j - i) / np.maximum(total, 1), model.prior)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(score, 0, 1))], names=[*names, "score"])
+                    score = np.where(total > 0, np.bincount(doc, size * p, j - i) / np.maximum(total, 1), model.prior)
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(np.clip(score, 0, 1))], names=[*names, "score"])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType())])).toDF(*kept, out)
