@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import BROADCAST_ROWS, columns, drop_stored, free, hot_parts, only_ids, salted_join, stored
+from quire.llm.shared import BROADCAST_ROWS, columns, drop_stored, free, hot_parts, only_ids, salted_join, small_batches, stored
 from quire.llm.words import mixed, pieces, words
 
 #: For overlaps of MIN_WORDS tokens or more, and for whole items of fewer words; found by greedy cover.
@@ -253,6 +253,7 @@ def _listed(hits: DataFrame, total: int) -> DataFrame:
 
 def find(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """doc_id, item_id, n_items, first_token, end_token (exclusive), n_same: the best overlap of each contaminated document with each different item; items of `shortest` tokens or more count."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
     items = _items(benchmark, shortest)
     seeds = _item_seeds(items)

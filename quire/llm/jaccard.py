@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.groups import column, groups
-from quire.llm.shared import BROADCAST_ROWS, HOT_ROWS, columns, components, drop_stored, free, hot_keys, only_ids, spread_join, stored
+from quire.llm.shared import BROADCAST_ROWS, HOT_ROWS, columns, components, drop_stored, free, hot_keys, only_ids, small_batches, spread_join, stored
 from quire.llm.words import mixed, pieces, shingles, words
 
 SKETCH_BITS = 512  # at least; sketches of different sizes are compared in the smaller's
@@ -245,6 +245,7 @@ def join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> Data
     Rows that share a doc_id are one node, in the component of all their texts. Ties don't arise: component_id is the
     smallest doc_id. An empty table gives no rows; further columns are ignored.
     """
+    small_batches(docs.sparkSession)
     sets = stored(_sets(docs, width, num, den), "sets")
     real = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = stored(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")

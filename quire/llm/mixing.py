@@ -22,11 +22,12 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.shared import stored
+from quire.llm.shared import from_rows, stored
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, "7"
 BIN_ROWS = 2000  # documents of a pattern that a hash bin holds, about
@@ -148,7 +149,7 @@ def mix(docs: DataFrame, members: Column, weights: tuple[int, ...] = WEIGHTS, sh
         passes = min(most, words // r["size"]) if r["size"] else 0
         first = at[r.pattern[0]] if r.pattern else None
         plan.append((list(r.pattern), size[first] if r.pattern else 0, target[first] if r.pattern else 0.0, passes, words - passes * r["size"] if r["size"] else 0, max(1, -(-r["n"] // BIN_ROWS))))
-    plan_rows = spark.createDataFrame(plan, "pattern array<string>, source_size long, target double, passes long, rest long, bins long")
+    plan_rows = from_rows(spark, plan, {"pattern": pa.list_(pa.string()), "source_size": pa.int64(), "target": pa.float64(), "passes": pa.int64(), "rest": pa.int64(), "bins": pa.int64()})
     rows = rows.join(F.broadcast(plan_rows), "pattern")
     # The order's first 13 hex digits as a fraction of 1 choose the bin, so bins follow the order.
     rows = rows.withColumn("bin", F.floor(F.conv(F.substring("order", 1, 13), 16, 10).cast("double") / float(16**13) * F.col("bins")))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quire.llm.shared import columns, only_ids
+from quire.llm.shared import columns, from_rows, only_ids, small_batches
 from quire.llm.words import pieces, words
 
 TRAIN_DOCS, TRAIN_LINES, CHAIN = 6000, 100_000, 60
@@ -154,6 +154,7 @@ def fit(x: np.ndarray, doc: np.ndarray, line: np.ndarray, label: np.ndarray) ->
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, label: str = "quality") -> Chain:
     """Fits the chain on labels (doc_id, label) of documents for which usable holds."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
     known = known.where(usable) if usable is not None else known
     picked = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
@@ -163,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, labe
     for r in picked.join(sizes, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # TRAIN_DOCS rows at most
         if r.n is not None and total + r.n <= TRAIN_LINES:
             y[r.doc_id], total = int(r.y > 0), total + r.n
-    chosen = docs.sparkSession.createDataFrame([(i,) for i in y], "doc_id long")
+    chosen = from_rows(docs.sparkSession, [(i,) for i in y], {"doc_id": pa.int64()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,6 +186,7 @@ def score(docs: DataFrame, model: Chain, out: str = "score") -> DataFrame:
 
     A column of docs that is named like out gives way to it.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() != out.lower()]
     rows = docs.withColumn("text", F.col("text").cast("string")).select([c for c, name in zip(columns(docs), docs.columns) if name in kept])
     rows = rows.toDF(*(f"c{k}" for k in range(len(kept))))  # names that Arrow functions take, whatever the columns'

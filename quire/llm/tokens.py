@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.shared import new_path, stored
+from quire.llm.shared import new_path, small_batches, stored
 
 END_ID = 2
 KEPT_WORDS, KEPT_PARTS = 250_000, 700_000  # per Python worker; a cache starts anew beyond it
@@ -131,6 +131,7 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
 def write_orc(docs: DataFrame, vocabulary: str, path: str | None = None, end_id: int = END_ID) -> str:
     """Writes the ids of all rows of docs as ORC files of ascending doc_id ranges; returns the folder."""
     spark = docs.sparkSession
+    small_batches(spark)
     path = path or new_path(spark, "tokens")
     chars = docs.select(F.sum(F.length("text"))).first()[0] or 0
     files = max(spark.sparkContext.defaultParallelism, -(-chars // TEXT_PER_FILE))
