@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -14,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import sub
+from quire.llm.shared import small_batches
 from quire.operators.components import cut
 
 SIZES, FEATURES, SLOTS = (2, 3, 4), 16_000, 4096
@@ -125,8 +127,8 @@ class Coder:
         self.number, self.idf, self.sizes = {t: i for i, (t, _) in enumerate(terms)}, np.array([idf for _, idf in terms], float), sizes
         self.words: dict[str, list[int]] = {}
 
-    def unit(self, folded: str) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of terms, weights) of the text's vector of length 1; empty if it has none of the terms."""
+    def counts(self, folded: str) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of terms, how often the text has them); empty if it has none of the terms."""
         found: list[int] = []
         for word in folded.split(" "):
             if word not in self.words:
@@ -135,11 +137,16 @@ class Coder:
                 self.words[word] = [self.number[g] for g in _cut_grams(word, self.sizes) if g in self.number] if word else []
             found += self.words[word]
         if not found:
-            return np.zeros(0, int), np.zeros(0)
+            return np.zeros(0, int), np.zeros(0, int)
         tf = np.bincount(found, minlength=len(self.idf))
         codes = np.flatnonzero(tf)
-        w = tf[codes] * self.idf[codes]
-        return codes, w / np.sqrt(w @ w)
+        return codes, tf[codes]
+
+    def unit(self, folded: str) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of terms, weights) of the text's vector of length 1; empty if it has none of the terms."""
+        codes, tf = self.counts(folded)
+        w = tf * self.idf[codes]
+        return codes, w / np.sqrt(w @ w) if len(w) else w
 
 
 def vocabulary(tf: DataFrame, n_docs: Column | int, key: str, features: int | None = FEATURES) -> DataFrame:
@@ -320,15 +327,21 @@ def top_cosine(left: DataFrame, right: DataFrame, a: str, b: str, k: int = 10, p
     return top_neighbours(full, a, b, k)
 
 
-#: Texts in a block at most and at least; a term is multiplied as a column if its pairs in two blocks are this share of all pairs.
-BLOCK, SMALL_BLOCK, COLUMN = 2048, 64, 1 / 256
-PAIRS = 1 << 22  # pairs of rarer terms that are added up at once
+#: Texts in a block at most and at least; a term is a column if this share of all pairs of texts has it, of so many columns at once.
+BLOCK, SMALL_BLOCK, COLUMN, COLUMNS = 1024, 64, 1 / 1024, 4096
+PAIRS = 1 << 18  # products that are added up one by one at once
+SIDE = 256 << 20  # bytes of blocks that a task sets beside others
+
+
+def _short(x: np.ndarray) -> bytes:
+    """Numbers not below 0, in two bytes each if all fit, else in four."""
+    return x.astype(np.uint16 if x.max(initial=0) < 1 << 16 else np.int32).tobytes()
 
 
 def packed(docs: DataFrame, key: str, text: str, terms: list[tuple[str, float]], size: int = BLOCK) -> DataFrame:
-    """(ids, n, codes, w): the unit vectors of docs over terms, each partition of docs in blocks of up to `size` texts, by rising key.
+    """(ids, n, codes, tf): the counts of terms in docs, each partition of docs in blocks of up to `size` texts, by rising key.
 
-    Texts without any of the terms are left out. The arrays are binary: keys, numbers of terms, terms' numbers, weights.
+    Texts without any of the terms are left out. The arrays are binary: keys, numbers of terms, terms' numbers, their counts.
     """
     coder = Coder(terms)
 
@@ -338,49 +351,93 @@ def packed(docs: DataFrame, key: str, text: str, terms: list[tuple[str, float]],
         def block() -> pa.RecordBatch:
             held.sort(key=lambda x: x[0])
             ids, n = np.array([x[0] for x in held], np.int64), np.array([len(x[1]) for x in held], np.int64)
-            codes, w = np.concatenate([x[1] for x in held]).astype(np.int32), np.concatenate([x[2] for x in held])
+            codes, tf = (_short(np.concatenate([x[i] for x in held])) for i in (1, 2))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, n, codes, w)], names=["ids", "n", "codes", "w"])
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (ids.tobytes(), n.tobytes(), codes, tf)], names=["ids", "n", "codes", "tf"])
 
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                codes, w = coder.unit(t)
+                codes, tf = coder.counts(t)
                 if len(codes):
-                    held.append((k, codes, w))
+                    held.append((k, codes.astype(np.int32), tf.astype(np.int32)))
                 if len(held) == size:
                     yield block()
         if held:
             yield block()
 
-    return docs.select(F.col(key).cast("long").alias("k"), folded(F.col(text)).alias("t")).mapInArrow(run, "ids binary, n binary, codes binary, w binary")
-
-
-def _products(a: list[np.ndarray], b: list[np.ndarray], terms: int) -> np.ndarray:
-    """All dot products of two blocks (ids, n, codes, w): common terms as columns of two matrices, rare ones pair by pair."""
-    (ia, ca, wa), (ib, cb, wb) = ((np.repeat(np.arange(len(x[0])), x[1]), x[2], x[3]) for x in (a, b))
-    na, nb = np.bincount(ca, minlength=terms), np.bincount(cb, minlength=terms)
-    column = na * nb > COLUMN * len(a[0]) * len(b[0])
-    place = np.cumsum(column) - 1
-    sides = []
-    for i, c, w, n in ((ia, ca, wa, len(a[0])), (ib, cb, wb, len(b[0]))):
-        m, own = np.zeros((n, int(column.sum()))), column[c]
-        m[i[own], place[c[own]]] = w[own]
-        sides.append(m)
-    near = sides[0] @ sides[1].T
-    ka, kb = np.flatnonzero(~column[ca] & (nb[ca] > 0)), np.flatnonzero(~column[cb])
-    kb = kb[np.argsort(cb[kb], kind="stable")]
-    start = np.searchsorted(cb[kb], ca[ka])
-    n = nb[ca[ka]]
+    return docs.select(F.col(key).cast("long").alias("k"), folded(F.col(text)).alias("t")).mapInArrow(run, "ids binary, n binary, codes binary, tf binary")
+
+
+def _unpacked(ids: pa.Buffer, n: pa.Buffer, codes: pa.Buffer, tf: pa.Buffer, idf: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(ids, n, codes, weights of the unit vectors) of a block of packed()."""
+    ids, n = np.frombuffer(ids, np.int64), np.frombuffer(n, np.int64)
+    codes, tf = (np.frombuffer(x, np.uint16 if x.size == 2 * n.sum() else np.int32).astype(np.int64) for x in (codes, tf))
+    w = tf * idf[codes]
+    return ids, n, codes, w / np.repeat(np.sqrt(np.add.reduceat(w * w, np.cumsum(n) - n)), n)
+
+
+def _ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each row, n places."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - start, n)
+
+
+class Laid:
+    """A block's weights in single precision: terms with a place as columns of matrices, the others by rising term."""
+
+    def __init__(self, block: tuple[np.ndarray, ...], place: np.ndarray):
+        _, n, codes, w = block
+        i, p, w = np.repeat(np.arange(len(n)), n), place[codes], w.astype(np.float32)
+        self.n, self.columns = len(n), []
+        most = int(place.max(initial=-1)) + 1
+        for begin in range(0, most, COLUMNS):
+            width = min(COLUMNS, most - begin)
+            own = np.flatnonzero((p >= begin) & (p < begin + width))
+            m = np.zeros(len(n) * width, np.float32)
+            m[i[own] * width + p[own] - begin] = w[own]
+            self.columns.append(m.reshape(len(n), width))
+        rare = np.flatnonzero(p < 0)
+        rare = rare[np.argsort(codes[rare], kind="stable")]
+        self.rows, self.codes, self.w = i[rare], codes[rare], w[rare]
+        self.count = np.bincount(self.codes, minlength=len(place))
+        self.start = np.cumsum(self.count) - self.count
+
+
+def places(idf: np.ndarray) -> np.ndarray:
+    """The columns of terms so common that two texts of COLUMN of all pairs or more both have them; -1 for the others."""
+    common = np.exp(2 * (1 - idf)) > COLUMN
+    return np.where(common, np.cumsum(common) - 1, -1)
+
+
+def _products(a: Laid, b: Laid) -> np.ndarray:
+    """All dot products of two blocks in single precision: common terms by columns, rare ones pair by pair."""
+    near = np.zeros((a.n, b.n), np.float32)
+    for x, y in zip(a.columns, b.columns):
+        near += x @ y.T
+    n = b.count[a.codes]
+    own = np.flatnonzero(n)
+    n = n[own]
     part = np.cumsum(n) // PAIRS
     for p in np.unique(part):
-        own = part == p
-        k, m = ka[own], n[own]
-        at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m - start[own], m)
-        x, y = np.repeat(k, m), kb[at]
-        np.add.at(near.ravel(), ia[x] * len(b[0]) + ib[y], wa[x] * wb[y])
+        k, m = own[part == p], n[part == p]
+        x, y = np.repeat(k, m), _ragged(b.start[a.codes[k]], m)
+        np.add.at(near.ravel(), a.rows[x] * b.n + b.rows[y], a.w[x] * b.w[y])
     return near
 
 
+def _exact(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], r: np.ndarray, c: np.ndarray, terms: int) -> np.ndarray:
+    """The dot products, in double precision, of a's texts r, rising, and b's texts c."""
+    out, m = np.zeros(len(r)), np.zeros(terms)
+    at, begin = ([0, *np.cumsum(x[1]).tolist()] for x in (a, b))
+    own, last = a[2][:0], -1
+    for place, (i, j) in enumerate(zip(r.tolist(), c.tolist())):
+        if i != last:
+            m[own] = 0
+            own, last = a[2][at[i] : at[i + 1]], i
+            m[own] = a[3][at[i] : at[i + 1]]
+        out[place] = m.take(b[2][begin[j] : begin[j + 1]]) @ b[3][begin[j] : begin[j + 1]]
+    return out
+
+
 def best_places(rows: np.ndarray, ids: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
     """The places of each row's k best: by falling cosine to nine places, then by id."""
     order = np.lexsort((ids, -np.round(near, 9), rows))
@@ -389,43 +446,98 @@ def best_places(rows: np.ndarray, ids: np.ndarray, near: np.ndarray, k: int) ->
     return order[np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r)))) < k]
 
 
+class Best:
+    """The k best partners so far of each text of a block."""
+
+    def __init__(self, names: np.ndarray, k: int):
+        self.names, self.k = names.copy(), k
+        self.rows, self.ids, self.near = np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, near: np.ndarray) -> None:
+        rows, ids, near = np.append(self.rows, rows), np.append(self.ids, ids), np.append(self.near, near)
+        keep = best_places(rows, ids, near, self.k)
+        self.rows, self.ids, self.near = rows[keep], ids[keep], near[keep]
+
+    def least(self, near: np.ndarray, slack: float) -> np.ndarray:
+        """What a text's partners must reach in near, whose errors are below slack, to be among the k best."""
+        least, n = np.full(len(self.names), -1.0), np.bincount(self.rows, minlength=len(self.names))
+        full = n == self.k
+        least[full] = self.near[np.cumsum(n)[full] - 1] - slack
+        if near.shape[1] > self.k and not full.all():
+            least[~full] = np.partition(near[~full], -self.k, 1)[:, -self.k] - 2.0 * slack
+        return np.maximum(least, np.finfo(np.float32).tiny).astype(np.float32)
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.names[self.rows]), pa.array(self.ids), pa.array(self.near), pa.array(np.round(self.near, 9))], names=["a", "b", "cosine", "near"])
+
+
+def compared(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], near: np.ndarray, best: Best, other: Best | None, terms: int) -> None:
+    """By near, their _products(), adds b's texts to the best of a's and, unless a block is set beside itself, a's to the best of b's.
+
+    Single precision tells who may be among the best: of m products each, all positive, it errs by less than (m + 8) / 2^24.
+    """
+    slack = (min(a[1].max(), b[1].max()) + 8) / 2**24 + MARGIN
+    wanted = near >= best.least(near, slack)[:, None]
+    if other is not None:
+        wanted |= near >= other.least(near.T, slack)[None, :]
+    r, c = np.nonzero(wanted)
+    cosine = _exact(a, b, r, c, terms)
+    best.add(r, b[0][c], cosine)
+    if other is not None:
+        other.add(c, a[0][r], cosine)
+
+
+def block_pairs(packs: DataFrame, sides: int) -> DataFrame:
+    """Each two blocks once, each block with itself, too, in the square of `sides` tasks at most, however finely files are split.
+
+    Which of two blocks comes first is told by chance, so that tasks are alike.
+    """
+    left = packs.coalesce(sides)
+    right = left.select(*(F.col(c).alias(f"{c}_b") for c in packs.columns))
+    turned = F.pmod(F.xxhash64(F.col("block") + F.col("block_b")), F.lit(2)) == 1
+    chosen = (F.col("block") == F.col("block_b")) | ((F.col("block") != F.col("block_b")) & ((F.col("block") < F.col("block_b")) != turned))
+    return left.join(right.hint("shuffle_replicate_nl"), chosen)
+
+
 def top_in_blocks(docs: DataFrame, key: str, text: str, terms: list[tuple[str, float]], k: int, size: int = BLOCK) -> DataFrame:
     """(a, b, cosine, near): the k texts nearest to each, itself among them, of those that share a term of `terms` with it; near is rounded, ties go to the smaller b.
 
-    Every pair of texts is multiplied, in blocks that a task reads from the shared folder: no pair is shuffled, only the
-    k best of a block of texts among the blocks that one task sets beside it. Time grows with the square of the texts.
+    Every pair of texts is multiplied once, in blocks that a task reads from the shared folder: no pair is shuffled, only the
+    k best of each text among the blocks that one task sets beside it. The blocks are dealt into few sides, so what is stored
+    and shuffled grows with the texts, time with their square.
     """
-    n = docs.count()
-    size = max(SMALL_BLOCK, min(size, -(-n // (2 * docs.sparkSession.sparkContext.defaultParallelism))))
-    packs = cut(packed(docs.select(key, text).repartition(max(1, -(-n // size))), key, text, terms, 2 * size))
-    width = len(terms)
+    spark = docs.sparkSession
+    small_batches(spark)  # a row has two blocks
+    n, cores = docs.count(), spark.sparkContext.defaultParallelism
+    size = max(SMALL_BLOCK, min(size, -(-n // (2 * cores))))
+    packs = cut(packed(docs.select(key, text).repartition(max(1, -(-n // size))), key, text, terms, 2 * size).withColumn("block", F.monotonically_increasing_id()))
+    width, idf = len(terms), np.array([x for _, x in terms], float)
+    place = places(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, names, best = None, None, None
-
-        def found() -> pa.RecordBatch:
-            rows, ids, near = best
-            return pa.RecordBatch.from_arrays([pa.array(names[rows]), pa.array(ids), pa.array(near), pa.array(np.round(near, 9))], names=["a", "b", "cosine", "near"])
-
+        _cut_grams.cache_clear()  # a worker that has cut texts before
+        best: dict[int, Best] = {}
+        last, a, own = None, (), None
         for batch in batches:
             for j in range(len(batch)):
-                a, b = ([np.frombuffer(batch.column(o + c)[j].as_buffer(), kind) for c, kind in enumerate((np.int64, np.int64, np.int32, float))] for o in (0, 4))
-                mark = a[0].tobytes()
-                if mark != last:
-                    if best is not None:
-                        yield found()
-                    last, names, best = mark, a[0].copy(), (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))
-                near = _products(a, b, width)
-                rounded = np.round(near, 9)
-                least = -np.partition(-rounded, k - 1, 1)[:, k - 1 : k] if near.shape[1] > k else np.full((len(near), 1), -1.0)
-                r, c = np.nonzero((rounded >= least) & (near > 0))
-                rows, ids, cos = np.append(best[0], r), np.append(best[1], b[0][c]), np.append(best[2], near[r, c])
-                keep = best_places(rows, ids, cos, k)
-                best = rows[keep], ids[keep], cos[keep]
-        if best is not None:
-            yield found()
-
-    sides = packs.crossJoin(packs.select(*(F.col(c).alias(f"{c}_b") for c in packs.columns)).hint("shuffle_replicate_nl"))  # each task reads its blocks
-    pairs = sides.mapInArrow(run, "a long, b long, cosine double, near double")
+                i, o = batch.column(4)[j].as_py(), batch.column(9)[j].as_py()
+                if i != last:
+                    last, a = i, _unpacked(*(batch.column(c)[j].as_buffer() for c in range(4)), idf)
+                    own = Laid(a, place)
+                b = a if i == o else _unpacked(*(batch.column(c)[j].as_buffer() for c in range(5, 9)), idf)
+                for x, block in ((i, a), (o, b)):
+                    if x not in best:
+                        best[x] = Best(block[0], k)
+                near = _products(own, own if i == o else Laid(b, place))
+                compared(a, b, near, best[i], best[o] if i != o else None, width)
+        for x in best.values():
+            yield x.batch()
+
+    size_of = packs.agg(F.sum(F.octet_length("codes") + F.octet_length("tf"))).first()[0] or 0
+    # Some tasks for each core, in whole rounds if that can be.
+    fewest = max(math.isqrt(3 * cores), -(-size_of // SIDE))
+    sides = min(range(fewest, fewest + 3), key=lambda s: -(-s * s // cores) / (s * s))
+    pairs = block_pairs(packs, sides)
+    pairs = pairs.mapInArrow(run, "a long, b long, cosine double, near double")
     rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("near"), "b"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")

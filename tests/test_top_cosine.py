@@ -79,3 +79,35 @@ def test_copies_are_compared_once_and_still_have_their_own_neighbours(spark):
     every = vectors.cosine_pairs(unit.withColumnRenamed("ord", "a"), unit.withColumnRenamed("ord", "b"), "a", "b").where("a <> b")
     want = {(r.a, r.b): round(r.cosine, 8) for r in vectors.top_neighbours(every, "a", "b").where("a < b").collect()}
     assert got == want and compared == [41]
+
+
+def test_two_blocks_meet_once_in_few_tasks_however_finely_files_are_split(spark):
+    conf = {"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    rows = spark.createDataFrame(list(enumerate(texts_of(240, 3))), "ord long, text string")
+    terms = vectors.frequent(vectors.term_totals(rows, "text"), 256, 300)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        packs = vectors.cut(vectors.packed(rows.repartition(12), "ord", "text", terms, 64).withColumn("block", F.monotonically_increasing_id()))
+        pairs = vectors.block_pairs(packs, 3)
+        assert packs.rdd.getNumPartitions() > 12 and pairs.rdd.getNumPartitions() == 9
+        got = [frozenset(x) for x in pairs.select("block", "block_b").collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    blocks = [r.block for r in packs.select("block").collect()]
+    assert len(blocks) == 12 and len(got) == len(set(got)) == 12 * 13 // 2
+    most = packs.select(F.max((F.octet_length("codes") + F.octet_length("tf")) / (F.octet_length("n") / 8))).first()[0]
+    assert most <= 4 * 300  # four bytes a term of a text, once twelve
+
+
+def test_single_precision_does_not_tell_near_ties_apart_by_itself(spark):
+    """Cosines that differ by 1e-8 and less, in blocks that a side has several of."""
+    texts = ["aa " * (400 + i) + "bb " * 300 for i in range(130)] + ["aa bb"] * 5
+    rows = spark.createDataFrame(list(enumerate(texts)), "ord long, text string")
+    unit = vectors.tfidf(vectors.gram_counts(rows, "ord", "text"), vectors.vocabulary(vectors.gram_counts(rows, "ord", "text"), len(texts), "ord", None), "ord")
+    want = vectors.top_neighbours(vectors.cosine_pairs(unit.withColumnRenamed("ord", "a"), unit.withColumnRenamed("ord", "b"), "a", "b"), "a", "b", 4)
+    got = vectors.top_in_blocks(rows, "ord", "text", vectors.frequent(vectors.term_totals(rows, "text"), len(texts)), 4, size=8)
+    pairs = lambda df: {(r.a, r.b): round(r.cosine, 9) for r in df.collect()}
+    assert pairs(got) == pairs(want) and len(pairs(want)) == 4 * len(texts)
