@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quire.functions import terms as T
 from quire.functions.text import CJK, best_definition, best_sentence, clean_again, clean_line, clean_text, contains_any, is_noise_line, normalize_key, safe_id, split_sentences, strip, sub, tokenize
 from quire.lexicon import DEFAULT, Lexicon
+from quire.llm.shared import small_batches
 from quire.operators.components import cut, once
 from quire.operators.vectors import unique
 
@@ -30,7 +31,7 @@ LETTERS = re.compile("[\u4e00-\u9fa5A-Za-z0-9]*")
 LONGEST, SPACES = 18, 64  # characters of a term; white space before a verb that is looked at before all of it is
 CHAPTER_KEY = ["textbook_id", "chapter_id"]
 #: Keywords of a chapter; what a model is shown and how many nodes and edges of its reply count.
-KEYWORDS, KEYWORD_CHARS = 35, 12_000
+KEYWORDS = 35
 KNOWN = 100_000  # frequent terms that every task has, some 15 MB
 SHOWN, MODEL_NODES, MODEL_EDGES, MODEL_IMPORTANCE = 8000, 18, 30, 0.75
 REPLY = "nodes array<struct<name:string,definition:string,category:string,page:int>>, edges array<struct<source:string,target:string,relation_type:string,description:string>>"
@@ -185,14 +186,15 @@ def ranked_terms(chapters: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     return ordered.select(*CHAPTER_KEY, F.aggregate("all", F.array().cast("array<string>"), keep).alias("terms"))
 
 
-def keywords(chapters: DataFrame, most: int = KEYWORDS, chars: int = KEYWORD_CHARS, known: int = KNOWN) -> DataFrame:
-    """(textbook_id, chapter_id, rank, term, score): the tokens of a chapter's first `chars` characters by TF-IDF over the chapters.
+def keywords(chapters: DataFrame, most: int = KEYWORDS, known: int = KNOWN) -> DataFrame:
+    """(textbook_id, chapter_id, rank, term, score): the best tokens of a chapter's whole text by TF-IDF over the chapters.
 
     A chapter's tokens are counted inside its row. The most frequent terms, `known` at most, are at hand there with their
     frequency; any other term is no more frequent than the rarest of them, which bounds its score from both sides. Terms
     that can't be among the chapter's best leave, and only what is left of the others is joined with its frequency.
     """
-    tokens = chapters.select(*CHAPTER_KEY, tokenize(F.left(F.col("content"), F.lit(chars))).alias("t")).withColumn("n", F.size("t"))
+    small_batches(chapters.sparkSession)  # a row has all tokens of a text
+    tokens = chapters.select(*CHAPTER_KEY, tokenize(F.col("content")).alias("t")).withColumn("n", F.size("t"))
     if not unique(chapters, *CHAPTER_KEY):  # rows of one chapter are counted together, by the longest's length
         tokens = tokens.groupBy(*CHAPTER_KEY).agg(F.flatten(F.collect_list("t")).alias("t"), F.max("n").alias("n"))
     total, n_terms = chapters.count(), F.count("*").alias("df")

@@ -213,7 +213,7 @@ def benchmark_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH t AS (SELECT doc_id, {S.tokens('left(text, 12000)')} AS l FROM documents), f AS (SELECT doc_id, term, count(*) / max(n)::DOUBLE AS tf FROM (SELECT doc_id, len(l) AS n, unnest(l) AS term FROM t) GROUP BY doc_id, term), "
+    f"WITH t AS (SELECT doc_id, {S.tokens('text')} AS l FROM documents), f AS (SELECT doc_id, term, count(*) / max(n)::DOUBLE AS tf FROM (SELECT doc_id, len(l) AS n, unnest(l) AS term FROM t) GROUP BY doc_id, term), "
     "d AS (SELECT term, count(*) AS df FROM f GROUP BY term), s AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)::DOUBLE) + 1) AS score FROM f JOIN d USING (term)) "
     "SELECT doc_id, rank::INTEGER AS rank, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, term) AS rank FROM s) WHERE rank <= 35"
 )

@@ -167,3 +167,8 @@ def test_keywords_are_the_best_by_exact_scores_however_few_frequencies_are_at_ha
     assert {r.term: round(r.score, 9) for r in twice} == {w: round(k / 3 * (math.log(3 / 2) + 1), 9) for w, k in (("aa", 2), ("bb", 1), ("cc", 1))}
     plan = E.keywords(rows, 12, known=1000)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan  # a text's terms are neither counted nor looked up by a shuffle
+
+
+def test_keywords_count_whole_texts(spark):
+    rows = spark.createDataFrame([(1, "c", "aa " * 5000 + "bb " * 6000), (2, "c", "aa")], "textbook_id long, chapter_id string, content string")
+    assert {(r.textbook_id, r.rank, r.term, round(r.score, 9)) for r in E.keywords(rows).collect()} == {(1, 1, "bb", round(6 / 11 * (math.log(3 / 2) + 1), 9)), (1, 2, "aa", round(5 / 11, 9)), (2, 1, "aa", 1.0)}
