@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -20,6 +19,7 @@ from quire.operators.components import cut
 
 SIZES, FEATURES, SLOTS = (2, 3, 4), 16_000, 4096
 HELD = 200_000  # terms that a task sums up before it hands their sums on
+WORDS = 1 << 16  # words whose terms a task keeps, some 20 MB
 
 
 def _every(w: Column, n: int) -> Column:
@@ -67,12 +67,16 @@ def gram_counts(docs: DataFrame, key: str, text: str, sizes: tuple[int, ...] = S
     return placed.groupBy(key, F.substring("w", F.col("i"), F.col("size")).alias("term")).agg(F.sum("n").alias("tf"))
 
 
-@lru_cache(1 << 16)
-def _cut_grams(word: str, sizes: tuple[int, ...]) -> tuple[str, ...]:
+def _gram_list(word: str, sizes: tuple[int, ...]) -> tuple[str, ...]:
     w = f" {word} "
     return tuple(w[i : i + n] for n in sizes if len(w) >= n or n == sizes[0] for i in range(max(1, len(w) - n + 1)))
 
 
+@lru_cache(1 << 16)
+def _cut_grams(word: str, sizes: tuple[int, ...]) -> tuple[str, ...]:
+    return _gram_list(word, sizes)
+
+
 def text_grams(folded: str, sizes: tuple[int, ...] = SIZES) -> list[str]:
     """The grams of word_grams() of one text that folded() has made ready, repeats among them."""
     return [g for word in folded.split(" ") if word for g in _cut_grams(word, sizes)]
@@ -87,27 +91,34 @@ def term_totals(docs: DataFrame, text: str, copies: str | None = None, sizes: tu
     """(term, total, df) of the grams of all texts, each as often as its copies say; what leaves a task is a sum a term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[str] = Counter()
-        df: Counter[str] = Counter()
+        number: dict[str, int] = {}
+        words: dict[str, list[int]] = {}
+        total, df = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def sums() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64()), pa.array([df[t] for t in total], pa.int64())], names=["term", "total", "df"])
-            total.clear()
-            df.clear()
+            out = pa.RecordBatch.from_arrays([pa.array(number.keys(), pa.string()), pa.array(total[: len(number)]), pa.array(df[: len(number)])], names=["term", "total", "df"])
+            number.clear()
+            words.clear()
             return out
 
         for batch in batches:
             for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                grams = text_grams(t, sizes)
-                if n == 1:
-                    total.update(grams)
-                    df.update(set(grams))
-                else:
-                    for g, c in Counter(grams).items():
-                        total[g] += c * n
-                        df[g] += n
-                if len(total) > HELD:
+                found: list[int] = []
+                for word in t.split(" "):
+                    if word and word not in words:
+                        if len(words) > WORDS:
+                            words.clear()
+                        words[word] = [number.setdefault(g, len(number)) for g in _gram_list(word, sizes)]
+                    if word:
+                        found += words[word]
+                if len(number) > len(total):
+                    total, df = (np.append(x, np.zeros(len(number), np.int64)) for x in (total, df))
+                own, times = np.unique(np.array(found, np.int64), return_counts=True)
+                total[own] += times * n
+                df[own] += n
+                if len(number) > HELD:
                     yield sums()
+                    total, df = np.zeros(0, np.int64), np.zeros(0, np.int64)
         yield sums()
 
     rows = docs.select(folded(F.col(text)).alias("t"), (F.col(copies) if copies else F.lit(1)).cast("long").alias("n"))
@@ -132,9 +143,9 @@ class Coder:
         found: list[int] = []
         for word in folded.split(" "):
             if word not in self.words:
-                if len(self.words) > HELD:
+                if len(self.words) > WORDS:
                     self.words.clear()
-                self.words[word] = [self.number[g] for g in _cut_grams(word, self.sizes) if g in self.number] if word else []
+                self.words[word] = [self.number[g] for g in _gram_list(word, self.sizes) if g in self.number] if word else []
             found += self.words[word]
         if not found:
             return np.zeros(0, int), np.zeros(0, int)
@@ -327,8 +338,10 @@ def top_cosine(left: DataFrame, right: DataFrame, a: str, b: str, k: int = 10, p
     return top_neighbours(full, a, b, k)
 
 
-#: Texts in a block at most and at least; a term is a column if this share of all pairs of texts has it, of so many columns at once.
-BLOCK, SMALL_BLOCK, COLUMN, COLUMNS = 1024, 64, 1 / 1024, 4096
+#: Texts in a block, about, and at least; a term is a column if this share of the pairs of two blocks has it, of so many columns at once.
+BLOCK, SMALL_BLOCK, COLUMN, COLUMNS = 1024, 64, 1 / 768, 2048
+#: From so many texts on, like texts are put into one block; the kinds of texts, the texts and the characters of each that kinds are told by, the slots of their grams.
+SORTED, KINDS, SHOWN_TEXTS, SHOWN_CHARS, KIND_SLOTS = 4096, 8, 2000, 400, 512
 PAIRS = 1 << 18  # products that are added up one by one at once
 SIDE = 256 << 20  # bytes of blocks that a task sets beside others
 
@@ -338,10 +351,11 @@ def _short(x: np.ndarray) -> bytes:
     return x.astype(np.uint16 if x.max(initial=0) < 1 << 16 else np.int32).tobytes()
 
 
-def packed(docs: DataFrame, key: str, text: str, terms: list[tuple[str, float]], size: int = BLOCK) -> DataFrame:
-    """(ids, n, codes, tf): the counts of terms in docs, each partition of docs in blocks of up to `size` texts, by rising key.
+def packed(docs: DataFrame, key: str, text: str, terms: list[tuple[str, float]], size: int = BLOCK, k: int = 1) -> DataFrame:
+    """(ids, n, codes, tf, least): the counts of terms in docs, each partition of docs in blocks of up to `size` texts, by rising key.
 
-    Texts without any of the terms are left out. The arrays are binary: keys, numbers of terms, terms' numbers, their counts.
+    Texts without any of the terms are left out. The arrays are binary: keys, numbers of terms, terms' numbers, their counts, and
+    what the cosines of a text's k nearest reach at least, as those inside its own block do.
     """
     coder = Coder(terms)
 
@@ -353,25 +367,28 @@ def packed(docs: DataFrame, key: str, text: str, terms: list[tuple[str, float]],
             ids, n = np.array([x[0] for x in held], np.int64), np.array([len(x[1]) for x in held], np.int64)
             codes, tf = (_short(np.concatenate([x[i] for x in held])) for i in (1, 2))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (ids.tobytes(), n.tobytes(), codes, tf)], names=["ids", "n", "codes", "tf"])
+            own = _unpacked(*map(pa.py_buffer, (ids.tobytes(), n.tobytes(), codes, tf)), coder.idf)
+            laid = Laid(own, len(coder.idf))
+            least = _reached(_products(laid, laid), k, _slack(own, own))
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (ids.tobytes(), n.tobytes(), codes, tf, least.tobytes())], names=["ids", "n", "codes", "tf", "least"])
 
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 codes, tf = coder.counts(t)
                 if len(codes):
-                    held.append((k, codes.astype(np.int32), tf.astype(np.int32)))
+                    held.append((name, codes.astype(np.int32), tf.astype(np.int32)))
                 if len(held) == size:
                     yield block()
         if held:
             yield block()
 
-    return docs.select(F.col(key).cast("long").alias("k"), folded(F.col(text)).alias("t")).mapInArrow(run, "ids binary, n binary, codes binary, tf binary")
+    return docs.select(F.col(key).cast("long").alias("k"), folded(F.col(text)).alias("t")).mapInArrow(run, "ids binary, n binary, codes binary, tf binary, least binary")
 
 
 def _unpacked(ids: pa.Buffer, n: pa.Buffer, codes: pa.Buffer, tf: pa.Buffer, idf: np.ndarray) -> tuple[np.ndarray, ...]:
     """(ids, n, codes, weights of the unit vectors) of a block of packed()."""
     ids, n = np.frombuffer(ids, np.int64), np.frombuffer(n, np.int64)
-    codes, tf = (np.frombuffer(x, np.uint16 if x.size == 2 * n.sum() else np.int32).astype(np.int64) for x in (codes, tf))
+    codes, tf = (np.frombuffer(x, np.uint16 if x.size == 2 * n.sum() else np.int32).astype(np.int32) for x in (codes, tf))
     w = tf * idf[codes]
     return ids, n, codes, w / np.repeat(np.sqrt(np.add.reduceat(w * w, np.cumsum(n) - n)), n)
 
@@ -382,45 +399,53 @@ def _ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class Laid:
-    """A block's weights in single precision: terms with a place as columns of matrices, the others by rising term."""
+    """A block's weights in single precision, text by text."""
 
-    def __init__(self, block: tuple[np.ndarray, ...], place: np.ndarray):
+    def __init__(self, block: tuple[np.ndarray, ...], terms: int):
         _, n, codes, w = block
-        i, p, w = np.repeat(np.arange(len(n)), n), place[codes], w.astype(np.float32)
-        self.n, self.columns = len(n), []
-        most = int(place.max(initial=-1)) + 1
-        for begin in range(0, most, COLUMNS):
-            width = min(COLUMNS, most - begin)
-            own = np.flatnonzero((p >= begin) & (p < begin + width))
-            m = np.zeros(len(n) * width, np.float32)
-            m[i[own] * width + p[own] - begin] = w[own]
-            self.columns.append(m.reshape(len(n), width))
-        rare = np.flatnonzero(p < 0)
-        rare = rare[np.argsort(codes[rare], kind="stable")]
-        self.rows, self.codes, self.w = i[rare], codes[rare], w[rare]
-        self.count = np.bincount(self.codes, minlength=len(place))
-        self.start = np.cumsum(self.count) - self.count
-
-
-def places(idf: np.ndarray) -> np.ndarray:
-    """The columns of terms so common that two texts of COLUMN of all pairs or more both have them; -1 for the others."""
-    common = np.exp(2 * (1 - idf)) > COLUMN
-    return np.where(common, np.cumsum(common) - 1, -1)
+        self.n, self.rows, self.codes, self.w = len(n), np.repeat(np.arange(len(n), dtype=np.int32), n), codes, w.astype(np.float32)
+        self.count = np.bincount(codes, minlength=terms)
+
+    def columns(self, place: np.ndarray, begin: int, width: int) -> np.ndarray:
+        """The matrix of the terms with places from begin on, `width` of them."""
+        p = place[self.codes]
+        own = np.flatnonzero((p >= begin) & (p < begin + width))
+        m = np.zeros(self.n * width, np.float32)
+        m[self.rows[own] * np.int64(width) + p[own] - begin] = self.w[own]
+        return m.reshape(self.n, width)
+
+    def of(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, codes, weights) of the terms marked in some."""
+        own = np.flatnonzero(some[self.codes])
+        return self.rows[own], self.codes[own], self.w[own]
 
 
 def _products(a: Laid, b: Laid) -> np.ndarray:
-    """All dot products of two blocks in single precision: common terms by columns, rare ones pair by pair."""
-    near = np.zeros((a.n, b.n), np.float32)
-    for x, y in zip(a.columns, b.columns):
-        near += x @ y.T
-    n = b.count[a.codes]
-    own = np.flatnonzero(n)
-    n = n[own]
+    """All dot products of two blocks in single precision: terms that many of their pairs share by columns, the others pair by pair."""
+    near = None
+    shared = a.count * b.count
+    common = np.flatnonzero(shared > COLUMN * a.n * b.n)
+    place = np.full(len(shared), -1, np.int32)
+    place[common] = np.arange(len(common), dtype=np.int32)
+    for begin in range(0, len(common), COLUMNS):
+        width = min(COLUMNS, len(common) - begin)
+        x = a.columns(place, begin, width)
+        y = x if a is b else b.columns(place, begin, width)
+        near = x @ y.T if near is None else np.add(near, x @ y.T, out=near)
+        x = y = None
+    near = np.zeros((a.n, b.n), np.float32) if near is None else near
+    shared[common] = 0
+    (i, x, v), (j, y, w) = a.of(shared > 0), b.of(shared > 0)
+    order = np.argsort(y, kind="stable")
+    j, w = j[order], w[order]
+    n = np.where(shared > 0, b.count, 0)
+    start, n = (np.cumsum(n) - n)[x], n[x]
     part = np.cumsum(n) // PAIRS
-    for p in np.unique(part):
-        k, m = own[part == p], n[part == p]
-        x, y = np.repeat(k, m), _ragged(b.start[a.codes[k]], m)
-        np.add.at(near.ravel(), a.rows[x] * b.n + b.rows[y], a.w[x] * b.w[y])
+    begin, flat = 0, near.ravel()
+    for end in (np.flatnonzero(np.diff(part, append=-1)) + 1).tolist():
+        at, m = _ragged(start[begin:end], n[begin:end]), n[begin:end]
+        np.add.at(flat, np.repeat(i[begin:end] * np.int64(b.n), m) + j[at], np.repeat(v[begin:end], m) * w[at])
+        begin = end
     return near
 
 
@@ -446,11 +471,21 @@ def best_places(rows: np.ndarray, ids: np.ndarray, near: np.ndarray, k: int) ->
     return order[np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r)))) < k]
 
 
+def _slack(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
+    """The error of _products() in single precision: of m products each, all positive, less than (m + 8) / 2^24; and a margin for rounding."""
+    return (min(a[1].max(), b[1].max()) + 8) / 2**24 + MARGIN
+
+
+def _reached(near: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """What the k largest of each row reach at least."""
+    return np.partition(near, -k, 1)[:, -k].astype(float) - slack if near.shape[1] >= k else np.full(len(near), -1.0)
+
+
 class Best:
-    """The k best partners so far of each text of a block."""
+    """The k best partners so far of each text of a block, of those that reach what its k best do at least."""
 
-    def __init__(self, names: np.ndarray, k: int):
-        self.names, self.k = names.copy(), k
+    def __init__(self, names: np.ndarray, k: int, least: np.ndarray):
+        self.names, self.k, self.floor = names.copy(), k, least.copy()
         self.rows, self.ids, self.near = np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)
 
     def add(self, rows: np.ndarray, ids: np.ndarray, near: np.ndarray) -> None:
@@ -460,12 +495,14 @@ class Best:
 
     def least(self, near: np.ndarray, slack: float) -> np.ndarray:
         """What a text's partners must reach in near, whose errors are below slack, to be among the k best."""
-        least, n = np.full(len(self.names), -1.0), np.bincount(self.rows, minlength=len(self.names))
+        least, n = self.floor.copy(), np.bincount(self.rows, minlength=len(self.names))
         full = n == self.k
-        least[full] = self.near[np.cumsum(n)[full] - 1] - slack
-        if near.shape[1] > self.k and not full.all():
-            least[~full] = np.partition(near[~full], -self.k, 1)[:, -self.k] - 2.0 * slack
-        return np.maximum(least, np.finfo(np.float32).tiny).astype(np.float32)
+        least[full] = np.maximum(least[full], self.near[np.cumsum(n)[full] - 1])
+        low = np.maximum(least - slack, np.finfo(np.float32).tiny).astype(np.float32)
+        many = np.flatnonzero(np.count_nonzero(near >= low[:, None], 1) > self.k)  # the k best of these alone are enough
+        if len(many):
+            low[many] = np.maximum(low[many], (_reached(near[many], self.k, slack) - slack).astype(np.float32))
+        return low
 
     def batch(self) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(self.names[self.rows]), pa.array(self.ids), pa.array(self.near), pa.array(np.round(self.near, 9))], names=["a", "b", "cosine", "near"])
@@ -474,9 +511,9 @@ class Best:
 def compared(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], near: np.ndarray, best: Best, other: Best | None, terms: int) -> None:
     """By near, their _products(), adds b's texts to the best of a's and, unless a block is set beside itself, a's to the best of b's.
 
-    Single precision tells who may be among the best: of m products each, all positive, it errs by less than (m + 8) / 2^24.
+    Single precision tells who may be among the best, doubles who is.
     """
-    slack = (min(a[1].max(), b[1].max()) + 8) / 2**24 + MARGIN
+    slack = _slack(a, b)
     wanted = near >= best.least(near, slack)[:, None]
     if other is not None:
         wanted |= near >= other.least(near.T, slack)[None, :]
@@ -487,6 +524,37 @@ def compared(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], near: np.ndar
         other.add(c, a[0][r], cosine)
 
 
+def _looks(compact: str) -> np.ndarray:
+    """How often a text without white space has each slot's pairs of letters, damped, as a vector of length 1."""
+    v = np.sqrt(np.bincount(gram_slots(compact, KIND_SLOTS, SIZES[:1]), minlength=KIND_SLOTS))
+    return v / max(1.0, np.sqrt(v @ v))
+
+
+def alike(docs: DataFrame, key: str, text: str, n: int, parts: int) -> DataFrame:
+    """docs (key, text) in `parts` partitions of about one size, texts of one kind and of like length side by side.
+
+    Kinds, such as languages, are told by pairs of letters in the texts' beginnings; their means are those of some texts
+    that the driver looks at. They decide only what is set beside what: terms that are common there are few.
+    """
+    shown = F.left(sub(F.col(text), "(?U)\\s+", ""), F.lit(SHOWN_CHARS))
+    some = docs.sample(min(1.0, 1.2 * SHOWN_TEXTS / n), 0).select(F.coalesce(shown, F.lit("")).alias("t")).limit(SHOWN_TEXTS).collect()  # bounded
+    seen = np.array([_looks(r.t) for r in some]).reshape(-1, KIND_SLOTS)
+    means = seen[np.random.default_rng(0).permutation(len(seen))[:KINDS]]
+    for _ in range(8):
+        kind = (seen @ means.T).argmax(1)
+        sums = np.array([seen[kind == i].sum(0) for i in range(len(means))]).reshape(-1, KIND_SLOTS)
+        means = sums / np.maximum(np.sqrt((sums * sums).sum(1, keepdims=True)), 1e-9)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [int((means @ _looks(t)).argmax()) if len(means) else 0 for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.int32()), batch.column(3)], names=[key, text, "__kind", "__size"])
+
+    told = docs.select(key, text, F.coalesce(shown, F.lit("")).alias("t"), F.coalesce(F.length(text), F.lit(0)).alias("size"))
+    told = told.mapInArrow(run, f"`{key}` {told.schema[key].dataType.simpleString()}, `{text}` string, __kind int, __size int")
+    return told.repartitionByRange(parts, "__kind", "__size", key).select(key, text).coalesce(parts)
+
+
 def block_pairs(packs: DataFrame, sides: int) -> DataFrame:
     """Each two blocks once, each block with itself, too, in the square of `sides` tasks at most, however finely files are split.
 
@@ -509,10 +577,12 @@ def top_in_blocks(docs: DataFrame, key: str, text: str, terms: list[tuple[str, f
     spark = docs.sparkSession
     small_batches(spark)  # a row has two blocks
     n, cores = docs.count(), spark.sparkContext.defaultParallelism
-    size = max(SMALL_BLOCK, min(size, -(-n // (2 * cores))))
-    packs = cut(packed(docs.select(key, text).repartition(max(1, -(-n // size))), key, text, terms, 2 * size).withColumn("block", F.monotonically_increasing_id()))
+    size = max(SMALL_BLOCK, min(size, -(-n // (4 * cores))))
+    parts, rows = max(1, -(-n // size)), docs.select(key, text)
+    rows = alike(rows, key, text, n, parts) if n >= SORTED else rows.repartition(parts)
+    packs = packed(rows, key, text, terms, size + size // 2, k).withColumn("block", F.monotonically_increasing_id())
+    packs = cut(packs.repartition(parts) if n >= SORTED else packs)  # or long texts would meet in a few tasks
     width, idf = len(terms), np.array([x for _, x in terms], float)
-    place = places(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _cut_grams.cache_clear()  # a worker that has cut texts before
@@ -520,15 +590,15 @@ def top_in_blocks(docs: DataFrame, key: str, text: str, terms: list[tuple[str, f
         last, a, own = None, (), None
         for batch in batches:
             for j in range(len(batch)):
-                i, o = batch.column(4)[j].as_py(), batch.column(9)[j].as_py()
+                i, o = batch.column(5)[j].as_py(), batch.column(11)[j].as_py()
                 if i != last:
                     last, a = i, _unpacked(*(batch.column(c)[j].as_buffer() for c in range(4)), idf)
-                    own = Laid(a, place)
-                b = a if i == o else _unpacked(*(batch.column(c)[j].as_buffer() for c in range(5, 9)), idf)
-                for x, block in ((i, a), (o, b)):
+                    own = Laid(a, width)
+                b = a if i == o else _unpacked(*(batch.column(c)[j].as_buffer() for c in range(6, 10)), idf)
+                for x, block, c in ((i, a, 4), (o, b, 10)):
                     if x not in best:
-                        best[x] = Best(block[0], k)
-                near = _products(own, own if i == o else Laid(b, place))
+                        best[x] = Best(block[0], k, np.frombuffer(batch.column(c)[j].as_buffer(), float))
+                near = _products(own, own if i == o else Laid(b, width))
                 compared(a, b, near, best[i], best[o] if i != o else None, width)
         for x in best.values():
             yield x.batch()

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,27 @@ def test_single_precision_does_not_tell_near_ties_apart_by_itself(spark):
     got = vectors.top_in_blocks(rows, "ord", "text", vectors.frequent(vectors.term_totals(rows, "text"), len(texts)), 4, size=8)
     pairs = lambda df: {(r.a, r.b): round(r.cosine, 9) for r in df.collect()}
     assert pairs(got) == pairs(want) and len(pairs(want)) == 4 * len(texts)
+
+
+def test_like_texts_share_blocks_and_all_pairs_are_still_compared(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SORTED", 1)
+    rng = random.Random(5)
+    words = [["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(60)] for letters in ("abcde", "klmno", "vwxyz")]
+    texts = [*(" ".join(rng.choice(words[i % 3]) for _ in range(rng.choice((3, 40)))) for i in range(300)), None, "", "ae ae", "ae ae"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "ord long, text string")
+    terms = vectors.frequent(vectors.term_totals(rows, "text"), len(texts), 500)
+    unit = vectors.tfidf(vectors.gram_counts(rows, "ord", "text"), spark.createDataFrame(terms, "term string, idf double"), "ord").cache()
+    every = vectors.cosine_pairs(unit.withColumnRenamed("ord", "a"), unit.withColumnRenamed("ord", "b"), "a", "b")
+    want = {(r.a, r.b): round(r.cosine, 8) for r in vectors.top_neighbours(every, "a", "b", 6).collect()}
+    got = {(r.a, r.b): round(r.cosine, 8) for r in vectors.top_in_blocks(rows, "ord", "text", terms, 6, size=20).collect()}
+    assert got == want and len(want) > 1500
+
+    packs = vectors.packed(vectors.alike(rows, "ord", "text", len(texts), 16), "ord", "text", terms, 96, 6).collect()
+    blocks = [np.frombuffer(r.ids, np.int64).tolist() for r in packs]
+    assert sorted(sum(blocks, [])) == [i for i, t in enumerate(texts) if t] and max(map(len, blocks)) < 60
+    assert np.mean([len({i % 3 for i in b if i < 300}) for b in blocks]) < 1.7  # kinds in a block; about three if texts are dealt out at random
+    last = {}
+    for (a, _), cosine in want.items():
+        last[a] = min(cosine, last.get(a, 1.0))
+    least = [(i, x) for b, r in zip(blocks, packs) for i, x in zip(b, np.frombuffer(r.least, float))]
+    assert all(x <= last[i] + 1e-7 for i, x in least) and np.mean([x > 0.1 for _, x in least]) > 0.7  # told before any two blocks meet
